@@ -60,3 +60,13 @@ def ascii_lower(text: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spread(df: DataFrame, values: Column, name: str) -> DataFrame:
+    """df with a row for each array element. explode() would add a filter on the array's size, which Spark pushes to the scan and so evaluates the whole expression twice and inside itself; the outer form has none."""
+    return df.withColumn(name, F.explode_outer(values)).where(F.col(name).isNotNull())
+
+
+def kept_where(df: DataFrame, condition: Column) -> DataFrame:
+    """df where condition holds, tested after the columns it reads: a row number that Spark may not push a filter through fences the costly expressions off."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")

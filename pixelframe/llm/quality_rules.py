@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, table, words
+from .common import SEPARATORS, kept_where, table, words
 
 #: A sorted key holds the upper bits of a window's hash and its position in the lower ones.
 POSITION_BITS = 24
@@ -144,7 +144,7 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the current policy keeps, with the columns of documents. A text is measured where it lies: no join."""
     tagged = docs.select(F.struct("doc_id", "text", "lang", "source", "n_chars").alias("d"), "text")
     kept = verdict(ledger(tagged.select("d", "text"), key="d"))
-    return kept.where("kept").select("doc_id.*")
+    return kept_where(kept, F.col("kept")).select("doc_id.*")
 
 
 _WORD = r"[^\x20\x09-\x0D]"

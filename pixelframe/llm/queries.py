@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_parts
+from .decontaminate import OP10_SQL, op10_winnowing
 from .pii import op1_weak_supervision
 from .quality_rules import OP8_SQL, op8_rule_ledger
 from .sharding import op9_virtual_slots
@@ -12,9 +13,11 @@ QUERIES = {
     "op2_chat_parts": op2_chat_parts,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_virtual_slots": op9_virtual_slots,
+    "op10_winnowing": op10_winnowing,
 }
 
 ORACLE_SQL = {
     "op2_chat_parts": OP2_SQL,
     "op8_rule_ledger": OP8_SQL,
+    "op10_winnowing": OP10_SQL,
 }
