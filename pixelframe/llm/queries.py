@@ -7,10 +7,12 @@ from .decontaminate import OP10_SQL, op10_winnowing
 from .pii import op1_weak_supervision
 from .quality_rules import OP8_SQL, op8_rule_ledger
 from .sharding import op9_virtual_slots
+from .token_files import op6_seekable_tokens
 
 QUERIES = {
     "op1_weak_supervision": op1_weak_supervision,
     "op2_chat_parts": op2_chat_parts,
+    "op6_seekable_tokens": op6_seekable_tokens,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_winnowing": op10_winnowing,
