@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_parts
 from .decontaminate import OP10_SQL, op10_winnowing
+from .ngram_join import op5_size_aware_join
 from .pii import op1_weak_supervision
 from .quality_rules import OP8_SQL, op8_rule_ledger
 from .sharding import op9_virtual_slots
@@ -12,6 +13,7 @@ from .token_files import op6_seekable_tokens
 QUERIES = {
     "op1_weak_supervision": op1_weak_supervision,
     "op2_chat_parts": op2_chat_parts,
+    "op5_size_aware_join": op5_size_aware_join,
     "op6_seekable_tokens": op6_seekable_tokens,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_virtual_slots": op9_virtual_slots,
