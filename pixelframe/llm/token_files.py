@@ -26,10 +26,12 @@ are ordinary text only where `special_as_text` is set.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,57 +50,23 @@ INDEX_ROW = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("first", "<u4"), ("t
 SEEK_ROW = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 NO_ID = -(2**63)
 END_ID = 0
-#: Pre-tokens whose ids a worker remembers; beyond that number nothing new is remembered.
-CACHED = 300_000
 
 
 class Encoder:
-    """A tokenizer whose work is remembered by pre-token.
+    """The library's encoding of whole texts, a slice of texts at a time. Without offsets, which are not kept, it is a little faster."""
 
-    Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens in order. The library encodes each distinct one; texts are only cut here, with
-    the vocabulary's own pattern. `plain` encodes whole texts with the library alone.
-    """
-
-    def __init__(self, path: str, pattern: str | None, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = special_as_text
         self.vocab = self.lib.get_vocab_size()
-        self.specials = [] if special_as_text else [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
-        self.cut = None
-        if pattern:
-            import regex
-
-            self.cut = regex.compile(pattern).findall
-
-    def plain(self, text: str) -> list[int]:
-        return self.lib.encode(text, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.cut is None or any(s in text for s in self.specials):
-            return self.plain(text)
-        parts = self.cut(text)
-        known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        more = {}
-        if new:
-            more = {p: e.ids for p, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(known) < CACHED:
-                known.update(more)
-                more = {}
-        out: list[int] = []
-        if more:
-            for p in parts:
-                out += known[p] if p in known else more[p]
-        else:
-            for p in parts:
-                out += known[p]
-        return out
+
+    def __call__(self, texts: Iterable[str | None], size: int = 64) -> Iterator[list[int]]:
+        texts = iter(texts)
+        while part := list(islice(texts, size)):
+            for e in self.lib.encode_batch_fast([t or "" for t in part], add_special_tokens=False):
+                yield e.ids
 
 
 class Writer:
@@ -182,7 +150,7 @@ def open_reader(uri: str) -> Reader:
 MANIFEST = "part long, file string, docs long, tokens long, frames long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID, special_as_text: bool = False) -> list[tuple]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, special_as_text: bool = False) -> list[tuple]:
     """Encode the documents in ascending order of key and write one file for each range of keys.
 
     Returns the manifest, sorted: (part, file, docs, tokens, frames), one row a file.
@@ -193,14 +161,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, pattern: str | No
         fs, base = pa.fs.FileSystem.from_uri(folder)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.zst"
         writer = stream = None
-        encode = Encoder(tokenizer, pattern, special_as_text)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encode = Encoder(tokenizer, special_as_text)
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     stream = fs.open_output_stream(f"{base}/_{name}", compression=None)
                     writer = Writer(stream, encode.vocab)
-                writer.add(doc_id, [*encode(body.as_py() or ""), end_id])
+                ids.append(end_id)
+                writer.add(doc_id, ids)
         if writer is not None:
             writer.close()
             stream.close()
@@ -239,10 +209,10 @@ def scan_tokens(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
     return spark.range(0, n, 1, max(1, n)).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op6_seekable_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
+def op6_seekable_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All documents: encoded, written in ascending doc_id order, and read back from the files."""
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    manifest = write_tokens(table(spark, sf_dir, "documents"), new_path(spark, f"tokens-{uuid.uuid4().hex[:6]}"), path, pattern or public_tokenizers.PATTERN)
+    manifest = write_tokens(table(spark, sf_dir, "documents"), new_path(spark, f"tokens-{uuid.uuid4().hex[:6]}"), path)
     return scan_tokens(spark, manifest)
