@@ -46,15 +46,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and the number of its text, in order; A-Z count as a-z."""
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and the number of its text, in order; with lower, A-Z count as a-z."""
     buf = np.frombuffer(b"\n".join([b"", *texts, b""]), dtype=np.uint8)
     sep = _SEPARATOR[buf]
     edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = _powers(len(buf))
     with np.errstate(over="ignore"):
-        total = np.cumsum(_BYTE[_LOWER[buf]] * power[: len(buf)])
+        total = np.cumsum((_BYTE[_LOWER] if lower else _BYTE)[buf] * power[: len(buf)])
         h = (total[ends - 1] - total[starts - 1]) * inverse[starts]
         h = mix(h + (ends - starts).astype(np.uint64))
     first = np.cumsum([1, *(len(t) + 1 for t in texts)])[:-1]
