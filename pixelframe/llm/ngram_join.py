@@ -11,9 +11,10 @@ lists get cheaper than subsets, from the histogram of small sizes. Sets just und
 boundary do both, for partners across it.
 
 Lists are scanned without making all pairs. First every set meets the most widely shared
-member of its lists (the likely origin of its copies); verified links give classes. Then all
-pairs of members from different classes that can still be linked are verified, so every link
-between classes is found; links inside a class cannot change it.
+member of its lists (the likely origin of its copies); verified links give components. Then
+the members of a list from different components are compared by sketches of a fixed size,
+which rule a pair out only where its sets differ too much, and the pairs left are verified. So
+every link between components is found; links inside one cannot change it.
 
 A class (of equal sets) is known by a 64-bit hash of its set; links are verified on the
 texts. Defined results: null, empty and wordless texts have an empty set and are linked with
@@ -45,6 +46,8 @@ MOST_LIGHT, BLOCK_LEAST = 27, 3
 LEVEL_FIRST, LEVEL_RATIO, PER_BLOCK = 16, 1.6, 7.5
 #: Cost of a verified pair in postings.
 VERIFY_COST = 40
+#: Parity bits that rule most pairs out before their texts meet, and rows of a list that meet in one group.
+SKETCH_BITS, TILE = 1024, 4096
 
 
 def overlap_needed(n: int, m: int, percent: int) -> int:
@@ -246,18 +249,84 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_possible(percent)).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def _other_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share lists enough; members of one component never meet."""
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """node and sketch: one parity bit for each of SKETCH_BITS hash buckets. Two sets differ in at least as many elements as their sketches in bits."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for s in all_sets(_texts(batch, 1), k):
+                with np.errstate(over="ignore"):
+                    at = (mix(s ^ np.uint64(0x3C6EF372)) >> np.uint64(20)).astype(np.int64) % SKETCH_BITS
+                out.append(np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(task, "node long, sketch binary")
+
+
+def tile_pairs(i: int, j: int, node: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Pairs between tiles i and j (or inside i) of one list that their sizes, components and sketches leave possible. All arrays are sorted by n."""
+    left = np.flatnonzero(tile == i)
+    right = left if i == j else np.flatnonzero(tile == j)
+    a, b = [], []
+    nr, cr, sr, vr = n[right], comp[right], sketch[right], node[right]
+    for r, x in enumerate(left.tolist()):
+        lo = r + 1 if i == j else int(np.searchsorted(nr, -(-percent * n[x] // 100)))
+        hi = int(np.searchsorted(nr, 100 * n[x] // percent, side="right"))
+        near = lo + np.flatnonzero(cr[lo:hi] != comp[x])
+        if len(near):
+            total = n[x] + nr[near]
+            allowed = total - 2 * -(-percent * total // (100 + percent))
+            near = near[np.bitwise_count(sr[near] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= allowed]
+            a.append(np.full(len(near), node[x]))
+            b.append(vr[near])
+    return a, b
+
+
+def _other_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs of different components in one list that their sketches leave possible.
+
+    A list of more than TILE rows is cut into tiles that meet pairwise in groups of their own,
+    so no group exceeds two tiles; only pairs that pass leave a group.
+    """
     lab = lists.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
     w = Window.partitionBy("key")
-    mixed = written(lab.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi")).where("lo <> hi").select("key", "node", "n", "comp"), "mixed-lists")
-    kinds = mixed.select("key", "comp").distinct()
-    meets = kinds.alias("x").join(kinds.alias("y"), "key").where("x.comp < y.comp").select("key", F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy"))
-    left = mixed.select("key", F.col("comp").alias("cx"), F.col("node").alias("a"), F.col("n").alias("na"))
-    right = mixed.select("key", F.col("comp").alias("cy"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    sized = meets.join(left, ["key", "cx"]).join(right, ["key", "cy"]).where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = sized.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(_possible(percent)).select("a", "b")
+    marks = lab.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("g")).where("lo <> hi")
+    cut = F.ceil(F.col("g") / F.lit(float(TILE))).cast("int")
+    mixed = marks.select("key", "node", "n", "comp", cut.alias("cut")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
+    rows = mixed.join(sketches(texts, k), "node").withColumn("m", F.explode_outer(meets)).select("key", "m.i", "m.j", "node", "n", "comp", "tile", "sketch")
+    grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(whole: pa.Table) -> pa.RecordBatch:
+            col = [whole.column(c).to_numpy() for c in range(7)]
+            bits = np.frombuffer(b"".join(whole.column(7).to_pylist()), dtype=np.uint64).reshape(len(col[0]), -1)
+            group = np.stack(col[:3], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
+            a, b = [], []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+                x, y = tile_pairs(int(col[1][lo]), int(col[2][lo]), col[3][lo:hi], col[4][lo:hi].astype(np.int64), col[5][lo:hi], col[6][lo:hi], bits[lo:hi], percent)
+                a += x
+                b += y
+            both = np.stack([np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])], axis=1)
+            both = np.unique(np.sort(both, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:  # a group may go on in the next batch: what is held ends with an open group
+            held.append(batch)
+            whole = pa.Table.from_batches(held)
+            last = np.stack([whole.column(c).to_numpy() for c in range(3)], axis=1)
+            open_from = len(last) - int(np.argmax(np.concatenate([(last[::-1] != last[-1]).any(axis=1), [True]])))
+            if open_from:
+                yield solve(whole.slice(0, open_from))
+            held = whole.slice(open_from).combine_chunks().to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return grouped.mapInArrow(task, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,7 +342,7 @@ def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: st
     texts = written(docs.join(first, "doc_id").select("node", "text"), "texts")
     links = written(subset_links(subset_postings(docs, light, k, percent), percent).union(verify(_first_pairs(lists, percent), texts, k, percent)), "first-links")
     labels = written(components(links), "labels")
-    more = written(verify(_other_pairs(lists, labels, percent), texts, k, percent), "other-links")
+    more = written(verify(_other_pairs(lists, labels, texts, k, percent), texts, k, percent), "other-links")
     whole = components(links.union(more)) if more.limit(1).count() else labels
     return labelled(base, known, whole)
 
