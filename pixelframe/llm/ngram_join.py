@@ -358,3 +358,9 @@ def labelled(base: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
 def op5_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three-word shingles, links at a Jaccard similarity of 0.9."""
     return join_components(table(spark, sf_dir, "documents"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, the one with the least id; near duplicates share 80 % of their five-word shingles. Empty texts are components of their own."""
+    parts = written(join_components(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(parts, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_parts
 from .decontaminate import OP10_SQL, op10_winnowing
+from .nbest import op3_nbest_astar
 from .ngram_join import op5_size_aware_join
 from .pii import op1_weak_supervision
 from .quality_model import op7_random_indexing
@@ -15,6 +16,7 @@ from .unit_dedup import OP4_SQL, op4_unit_dedup
 QUERIES = {
     "op1_weak_supervision": op1_weak_supervision,
     "op2_chat_parts": op2_chat_parts,
+    "op3_nbest_astar": op3_nbest_astar,
     "op4_unit_dedup": op4_unit_dedup,
     "op5_size_aware_join": op5_size_aware_join,
     "op6_seekable_tokens": op6_seekable_tokens,
