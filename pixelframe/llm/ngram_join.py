@@ -5,8 +5,8 @@ subsets: two sets overlap in c elements exactly if they share a c-subset, so equ
 links and nothing is verified. Heavy (large) sets go through inverted lists. A list belongs to
 a block of elements: elements are dealt into blocks by hash, sets linked at a similarity t
 differ in at most D elements, so among any D + 1 blocks one is the same in both. A set is
-posted under its first D + 1 blocks of three elements or more, which keeps frequent single
-n-grams from making long lists. The boundary between light and heavy is the size at which
+posted under its first D + 1 blocks of two or three elements or more, which keeps frequent
+single n-grams from making long lists. The boundary between light and heavy is the size at which
 lists get cheaper than subsets, from the histogram of small sizes. Sets just under the
 boundary do both, for partners across it.
 
@@ -40,8 +40,8 @@ from .shingles import all_sets, mix
 
 #: Two sets link when 100 * overlap >= PERCENT * union.
 PERCENT = 90
-#: Largest size that may enumerate subsets, and elements that make a block worth a list.
-MOST_LIGHT, BLOCK_LEAST = 27, 3
+#: Largest size that may enumerate subsets.
+MOST_LIGHT = 27
 #: Sizes are grouped in levels that share one number of blocks.
 LEVEL_FIRST, LEVEL_RATIO, PER_BLOCK = 16, 1.6, 7.5
 #: Cost of a verified pair in postings.
@@ -79,7 +79,14 @@ def level(n: int) -> int:
 
 def blocks_of(lv: int, percent: int) -> int:
     top = LEVEL_FIRST * LEVEL_RATIO**lv
-    return max(math.ceil(top / PER_BLOCK), math.ceil(1.15 * (differences(math.ceil(top), percent) + 1))) + 4
+    need = differences(math.ceil(top), percent) + 1
+    return max(math.ceil(top / PER_BLOCK), math.ceil((1.15 if need < top / 8 else 1.3) * need)) + 4
+
+
+def thick_from(lv: int, percent: int) -> int:
+    """Elements that make a block worth a list: fewer where many blocks have to share a set."""
+    mean = LEVEL_FIRST * LEVEL_RATIO**lv / (blocks_of(lv, percent) - 4)
+    return 3 if mean >= 6 else 2 if mean >= 2.5 else 1
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -118,9 +125,10 @@ def list_keys(s: np.ndarray, percent: int) -> list[np.ndarray]:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(m ^ np.uint64(0xA5A5A5A5))[order])])
             sums = total[ends] - total[ends - count]
             keys = mix(sums + mix(np.arange(k, dtype=np.uint64) + np.uint64(1000 * lv + 7)))
-        thick = np.flatnonzero(count >= BLOCK_LEAST)
+        thick, some = np.flatnonzero(count >= thick_from(lv, percent)), np.flatnonzero(count)
         need = differences(n, percent) + 1
-        out.append(keys[thick[:need]] if len(thick) >= need else keys)
+        # a set without enough thick blocks is posted under all blocks that have elements, which takes in those of any partner
+        out.append(keys[thick[:need]] if len(thick) >= need else keys[some] if len(some) >= need else keys)
     return out
 
 
