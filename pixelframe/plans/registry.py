@@ -1,4 +1,6 @@
-"""Registered queries."""
+"""All queries of the reference's own operators."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import catalog_queries, image_queries, match_queries, model_queries  # noqa: F401
+from .core import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
