@@ -1 +1,580 @@
-"""Placeholder."""
+"""Model queries: mixtures, rendering, likelihoods, normal equations, forced photometry, searches, parameters, PSFs."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+from ..operators import catalog as cat
+from ..operators import images as im
+from ..operators import mixtures as mog
+from ..operators import params as pr
+from ..operators import render as rd
+from ..operators import solve as sv
+from ..sources.fixtures import fixture, read, with_fixtures
+from .core import query
+
+C = F.col
+REACH = 5
+_U = f"""{with_fixtures('pixels', 'srcs')}, u AS (SELECT s.sid, p.img, p.x, p.y, p.d, p.iv, s.flux, s.sig, s.psize, s.px, s.py, exp(-0.5e0 * ((p.x - s.px) * (p.x - s.px) + (p.y - s.py) * (p.y - s.py)) / (s.sig * s.sig)) / (2e0 * pi() * s.sig * s.sig) u
+FROM srcs s JOIN pixels p ON abs(p.x - round_even(s.px, 0)) <= {REACH} * s.sig AND abs(p.y - round_even(s.py, 0)) <= {REACH} * s.sig)"""
+
+
+def _umod(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+    """sid, img, x, y, d, iv, flux, sig, u of every source on every image under its own round PSF."""
+    s = fixture(spark, d, "srcs")
+    met = rd.render_join(fixture(spark, d, "pixels"), rd.boxed(s if where is None else s.where(where), F.ceil(C("sig") * REACH)))
+    return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
+
+
+# --- forced photometry ----------------------------------------------------------------------
+
+
+@query("forced_phot_isolated", f"{_U} SELECT sid, img, round(sum(u * d * iv) / sum(u * u * iv), 4) + 0e0 flux, round(sum(u * u * iv), 6) flux_iv FROM u GROUP BY sid, img HAVING sum(u * u * iv) > 1e-9")
+def forced_phot_isolated(spark: SparkSession, d: str) -> DataFrame:
+    """Linear flux of each source in each image, and its inverse variance."""
+    v = _umod(spark, d).groupBy("sid", "img").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    return v.where("a > 1e-9").select("sid", "img", (F.round(C("b") / C("a"), 4) + 0.0).alias("flux"), F.round("a", 6).alias("flux_iv"))
+
+
+@query("per_exposure_phot", f"{_U} SELECT sid, img, round(100e0 + sum(u * (d - 100e0 * u) * iv) / sum(u * u * iv), 4) + 0e0 flux FROM u WHERE img % 2 = 1 GROUP BY sid, img HAVING sum(u * u * iv) > 1e-9")
+def per_exposure_phot(spark: SparkSession, d: str) -> DataFrame:
+    """Each exposure alone, as a step from a flux of 100."""
+    v = _umod(spark, d).where("img % 2 = 1").groupBy("sid", "img").agg(F.sum(C("u") * (C("d") - 100.0 * C("u")) * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    return v.where("a > 1e-9").select("sid", "img", (F.round(100.0 + C("b") / C("a"), 4) + 0.0).alias("flux"))
+
+
+@query("forced_phot_priors", f"{_U}, n AS (SELECT sid, sum(u * u * iv) a, sum(u * (d - flux * u) * iv) b, any_value(flux) f FROM u GROUP BY sid) SELECT sid, round(f + b / (a + 1e0 / (30e0 * 30e0)) + (-(f - 900e0) / (30e0 * 30e0)) / (a + 1e0 / (30e0 * 30e0)), 4) flux FROM n")
+def forced_phot_priors(spark: SparkSession, d: str) -> DataFrame:
+    """One step from the catalogue flux with a Gaussian prior N(900, 30): the prior adds a row to the normal equations."""
+    inv = 1.0 / (30.0 * 30.0)
+    n = _umod(spark, d).groupBy("sid").agg(F.sum(C("u") * C("u") * C("iv")).alias("a"), F.sum(C("u") * (C("d") - C("flux") * C("u")) * C("iv")).alias("b"), F.first("flux").alias("f"))
+    return n.select("sid", F.round(C("f") + (C("b") - (C("f") - 900.0) * inv) / (C("a") + inv), 4).alias("flux"))
+
+
+@query("flux_ivar", f"{_U} SELECT sid, CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, round(sum(2.5e0 * u * 2.5e0 * u * iv), 6) flux_iv, count(DISTINCT img)::BIGINT nexp FROM u GROUP BY 1, 2")
+def flux_ivar(spark: SparkSession, d: str) -> DataFrame:
+    """Inverse variance of a flux in each band for a photometric scale of 2.5; blending is ignored by definition."""
+    band = F.when(C("img") % 3 == 0, "z").when(C("img") % 3 == 1, "g").otherwise("r")
+    return _umod(spark, d).groupBy("sid", band.alias("band")).agg(F.round(F.sum(2.5 * C("u") * 2.5 * C("u") * C("iv")), 6).alias("flux_iv"), F.count_distinct("img").alias("nexp"))
+
+
+@query("fitstats_source", f"""{_U}, m AS (SELECT img, x, y, sum(u * flux) m FROM u GROUP BY 1, 2, 3), t AS (SELECT u.*, m.m FROM u JOIN m USING (img, x, y) WHERE u > 0),
+g AS (SELECT sid, img, any_value(flux) c, sum(u * (d - m) * (d - m) * iv) chi2, sum(u) npix_w, count(*) n, sum(abs(m / flux - u) * u) / sum(u * u) num, sum(u) / any_value(flux) den, sum(abs(m - u * flux) * u) pf FROM t WHERE iv > 0 GROUP BY sid, img)
+SELECT sid, round(sum(chi2), 3) prochi2, round(sum(npix_w), 5) pronpix, sum(n)::BIGINT npix, round(sum(num) / greatest(1e0, sum(den)), 4) profracflux, round(sum(pf), 3) proflux, round(sum(npix_w) / greatest(1, count(*)), 5) fracin FROM g GROUP BY sid""")
+def fitstats_source(spark: SparkSession, d: str) -> DataFrame:
+    """Profile-weighted statistics: chi-squared, pixels, flux of neighbours, fraction inside. Two aggregates: by source and image, then by source."""
+    u = _umod(spark, d)
+    m = u.groupBy("img", "x", "y").agg(F.sum(C("u") * C("flux")).alias("m"))
+    t = u.where("u > 0 AND iv > 0").join(m, ["img", "x", "y"])
+    p, c = C("u"), C("flux")
+    by = t.groupBy("sid", "img").agg(
+        F.sum(p * (C("d") - C("m")) * (C("d") - C("m")) * C("iv")).alias("chi2"), F.sum(p).alias("w"), F.count(F.lit(1)).alias("n"),
+        (F.sum(F.abs(C("m") / c - p) * p) / F.sum(p * p)).alias("num"), (F.sum(p) / F.first("flux")).alias("den"), F.sum(F.abs(C("m") - p * c) * p).alias("pf"),
+    )
+    return by.groupBy("sid").agg(
+        F.round(F.sum("chi2"), 3).alias("prochi2"), F.round(F.sum("w"), 5).alias("pronpix"), F.sum("n").alias("npix"), F.round(F.sum("num") / F.greatest(F.lit(1.0), F.sum("den")), 4).alias("profracflux"),
+        F.round(F.sum("pf"), 3).alias("proflux"), F.round(F.sum("w") / F.greatest(F.lit(1), F.count(F.lit(1))), 5).alias("fracin"),
+    )
+
+
+_MOD = f"{_U}, s AS (SELECT img, x, y, sum(u * flux) m FROM u GROUP BY 1, 2, 3), m AS (SELECT p.img, p.x, p.y, p.d, p.iv, coalesce(s.m, 0e0) + 12e0 m FROM pixels p LEFT JOIN s USING (img, x, y))"
+
+
+def _model(spark: SparkSession, d: str) -> DataFrame:
+    return rd.model_image(fixture(spark, d, "pixels"), _umod(spark, d), 12.0)
+
+
+@query("model_image", f"{_MOD} SELECT img, x, y, round(m, 5) m FROM m")
+def model_image(spark: SparkSession, d: str) -> DataFrame:
+    """Constant sky and every source at every pixel."""
+    return _model(spark, d).select("img", "x", "y", F.round("m", 5).alias("m"))
+
+
+@query("chi_image", f"{_MOD} SELECT img, x, y, round((d - m) * sqrt(iv), 4) + 0e0 chi FROM m")
+def chi_image(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark, d).select("img", "x", "y", (F.round(rd.chi(C("d"), C("m"), C("iv")), 4) + 0.0).alias("chi"))
+
+
+@query("loglike", f"{_MOD} SELECT img, round(-0.5e0 * sum((d - m) * sqrt(iv) * ((d - m) * sqrt(iv))), 2) lnl, count(*) FILTER (iv > 0)::BIGINT n FROM m GROUP BY img".replace("count(*) FILTER (iv > 0)::BIGINT", "(count(*) FILTER (iv > 0))::BIGINT"))
+def loglike(spark: SparkSession, d: str) -> DataFrame:
+    return rd.log_likelihood(_model(spark, d)).select("img", F.round("lnl", 2).alias("lnl"), C("n").cast("long").alias("n"))
+
+
+@query("fitstats_image", f"{_MOD} SELECT img, round(sum((d - m) * (d - m) * iv), 2) imchisq, count(*)::BIGINT imnpix, 12e0 sky FROM m WHERE iv > 0 GROUP BY img")
+def fitstats_image(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark, d).where("iv > 0").groupBy("img").agg(F.round(F.sum((C("d") - C("m")) * (C("d") - C("m")) * C("iv")), 2).alias("imchisq"), F.count(F.lit(1)).alias("imnpix"), F.lit(12.0).alias("sky"))
+
+
+@query("log_prob", f"{_MOD}, l AS (SELECT sum((d - m) * (d - m) * iv) * -0.5e0 l FROM m), p AS (SELECT sum(-0.5e0 * (flux - 900e0) / 300e0 * ((flux - 900e0) / 300e0)) p, min(flux) lo FROM srcs) SELECT round(CASE WHEN lo > 0 THEN p + l ELSE '-infinity'::DOUBLE END, 1) lnp FROM l, p")
+def log_prob(spark: SparkSession, d: str) -> DataFrame:
+    """Prior plus likelihood; minus infinity outside the legal region."""
+    like = rd.log_likelihood(_model(spark, d)).agg(F.sum("lnl").alias("l"))
+    prior = fixture(spark, d, "srcs").agg(F.sum(pr.log_prior(C("flux"), F.lit(900.0), F.lit(300.0))).alias("p"), F.min("flux").alias("lo"))
+    return like.crossJoin(prior).select(F.round(pr.legal_or_inf(C("p") + C("l"), C("lo") > 0), 1).alias("lnp"))  # one row each
+
+
+@query("masked_render", f"{_U}, k AS (SELECT sid, floor(px)::INT - 2 x0, floor(px)::INT + 4 x1, floor(py)::INT - 2 y0, floor(py)::INT + 4 y1 FROM srcs WHERE psize % 2 = 0) SELECT u.sid, round(sum(u), 6) inside, count(*)::BIGINT n FROM u JOIN k ON k.sid = u.sid AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY u.sid")
+def masked_render(spark: SparkSession, d: str) -> DataFrame:
+    """Model masks: only pixels inside a source's rectangle; a source without one overlaps nothing."""
+    k = fixture(spark, d, "srcs").where("psize % 2 = 0").select("sid", (F.floor("px") - 2).alias("x0"), (F.floor("px") + 4).alias("x1"), (F.floor("py") - 2).alias("y0"), (F.floor("py") + 4).alias("y1"))
+    met = _umod(spark, d).join(k, "sid").where("x >= x0 AND x < x1 AND y >= y0 AND y < y1")
+    return met.groupBy("sid").agg(F.round(F.sum("u"), 6).alias("inside"), F.count(F.lit(1)).alias("n"))
+
+
+# --- mixtures and profiles ------------------------------------------------------------------
+
+
+def _values(parts: list[tuple[float, float]]) -> str:
+    return ", ".join(f"({a!r}::DOUBLE, {v!r}::DOUBLE)" for a, v in parts)
+
+
+@query("mog_profiles", f"SELECT 'exp' kind, round(sum(a), 8) total, round(sum(a * v), 6) var2, count(*)::BIGINT n FROM (VALUES {_values(mog.profile('exp'))}) t(a, v) UNION ALL SELECT 'dev', round(sum(a), 8), round(sum(a * v), 6), count(*)::BIGINT FROM (VALUES {_values(mog.profile('dev'))}) t(a, v)")
+def mog_profiles(spark: SparkSession, d: str) -> DataFrame:
+    rows = None
+    for kind in ("exp", "dev"):
+        one = spark.range(1).select(F.lit(kind).alias("kind"), F.explode(mog.normalise(mog.isotropic(mog.profile(kind)))).alias("c")).groupBy("kind").agg(F.round(F.sum("c.amp"), 8).alias("total"), F.round(F.sum(C("c.amp") * C("c.vxx")), 6).alias("var2"), F.count(F.lit(1)).alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@query("mog_affine", f"{with_fixtures('srcs')}, t AS (SELECT sid, psize / 10e0 a, (psize % 7) / 20e0 b FROM srcs), k(w, v) AS (VALUES {_values(mog.profile('exp'))}) SELECT sid, round(sum(w * (a * a * v + b * b * v)), 6) xx, round(sum(w * (b * a * v + b * v)), 6) + 0e0 xy FROM t, k GROUP BY sid".replace("(b * a * v + b * v)", "(a * 0e0 * v + b * 1e0 * v)"))
+def mog_affine(spark: SparkSession, d: str) -> DataFrame:
+    """Second moments of a profile under a shear."""
+    s = fixture(spark, d, "srcs").select("sid", mog.affine(mog.isotropic(mog.profile("exp")), C("psize") / 10.0, (C("psize") % 7) / 20.0, F.lit(0.0), F.lit(1.0)).alias("m"))
+    mean = lambda f: F.aggregate("m", F.lit(0.0), lambda a, c: a + c["amp"] * c[f])
+    return s.select("sid", F.round(mean("vxx"), 6).alias("xx"), (F.round(mean("vxy"), 6) + 0.0).alias("xy"))
+
+
+@query("mog_convolve", f"WITH p(a, v) AS (VALUES {_values(mog.profile('dev'))}), q(a, v) AS (VALUES (0.7e0, 1.5e0), (0.3e0, 6e0)) SELECT round(sum(p.a * q.a), 8) total, round(sum(p.a * q.a * (p.v * 4e0 + q.v)), 6) var2, count(*)::BIGINT n FROM p, q")
+def mog_convolve(spark: SparkSession, d: str) -> DataFrame:
+    """De Vaucouleurs profile of radius two under a PSF of two Gaussians: all pairs of components."""
+    two = F.lit(2.0)
+    shape = mog.affine(mog.isotropic(mog.profile("dev")), two, F.lit(0.0), F.lit(0.0), two)
+    both = spark.range(1).select(F.explode(mog.convolve(shape, mog.isotropic([(0.7, 1.5), (0.3, 6.0)]))).alias("c"))
+    return both.agg(F.round(F.sum("c.amp"), 8).alias("total"), F.round(F.sum(C("c.amp") * C("c.vxx")), 6).alias("var2"), F.count(F.lit(1)).alias("n"))
+
+
+_G = [(0.6, 1.2), (0.4, 4.5)]
+
+
+@query("mog_grid", f"WITH g AS (SELECT i::INT x, j::INT y FROM range(0, 15) a(i), range(0, 15) b(j)), k(a, v) AS (VALUES {_values(_G)}) SELECT x, y, round(sum(a / (2e0 * pi() * v) * exp(-0.5e0 * ((x - 7.3e0) * (x - 7.3e0) + (y - 6.8e0) * (y - 6.8e0)) / v)), 9) u FROM g, k GROUP BY x, y")
+def mog_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture on a grid."""
+    grid = spark.range(225).select((C("id") % 15).cast("int").alias("x"), F.floor(C("id") / 15).cast("int").alias("y"), mog.isotropic(_G).alias("m"))
+    return grid.select("x", "y", F.round(mog.evaluate(C("m"), C("x") - 7.3, C("y") - 6.8), 9).alias("u"))
+
+
+@query("mog_cutoff", f"WITH g AS (SELECT i::INT x, j::INT y FROM range(0, 41) a(i), range(0, 41) b(j)), k(a, v) AS (VALUES {_values(_G)}), e AS (SELECT x, y, sum(a / (2e0 * pi() * v) * exp(-0.5e0 * ((x - 20e0) * (x - 20e0) + (y - 20e0) * (y - 20e0)) / v)) u FROM g, k GROUP BY x, y) SELECT min(x) x0, max(x) + 1 x1, min(y) y0, max(y) + 1 y1, count(*)::BIGINT n, round(sum(u), 6) total FROM e WHERE u >= 1e-3")
+def mog_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    """Values below a minimum are dropped; the box shrinks to what is left."""
+    grid = spark.range(1681).select((C("id") % 41).cast("int").alias("x"), F.floor(C("id") / 41).cast("int").alias("y"), mog.isotropic(_G).alias("m"))
+    e = grid.select("x", "y", mog.evaluate(C("m"), C("x") - 20.0, C("y") - 20.0).alias("u")).where("u >= 1e-3")
+    return e.agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.count(F.lit(1)).alias("n"), F.round(F.sum("u"), 6).alias("total"))
+
+
+def _render_sql(parts: list[tuple[float, float]], scale: str) -> str:
+    """Profile of radius `scale` under a Gaussian PSF of variance 2, summed over image 1 for sources of one kind."""
+    return f"""{with_fixtures('pixels', 'srcs')}, k(a, v) AS (VALUES {_values(parts)}), b AS (SELECT sid, x, y, px, py, psize FROM srcs JOIN pixels ON img = 1 AND abs(x - round_even(px, 0)) <= 12 AND abs(y - round_even(py, 0)) <= 12 WHERE sid % 4 = 1),
+u AS (SELECT sid, x, y, sum(a / (2e0 * pi() * (v * {scale} + 2e0)) * CASE WHEN ((x - px) * (x - px) + (y - py) * (y - py)) / (v * {scale} + 2e0) < 700e0 THEN exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * {scale} + 2e0)) ELSE 0e0 END) u FROM b, k GROUP BY sid, x, y)
+SELECT sid, round(sum(u), 7) total, round(max(u), 8) peak, count(*)::BIGINT n FROM u GROUP BY sid"""
+
+
+def _rendered(spark: SparkSession, d: str, shape) -> DataFrame:
+    s = fixture(spark, d, "srcs").where("sid % 4 = 1")
+    u = rd.unit_models(fixture(spark, d, "pixels").where("img = 1"), s, mog.isotropic([(1.0, 2.0)]), F.lit(12), shape)
+    return u.groupBy("sid").agg(F.round(F.sum("u"), 7).alias("total"), F.round(F.max("u"), 8).alias("peak"), F.count(F.lit(1)).alias("n"))
+
+
+def _round_shape(kind: str):
+    r = 1.0 + C("psize") % 3
+    return mog.affine(mog.isotropic(mog.profile(kind)), r, F.lit(0.0), F.lit(0.0), r)
+
+
+_SC = "((1e0 + psize % 3) * (1e0 + psize % 3))"
+
+
+@query("render_psf", _render_sql([(1.0, 0.0)], "1e0"))
+def render_psf(spark: SparkSession, d: str) -> DataFrame:
+    """Point sources."""
+    return _rendered(spark, d, None)
+
+
+@query("render_exp", _render_sql(mog.profile("exp"), _SC))
+def render_exp(spark: SparkSession, d: str) -> DataFrame:
+    """Exponential galaxies: six components under the PSF."""
+    return _rendered(spark, d, _round_shape("exp"))
+
+
+@query("render_dev", _render_sql(mog.profile("dev"), _SC))
+def render_dev(spark: SparkSession, d: str) -> DataFrame:
+    """De Vaucouleurs galaxies; the point core takes the PSF's variance."""
+    return _rendered(spark, d, _round_shape("dev"))
+
+
+@query("render_composite", _render_sql([(0.3 * a, v) for a, v in mog.profile("dev")] + [(0.7 * a, v) for a, v in mog.profile("exp")], _SC))
+def render_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed composite: 0.3 de Vaucouleurs and 0.7 exponential components together."""
+    both = F.concat(mog.weighted(_round_shape("dev"), F.lit(0.3)), mog.weighted(_round_shape("exp"), F.lit(0.7)))
+    return _rendered(spark, d, both)
+
+
+@query("psf_broaden", f"{with_fixtures('srcs')} SELECT sid, round(0.6e0 / (2e0 * pi() * 1.2e0 * f * f) + 0.4e0 / (2e0 * pi() * 4.5e0 * f * f), 8) peak FROM (SELECT sid, 1e0 + psize / 50e0 f FROM srcs)")
+def psf_broaden(spark: SparkSession, d: str) -> DataFrame:
+    """Variances times a factor squared; the peak falls."""
+    s = fixture(spark, d, "srcs").select("sid", mog.broadened(mog.isotropic(_G), 1.0 + C("psize") / 50.0).alias("m"))
+    return s.select("sid", F.round(mog.evaluate(C("m"), F.lit(0.0), F.lit(0.0)), 8).alias("peak"))
+
+
+@query("psf_normalised", f"{with_fixtures('pixels')} SELECT img, x, y, round(d / sum(d) OVER (PARTITION BY img), 10) w FROM pixels WHERE x < 15 AND y < 15")
+def psf_normalised(spark: SparkSession, d: str) -> DataFrame:
+    p = fixture(spark, d, "pixels").where("x < 15 AND y < 15")
+    return p.select("img", "x", "y", F.round(C("d") / F.sum("d").over(Window.partitionBy("img")), 10).alias("w"))
+
+
+@query("psfex_eval", f"{with_fixtures('pixels', 'srcs')}, b AS (SELECT img - 1 k, x, y, d FROM pixels WHERE img <= 6 AND x < 8 AND y < 8), t AS (SELECT sid, (px - 20e0) / 20e0 u, (py - 20e0) / 20e0 v FROM srcs WHERE sid < 40), c AS (SELECT sid, 0 k, 1e0 t FROM t UNION ALL SELECT sid, 1, u FROM t UNION ALL SELECT sid, 2, u * u FROM t UNION ALL SELECT sid, 3, v FROM t UNION ALL SELECT sid, 4, u * v FROM t UNION ALL SELECT sid, 5, v * v FROM t) SELECT sid, x, y, round(sum(t * d), 7) + 0e0 p FROM c JOIN b USING (k) GROUP BY 1, 2, 3")
+def psfex_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Polynomial PSF of degree two: six basis images weighted by powers of the scaled position."""
+    basis = fixture(spark, d, "pixels").where("img <= 6 AND x < 8 AND y < 8").select((C("img") - 1).alias("k"), "x", "y", "d")
+    t = fixture(spark, d, "srcs").where("sid < 40").select("sid", ((C("px") - 20.0) / 20.0).alias("u"), ((C("py") - 20.0) / 20.0).alias("v"))
+    terms = F.posexplode(F.array(F.lit(1.0), C("u"), C("u") * C("u"), C("v"), C("u") * C("v"), C("v") * C("v"))).alias("k", "t")
+    return t.select("sid", terms).join(basis, "k").groupBy("sid", "x", "y").agg((F.round(F.sum(C("t") * C("d")), 7) + 0.0).alias("p"))
+
+
+@query("bright_star_psf", "WITH r AS (SELECT DISTINCT p_size / 2e0 r FROM part), p AS (SELECT r, (exp(-0.5e0 * r * r / 1.44e0) + 0.1e0 * exp(-0.5e0 * r * r / 12.25e0) + 0.005e0 * pow(1e0 + r * r / (3e0 * 9e0), -1.5e0)) / 1.105e0 p, exp(-0.5e0 * r * r / 1.44e0) g FROM r) SELECT round(r, 4) r, round(g + greatest(0e0, least(1e0, (r - 4e0) / 4e0)) * (p - g), 9) v FROM p")
+def bright_star_psf(spark: SparkSession, d: str) -> DataFrame:
+    """Two Gaussians and a power-law wing, taken in over a ramp of radii."""
+    r = read(spark, d, "part").select((C("p_size") / 2.0).alias("r")).distinct()
+    r2 = C("r") * C("r")
+    core = F.exp(-0.5 * r2 / 1.44)
+    wing = (core + 0.1 * F.exp(-0.5 * r2 / 12.25) + 0.005 * F.pow(1.0 + r2 / 27.0, F.lit(-1.5))) / 1.105
+    ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (C("r") - 4.0) / 4.0))
+    return r.select(F.round("r", 4).alias("r"), F.round(core + ramp * (wing - core), 9).alias("v"))
+
+
+@query("source_radii", f"{with_fixtures('srcs')} SELECT sid, ceil(sig * sqrt(greatest(0e0, -2e0 * ln(0.5e0 / (flux / (2e0 * pi() * sig * sig))))))::INT r FROM srcs")
+def source_radii(spark: SparkSession, d: str) -> DataFrame:
+    """Radius at which a source's surface brightness falls to 0.5, analytic from its flux and PSF."""
+    peak = C("flux") / (2 * math.pi * C("sig") * C("sig"))
+    return fixture(spark, d, "srcs").select("sid", F.ceil(C("sig") * F.sqrt(F.greatest(F.lit(0.0), -2.0 * F.log(0.5 / peak)))).cast("int").alias("r"))
+
+
+# --- derivatives and normal equations -------------------------------------------------------
+
+
+@query("flux_derivs", f"{_U} SELECT sid, img, round(sum(u * sqrt(iv)), 5) s1, round(sum(u * u * iv), 6) s2, count(*)::BIGINT n FROM u WHERE u > 0 GROUP BY sid, img")
+def flux_derivs(spark: SparkSession, d: str) -> DataFrame:
+    """Derivative by flux is the unit model."""
+    return _umod(spark, d).where("u > 0").groupBy("sid", "img").agg(F.round(F.sum(C("u") * F.sqrt("iv")), 5).alias("s1"), F.round(F.sum(C("u") * C("u") * C("iv")), 6).alias("s2"), F.count(F.lit(1)).alias("n"))
+
+
+@query("position_derivs", f"""{_U}, e AS (SELECT sid, img, x, y, u, lag(CASE WHEN TRUE THEN u END) OVER w ul, lead(u) OVER w ur, lag(x) OVER w xl, lead(x) OVER w xr, flux FROM u WHERE img = 1 WINDOW w AS (PARTITION BY sid, img, y ORDER BY x))
+SELECT sid, x, y, round(flux * ((CASE WHEN xl = x - 1 THEN ul ELSE 0e0 END) - (CASE WHEN xr = x + 1 THEN ur ELSE 0e0 END)) / 2e0, 4) + 0e0 dx FROM e""")
+def position_derivs(spark: SparkSession, d: str) -> DataFrame:
+    """Half central differences of the unit patch along a row, times the counts; pixels beyond the patch count zero."""
+    w = Window.partitionBy("sid", "img", "y").orderBy("x")
+    left = F.when(F.lag("x").over(w) == C("x") - 1, F.lag("u").over(w)).otherwise(0.0)
+    right = F.when(F.lead("x").over(w) == C("x") + 1, F.lead("u").over(w)).otherwise(0.0)
+    return _umod(spark, d).where("img = 1").select("sid", "x", "y", (F.round(C("flux") * (left - right) / 2.0, 4) + 0.0).alias("dx"))
+
+
+_DES = f"{_U}, a AS (SELECT sid, img, x, y, u * sqrt(iv) a, d * sqrt(iv) b FROM u WHERE u > 1e-4)"
+
+
+def _design(spark: SparkSession, d: str) -> DataFrame:
+    return _umod(spark, d).where("u > 1e-4").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), (C("d") * F.sqrt("iv")).alias("b"))
+
+
+@query("normal_matrix", f"{_DES} SELECT p.sid i, q.sid j, round(sum(p.a * q.a), 6) + 0e0 aa FROM a p JOIN a q ON p.img = q.img AND p.x = q.x AND p.y = q.y AND p.sid <= q.sid GROUP BY 1, 2")
+def normal_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return sv.normal_matrix(_design(spark, d)).select("i", "j", (F.round("aa", 6) + 0.0).alias("aa"))
+
+
+@query("normal_rhs", f"{_DES} SELECT sid i, round(sum(a * b), 4) ab FROM a GROUP BY 1")
+def normal_rhs(spark: SparkSession, d: str) -> DataFrame:
+    return sv.normal_rhs(_design(spark, d)).select("i", F.round("ab", 4).alias("ab"))
+
+
+@query("shared_columns", f"{_DES}, s AS (SELECT sid % 10 k, img, x, y, sum(a) a, any_value(b) b FROM a GROUP BY 1, 2, 3, 4) SELECT k i, round(sum(a * a), 5) aa, round(sum(a * b), 4) ab FROM s GROUP BY k")
+def shared_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters that share a value have one column; their derivatives add up at each pixel first."""
+    des = _design(spark, d)
+    keys = fixture(spark, d, "srcs").select(C("sid").alias("pid"), (C("sid") % 10).alias("shared_key"))
+    s = sv.shared(des, keys)
+    return s.groupBy(C("pid").alias("i")).agg(F.round(F.sum(C("a") * C("a")), 5).alias("aa"), F.round(F.sum(C("a") * C("b")), 4).alias("ab"))
+
+
+@query("overlap_groups", f"""{_U}, e AS (SELECT DISTINCT p.sid a, q.sid b FROM u p JOIN u q ON p.img = q.img AND p.x = q.x AND p.y = q.y WHERE p.img = 1 AND p.u > 2e-2 AND q.u > 2e-2),
+r AS (SELECT * FROM (WITH RECURSIVE c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, min(b) grp FROM c GROUP BY a)) SELECT sid id, coalesce(grp, sid) grp FROM srcs LEFT JOIN r ON r.a = sid""")
+def overlap_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose footprints share a pixel, chained: the groups that have to be solved together."""
+    u = _umod(spark, d).where("img = 1 AND u > 2e-2").select("sid", "x", "y")
+    first = u.groupBy("x", "y").agg(F.min("sid").alias("b"))  # a star at each pixel links what all its pairs would
+    pairs = u.join(first, ["x", "y"]).where("sid <> b").select(C("sid").alias("a"), "b").distinct()
+    return cat.groups_of(pairs, fixture(spark, d, "srcs").select(C("sid").alias("id")))
+
+
+@query("forced_phot_blended")
+def forced_phot_blended(spark: SparkSession, d: str) -> DataFrame:
+    """Fluxes of overlapping sources solved together, group by group; variances ignore blending."""
+    des = _design(spark, d).where("img = 1")
+    m, r = sv.normal_matrix(des), sv.normal_rhs(des)
+    groups = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
+    return sv.solve_groups(m, r, groups).select(C("i").alias("sid"), F.round("value", 4).alias("flux"), F.round("variance", 8).alias("variance"))
+
+
+@query("forced_phot_pairs", f"""{_DES}, k AS (SELECT * FROM a WHERE img = 2 AND sid % 20 IN (0, 1)), s AS (SELECT sid // 20 g, img, x, y, max(CASE WHEN sid % 20 = 0 THEN a ELSE 0e0 END) p, max(CASE WHEN sid % 20 = 1 THEN a ELSE 0e0 END) q, any_value(b) b FROM k GROUP BY 1, 2, 3, 4),
+n AS (SELECT g, sum(p * p) pp, sum(p * q) pq, sum(q * q) qq, sum(p * b) pb, sum(q * b) qb FROM s GROUP BY g) SELECT g, round((pb * qq - qb * pq) / (pp * qq - pq * pq), 4) f0, round((qb * pp - pb * pq) / (pp * qq - pq * pq), 4) f1 FROM n WHERE pp * qq - pq * pq > 1e-6""")
+def forced_phot_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources at a time in closed form: five sums and a 2 x 2 solve."""
+    k = _design(spark, d).where("img = 2 AND pid % 20 IN (0, 1)")
+    part = lambda r: F.max(F.when(C("pid") % 20 == r, C("a")).otherwise(0.0))
+    s = k.groupBy(F.floor(C("pid") / 20).alias("g"), "img", "x", "y").agg(part(0).alias("p"), part(1).alias("q"), F.first("b").alias("b"))
+    n = s.groupBy("g").agg(*[F.sum(C(i) * C(j)).alias(i + j) for i, j in ("pp", "pq", "qq", "pb", "qb")])
+    det = C("pp") * C("qq") - C("pq") * C("pq")
+    return n.where(det > 1e-6).select("g", F.round((C("pb") * C("qq") - C("qb") * C("pq")) / det, 4).alias("f0"), F.round((C("qb") * C("pp") - C("pb") * C("pq")) / det, 4).alias("f1"))
+
+
+@query("damped_step", f"{_DES} SELECT sid i, round(sum(a * b) / (sum(a * a) + 0.01e0), 4) value FROM a GROUP BY sid")
+def damped_step(spark: SparkSession, d: str) -> DataFrame:
+    """Isolated steps with damping 0.1: the normal matrix gets 0.01 on its diagonal."""
+    des = _design(spark, d)
+    return des.groupBy(C("pid").alias("i")).agg(F.round(F.sum(C("a") * C("b")) / (F.sum(C("a") * C("a")) + 0.01), 4).alias("value"))
+
+
+@query("column_scaling", f"{_DES}, n AS (SELECT sid, sqrt(sum(a * a)) norm FROM a GROUP BY sid) SELECT a.sid i, count(*)::BIGINT n, round(sum(a / norm * (a / norm)), 8) unit, round(1e0 / any_value(norm * norm), 6) variance FROM a JOIN n USING (sid) WHERE abs(a / norm) > 1e-2 GROUP BY a.sid".replace("any_value(norm * norm)", "max(norm * norm)"))
+def column_scaling(spark: SparkSession, d: str) -> DataFrame:
+    """Columns divided by their norms, tiny entries dropped; the variance is one over the squared norm."""
+    des = _design(spark, d).select("pid", "a").withColumn("norm", F.sqrt(F.sum(C("a") * C("a")).over(Window.partitionBy("pid"))))
+    v = C("a") / C("norm")
+    return des.where(F.abs(v) > 1e-2).groupBy(C("pid").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v * v), 8).alias("unit"), F.round(1.0 / F.max(C("norm") * C("norm")), 6).alias("variance"))
+
+
+@query("line_search", f"{_U}, s AS (SELECT sid, sum((d - u * flux) * iv * (-0.5e0 * flux * u)) p, sum(0.25e0 * flux * u * flux * u * iv) q FROM u WHERE img = 1 GROUP BY sid), a AS (SELECT sid, al, -(al * p + al * al * q / 2e0) gain FROM s, (SELECT unnest([1e0 / 1024, 1e0 / 512, 1e0 / 256, 1e0 / 128, 1e0 / 64, 1e0 / 32, 1e0 / 16, 1e0 / 8, 1e0 / 4, 1e0 / 2, 1e0, sqrt(2e0), 2e0]) al)), w AS (SELECT sid, max(gain) best, max_by(al, gain) al FROM a GROUP BY sid) SELECT sid AS \"key\", CASE WHEN best > 0 THEN round(al, 6) ELSE 0e0 END alpha FROM w WHERE best > 1e-6 OR best < 0")
+def line_search(spark: SparkSession, d: str) -> DataFrame:
+    """All steps along a flux change in one pass; the gain is a sum of changes."""
+    u = _umod(spark, d).where("img = 1")
+    ch = u.select(C("sid").alias("key"), ((C("d") - C("u") * C("flux")) * F.sqrt("iv")).alias("c0"), (-0.5 * C("flux") * C("u") * F.sqrt("iv")).alias("dc"))
+    r = sv.line_search(ch)
+    return r.where("gain > 1e-6 OR gain <= 0").select("key", F.round("alpha", 6).alias("alpha"))
+
+
+@query("bounded_step", "SELECT p_partkey id, round(greatest(0e0, least(CASE WHEN p_size > 20 THEN 20e0 / p_size ELSE 1e0 END, CASE WHEN st > 0 THEN (45e0 - v) / st WHEN st < 0 THEN (5e0 - v) / st ELSE 1e0 END, 1e0)), 8) alpha FROM (SELECT p_partkey, p_size, 10e0 + p_partkey % 30 v, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE -p_size END::DOUBLE st FROM part)")
+def bounded_step(spark: SparkSession, d: str) -> DataFrame:
+    """Longest step within bounds 5 and 45 and a largest change of 20."""
+    p = read(spark, d, "part").select(C("p_partkey").alias("id"), (10.0 + C("p_partkey") % 30).alias("v"), F.when(C("p_partkey") % 2 == 0, C("p_size")).otherwise(-C("p_size")).cast("double").alias("st"))
+    return p.select("id", (F.round(sv.bounded_alpha(C("v"), C("st"), F.lit(5.0), F.lit(45.0), F.lit(20.0)), 8) + 0.0).alias("alpha"))
+
+
+@query("bic_select", "WITH m AS (SELECT p_partkey id, k, -((p_partkey * (k + 3)) % 101) / 2e0 lnp, CASE k WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 6 ELSE 9 END np FROM part, range(4) t(k)), s AS (SELECT id, k, 2e0 * lnp - np * ln(1000e0) bic FROM m) SELECT id, k::INT best FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY bic DESC, k) r FROM s) WHERE r = 1")
+def bic_select(spark: SparkSession, d: str) -> DataFrame:
+    """Best of four model types by information criterion."""
+    p = read(spark, d, "part").select(C("p_partkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    lnp = -((C("id") * (C("k") + 3)) % 101) / 2.0
+    n = F.when(C("k") == 0, 3).when(C("k") <= 2, 6).otherwise(9)
+    s = p.withColumn("bic", 2.0 * lnp - n * math.log(1000.0))
+    return s.groupBy("id").agg(F.max_by("k", F.struct("bic", -C("k"))).alias("best"))
+
+
+@query("astrometric_fit", "WITH t AS (SELECT o_custkey src, (epoch(o_orderdate) / 86400e0 - 9131e0) / 365.25e0 t, (o_orderkey % 97) / 10e0 p, 1e0 / (1e0 + o_orderkey % 3) w FROM orders), s AS (SELECT src, sum(w) s, sum(w * t) st, sum(w * t * t) stt, sum(w * p) sp, sum(w * t * p) stp, count(*) n FROM t GROUP BY src HAVING count(*) >= 4) SELECT src, round((stt * sp - st * stp) / (s * stt - st * st), 4) + 0e0 pos, round((s * stp - st * sp) / (s * stt - st * st), 4) + 0e0 pm FROM s WHERE s * stt - st * st > 1e-3")
+def astrometric_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Position and proper motion of each source from its exposures by weighted linear least squares."""
+    t = fixture(spark, d, "expo").select("src", ((F.unix_micros(C("ts").cast("timestamp")) / 1e6 / 86400.0 - 9131.0) / 365.25).alias("t"), ((C("exp_id") % 97) / 10.0).alias("p"), (1.0 / (1.0 + C("exp_id") % 3)).alias("w"))
+    w, x, y = C("w"), C("t"), C("p")
+    s = t.groupBy("src").agg(F.sum(w).alias("s"), F.sum(w * x).alias("st"), F.sum(w * x * x).alias("stt"), F.sum(w * y).alias("sp"), F.sum(w * x * y).alias("stp"), F.count(F.lit(1)).alias("n"))
+    det = C("s") * C("stt") - C("st") * C("st")
+    return s.where((C("n") >= 4) & (det > 1e-3)).select("src", (F.round((C("stt") * C("sp") - C("st") * C("stp")) / det, 4) + 0.0).alias("pos"), (F.round((C("s") * C("stp") - C("st") * C("sp")) / det, 4) + 0.0).alias("pm"))
+
+
+@query("grid_spread", f"{with_fixtures('pixels')}, w AS (SELECT ((x // 4) + 10 * (y // 4))::BIGINT gid, img, x, y, 1e0 / (1 + x % 4 + y % 4) w FROM pixels WHERE iv > 0 AND img = 1) SELECT img, gid, round(sum(w * d) / sum(w), 6) v, round(sum(w * w * 2e0), 6) ww FROM w JOIN pixels USING (img, x, y) GROUP BY img, gid")
+def grid_spread(spark: SparkSession, d: str) -> DataFrame:
+    """A sparse table of weights from model cells to pixels: images of the model are joins and sums over it."""
+    p = fixture(spark, d, "pixels").where("img = 1 AND iv > 0")
+    w = p.select((F.floor(C("x") / 4) + 10 * F.floor(C("y") / 4)).alias("gid"), "img", "x", "y", (1.0 / (1 + C("x") % 4 + C("y") % 4)).alias("w"))
+    return w.join(p, ["img", "x", "y"]).groupBy("img", "gid").agg(F.round(F.sum(C("w") * C("d")) / F.sum("w"), 6).alias("v"), F.round(F.sum(C("w") * C("w") * 2.0), 6).alias("ww"))
+
+
+@query("multi_tile_phot", f"""{_U}, t AS (SELECT *, CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, least(3, floor(px / 10e0))::INT * 4 + least(3, floor(py / 10e0))::INT tile FROM u WHERE abs(x - (5e0 + 10e0 * least(3, floor(px / 10e0)))) <= 7e0 AND abs(y - (5e0 + 10e0 * least(3, floor(py / 10e0)))) <= 7e0),
+f AS (SELECT sid, band, any_value(tile) tile, sum(u * d * iv) / sum(u * u * iv) flux, sum(u * u * iv) iv, count(DISTINCT img) nexp FROM t GROUP BY sid, band HAVING sum(u * u * iv) > 1e-9)
+SELECT sid, band, tile, round(flux, 4) + 0e0 flux, CASE WHEN flux > 0 THEN round(-2.5e0 * (log10(flux) - 9e0), 5) ELSE 'nan'::DOUBLE END mag, nexp::BIGINT nexp FROM f""")
+def multi_tile_phot(spark: SparkSession, d: str) -> DataFrame:
+    """All bands and tiles in one job: a source is measured on the tile that owns it, with the tile's margin."""
+    lo = lambda c: F.least(F.lit(3), F.floor(C(c) / 10.0))
+    band = F.when(C("img") % 3 == 0, "z").when(C("img") % 3 == 1, "g").otherwise("r")
+    u = _umod(spark, d).where((F.abs(C("x") - (5.0 + 10.0 * lo("px"))) <= 7) & (F.abs(C("y") - (5.0 + 10.0 * lo("py"))) <= 7))
+    f = u.groupBy("sid", band.alias("band")).agg(F.first((lo("px") * 4 + lo("py")).cast("int")).alias("tile"), (F.sum(C("u") * C("d") * C("iv"))).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"), F.count_distinct("img").alias("nexp"))
+    flux = C("b") / C("a")
+    return f.where("a > 1e-9").select("sid", "band", "tile", (F.round(flux, 4) + 0.0).alias("flux"), F.when(flux > 0, F.round(-2.5 * (F.log10(F.when(flux > 0, flux)) - 9.0), 5)).otherwise(float("nan")).alias("mag"), "nexp")
+
+
+@query("catalog_export", f"{_U}, f AS (SELECT sid, sum(u * d * iv) / sum(u * u * iv) flux, sum(u * u * iv) iv FROM u GROUP BY sid) SELECT s.sid, s.ptype, round(f.flux, 4) + 0e0 flux, round(f.iv, 5) flux_iv, (s.px >= 0e0 AND s.px < 36e0 AND s.py >= 0e0 AND s.py < 36e0) is_primary FROM srcs s JOIN f USING (sid)")
+def catalog_export(spark: SparkSession, d: str) -> DataFrame:
+    f = _umod(spark, d).groupBy("sid").agg((F.sum(C("u") * C("d") * C("iv")) / F.sum(C("u") * C("u") * C("iv"))).alias("f"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    prim = (C("px") >= 0) & (C("px") < 36) & (C("py") >= 0) & (C("py") < 36)
+    return fixture(spark, d, "srcs").join(f, "sid").select("sid", "ptype", (F.round("f", 4) + 0.0).alias("flux"), F.round("a", 5).alias("flux_iv"), prim.alias("is_primary"))
+
+
+# --- parameters -----------------------------------------------------------------------------
+
+
+_PAR = "SELECT p_partkey AS pid, p_partkey % 40 AS owner, CASE p_partkey % 3 WHEN 0 THEN 'source.pos' WHEN 1 THEN 'source.brightness.g' ELSE 'image.sky' END AS path, p_partkey AS ordinal, p_retailprice AS value, p_size % 4 <> 0 AS liquid, CASE WHEN p_size % 5 = 0 THEN p_partkey % 7 END AS skey FROM part"
+
+
+def _params(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_PAR.replace("FROM part", "FROM {part}"), part=read(spark, d, "part"))
+
+
+@query("params_liquid_index", f"WITH p AS ({_PAR}) SELECT pid, CASE WHEN liquid THEN row_number() OVER (PARTITION BY owner, liquid ORDER BY ordinal) - 1 ELSE -1 END::INT idx FROM p")
+def params_liquid_index(spark: SparkSession, d: str) -> DataFrame:
+    return pr.liquid_index(_params(spark, d)).select("pid", "idx")
+
+
+@query("params_freeze", f"WITH p AS ({_PAR}) SELECT pid, (liquid AND path NOT LIKE 'image.%') OR path LIKE '%.g' liquid FROM p")
+def params_freeze(spark: SparkSession, d: str) -> DataFrame:
+    """Freeze the images, then thaw one band by path."""
+    return pr.thaw(pr.freeze(_params(spark, d), r"^image\."), r"\.g$").select("pid", "liquid")
+
+
+@query("params_update", f"WITH p AS ({_PAR}) SELECT pid, CASE WHEN liquid AND pid % 2 = 0 THEN 1e0 + pid ELSE value END AS value FROM p")
+def params_update(spark: SparkSession, d: str) -> DataFrame:
+    p = _params(spark, d)
+    return pr.updated(p, p.where("pid % 2 = 0").select("pid", (1.0 + C("pid")).alias("value"))).select("pid", "value")
+
+
+@query("params_shared", f"WITH p AS ({_PAR}), k AS (SELECT *, coalesce(skey, pid) k FROM p WHERE liquid), f AS (SELECT owner, k, min(ordinal) first FROM k GROUP BY 1, 2), c AS (SELECT owner, k, (row_number() OVER (PARTITION BY owner ORDER BY first) - 1)::INT col FROM f) SELECT pid, col FROM k JOIN c USING (owner, k)")
+def params_shared(spark: SparkSession, d: str) -> DataFrame:
+    return pr.shared_index(_params(spark, d).withColumnRenamed("skey", "shared_key")).select("pid", "col")
+
+
+@query("params_priors", f"WITH p AS ({_PAR}) SELECT owner, round(sum(-0.5e0 * ((value - 1000e0) / 250e0) * ((value - 1000e0) / 250e0)), 4) lnp, round(sum(1e0 / (250e0 * 250e0)), 8) aa, round(sum(-(value - 1000e0) / (250e0 * 250e0)), 6) + 0e0 ab FROM p WHERE liquid GROUP BY owner")
+def params_priors(spark: SparkSession, d: str) -> DataFrame:
+    """Gaussian priors: log prior, and their terms of the normal equations."""
+    p = _params(spark, d).where("liquid").withColumns({"mu": F.lit(1000.0), "sigma": F.lit(250.0)})
+    t = sv.prior_terms(p).join(p.select(C("pid").alias("i"), "owner", "value", "mu", "sigma"), "i")
+    return t.groupBy("owner").agg(F.round(F.sum(pr.log_prior(C("value"), C("mu"), C("sigma"))), 4).alias("lnp"), F.round(F.sum("aa"), 8).alias("aa"), (F.round(F.sum("ab"), 6) + 0.0).alias("ab"))
+
+
+@query("params_legal", f"WITH p AS ({_PAR}) SELECT owner, CASE WHEN min(value) > 905e0 THEN round(sum(-value / 1000e0), 5) ELSE '-infinity'::DOUBLE END lnp FROM p GROUP BY owner")
+def params_legal(spark: SparkSession, d: str) -> DataFrame:
+    p = _params(spark, d).groupBy("owner").agg(F.sum(-C("value") / 1000.0).alias("l"), F.min("value").alias("lo"))
+    return p.select("owner", pr.legal_or_inf(F.round("l", 5), C("lo") > 905).alias("lnp"))
+
+
+# --- grouped numpy: no SQL ------------------------------------------------------------------
+
+
+@query("em_psf_fit")
+def em_psf_fit(spark: SparkSession, d: str) -> DataFrame:
+    """EM fit of a mixture to a stamp from each image."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        stamp = np.zeros((15, 15))
+        stamp[pdf.y - 12, pdf.x - 12] = pdf.u
+        got = sv.em_fit(stamp, 2)
+        return pd.DataFrame({"sid": pdf.sid.iloc[0], "comp": np.arange(2), "amp": np.round(got[:, 0], 4), "vxx": np.round(got[:, 3], 3)})
+
+    stamps = spark.range(1, 6).select(C("id").alias("sid"), F.explode(F.sequence(F.lit(12), F.lit(26))).alias("x")).select("*", F.explode(F.sequence(F.lit(12), F.lit(26))).alias("y"))
+    m = mog.isotropic([(0.7, 1.5), (0.3, 6.0)])
+    return stamps.withColumn("u", mog.evaluate(m, C("x") - 19.0, C("y") - (18.8 + C("sid") / 10.0))).groupBy("sid").applyInPandas(fit, "sid long, comp int, amp double, vxx double")
+
+
+@query("galaxy_fft")
+def galaxy_fft(spark: SparkSession, d: str) -> DataFrame:
+    """Exponential galaxies rendered through the Fourier transform of a pixelised PSF; the total flux and the greatest difference from the mixture."""
+    amp = np.array(mog.profile("exp"))
+
+    def render(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, r = 64, float(pdf.r.iloc[0])
+        fy, fx = np.meshgrid(np.fft.fftfreq(n), np.fft.rfftfreq(n), indexing="ij")
+        y, x = np.mgrid[:n, :n] - n // 2
+        psf = np.exp(-0.5 * (x**2 + y**2) / 2.0) / (2 * np.pi * 2.0)
+        prof = sum(a * np.exp(-2 * np.pi**2 * v * r * r * (fx**2 + fy**2)) for a, v in amp)
+        img = np.fft.fftshift(np.fft.irfft2(np.fft.rfft2(np.fft.ifftshift(psf)) * prof, s=(n, n)))
+        direct = sum(a * np.exp(-0.5 * (x**2 + y**2) / (v * r * r + 2)) / (2 * np.pi * (v * r * r + 2)) for a, v in amp)
+        return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "total": [round(float(img.sum()), 5)], "worst": [round(float(np.abs(img - direct).max()), 6)]})
+
+    s = fixture(spark, d, "srcs").where("sid % 10 = 3").select("sid", (1.0 + C("psize") % 3).alias("r"))
+    return s.groupBy("sid").applyInPandas(render, "sid long, total double, worst double")
+
+
+@query("gauss_newton_fit")
+def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Position, width and flux of one source in each image by Levenberg-Marquardt on its pixels."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", "u"))
+        model = lambda p: p[0] * np.exp(-0.5 * ((x - p[1]) ** 2 + (y - p[2]) ** 2) / p[3] ** 2) / (2 * np.pi * p[3] ** 2)
+        got, cost = sv.levenberg(lambda p: model(p) - v, np.array([v.sum(), x.mean(), y.mean(), 2.0]))
+        return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sig": [round(abs(got[3]), 4)]})
+
+    s = fixture(spark, d, "srcs").where("sid % 10 = 7")
+    grid = s.select("sid", "px", "py", "sig", "flux", F.explode(F.sequence(F.floor("px") - 9, F.floor("px") + 9)).alias("x")).select("*", F.explode(F.sequence(F.floor("py") - 9, F.floor("py") + 9)).alias("y"))
+    u = grid.select("sid", "x", "y", (C("flux") * rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig"))).alias("u"))
+    return u.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sig double")
+
+
+@query("nonneg_phot")
+def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
+    """Non-negative fluxes of overlapping sources by the active set method on each group's normal equations."""
+    des = _umod(spark, d).where("img = 2 AND u > 1e-3").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
+    m, r = sv.normal_matrix(des), sv.normal_rhs(des)
+    grp = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        vec, mat = pdf[pdf.j.isna()], pdf[pdf.j.notna()]
+        ids = np.sort(vec.i.to_numpy())
+        a, b = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
+        i, j = np.searchsorted(ids, mat.i), np.searchsorted(ids, mat.j.astype(np.int64))
+        a[i, j] = a[j, i] = mat.v
+        b[np.searchsorted(ids, vec.i)] = vec.v
+        return pd.DataFrame({"sid": ids, "flux": np.round(sv.nonneg_solve(a, b), 3)})
+
+    rows = m.join(grp, "i").select("grp", "i", "j", C("aa").alias("v")).unionByName(r.join(grp, "i").select("grp", "i", F.lit(None).cast("long").alias("j"), C("ab").alias("v")))
+    return rows.groupBy("grp").applyInPandas(solve, "sid long, flux double")
+
+
+@query("sky_spline")
+def sky_spline(spark: SparkSession, d: str) -> DataFrame:
+    """Natural cubic splines through the grid of sky medians, row by row and then down the columns, at every fourth pixel."""
+    grid = im.box_medians(fixture(spark, d, "pixels"), 10, 8, 40, 40)
+
+    def spline(xs: np.ndarray, ys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n, h = len(xs), np.diff(xs)
+        a, r = np.eye(n), np.zeros(n)
+        for k in range(1, n - 1):
+            a[k, k - 1 : k + 2] = h[k - 1] / 6, (h[k - 1] + h[k]) / 3, h[k] / 6
+            r[k] = (ys[k + 1] - ys[k]) / h[k] - (ys[k] - ys[k - 1]) / h[k - 1]
+        m = np.linalg.solve(a, r)
+        k = np.clip(np.searchsorted(xs, at, side="right") - 1, 0, n - 2)
+        t, s = xs[k + 1] - at, at - xs[k]
+        return (m[k] * t**3 + m[k + 1] * s**3) / (6 * h[k]) + (ys[k] / h[k] - m[k] * h[k] / 6) * t + (ys[k + 1] / h[k] - m[k + 1] * h[k] / 6) * s
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.pivot(index="gy", columns="gx", values="median").to_numpy(float)
+        xs, ys, at = np.sort(pdf.gx.unique()) * 10.0, np.sort(pdf.gy.unique()) * 10.0, np.arange(0, 31, 4.0)
+        rows = np.stack([spline(xs, r, at) for r in z])
+        full = np.stack([spline(ys, c, at) for c in rows.T], axis=1)
+        gy, gx = np.meshgrid(at, at, indexing="ij")
+        return pd.DataFrame({"img": pdf.img.iloc[0], "x": gx.ravel().astype(int), "y": gy.ravel().astype(int), "sky": np.round(full.ravel(), 4)})
+
+    return grid.groupBy("img").applyInPandas(fill, "img int, x int, y int, sky double")
+
+
+@query("mcmc_flux")
+def mcmc_flux(spark: SparkSession, d: str) -> DataFrame:
+    """Ensemble samples of a flux given its linear likelihood, for a few sources; seeded."""
+    v = _umod(spark, d, "sid % 25 = 1").groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+
+    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = float(pdf.a.iloc[0]), float(pdf.b.iloc[0])
+        best, sd = b / a, a**-0.5
+        start = best + sd * np.random.default_rng(int(pdf.sid.iloc[0])).normal(size=(10, 1))
+        chain, _ = sv.stretch_move(lambda p: -0.5 * a * (p[0] - best) ** 2, start, 200, seed=3)
+        return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "mean": [round(float(chain[500:].mean()), 2)], "sd": [round(float(chain[500:].std()), 3)]})
+
+    return v.groupBy("sid").applyInPandas(sample, "sid long, mean double, sd double")
