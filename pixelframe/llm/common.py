@@ -18,12 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="pixelframe-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="pixelframe-shared-"))
+        path = _OWN[0]
     return path.rstrip("/")
 
 

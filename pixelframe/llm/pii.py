@@ -146,15 +146,15 @@ _NEEDS = (lambda t: F.contains(t, F.lit("@")), lambda t: t.rlike(r"[0-9]\.[0-9]"
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `spans`: every candidate with its votes. Works on each text where it lies: no shuffle, no Python."""
+    """row (all columns of docs) and spans: every candidate with its votes. Works on each text where it lies: no shuffle, no Python."""
     none = F.array().cast("array<string>")
     t = F.coalesce(F.col("_t"), F.lit(""))
-    step = docs.withColumn("_t", F.col(text))
+    step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_t"))
     step = step.select("*", *[F.when(need(t), _found(t, p)).otherwise(none).alias(f"_m{i}") for i, ((_, p, _), need) in enumerate(zip(_PATTERNS, _NEEDS, strict=True))])
     step = step.select("*", *[F.when(F.size(f"_m{i}") > 0, F.split(t, p, -1)).otherwise(none).alias(f"_g{i}") for i, (_, p, _) in enumerate(_PATTERNS)])
     parts = [F.when(F.size(f"_m{i}") > 0, _spans(k, F.col(f"_m{i}"), F.col(f"_g{i}"), lenient)).otherwise(F.array().cast(f"array<{SPAN}>")) for i, (k, _, lenient) in enumerate(_PATTERNS)]
     step = step.withColumn("_all", F.concat(*parts))
-    return step.withColumn("spans", _apart(F.col("_all"))).drop("_t", "_all", *[f"_{c}{i}" for i in range(len(_PATTERNS)) for c in "mg"])
+    return step.select("row", _apart(F.col("_all")).alias("spans"))
 
 
 def _apart(spans: Column) -> Column:
@@ -234,7 +234,7 @@ def fit(counts: list[tuple[str, bool, tuple[int, ...], int]], rounds: int = 40,
 
 
 def detect(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `spans` that hold: base detections, and the candidates that the classifier accepts."""
+    """row and spans as in candidates(), with the spans that hold: base detections, and the candidates that the classifier accepts."""
     return candidates(docs, text).withColumn("spans", F.filter("spans", lambda s: s["base"] | model.accepts(s)))
 
 
@@ -255,7 +255,7 @@ def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(docs, fit(vote_counts(candidates(docs))))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[n(k) for k in KINDS],
+        "row.doc_id", *[n(k) for k in KINDS],
         F.sha2(_named(F.col("spans"), base_only=True).cast("binary"), 256).alias("base_sha256"), _named(F.col("spans")).alias("spans"),
     )
 
@@ -264,7 +264,8 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are replaced together under the first one's kind. Null texts stay null."""
     found = detect(docs, model, text)
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.coalesce(F.col(text), F.lit(""))
+    body = F.col("row")[text]
+    whole = F.coalesce(body, F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
         again = s["start"] < acc["pos"]
@@ -273,7 +274,8 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["pos"] + 1, F.length(whole))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col(text))).drop("spans")
+    changed = F.when(F.size("spans") > 0, clean).otherwise(body)
+    return found.select(*[changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,7 +119,7 @@ def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
     mask = POLICIES[policy]
     counts = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     rules = F.explode(F.array(*[F.struct(F.lit(r).alias("bit"), F.lit(name).alias("rule")) for r, (name, _) in RULES.items() if mask >> r & 1]))
-    one = F.shiftleft(F.lit(1), F.col("r.bit"))
+    one = F.expr("shiftleft(1, r.bit)")
     return (
         counts.select("b", "n", rules.alias("r"))
         .groupBy(F.col("r.bit").alias("bit"), F.col("r.rule").alias("rule"))

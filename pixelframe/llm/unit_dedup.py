@@ -90,16 +90,16 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
 
 def without(docs: DataFrame, gone: DataFrame, text: str = "text") -> DataFrame:
     """docs with the given spans cut out of their texts. A document's own spans meet in one row."""
-    spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_gone"))
+    spans = gone.groupBy(F.col("doc_id").alias("__unit_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__unit_gone"))
     body = F.col(text)
 
     def step(acc, s):
         return F.struct(s["end"].alias("pos"), F.concat(acc["out"], F.array(F.substring(body, acc["pos"] + 1, s["start"] - acc["pos"]))).alias("out"))
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("_gone", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["pos"] + 1, F.length(body))))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]), "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), body).otherwise(cut)).drop("_id", "_gone")
+    cut = F.aggregate("__unit_gone", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["pos"] + 1, F.length(body))))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__unit_id"]), "left")
+    return joined.withColumn(text, F.when(F.col("__unit_gone").isNull(), body).otherwise(cut)).drop("__unit_id", "__unit_gone")
 
 
 def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

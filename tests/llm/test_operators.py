@@ -1,0 +1,481 @@
+"""Each operator against a brute-force version, and the defined results of the odd cases."""
+
+import hashlib
+import itertools
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from conftest_llm import SF, duck, rows_of
+
+from pixelframe.llm import chat, decontaminate, nbest, ngram_join, pii, quality_model, quality_rules, sharding, token_files, unit_dedup
+from pixelframe.llm.queries import ORACLE_SQL, QUERIES
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    got, want = rows_of(QUERIES[name](spark, SF)), duck(ORACLE_SQL[name])
+    assert got[0] == want[0]
+    assert got[1] == want[1]
+
+
+# --- op1 -----------------------------------------------------------------------------------
+
+PLAIN = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def plain_spans(t):
+    out = []
+    for kind, p in PLAIN:
+        mine = []
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            mine.append((kind, m.start(), m.end()))
+        out.append(mine)
+    return out
+
+
+
+def test_pii_base(spark, written_docs):
+    rng = random.Random(5)
+    parts = ["a@b.co", "x.y@z", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "300.1.1.1", "007.08.09.010", "4111 1111 1111 1111", "4111111111111112", "12-34", "+1 (212) 555-0123", "+49 30", "é", "\U0001f600", " ", ",", "..", "a@b.c-d+e@f.gh", "+1234567890123456789"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", "x"]) for _ in range(rng.randrange(1, 12))) for _ in range(300)] + [None, "", "a" * 5000 + "@b.cd", "1" * 5000, "a@" + "b." * 3000 + "c"]
+    got = {r.doc_id: r for r in pii.op1_weak_supervision(spark, written_docs(texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = plain_spans(t or "")
+        named = ",".join(f"{k}:{a}:{b}" for x in spans for k, a, b in x)
+        assert [len(x) for x in spans] == [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone], t
+        assert got[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest()
+        assert set(named.split(",")) - {""} <= set(got[i].spans.split(","))
+
+
+def test_pii_model(spark):
+    counts = [("card", True, (1, 1, 0, 1), 100), ("card", False, (-1, -1, 0, 1), 50), ("phone", True, (1, 1, 0, 1), 90), ("phone", False, (1, 1, 0, 1), 3), ("phone", False, (-1, -1, -1, -1), 20)]
+    m = pii.fit(counts)
+    assert m.reliability["regex"][0] > 0.9 > 0.3 > m.reliability["regex"][1]
+    score = lambda kind, v: m.bias[kind] + sum(w * x for w, x in zip(m.weights, v, strict=True))
+    assert score("phone", (1, 1, 0, 1)) > 3 > 0 > score("card", (-1, -1, 0, 1))
+    assert pii.fit([]).weights
+
+
+def test_pii_odd(spark, docs, none):
+    model = pii.fit(pii.vote_counts(pii.candidates(docs)))
+    out = pii.redact(docs, model)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[10].text == "mail me at [EMAIL] or [PHONE] from [IP], card [CARD]."
+    assert got[0].text is None and got[5].text and got[1].text == "" and got[10].spans == "z"
+    assert out.count() == docs.count() and pii.redact(none, pii.fit([])).count() == 0
+
+
+# --- op2 -----------------------------------------------------------------------------------
+
+
+def test_chat(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    p = lambda kind, **k: {"type": kind, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | k
+    nasty = "a <|turn|>user\nb <|end|> &lt; [INST] &amp; \\"
+    rows = [
+        (1, 0, "user", [p("text", text=nasty), p("image", ref="i.png", width=28, height=29), p("text", text="x"), p("audio", ref="s", seconds=1.5), p("document", ref="d", pages=3)]),
+        (1, 1, "assistant", [p("text", text=nasty)]),
+        (1, 1, None, None),
+        (2, 0, "assistant", [p("text", text=None)]),
+        (2, 0, "assistant", [p("text", text=None)]),
+    ]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{part}>")
+    out = chat.format_chats(df)
+    got = {r.conv_id: r for r in out.collect()}
+    assert [(a.type, a.ref, a.tokens, a.turn, a.part) for a in got[1].attachments] == [("image", "i.png", 6, 1, 1), ("audio", "s", 38, 1, 3), ("document", "d", 1536, 1, 4)] and got[1].n_expanded == 6 + 38 + 1536
+    back = {r.conv_id: r for r in chat.read_back(out).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [("user", nasty + "<|image|>x<|audio|><|document|>"), ("", ""), ("assistant", nasty)]
+    assert back[1].loss_text == nasty and back[2].loss_text == "" and len(back[2].turns) == 2
+    assert "[INST]" not in got[1].formatted
+    with pytest.raises(Exception, match="unknown part type"):
+        chat.format_chats(spark.createDataFrame([(1, 0, "user", [p("video")])], df.schema)).collect()
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+# --- op3 -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def seg():
+    import public_tokenizers
+
+    return nbest.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 4)
+
+
+def all_segmentations(p, text):
+    m, out = nbest.marked(text), []
+    arcs = p.arcs(m)
+
+    def go(end, score, ids):
+        if end == 0:
+            out.append((score, ids))
+        for s, v, i in arcs[end]:
+            go(s, score + v, (p.expand(m[s]) if i < 0 else [i]) + ids)
+
+    go(len(m), 0.0, [])
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_nbest(seg):
+    rng = random.Random(2)
+    texts = ["", "a", "  a b", " ", "hello  world", "日本é the", "x\ty\nz", "<s> a"] + ["".join(rng.choice("abthe é \n日") for _ in range(rng.randrange(1, 11))) for _ in range(60)]
+    for t, (ids, scores, changes) in zip(texts, seg(texts), strict=True):
+        want = all_segmentations(seg.p, t)
+        assert scores == pytest.approx([s for s, _ in want[:4]])
+        assert not changes[0] and seg.p.decode(ids.tolist()) == t
+        assert any(ids.tolist() == i for s, i in want if s == pytest.approx(want[0][0]))
+
+
+def test_nbest_long(seg):
+    word = "".join(random.Random(3).choice("abcdefgh") for _ in range(300))
+    (ids, scores, _), (same, _, _) = seg([word, word])
+    got = seg.p.nbest(nbest.marked(word), 4)
+    assert ids.tolist() == got[0][1] == same.tolist() and scores == pytest.approx([s for s, _ in got])
+    assert scores == sorted(scores, reverse=True)
+
+
+def test_nbest_odd(spark, docs, none):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = nbest.segmented(docs, path)
+    got = {(r.doc_id, r.w): r for r in out.collect()}
+    assert got[0, "x"].n_pieces == got[1, "x"].n_pieces == 0 and list(got[1, "x"].scores) == [0.0]
+    assert all(r.decodes for r in got.values()) and out.count() == docs.count()
+    assert nbest.segmented(none, path).count() == 0
+
+
+# --- op4 -----------------------------------------------------------------------------------
+
+
+def test_units(spark, docs, none):
+    out = unit_dedup.removals(docs)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.end, r.kept_in) for r in out.collect())
+    n = len("the quick")
+    assert [g for g in got if g[0] in (6, 7, -1)] and all(g[3] == 5 for g in got if g[0] in (6, 7, -1)) and not [g for g in got if g[0] == 5] and n
+    assert got[0][0] == -1
+    cut = {r.doc_id: r.text for r in unit_dedup.without(docs, out).collect()}
+    assert cut[6] == "" and cut[0] is None and cut[10].startswith("mail me")
+    assert unit_dedup.removals(none).count() == 0
+
+
+def test_units_local(spark, written_docs):
+    u = "Six little words stand in here."
+    d = written_docs([f"Start of it all is here now. {u} Mid. {u} Mid. End", f"Other words begin this second text. {u} Mid. And more"])
+    got = sorted((r.doc_id, r.start) for r in unit_dedup.op4_unit_dedup(spark, d).collect())
+    t0 = f"Start of it all is here now. {u} Mid. {u} Mid. End"
+    assert [x for x in got if x[0] == 0] == [(0, t0.rindex(u) - 1), (0, t0.rindex(" Mid."))]
+    assert len([x for x in got if x[0] == 1]) == 2
+
+
+# --- op5 -----------------------------------------------------------------------------------
+
+
+def sets_of(texts, k):
+    out = []
+    for t in texts:
+        w = SPACE.findall(lower(t or ""))
+        out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    return out
+
+
+def brute_components(texts, k, percent):
+    s, parent = sets_of(texts, k), list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(s[a] & s[b])
+        if both and 100 * both >= percent * (len(s[a]) + len(s[b]) - both):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return [(len(s[i]), find(i)) for i in range(len(texts))]
+
+
+def near_copies(seed, sizes, edits):
+    rng, out = random.Random(seed), []
+    for n in sizes:
+        base = [f"w{rng.randrange(400)}" for _ in range(n)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(n)] = f"w{rng.randrange(400)}"
+            if rng.random() < 0.3:
+                w = w[: n - rng.randrange(1, 3)]
+            out.append(" ".join(w))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("k", "percent", "light"), [(3, 90, None), (3, 90, 22), (5, 80, None), (5, 80, 9)])
+def test_join(spark, written_docs, monkeypatch, k, percent, light):
+    if light:
+        monkeypatch.setattr(ngram_join, "boundary", lambda *_: light)
+    texts = near_copies(7, [1, 2, 3, 5, 8, 11, 13, 16, 19, 21, 22, 24, 26, 29, 31, 40, 60, 150, 400], 3) + [None, "", "  ", "one", "One", "one  two"]
+    d = spark.read.parquet(written_docs(texts) + "/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(d, k, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, k, percent)
+
+
+def test_join_tiles(spark, written_docs, monkeypatch):
+    """Lists longer than a tile are cut; nothing is lost."""
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    texts = near_copies(3, [60] * 4, 4)
+    d = spark.read.parquet(written_docs(texts) + "/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join_components(d).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, 90)
+
+
+def test_join_odd(spark, docs, none):
+    got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_shingles, r.component_id) for r in ngram_join.join_components(docs).collect())
+    assert len(got) == docs.count() and [g[2] for g in got if g[0] in (-1, 5, 6, 7)] == [5] * 5
+    assert [g for g in got if g[0] in (0, 1, 2)] == [(i, 0, i) for i in range(3)]
+    assert ngram_join.join_components(none).count() == 0
+
+
+# --- op6 -----------------------------------------------------------------------------------
+
+
+def test_tokens(spark, written_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [None, "", "hello <|endoftext|> world", "é 日本 \U0001f600", "a " * 70_000] + [f"doc {i} it's 12 words!?\n\n  x" * (i % 7) for i in range(60)]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.op6_seekable_tokens(spark, written_docs(texts)).collect()}
+    lib, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    for i, t in enumerate(texts):
+        ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
+        assert got[i] == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), i
+        at += len(ids)
+
+
+def test_token_file(tmp_path):
+    import zstandard
+
+    path = tmp_path / "x.zst"
+    docs = {i: [i % 50_000] * (i * 37 % 900) for i in range(500)}
+    with path.open("wb") as f:
+        w = token_files.Writer(f, 50_257, 4096)
+        for i, ids in docs.items():
+            w.add(i, ids)
+        w.close()
+    r = token_files.open_reader(f"file://{path}")
+    assert {i: x.tolist() for i, x in r.rows()} == docs
+    seen = []
+    frame = r.frame
+    r.frame = lambda k: seen.append(k) or frame(k)
+    assert {i: x.tolist() for i, x in r.rows([3, 499])} == {i: docs[i] for i in (3, 499)} and len(seen) == 2
+    whole = b"".join(struct.pack(f"<{len(v)}H", *v) for v in docs.values())
+    with path.open("rb") as f:
+        assert zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read(len(whole) + 1)[: len(whole)] == whole
+    raw = bytearray(path.read_bytes())
+    raw[40] ^= 1
+    path.write_bytes(raw)
+    with pytest.raises(Exception):  # noqa: B017
+        list(token_files.open_reader(f"file://{path}").rows([0, 1, 2, 3]))
+
+
+def test_tokens_odd(spark, docs, none, tmp_path):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    m = token_files.write_tokens(docs, f"file://{tmp_path}/t", path)
+    got = token_files.scan_tokens(spark, m).collect()
+    assert len(got) == docs.count() and min(got, key=lambda r: r.start).doc_id is None
+    assert token_files.scan_tokens(spark, token_files.write_tokens(none, f"file://{tmp_path}/e", path)).count() == 0
+
+
+# --- op7 -----------------------------------------------------------------------------------
+
+
+def test_classifier(spark):
+    got = {r.doc_id: r for r in QUERIES["op7_random_indexing"](spark, "/root/testdata/sf0.01").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
+    assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in labels)
+    held = [(got[r.doc_id].score, r.quality) for r in labels if got[r.doc_id].held_out]
+    pos, neg = [s for s, q in held if q], [s for s, q in held if not q]
+    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) > 0.9
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+
+
+def test_classifier_odd(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(13)] + [(3, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality_model.classify(docs, labels).count() == docs.count()
+    assert {round(r.score, 6) for r in quality_model.classify(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality_model.classify(none, labels).count() == 0
+
+
+# --- op8 -----------------------------------------------------------------------------------
+
+
+def brute_rules(t):
+    t = t or ""
+    w = SPACE.findall(t)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    twice = {g for g, c in Counter(grams).items() if c > 1}
+    covered = {i + o for i, g in enumerate(grams) if g in twice for o in range(3)}
+    lines = [x for x in t.split("\n") if SPACE.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+@pytest.mark.parametrize("bits", [24, 2])
+def test_rules(spark, written_docs, monkeypatch, bits):
+    """With two position bits most texts take the exact path, and keys collide."""
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", bits)
+    monkeypatch.setattr(quality_rules, "_LOW", (1 << bits) - 1)
+    rng = random.Random(4)
+    texts = [None, "", " \n ", "a\nb\na\n a\na"] + [" ".join(rng.choice("abc|d#") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 90))) for _ in range(80)]
+    d = spark.read.parquet(written_docs(texts) + "/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.ledger(d).collect()}
+    assert got == {i: brute_rules(t) for i, t in enumerate(texts)}
+
+
+def test_ledger(spark, docs, none):
+    rows = quality_rules.verdict(quality_rules.ledger(docs))
+    got = rows.collect()
+    assert len(got) == docs.count() and not any(r.kept for r in got if r.n_words < 50)
+    abl = {r.rule: r for r in quality_rules.ablations(rows).collect()}
+    few = sum(r.fail_bits & 1 for r in got)
+    assert abl["few_words"].n_failed == few and abl["few_words"].n_failed_alone == sum(r.fail_bits == 1 for r in got)
+    assert quality_rules.ledger(none).count() == 0
+
+
+# --- op9 -----------------------------------------------------------------------------------
+
+
+def test_sharding(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: r for r in QUERIES["op9_virtual_slots"](spark, SF).collect()}
+    for r in docs:
+        raw = (r.text or "").encode()
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    by, size = defaultdict(list), Counter()
+    for r in got.values():
+        by[r.shard].append(r.slot)
+        size[r.shard] += r.size
+    assert set(by) == set(range(8)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert max(size.values()) - min(size.values()) <= max(r.size for r in got.values())
+
+
+def test_slot_map():
+    rng = random.Random(1)
+    slots = [(s, rng.randrange(1, 1000), 1) for s in range(0, 2000, 2)]
+    m = sharding.build_map(slots, 8, 2048)
+    loads = m.loads(slots)
+    assert max(loads) - min(loads) < 1000
+    g = sharding.grow(m, slots)
+    assert g.version == 2 and all(g.shard[s] in (m.shard[s], 8) for s, _, _ in slots) and max(g.loads(slots)) < 1.15 * sum(loads) / 9
+    skew = [(s, b * (20 if m.shard[s] == 0 else 1), n) for s, b, n in slots]
+    r = sharding.rebalance(m, skew, 0.02)
+    assert max(r.loads(skew)) < 0.5 * max(m.loads(skew)) and 0 < len(r.moved) < 200 and r.version == 2
+
+
+def test_sharding_odd(spark, docs, none):
+    got = sharding.shard(docs, 3).collect()
+    assert len(got) == docs.count()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.shard(none, 3).count() == 0
+
+
+# --- op10 ----------------------------------------------------------------------------------
+
+
+def brute_hits(text, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w, hit, found = word.findall(lower(text or "")), set(), set()
+    for item, t in items:
+        q = word.findall(lower(t or ""))
+        n = min(len(q), 10)
+        wins = {tuple(q[i : i + n]) for i in range(len(q) - n + 1)} if n else set()
+        for i in range(len(w) - n + 1 if n else 0):
+            if tuple(w[i : i + n]) in wins:
+                hit |= set(range(i, i + n))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+def test_winnowing(spark, written_docs):
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(12)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.randrange(10, 40))) for i in range(12)] + [(20, None), (21, "..."), (22, "v1"), (23, say(4)), (24, say(9)), (25, say(10)), (26, "É v1 日本")]
+    texts = [None, "", "v1", "V1!", "é v1 日本", "É V1 日本"]
+    for _ in range(60):
+        i = rng.choice(items)[1] or ""
+        q = i.split()
+        a = rng.randrange(max(1, len(q)))
+        texts.append(say(rng.randrange(20)) + ", " + " ".join(q[a : a + rng.randrange(5, 16)]) + ". " + say(rng.randrange(20)))
+    sf = written_docs(texts)
+    spark.createDataFrame(items, "item_id long, text string").write.mode("overwrite").parquet(sf + "/benchmark.parquet")
+    got = {r.doc_id: r for r in decontaminate.op10_winnowing(spark, sf).collect()}
+    for i, t in enumerate(texts):
+        n, h, found = brute_hits(t, items)
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, h, len(found), h > 0), t
+        assert got[i].items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+
+
+def test_winnowing_guarantee(spark):
+    """Any shared span of ten words keeps a common fingerprint."""
+    rng = random.Random(3)
+    span = [f"s{rng.randrange(30)}" for _ in range(10)]
+    sides = [(i, [f"a{rng.randrange(9)}" for _ in range(rng.randrange(30))] + span + [f"b{rng.randrange(9)}" for _ in range(rng.randrange(30))]) for i in range(40)]
+    got = decontaminate.with_fingerprints(spark.createDataFrame(sides, "i long, w array<string>")).collect()
+    prints = [{p >> decontaminate.POSITION_BITS for p in r.prints} for r in got]
+    assert all(a & b for a, b in itertools.combinations(prints, 2))
+
+
+def test_winnowing_odd(spark, docs, none):
+    items = spark.createDataFrame([(1, " ".join(TEXT.split()[3:20])), (1, "lazy"), (None, "fox")], "item_id long, text string")
+    bad = decontaminate.contamination(docs, items).collect()
+    assert {r.doc_id for r in bad} == {5, 6, 7, 8, None}
+    assert decontaminate.contamination(docs, items.limit(0)).count() == 0 and decontaminate.contamination(none, items).count() == 0
+
+
+TEXT = "the quick brown fox jumps over the lazy dog and then it sleeps for a very long while under the old tree by the river where nobody ever goes at night because it is dark"
+
+
+# --- pipeline ------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = stage["quality_rules"](spark, docs, SF)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    want = {r[list(duck(ORACLE_SQL["op8_rule_ledger"])[0]).index("doc_id")] for r in duck(ORACLE_SQL["op8_rule_ledger"])[1] if r[list(duck(ORACLE_SQL["op8_rule_ledger"])[0]).index("kept")]}
+    assert ids == want and kept.columns == docs.columns
+    order = sorted(ids)
+    comp = brute_components([texts[i] for i in order], 5, 80)
+    unique = {i for k, i in enumerate(order) if comp[k][1] == k}
+    clean = {i for i in unique if not brute_hits(texts[i], items)[1]}
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert set(out) == clean and all(r.decodes for r in out.values())
