@@ -26,12 +26,10 @@ are ordinary text only where `special_as_text` is set.
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, table
+from .pretokens import Encoder
 
 FRAME_TOKENS = 1 << 16
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -52,23 +51,6 @@ NO_ID = -(2**63)
 END_ID = 0
 
 
-class Encoder:
-    """The library's encoding of whole texts, a slice of texts at a time. Without offsets, which are not kept, it is a little faster."""
-
-    def __init__(self, path: str, special_as_text: bool = False):
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = special_as_text
-        self.vocab = self.lib.get_vocab_size()
-
-    def __call__(self, texts: Iterable[str | None], size: int = 64) -> Iterator[list[int]]:
-        texts = iter(texts)
-        while part := list(islice(texts, size)):
-            for e in self.lib.encode_batch_fast([t or "" for t in part], add_special_tokens=False):
-                yield e.ids
-
-
 class Writer:
     """Writes one file; close() ends it with its index and seek table."""
 
@@ -78,11 +60,11 @@ class Writer:
         self.index, self.seek, self.tokens, self.docs = [], [], 0, 0
         self.packer = zstandard.ZstdCompressor(level=3, write_checksum=True)
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
+    def add(self, doc_id: int | None, ids: list[int] | np.ndarray) -> None:
         if self.held and self.held + len(ids) > self.frame_tokens:
             self._flush()
         self.index.append((NO_ID if doc_id is None else doc_id, len(self.seek), self.held, len(ids)))
-        self.pending.append(np.array(ids, dtype=self.dtype))
+        self.pending.append(np.asarray(ids).astype(self.dtype))
         self.held += len(ids)
         self.tokens += len(ids)
         self.docs += 1
@@ -161,7 +143,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
         fs, base = pa.fs.FileSystem.from_uri(folder)
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.zst"
         writer = stream = None
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode = Encoder(tokenizer, special_as_text)
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), strict=True):
@@ -169,8 +150,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
                     fs.create_dir(base, recursive=True)
                     stream = fs.open_output_stream(f"{base}/_{name}", compression=None)
                     writer = Writer(stream, encode.vocab)
-                ids.append(end_id)
-                writer.add(doc_id, ids)
+                writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             stream.close()

@@ -12,6 +12,7 @@ import pytest
 from conftest_llm import SF, duck, rows_of
 
 from pixelframe.llm import chat, decontaminate, nbest, ngram_join, pii, quality_model, quality_rules, sharding, token_files, unit_dedup
+from pixelframe.llm.pretokens import Encoder
 from pixelframe.llm.queries import ORACLE_SQL, QUERIES
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -271,6 +272,19 @@ def test_tokens(spark, written_docs):
         at += len(ids)
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_pretokens(as_text):
+    """Cutting here and encoding whole texts with the library give the same ids."""
+    import public_tokenizers
+
+    e = Encoder(public_tokenizers.path("byte_bpe_50k.json"), as_text)
+    rng = random.Random(1)
+    parts = [*"ab  \n\t'sstmdrevl12!?.é\xa0\x85\x1c\x1f\u2003\u2028ß²ªµ×'—…", "日", "'ll", "'re", "  ", "\r\n", "<|endoftext|>", "\U0001f600", "ǅ", "ɐ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)] + [None, "", " " * 70_000]
+    for t, ids in zip(texts, e(texts), strict=True):
+        assert ids.tolist() == e.lib.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_token_file(tmp_path):
     import zstandard
 
