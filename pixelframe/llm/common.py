@@ -74,3 +74,15 @@ def spread(df: DataFrame, values: Column, name: str) -> DataFrame:
 def kept_where(df: DataFrame, condition: Column) -> DataFrame:
     """df where condition holds, tested after the columns it reads: a row number that Spark may not push a filter through fences the costly expressions off."""
     return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0)).drop("_fence")
+
+
+#: Rows that a Python worker gets at once. Texts are long, and two of them meet in some rows.
+BATCH_ROWS = 1000
+
+
+def map_batches(df: DataFrame, task: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(task, schema) in batches of at most BATCH_ROWS rows: the session's Arrow batches are lowered to that where they are larger."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(task, schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_batches, table, written
 from .components import components
 from .shingles import all_sets, mix
 
@@ -148,7 +148,7 @@ def classes(docs: DataFrame, k: int = 3) -> DataFrame:
                 node.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
 
-    return docs.mapInArrow(task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long")
+    return map_batches(docs, task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long")
 
 
 def subset_postings(docs: DataFrame, light: int, k: int, percent: int) -> DataFrame:
@@ -177,7 +177,7 @@ def subset_postings(docs: DataFrame, light: int, k: int, percent: int) -> DataFr
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "key2", "c", "node", "n"])
 
-    return docs.select("text").mapInArrow(task, "key long, key2 long, c int, node long, n int")
+    return map_batches(docs.select("text"), task, "key long, key2 long, c int, node long, n int")
 
 
 def subset_links(postings: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +209,7 @@ def postings(docs: DataFrame, least: int, k: int, percent: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, sizes)], names=["key", "node", "n"])
 
-    return docs.select("text").mapInArrow(task, "key long, node long, n int")
+    return map_batches(docs.select("text"), task, "key long, node long, n int")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long")
+    return map_batches(two.select("a", "b", "ta", "tb"), task, "a long, b long")
 
 
 def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +269,7 @@ def sketches(texts: DataFrame, k: int) -> DataFrame:
                 out.append(np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(task, "node long, sketch binary")
+    return map_batches(texts.select("node", "text"), task, "node long, sketch binary")
 
 
 def tile_pairs(i: int, j: int, node: np.ndarray, n: np.ndarray, comp: np.ndarray, tile: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -334,7 +334,7 @@ def _other_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame, k: int,
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return grouped.mapInArrow(task, "a long, b long").distinct()
+    return map_batches(grouped, task, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_batches, table, written
 from .shingles import chunks, mix, word_hashes
 
 BUCKETS, DIMS, REACH = 1 << 15, 32, 2
@@ -91,7 +91,8 @@ def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nd
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "sums"])
 
-    rows = docs.select(text).mapInArrow(count, "block int, sums binary").repartition(BLOCKS, "block").mapInArrow(add, "block int, sums binary")
+    parts = map_batches(docs.select(text), count, "block int, sums binary")
+    rows = map_batches(parts.repartition(BLOCKS, "block"), add, "block int, sums binary")
     whole = np.zeros(BUCKETS * (DIMS + 1))
     size = len(whole) // BLOCKS
     for r in rows.collect():  # at most BLOCKS rows, 8 MB together
@@ -191,7 +192,7 @@ def features(docs: DataFrame, vectors: np.ndarray, weights: np.ndarray, key: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(task, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, x binary")
+    return map_batches(narrow, task, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, x binary")
 
 
 def fold(key: Column) -> Column:
@@ -217,7 +218,7 @@ def scored(rows: DataFrame, net: Network) -> DataFrame:
             x = np.frombuffer(raw, dtype="<f4").reshape(batch.num_rows, FEATURES).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.value.score(x), pa.float64())], names=["doc_id", "score"])
 
-    return rows.mapInArrow(task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_batches(rows, task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import map_batches, new_path, table
 from .pretokens import Encoder
 
 FRAME_TOKENS = 1 << 16
@@ -159,7 +159,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.string()), *[pa.array(c, pa.int64()) for c in row[2:]]], names=["part", "file", "docs", "tokens", "frames"])
 
     ordered = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return sorted(tuple(r) for r in ordered.mapInArrow(task, MANIFEST).collect())
+    return sorted(tuple(r) for r in map_batches(ordered, task, MANIFEST).collect())
 
 
 def scan_tokens(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
@@ -186,7 +186,7 @@ def scan_tokens(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     n = len(manifest)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(spark.range(0, n, 1, max(1, n)), task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_seekable_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

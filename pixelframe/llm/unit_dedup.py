@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_batches, table, written
 
 MIN_WORDS = 6
 UNIT = r"[^\n.!?]+[.!?]*|[\n.!?]+"
@@ -70,7 +70,7 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
                 yield _batch(ids, rows)
 
     narrow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(task, SCHEMA.format(narrow.schema["doc_id"].dataType.simpleString()))
+    return map_batches(narrow, task, SCHEMA.format(narrow.schema["doc_id"].dataType.simpleString()))
 
 
 def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
