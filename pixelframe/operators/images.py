@@ -50,11 +50,13 @@ def integral(pixels: DataFrame, value: str = "d") -> DataFrame:
 
 
 def rect_sums(table: DataFrame, rects: DataFrame) -> DataFrame:
-    """Sum inside half-open rectangles (rid, img, x0, x1, y0, y1) by four corner lookups in an integral table."""
+    """Sum inside half-open rectangles (rid, img, x0, x1, y0, y1) by four corner lookups in an integral table; corners beyond its far edges are taken at the edge, before its near ones they count zero."""
     corner = F.explode(
         F.array(*[F.struct((F.col(a) - 1).alias("x"), (F.col(b) - 1).alias("y"), F.lit(s).alias("sign")) for a, b, s in (("x1", "y1", 1.0), ("x0", "y1", -1.0), ("x1", "y0", -1.0), ("x0", "y0", 1.0))])
     )
     at = rects.select("rid", "img", corner.alias("c")).select("rid", "img", "c.x", "c.y", "c.sign")
+    far = table.groupBy("img").agg(F.max("x").alias("fx"), F.max("y").alias("fy"))
+    at = at.join(far, "img", "left").select("rid", "img", F.least("x", "fx").alias("x"), F.least("y", "fy").alias("y"), "sign")
     got = at.join(table, ["img", "x", "y"], "left")
     return got.groupBy("rid").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0.0))).alias("total"))
 

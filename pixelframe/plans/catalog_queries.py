@@ -265,9 +265,9 @@ def zeropoint_scale(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").where("p_size < 40").select(C("p_partkey").alias("id"), F.round(u.zeropoint_to_scale(C("p_size").cast("double")), 6).alias("scale"), F.round(u.scale_to_zeropoint(C("p_retailprice")), 6).alias("zp"))
 
 
-@query("mag_sums", "SELECT p_partkey id, round(-2.5e0 * log10(pow(10e0, (p_size / 2e0) / -2.5e0) + pow(10e0, (p_partkey % 20) / -2.5e0)), 6) both_, round(p_size - 2.5e0 * log10(abs(p_partkey - 3e0) + 1e0), 6) scaled FROM part")
+@query("mag_sums", "SELECT p_partkey id, round(-2.5e0 * log10(pow(10e0, (p_size / 2e0) / -2.5e0) + pow(10e0, (p_partkey % 20) / -2.5e0)), 6) + 0e0 both_, round(p_size - 2.5e0 * log10(abs(p_partkey - 3e0) + 1e0), 6) + 0e0 scaled FROM part")
 def mag_sums(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "part").select(C("p_partkey").alias("id"), F.round(u.add_mags(C("p_size") / 2.0, (C("p_partkey") % 20).cast("double")), 6).alias("both_"), F.round(u.scale_mag(C("p_size").cast("double"), F.abs(C("p_partkey") - 3.0) + 1.0), 6).alias("scaled"))
+    return read(spark, d, "part").select(C("p_partkey").alias("id"), F.round(u.add_mags(C("p_size") / 2.0, (C("p_partkey") % 20).cast("double")), 6).__add__(0.0).alias("both_"), F.round(u.scale_mag(C("p_size").cast("double"), F.abs(C("p_partkey") - 3.0) + 1.0), 6).__add__(0.0).alias("scaled"))
 
 
 @query("photocal_counts", """WITH t AS (SELECT p_partkey id, CASE p_partkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'linear' WHEN 2 THEN 'mag' WHEN 3 THEN 'cfht' ELSE 'sdss' END kind, CAST(p_size + 10 AS DOUBLE) v FROM part)
