@@ -21,7 +21,7 @@ import numpy as np
 
 from .shingles import mix
 
-CHUNK, REMEMBERED = 1 << 21, 400_000
+CHUNK, REMEMBERED = 1 << 21, 600_000
 OTHER, LETTER, NUMBER, WHITE, UNSURE = 0, 1, 2, 3, 255
 _RANGES = (range(0x250), range(0x2000, 0x2070))
 _WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F}
@@ -45,6 +45,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 CLASS, BYTE = _classes(), _byte_characters()
+CODE = mix(np.arange(len(CLASS), dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
 
 def cut(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -101,6 +102,7 @@ class Encoder:
         self.plain_only = [t["content"] for t in spec.get("added_tokens") or []] if special_as_text and any(not t["special"] for t in spec.get("added_tokens") or []) else []
         self.model = self.lib.model
         self.known: dict[int, bytes] = {}
+        self.power = [np.ones(1, np.uint64)] * 2
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -145,26 +147,29 @@ class Encoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.append(starts[1:], n)
+        if len(self.power[0]) <= n:
+            self.power = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, _INVERSE)]
+        power, inverse = self.power
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]))
-            inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE, np.uint64)]))
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * inverse[1:])])
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODE[codes] * inverse[1 : n + 1])])
             h = mix((total[ends] - total[starts]) * power[ends] + (ends - starts).astype(np.uint64))
         keys, index, which = np.unique(h, return_index=True, return_inverse=True)
-        known, found = self.known, []
+        known = self.known
+        found = list(map(known.get, keys.tolist()))
         raw = codes.tobytes()
-        for key, k in zip(keys.tolist(), index.tolist(), strict=True):
-            got = known.get(key)
-            if got is None:
-                word = raw[4 * int(starts[k]) : 4 * int(ends[k])].decode("utf-32-le", "surrogatepass")
-                got = self._encode(word)
-                if len(known) < REMEMBERED:
-                    known[key] = got
-            found.append(got)
-        return np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64), which
+        new = [k for k, got in enumerate(found) if got is None]
+        at = index[new]
+        for k, a, b, key in zip(new, (4 * starts[at]).tolist(), (4 * ends[at]).tolist(), keys[new].tolist(), strict=True):
+            found[k] = got = self._encode(raw[a:b].decode("utf-32-le", "surrogatepass"))
+            if len(known) < REMEMBERED:
+                known[key] = got
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4, which
 
     def _encode(self, word: str) -> bytes:
-        spelled = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE)
+        if word.isascii() and word.isprintable():
+            spelled = word.replace(" ", BYTE[32])
+        else:
+            spelled = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE)
         ids = [t.id for t in self.model.tokenize(spelled)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
