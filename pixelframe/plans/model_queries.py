@@ -16,6 +16,7 @@ from ..operators import mixtures as mog
 from ..operators import params as pr
 from ..operators import render as rd
 from ..operators import solve as sv
+from ..operators import splines
 from ..sources.fixtures import fixture, read, with_fixtures
 from .core import query
 
@@ -543,22 +544,10 @@ def sky_spline(spark: SparkSession, d: str) -> DataFrame:
     """Natural cubic splines through the grid of sky medians, row by row and then down the columns, at every fourth pixel."""
     grid = im.box_medians(fixture(spark, d, "pixels"), 10, 8, 40, 40)
 
-    def spline(xs: np.ndarray, ys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n, h = len(xs), np.diff(xs)
-        a, r = np.eye(n), np.zeros(n)
-        for k in range(1, n - 1):
-            a[k, k - 1 : k + 2] = h[k - 1] / 6, (h[k - 1] + h[k]) / 3, h[k] / 6
-            r[k] = (ys[k + 1] - ys[k]) / h[k] - (ys[k] - ys[k - 1]) / h[k - 1]
-        m = np.linalg.solve(a, r)
-        k = np.clip(np.searchsorted(xs, at, side="right") - 1, 0, n - 2)
-        t, s = xs[k + 1] - at, at - xs[k]
-        return (m[k] * t**3 + m[k + 1] * s**3) / (6 * h[k]) + (ys[k] / h[k] - m[k] * h[k] / 6) * t + (ys[k + 1] / h[k] - m[k + 1] * h[k] / 6) * s
-
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         z = pdf.pivot(index="gy", columns="gx", values="median").to_numpy(float)
         xs, ys, at = np.sort(pdf.gx.unique()) * 10.0, np.sort(pdf.gy.unique()) * 10.0, np.arange(0, 31, 4.0)
-        rows = np.stack([spline(xs, r, at) for r in z])
-        full = np.stack([spline(ys, c, at) for c in rows.T], axis=1)
+        full = splines.on_grid(xs, ys, z, at, at)
         gy, gx = np.meshgrid(at, at, indexing="ij")
         return pd.DataFrame({"img": pdf.img.iloc[0], "x": gx.ravel().astype(int), "y": gy.ravel().astype(int), "sky": np.round(full.ravel(), 4)})
 
