@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import workers_find_us
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -14,7 +17,12 @@ def query(name: str, sql: str | None = None):
     """Register a callable (spark, sf_dir) -> DataFrame, with the DuckDB SQL of its rows where SQL can express it."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_find_us(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql
         return f
