@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_find_us
+
 #: Java pattern of a run of separators between words (space, tab, LF, VT, FF, CR).
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -85,4 +87,5 @@ def map_batches(df: DataFrame, task: Callable, schema: str) -> DataFrame:
     key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
+    workers_find_us(df.sparkSession)
     return df.mapInArrow(task, schema)

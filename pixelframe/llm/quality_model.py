@@ -5,7 +5,8 @@ Every word hashes to one of BUCKETS rows and has a sparse random index vector (t
 around its occurrences in the whole corpus. Tables have a fixed size (BUCKETS x (DIMS + 1)
 numbers, about 4 MB), are summed per task and then per block in a stream. A document's
 features are the mean and the spread of its words' normalised vectors, frequent words weighted
-down, and its length. The network is trained in numpy on at most MAX_LABELLED labelled
+down, the mean likeness of neighbouring words' vectors, how often a word repeats the one before,
+and the length. The network is trained in numpy on at most MAX_LABELLED labelled
 documents (those with the least hash of doc_id); a temperature fitted on a fifth of them
 calibrates its probabilities. Everything else reads all rows.
 
@@ -33,7 +34,9 @@ from .shingles import chunks, mix, word_hashes
 BUCKETS, DIMS, REACH = 1 << 15, 32, 2
 BLOCKS = 64
 MAX_LABELLED = 20_000
-FEATURES = 2 * DIMS + 1
+FEATURES = 2 * DIMS + 3
+#: Words that a document's averages count as if it had them besides its own, at what random words give; a few words alone say little.
+PRIOR_WORDS = 10
 FOLDS, HELD_OUT = 4, 2
 KEEP_AT = 0.7
 #: Words more frequent than this share of the corpus weigh less than half.
@@ -115,12 +118,20 @@ def pooled(texts: list[bytes], vectors: np.ndarray, weights: np.ndarray) -> np.n
     rows = doc[starts]
     w = weights[b]
     x = vectors[b]
+    n = np.diff(np.append(starts, len(doc))).astype(np.float32)[:, None]
+    own = n / (n + PRIOR_WORDS)
     mass = np.add.reduceat(w, starts)[:, None]
     mean = np.add.reduceat(x * w[:, None], starts, axis=0) / mass
     square = np.add.reduceat(x * x * w[:, None], starts, axis=0) / mass
-    out[rows, :DIMS] = mean
-    out[rows, DIMS : 2 * DIMS] = np.sqrt(np.maximum(0, square - mean * mean))
-    out[rows, 2 * DIMS] = np.log1p(np.diff(np.append(starts, len(doc))))
+    out[rows, :DIMS] = own * mean
+    out[rows, DIMS : 2 * DIMS] = np.sqrt(own * np.maximum(0, square - mean * mean) + (1 - own) / DIMS)
+    out[rows, 2 * DIMS] = np.log1p(n[:, 0])
+    beside, again = np.zeros(len(b), np.float32), np.zeros(len(b), np.float32)
+    inside = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    beside[inside] = np.einsum("nd,nd->n", x[inside], x[inside - 1])
+    again[inside] = h[inside] == h[inside - 1]
+    for k, v in ((1, beside), (2, again)):
+        out[rows, 2 * DIMS + k] = (own * np.add.reduceat(v, starts)[:, None] / n)[:, 0]
     return out
 
 
