@@ -369,6 +369,16 @@ def op5_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the least id; near duplicates share 80 % of their five-word shingles. Empty texts are components of their own."""
-    parts = written(join_components(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(parts, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """One document of each component, the one with the least id; near duplicates share 80 % of their five-word shingles.
+
+    Empty texts are components of their own. Of rows repeated with id and text one stays; rows
+    without an id stay.
+    """
+    parts = written(join_components(docs, k=5, percent=80), "components")
+    others = parts.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    repeated = written(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)

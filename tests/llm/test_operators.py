@@ -493,3 +493,16 @@ def test_pipeline(spark):
     clean = {i for i in unique if not brute_hits(texts[i], items)[1]}
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(out) == clean and all(r.decodes for r in out.values())
+
+
+def test_stages_odd(spark, docs, none):
+    """Every stage takes nulls, empty and long texts, repeated rows, extra columns and empty tables."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() <= docs.count() and stage(spark, none, SF).count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect())
+    assert {0, 1, 2, 3, 4, 5, 9, 10, 11, 12} <= set(ids) and not {6, 7} & set(ids) and ids.count(5) == 1
