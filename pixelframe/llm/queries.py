@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import OP2_SQL, op2_chat_parts
 from .decontaminate import OP10_SQL, op10_winnowing
 from .nbest import op3_nbest_astar
-from .ngram_join import op5_size_aware_join
+from .ngram_join import OP5_SQL, op5_size_aware_join
 from .pii import op1_weak_supervision
 from .quality_model import op7_random_indexing
 from .quality_rules import OP8_SQL, op8_rule_ledger
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_chat_parts": OP2_SQL,
     "op4_unit_dedup": OP4_SQL,
+    "op5_size_aware_join": OP5_SQL,
     "op8_rule_ledger": OP8_SQL,
     "op10_winnowing": OP10_SQL,
 }
