@@ -18,9 +18,9 @@ every link between components is found; links inside one cannot change it.
 
 A class (of equal sets) is known by a 64-bit hash of its set; links are verified on the
 texts. Defined results: null, empty and wordless texts have an empty set and are linked with
-nothing; repeated rows and repeated ids are in the same component; an empty table gives no
-rows; a null id is never chosen as component unless its class has no other; other columns are
-ignored.
+nothing; repeated rows get equal results; rows that share an id keep their own sets; a set
+whose rows all lack an id is linked with equal sets only, and has no component number; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -257,6 +257,22 @@ def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_possible(percent)).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
+def own_texts(rows: DataFrame, k: int) -> DataFrame:
+    """node and text without texts of other sets under a repeated id, and a task's repeats."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            kept = []
+            for i, (node, s) in enumerate(zip(batch.column(0).to_pylist(), all_sets(_texts(batch, 1), k), strict=True)):
+                if node not in seen and signature(s) == node:
+                    seen.add(node)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return map_batches(rows, task, "node long, text string")
+
+
 def sketches(texts: DataFrame, k: int) -> DataFrame:
     """node and sketch: one parity bit for each of SKETCH_BITS hash buckets. Two sets differ in at least as many elements as their sketches in bits."""
 
@@ -341,13 +357,13 @@ def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: st
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     base = written(classes(docs, k), "classes")
-    known = base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"))
+    known = written(base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "nodes")
     small = {r["n"]: r["c"] for r in known.where(F.col("n") <= MOST_LIGHT * 100 // percent + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(small, percent)
     lists = written(shared_lists(postings(docs, -(-percent * (light + 1) // 100), k, percent)), "lists")
     nodes = lists.select("node").distinct()
-    first = base.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = written(docs.join(first, "doc_id").select("node", "text"), "texts")
+    first = known.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
+    texts = written(own_texts(docs.join(first, "doc_id").select("node", "text"), k), "texts")
     links = written(subset_links(subset_postings(docs, light, k, percent), percent).union(verify(_first_pairs(lists, percent), texts, k, percent)), "first-links")
     labels = written(components(links), "labels")
     more = written(verify(_other_pairs(lists, labels, texts, k, percent), texts, k, percent), "other-links")
@@ -358,7 +374,7 @@ def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: st
 def labelled(base: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     """Component numbers of classes back to rows: the least doc_id of each component."""
     part = known.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("comp"))
-    ids = part.groupBy("comp").agg(F.min("first").alias("component_id"))
+    ids = written(part.groupBy("comp").agg(F.min("first").alias("component_id")), "component-ids")
     named = written(part.join(ids, "comp").select("node", "component_id"), "named")
     return base.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

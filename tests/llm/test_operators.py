@@ -249,6 +249,14 @@ def test_join_tiles(spark, written_docs, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, 90)
 
 
+def test_join_repeated_id(spark):
+    """Rows that share an id keep their own sets."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (5, a), (7, a + " x"), (8, b + " x"), (9, "other " * 3 + b.upper())]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 58, 5), (5, 58, 5), (5, 58, 5), (7, 59, 5), (8, 59, 5), (9, 61, 5)]
+
+
 def test_join_odd(spark, docs, none):
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_shingles, r.component_id) for r in ngram_join.join_components(docs).collect())
     assert len(got) == docs.count() and [g[2] for g in got if g[0] in (-1, 5, 6, 7)] == [5] * 5
