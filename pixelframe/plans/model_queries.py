@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
 from ..operators import catalog as cat
 from ..operators import images as im
 from ..operators import mixtures as mog
