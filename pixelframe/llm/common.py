@@ -33,8 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders made by this driver, for clear().
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate folders made so far. Results that are still to be read from them are lost, so write those first."""
+    while _MADE:
+        remove(spark, _MADE.pop())
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -503,6 +503,18 @@ def test_pipeline(spark):
     assert set(out) == clean and all(r.decodes for r in out.values())
 
 
+def test_clear(spark):
+    from pixelframe.llm import common
+
+    df = common.written(spark.range(3), "x")
+    path = common._MADE[-1]
+    assert df.count() == 3
+    common._MADE[:] = [path]
+    common.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_stages_odd(spark, docs, none):
     """Every stage takes nulls, empty and long texts, repeated rows, extra columns and empty tables."""
     import corpus_pipeline
