@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -67,10 +68,10 @@ def subset_keys(n: int, percent: int) -> int:
     return sum(math.comb(n, c) for c in subset_sizes(n, percent))
 
 
+@lru_cache(1 << 16)
 def differences(n: int, percent: int) -> int:
-    """Most elements in which a set of n and a linked partner, of any size, can differ."""
-    m = 100 * n // percent
-    return n + m - 2 * overlap_needed(n, m, percent)
+    """Most elements in which a set of n and a linked partner, of any size, can differ. Rounding makes this uneven in the partner's size, so all sizes are tried."""
+    return max(n + m - 2 * overlap_needed(n, m, percent) for m in partner_sizes(n, percent))
 
 
 def level(n: int) -> int:
@@ -114,7 +115,7 @@ def signature(s: np.ndarray) -> int:
 def list_keys(s: np.ndarray, percent: int) -> list[np.ndarray]:
     """Keys of the inverted lists that a set is posted in, at its own level and at that of larger partners."""
     n, out = len(s), []
-    for lv in sorted({level(n), level(100 * n // percent)}):
+    for lv in range(level(n), level(100 * n // percent) + 1):
         k = blocks_of(lv, percent)
         with np.errstate(over="ignore"):
             m = mix(s + np.uint64(0x51ED2701))

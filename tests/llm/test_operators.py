@@ -240,6 +240,26 @@ def test_join(spark, written_docs, monkeypatch, k, percent, light):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_list_keys(percent):
+    """Any two linked sets share a list, whatever their sizes and wherever they differ."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(5, 260))
+        pool = rng.integers(1, 2**63, 2 * n + 40, dtype=np.uint64)
+        m = int(rng.choice(list(ngram_join.partner_sizes(n, percent))))
+        both = ngram_join.overlap_needed(n, m, percent)
+        if not 0 < both <= min(n, m):
+            continue
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n : n + m - both]]))
+        x, y = (np.concatenate(ngram_join.list_keys(s, percent)) for s in (a, b))
+        assert len(np.intersect1d(x, y)), (n, m)
+        sizes = ngram_join.differences(n, percent), ngram_join.differences(m, percent)
+        assert n + m - 2 * both <= min(sizes)
+
+
 def test_join_tiles(spark, written_docs, monkeypatch):
     """Lists longer than a tile are cut; nothing is lost."""
     monkeypatch.setattr(ngram_join, "TILE", 5)
