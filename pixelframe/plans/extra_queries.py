@@ -213,3 +213,36 @@ def lbfgs_fit(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "flux": [round(1000 * best[0], 1)], "sky": [round(100 * best[1], 2)]})
 
     return _umod(spark, d, "sid = 10").select("img", "u", "d", "iv").groupBy("img").applyInPandas(fit, "img int, flux double, sky double")
+
+
+@query("multi_image_fit")
+def multi_image_fit(spark: SparkSession, d: str) -> DataFrame:
+    """One position and flux of a source from all its images at once, each with a PSF width and a constant sky of its own: images are stacked inside the group."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, v, s = (pdf[c].to_numpy(float) for c in ("x", "y", "v", "psf"))
+        img = pdf.img.to_numpy(int)
+        model = lambda p: p[0] * np.exp(-0.5 * ((x - p[1]) ** 2 + (y - p[2]) ** 2) / s**2) / (2 * np.pi * s**2) + p[3 + img]
+        top = pdf.v.idxmax()
+        got, _ = sv.levenberg(lambda p: model(p) - v, np.array([100.0, pdf.x[top], pdf.y[top], 0.0, 0.0, 0.0]))
+        return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sky": [round(float(got[3:].sum()), 4)]})
+
+    s = fixture(spark, d, "srcs").where("sid % 10 = 2").select("sid", "px", "py", "flux")
+    grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("img"), (F.floor("px") - 7).alias("x0"), (F.floor("py") - 7).alias("y0"))
+    grid = grid.select("*", F.explode(F.sequence(C("x0"), C("x0") + 14)).alias("x")).select("*", F.explode(F.sequence(C("y0"), C("y0") + 14)).alias("y"))
+    psf = 1.0 + 0.5 * C("img")
+    rows = grid.select("sid", "img", "x", "y", psf.alias("psf"), (C("flux") * rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), psf) + 2.0 * C("img")).alias("v"))
+    return rows.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sky double")
+
+
+@query("sersic_derivs")
+def sersic_derivs(spark: SparkSession, d: str) -> DataFrame:
+    """Derivative by Sersic index: one-sided step between the mixtures of two indices, on a grid under a Gaussian PSF."""
+    grid = spark.range(61 * 61).select((C("id") % 61 - 30).cast("double").alias("x"), (F.floor(C("id") / 61) - 30).cast("double").alias("y"))
+    psf, z, r = mog.isotropic([(1.0, 2.0)]), F.lit(0.0), F.lit(3.0)
+    at = lambda n: mog.evaluate(mog.convolve(mog.affine(mog.isotropic(list(splines.sersic(n))), r, z, z, r), psf), C("x"), C("y"))
+    out = None
+    for n in (1.0, 2.5, 4.0):
+        one = grid.select(((at(n + 0.01) - at(n)) / 0.01).alias("v")).agg(F.lit(n).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max(F.abs("v")), 5).alias("peak"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -220,3 +220,16 @@ assert not any(q[:3] in ("op1", "op5", "op8") or q == "pipeline" for q in e.quer
 assert not any(m.startswith("pixelframe.llm") for m in sys.modules)
 """
     assert iu and subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
+
+
+def test_multi_image_fit_recovers(spark):
+    from pixelframe.plans.registry import QUERIES
+    from pixelframe.sources.fixtures import fixture
+
+    sf = "/root/testdata/sf0.001"
+    truth = {r.sid: r for r in fixture(spark, sf, "srcs").collect()}
+    got = QUERIES["multi_image_fit"](spark, sf).collect()
+    assert got
+    for r in got:
+        t = truth[r.sid]
+        assert (r.flux, r.px, r.py, r.sky) == pytest.approx((t.flux, t.px, t.py, 6.0), rel=1e-3, abs=1e-3)
