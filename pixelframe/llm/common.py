@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -100,3 +101,9 @@ def map_batches(df: DataFrame, task: Callable, schema: str) -> DataFrame:
         conf.set(key, str(BATCH_ROWS))
     workers_find_us(df.sparkSession)
     return df.mapInArrow(task, schema)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the files of shuffles that nothing refers to any more; it learns of them from garbage collections, which a driver with little to do puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import map_batches, release_shuffles, table, written
 from .components import components
 from .shingles import all_sets, mix
 
@@ -362,10 +362,12 @@ def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: st
     small = {r["n"]: r["c"] for r in known.where(F.col("n") <= MOST_LIGHT * 100 // percent + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(small, percent)
     lists = written(shared_lists(postings(docs, -(-percent * (light + 1) // 100), k, percent)), "lists")
+    release_shuffles(docs.sparkSession)
     nodes = lists.select("node").distinct()
     first = known.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
     texts = written(own_texts(docs.join(first, "doc_id").select("node", "text"), k), "texts")
     links = written(subset_links(subset_postings(docs, light, k, percent), percent).union(verify(_first_pairs(lists, percent), texts, k, percent)), "first-links")
+    release_shuffles(docs.sparkSession)
     labels = written(components(links), "labels")
     more = written(verify(_other_pairs(lists, labels, texts, k, percent), texts, k, percent), "other-links")
     whole = components(links.union(more)) if more.limit(1).count() else labels
