@@ -18,7 +18,7 @@ from ..operators import solve as sv
 from ..operators import splines
 from ..sources.fixtures import fixture, read, with_fixtures
 from .core import query
-from .model_queries import _DES, _MOD, _U, _design, _model, _umod, _values
+from .model_queries import _DES, _MOD, _U, _design, _model, _umod, _umod_all, _values
 
 C = F.col
 
@@ -148,10 +148,10 @@ def varying_psf(spark: SparkSession, d: str) -> DataFrame:
 
     def task(batches):
         for pdf in batches:
-            sig = [float(splines.on_grid(at, at, widths, np.array([x]), np.array([y]))[0, 0]) for x, y in zip(pdf.px, pdf.py, strict=True)]
+            sig = [float(splines.on_grid(at, at, widths, np.array([x % 80]), np.array([y]))[0, 0]) for x, y in zip(pdf.px, pdf.py, strict=True)]
             yield pd.DataFrame({"sid": pdf.sid, "sigma": np.round(sig, 6)})
 
-    return fixture(spark, d, "srcs").select("sid", "px", "py").mapInPandas(task, "sid long, sigma double")
+    return fixture(spark, d, "all_srcs").select("sid", "px", "py").mapInPandas(task, "sid long, sigma double")
 
 
 @query("sersic_render")
@@ -169,7 +169,7 @@ def sersic_render(spark: SparkSession, d: str) -> DataFrame:
 @query("optimise_loop")
 def optimise_loop(spark: SparkSession, d: str, tol: float = 1e-6, steps: int = 10) -> DataFrame:
     """Fluxes of isolated sources by repeated linear steps with a line search, until the likelihood gains less than tol. Lineage is cut at each step."""
-    u = im.cut(_umod(spark, d, "sid % 4 = 0").where("img = 1 AND u > 1e-4").select("sid", "x", "y", "u", "d", "iv"))
+    u = im.cut(_umod_all(spark, d, "sid % 4 = 0").where("img = 1 AND u > 1e-4").select("sid", "x", "y", "u", "d", "iv"))
     flux = u.groupBy("sid").agg(F.lit(100.0).alias("f"))
     for _ in range(steps):
         r = u.join(flux, "sid").withColumn("c0", (C("d") - C("f") * C("u")) * F.sqrt("iv"))
@@ -185,7 +185,7 @@ def optimise_loop(spark: SparkSession, d: str, tol: float = 1e-6, steps: int = 1
 @query("em_offsets")
 def em_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Offset between two catalogues of a field by EM: matches scatter around it by a Gaussian over a uniform background."""
-    s = fixture(spark, d, "srcs")
+    s = fixture(spark, d, "all_srcs")
     rng = F.pmod(F.xxhash64("sid"), F.lit(1000)) / 1000.0
     pairs = s.select((C("sid") % 4).alias("field"), (0.3 + (rng - 0.5) * F.when(C("psize") % 3 == 0, 6.0).otherwise(0.4)).alias("dx"), (-0.2 + (F.pmod(F.xxhash64("px", "sid"), F.lit(1000)) / 1000.0 - 0.5) * F.when(C("psize") % 3 == 0, 6.0).otherwise(0.4)).alias("dy"))
 
@@ -212,7 +212,7 @@ def lbfgs_fit(spark: SparkSession, d: str) -> DataFrame:
         best, cost = sv.lbfgs(lambda p: float((w * (y - 1000 * p[0] * v - 100 * p[1]) ** 2).sum()) / 1e4, np.array([0.1, 0.1]))
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "flux": [round(1000 * best[0], 1)], "sky": [round(100 * best[1], 2)]})
 
-    return _umod(spark, d, "sid = 10").select("img", "u", "d", "iv").groupBy("img").applyInPandas(fit, "img int, flux double, sky double")
+    return _umod_all(spark, d, "sid = 10").select("img", "u", "d", "iv").groupBy("img").applyInPandas(fit, "img int, flux double, sky double")
 
 
 @query("multi_image_fit")
@@ -227,7 +227,7 @@ def multi_image_fit(spark: SparkSession, d: str) -> DataFrame:
         got, _ = sv.levenberg(lambda p: model(p) - v, np.array([100.0, pdf.x[top], pdf.y[top], 0.0, 0.0, 0.0]))
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sky": [round(float(got[3:].sum()), 4)]})
 
-    s = fixture(spark, d, "srcs").where("sid % 10 = 2").select("sid", "px", "py", "flux")
+    s = fixture(spark, d, "all_srcs").where("sid % 10 = 2").select("sid", "px", "py", "flux")
     grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("img"), (F.floor("px") - 7).alias("x0"), (F.floor("py") - 7).alias("y0"))
     grid = grid.select("*", F.explode(F.sequence(C("x0"), C("x0") + 14)).alias("x")).select("*", F.explode(F.sequence(C("y0"), C("y0") + 14)).alias("y"))
     psf = 1.0 + 0.5 * C("img")

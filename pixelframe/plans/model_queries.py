@@ -32,6 +32,13 @@ def _umod(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
     return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
 
 
+def _umod_all(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+    """As _umod, for every source of the whole table over all its fields."""
+    s = fixture(spark, d, "all_srcs")
+    met = rd.render_join(fixture(spark, d, "all_pixels"), rd.boxed(s if where is None else s.where(where), F.ceil(C("sig") * REACH)))
+    return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
+
+
 # --- forced photometry ----------------------------------------------------------------------
 
 
@@ -286,8 +293,8 @@ def position_derivs(spark: SparkSession, d: str) -> DataFrame:
 _DES = f"{_U}, a AS (SELECT sid, img, x, y, u * sqrt(iv) a, d * sqrt(iv) b FROM u WHERE u > 1e-4)"
 
 
-def _design(spark: SparkSession, d: str) -> DataFrame:
-    return _umod(spark, d).where("u > 1e-4").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), (C("d") * F.sqrt("iv")).alias("b"))
+def _design(spark: SparkSession, d: str, umod=_umod) -> DataFrame:
+    return umod(spark, d).where("u > 1e-4").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), (C("d") * F.sqrt("iv")).alias("b"))
 
 
 @query("normal_matrix", f"{_DES} SELECT p.sid i, q.sid j, round(sum(p.a * q.a), 6) + 0e0 aa FROM a p JOIN a q ON p.img = q.img AND p.x = q.x AND p.y = q.y AND p.sid <= q.sid GROUP BY 1, 2")
@@ -322,7 +329,7 @@ def overlap_groups(spark: SparkSession, d: str) -> DataFrame:
 @query("forced_phot_blended")
 def forced_phot_blended(spark: SparkSession, d: str) -> DataFrame:
     """Fluxes of overlapping sources solved together, group by group; variances ignore blending."""
-    des = _design(spark, d).where("img = 1")
+    des = _design(spark, d, _umod_all).where("img = 1")
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
     groups = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
     return sv.solve_groups(m, r, groups).select(C("i").alias("sid"), F.round("value", 4).alias("flux"), F.round("variance", 8).alias("variance"))
@@ -498,7 +505,7 @@ def galaxy_fft(spark: SparkSession, d: str) -> DataFrame:
         direct = sum(a * np.exp(-0.5 * (x**2 + y**2) / (v * r * r + 2)) / (2 * np.pi * (v * r * r + 2)) for a, v in amp)
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "total": [round(float(img.sum()), 5)], "worst": [round(float(np.abs(img - direct).max()), 6)]})
 
-    s = fixture(spark, d, "srcs").where("sid % 10 = 3").select("sid", (1.0 + C("psize") % 3).alias("r"))
+    s = fixture(spark, d, "all_srcs").where("sid % 10 = 3").select("sid", (1.0 + C("psize") % 3).alias("r"))
     return s.groupBy("sid").applyInPandas(render, "sid long, total double, worst double")
 
 
@@ -512,7 +519,7 @@ def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
         got, cost = sv.levenberg(lambda p: model(p) - v, np.array([v.sum(), x.mean(), y.mean(), 2.0]))
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sig": [round(abs(got[3]), 4)]})
 
-    s = fixture(spark, d, "srcs").where("sid % 10 = 7")
+    s = fixture(spark, d, "all_srcs").where("sid % 10 = 7")
     grid = s.select("sid", "px", "py", "sig", "flux", F.explode(F.sequence(F.floor("px") - 9, F.floor("px") + 9)).alias("x")).select("*", F.explode(F.sequence(F.floor("py") - 9, F.floor("py") + 9)).alias("y"))
     u = grid.select("sid", "x", "y", (C("flux") * rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig"))).alias("u"))
     return u.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sig double")
@@ -521,7 +528,7 @@ def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
 @query("nonneg_phot")
 def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
     """Non-negative fluxes of overlapping sources by the active set method on each group's normal equations."""
-    des = _umod(spark, d).where("img = 2 AND u > 1e-3").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
+    des = _umod_all(spark, d).where("img = 2 AND u > 1e-3").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
     grp = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
 
@@ -556,7 +563,7 @@ def sky_spline(spark: SparkSession, d: str) -> DataFrame:
 @query("mcmc_flux")
 def mcmc_flux(spark: SparkSession, d: str) -> DataFrame:
     """Ensemble samples of a flux given its linear likelihood, for a few sources; seeded."""
-    v = _umod(spark, d, "sid % 25 = 1").groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    v = _umod_all(spark, d, "sid % 25 = 1").groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = float(pdf.a.iloc[0]), float(pdf.b.iloc[0])
