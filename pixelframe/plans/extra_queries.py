@@ -168,8 +168,8 @@ def sersic_render(spark: SparkSession, d: str) -> DataFrame:
 
 @query("optimise_loop")
 def optimise_loop(spark: SparkSession, d: str, tol: float = 1e-6, steps: int = 10) -> DataFrame:
-    """Fluxes of isolated sources by repeated linear steps with a line search, until the likelihood gains less than tol. Lineage is cut at each step."""
-    u = im.cut(_umod_all(spark, d, "sid % 4 = 0").where("img = 1 AND u > 1e-4").select("sid", "x", "y", "u", "d", "iv"))
+    """Fluxes of sources, each taken as isolated, in each image by repeated linear steps with a line search, until the likelihood gains less than tol. Lineage is cut at each step."""
+    u = im.cut(_umod_all(spark, d).where("u > 1e-4").select(F.struct("sid", "img").alias("sid"), "x", "y", "u", "d", "iv"))
     flux = u.groupBy("sid").agg(F.lit(100.0).alias("f"))
     for _ in range(steps):
         r = u.join(flux, "sid").withColumn("c0", (C("d") - C("f") * C("u")) * F.sqrt("iv"))
@@ -179,7 +179,7 @@ def optimise_loop(spark: SparkSession, d: str, tol: float = 1e-6, steps: int = 1
         flux, gain = new.select("sid", "f"), new.agg(F.sum("gain")).first()[0]
         if gain is None or gain < tol:
             break
-    return flux.select("sid", F.round("f", 3).alias("flux"))
+    return flux.select("sid.sid", "sid.img", F.round("f", 3).alias("flux"))
 
 
 @query("em_offsets")
@@ -212,7 +212,9 @@ def lbfgs_fit(spark: SparkSession, d: str) -> DataFrame:
         best, cost = sv.lbfgs(lambda p: float((w * (y - 1000 * p[0] * v - 100 * p[1]) ** 2).sum()) / 1e4, np.array([0.1, 0.1]))
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "flux": [round(1000 * best[0], 1)], "sky": [round(100 * best[1], 2)]})
 
-    return _umod_all(spark, d, "sid = 10").select("img", "u", "d", "iv").groupBy("img").applyInPandas(fit, "img int, flux double, sky double")
+    u = _umod_all(spark, d)
+    best = u.groupBy("img").agg(F.max_by("sid", F.struct("flux", -C("sid"))).alias("sid"))
+    return u.join(best, ["img", "sid"]).select("img", "u", "d", "iv").groupBy("img").applyInPandas(fit, "img int, flux double, sky double")
 
 
 @query("multi_image_fit")
@@ -227,7 +229,7 @@ def multi_image_fit(spark: SparkSession, d: str) -> DataFrame:
         got, _ = sv.levenberg(lambda p: model(p) - v, np.array([100.0, pdf.x[top], pdf.y[top], 0.0, 0.0, 0.0]))
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sky": [round(float(got[3:].sum()), 4)]})
 
-    s = fixture(spark, d, "all_srcs").where("sid % 10 = 2").select("sid", "px", "py", "flux")
+    s = fixture(spark, d, "all_srcs").select("sid", "px", "py", "flux")
     grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("img"), (F.floor("px") - 7).alias("x0"), (F.floor("py") - 7).alias("y0"))
     grid = grid.select("*", F.explode(F.sequence(C("x0"), C("x0") + 14)).alias("x")).select("*", F.explode(F.sequence(C("y0"), C("y0") + 14)).alias("y"))
     psf = 1.0 + 0.5 * C("img")

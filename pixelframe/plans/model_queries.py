@@ -32,10 +32,9 @@ def _umod(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
     return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
 
 
-def _umod_all(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+def _umod_all(spark: SparkSession, d: str) -> DataFrame:
     """As _umod, for every source of the whole table over all its fields."""
-    s = fixture(spark, d, "all_srcs")
-    met = rd.render_join(fixture(spark, d, "all_pixels"), rd.boxed(s if where is None else s.where(where), F.ceil(C("sig") * REACH)))
+    met = rd.render_join(fixture(spark, d, "all_pixels"), rd.boxed(fixture(spark, d, "all_srcs"), F.ceil(C("sig") * REACH)))
     return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
 
 
@@ -505,7 +504,7 @@ def galaxy_fft(spark: SparkSession, d: str) -> DataFrame:
         direct = sum(a * np.exp(-0.5 * (x**2 + y**2) / (v * r * r + 2)) / (2 * np.pi * (v * r * r + 2)) for a, v in amp)
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "total": [round(float(img.sum()), 5)], "worst": [round(float(np.abs(img - direct).max()), 6)]})
 
-    s = fixture(spark, d, "all_srcs").where("sid % 10 = 3").select("sid", (1.0 + C("psize") % 3).alias("r"))
+    s = fixture(spark, d, "all_srcs").select("sid", (1.0 + C("psize") % 3).alias("r"))
     return s.groupBy("sid").applyInPandas(render, "sid long, total double, worst double")
 
 
@@ -519,7 +518,7 @@ def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
         got, cost = sv.levenberg(lambda p: model(p) - v, np.array([v.sum(), x.mean(), y.mean(), 2.0]))
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sig": [round(abs(got[3]), 4)]})
 
-    s = fixture(spark, d, "all_srcs").where("sid % 10 = 7")
+    s = fixture(spark, d, "all_srcs")
     grid = s.select("sid", "px", "py", "sig", "flux", F.explode(F.sequence(F.floor("px") - 9, F.floor("px") + 9)).alias("x")).select("*", F.explode(F.sequence(F.floor("py") - 9, F.floor("py") + 9)).alias("y"))
     u = grid.select("sid", "x", "y", (C("flux") * rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig"))).alias("u"))
     return u.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sig double")
@@ -562,8 +561,8 @@ def sky_spline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mcmc_flux")
 def mcmc_flux(spark: SparkSession, d: str) -> DataFrame:
-    """Ensemble samples of a flux given its linear likelihood, for a few sources; seeded."""
-    v = _umod_all(spark, d, "sid % 25 = 1").groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    """Ensemble samples of a flux given its linear likelihood; seeded."""
+    v = _umod_all(spark, d).groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = float(pdf.a.iloc[0]), float(pdf.b.iloc[0])

@@ -1,7 +1,10 @@
 """Queries without SQL see whole tables: every source, every image."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from pixelframe.plans import model_queries
 from pixelframe.plans.registry import QUERIES
 from pixelframe.sources.fixtures import fixture, read
 
@@ -26,3 +29,27 @@ def test_whole_sources(spark):
 def test_whole_blended(spark):
     """Sources beyond the first field get fluxes."""
     assert max(keys(QUERIES["forced_phot_blended"](spark, SF), "sid")) > (1900,)
+
+
+@pytest.mark.parametrize("name", ["galaxy_fft", "gauss_newton_fit", "optimise_loop", "multi_image_fit"])
+def test_whole_ids(spark, name):
+    """No source is left out by a filter on its id."""
+    assert keys(QUERIES[name](spark, SF), "sid") == keys(read(spark, SF, "part"), "p_partkey")
+
+
+def test_whole_samples(spark):
+    small = SF.replace("0.01", "0.001")
+    assert keys(QUERIES["mcmc_flux"](spark, small), "sid") == keys(model_queries._umod_all(spark, small), "sid")
+
+
+def test_brightest(spark):
+    """The source that lbfgs_fit takes in each image, against linear least squares."""
+    u = model_queries._umod_all(spark, SF).where("img IN (1, 5)").toPandas()
+    got = {r.img: r for r in QUERIES["lbfgs_fit"](spark, SF).collect()}
+    assert set(got) == set(range(1, 8))
+    for img, pdf in u.groupby("img"):
+        one = pdf[pdf.flux == pdf.flux.max()]
+        one = one[one.sid == one.sid.min()]
+        w = np.sqrt(one.iv.to_numpy())
+        flux, sky = np.linalg.lstsq(np.stack([one.u * w, w], axis=1), one.d * w, rcond=None)[0]
+        assert got[img].flux == pytest.approx(flux, rel=1e-3, abs=0.5) and got[img].sky == pytest.approx(sky, rel=1e-3, abs=0.05)
