@@ -121,6 +121,19 @@ def blobs(marked: DataFrame, width: int = 1 << 20, rounds: int = 200) -> DataFra
     return px.join(named, ["img", "y", "run"]).select("img", "x", "y", "label")
 
 
+def blob_boxes(hot: DataFrame) -> DataFrame:
+    """img, label, bounding box (both ends inside), size and peak of each component of pixels (img, x, y, d). Labels repeat from image to image."""
+    z = blobs(hot).join(hot.select("img", "x", "y", "d"), ["img", "x", "y"])
+    return z.groupBy("img", "label").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"), F.max("d").alias("peak"))
+
+
+def blob_maxima(hot: DataFrame) -> DataFrame:
+    """img, label, x, y, d of the brightest pixel of each component, the first by y, then x, on ties."""
+    z = blobs(hot).join(hot.select("img", "x", "y", "d"), ["img", "x", "y"])
+    best = z.groupBy("img", "label").agg(F.max_by(F.struct("x", "y", "d"), F.struct("d", -F.col("y"), -F.col("x"))).alias("b"))
+    return best.select("img", "label", "b.x", "b.y", "b.d")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by checkpoint() in the shared folder; one of our own where none is set, as in tests."""
     context = df.sparkSession.sparkContext

@@ -134,17 +134,12 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
 @query("blob_peaks", f"{_BLOB} SELECT label, min(x) x0, max(x) x1, min(y) y0, max(y) y1, count(*)::BIGINT n, max(d) peak FROM z GROUP BY label")
 def blob_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Bounding box, size and peak of each component."""
-    hot = fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")
-    z = im.blobs(hot).join(hot.select("x", "y", "d"), ["x", "y"])
-    return z.groupBy("label").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n"), F.max("d").alias("peak"))
+    return im.blob_boxes(fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")).drop("img")
 
 
 @query("blob_peak_pixels", f"{_BLOB} SELECT label, x, y, d FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, y, x) k FROM z) WHERE k = 1")
 def blob_peak_pixels(spark: SparkSession, d: str) -> DataFrame:
-    hot = fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")
-    z = im.blobs(hot).join(hot.select("x", "y", "d"), ["x", "y"])
-    best = z.groupBy("label").agg(F.max_by(F.struct("x", "y", "d"), F.struct("d", -C("y"), -C("x"))).alias("b"))
-    return best.select("label", "b.x", "b.y", "b.d")
+    return im.blob_maxima(fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")).drop("img")
 
 
 @query("sed_filter", f"""{_P}, b AS (SELECT CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, x, y, sum(d * iv) / sum(iv) m, sum(iv) iv FROM pixels GROUP BY 1, 2, 3),

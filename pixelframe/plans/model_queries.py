@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
@@ -325,13 +325,22 @@ def overlap_groups(spark: SparkSession, d: str) -> DataFrame:
     return cat.groups_of(pairs, fixture(spark, d, "srcs").select(C("sid").alias("id")))
 
 
+def _keyed(sid: str) -> Column:
+    """One number for a source in an image: each image has fluxes and groups of its own."""
+    return F.shiftleft(C("img").cast("long"), 40).bitwiseOR(C(sid))
+
+
+def _unkeyed(key: str) -> list[Column]:
+    return [C(key).bitwiseAND(F.lit((1 << 40) - 1)).alias("sid"), F.shiftright(key, 40).cast("int").alias("img")]
+
+
 @query("forced_phot_blended")
 def forced_phot_blended(spark: SparkSession, d: str) -> DataFrame:
-    """Fluxes of overlapping sources solved together, group by group; variances ignore blending."""
-    des = _design(spark, d, _umod_all).where("img = 1")
+    """Fluxes of overlapping sources in each image solved together, group by group; variances ignore blending."""
+    des = _design(spark, d, _umod_all).withColumn("pid", _keyed("pid"))
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
     groups = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
-    return sv.solve_groups(m, r, groups).select(C("i").alias("sid"), F.round("value", 4).alias("flux"), F.round("variance", 8).alias("variance"))
+    return sv.solve_groups(m, r, groups).select(*_unkeyed("i"), F.round("value", 4).alias("flux"), F.round("variance", 8).alias("variance"))
 
 
 @query("forced_phot_pairs", f"""{_DES}, k AS (SELECT * FROM a WHERE img = 2 AND sid % 20 IN (0, 1)), s AS (SELECT sid // 20 g, img, x, y, max(CASE WHEN sid % 20 = 0 THEN a ELSE 0e0 END) p, max(CASE WHEN sid % 20 = 1 THEN a ELSE 0e0 END) q, any_value(b) b FROM k GROUP BY 1, 2, 3, 4),
@@ -526,8 +535,8 @@ def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("nonneg_phot")
 def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
-    """Non-negative fluxes of overlapping sources by the active set method on each group's normal equations."""
-    des = _umod_all(spark, d).where("img = 2 AND u > 1e-3").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
+    """Non-negative fluxes of overlapping sources in each image by the active set method on each group's normal equations."""
+    des = _umod_all(spark, d).where("u > 1e-3").select(_keyed("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
     grp = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
 
@@ -538,10 +547,10 @@ def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
         i, j = np.searchsorted(ids, mat.i), np.searchsorted(ids, mat.j.astype(np.int64))
         a[i, j] = a[j, i] = mat.v
         b[np.searchsorted(ids, vec.i)] = vec.v
-        return pd.DataFrame({"sid": ids, "flux": np.round(sv.nonneg_solve(a, b), 3)})
+        return pd.DataFrame({"i": ids, "flux": np.round(sv.nonneg_solve(a, b), 3)})
 
     rows = m.join(grp, "i").select("grp", "i", "j", C("aa").alias("v")).unionByName(r.join(grp, "i").select("grp", "i", F.lit(None).cast("long").alias("j"), C("ab").alias("v")))
-    return rows.groupBy("grp").applyInPandas(solve, "sid long, flux double")
+    return rows.groupBy("grp").applyInPandas(solve, "i long, flux double").select(*_unkeyed("i"), "flux")
 
 
 @query("sky_spline")

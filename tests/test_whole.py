@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelframe.operators import images
 from pixelframe.plans import model_queries
 from pixelframe.plans.registry import QUERIES
 from pixelframe.sources.fixtures import fixture, read
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def keys(df, *cols):
-    return {tuple(r) for r in df.select(*cols).collect()}
+    return {tuple(r) for r in df.select(*(cols or ["*"])).collect()}
 
 
 def test_whole_sources(spark):
@@ -53,3 +54,20 @@ def test_brightest(spark):
         w = np.sqrt(one.iv.to_numpy())
         flux, sky = np.linalg.lstsq(np.stack([one.u * w, w], axis=1), one.d * w, rcond=None)[0]
         assert got[img].flux == pytest.approx(flux, rel=1e-3, abs=0.5) and got[img].sky == pytest.approx(sky, rel=1e-3, abs=0.05)
+
+
+@pytest.mark.parametrize("name", ["forced_phot_blended", "nonneg_phot"])
+def test_whole_images(spark, name):
+    small = SF.replace("0.01", "0.001")
+    least = {"forced_phot_blended": "u > 1e-4", "nonneg_phot": "u > 1e-3"}[name]
+    got = QUERIES[name](spark, small).select("sid", "img").collect()
+    want = keys(model_queries._umod_all(spark, small).where(least), "sid", "img")
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and {i for _, i in want} == set(range(1, 8))
+
+
+def test_blobs_of_images(spark):
+    """Two images with the same pixels and labels: neither values nor components meet."""
+    hot = spark.createDataFrame([(1, 0, 0, 5.0), (1, 1, 0, 6.0), (2, 0, 0, 7.0), (2, 1, 1, 1.0), (2, 9, 9, 2.0)], "img int, x int, y int, d double")
+    far = (9 << 20) + 9
+    assert keys(images.blob_boxes(hot)) == {(1, 0, 0, 1, 0, 0, 2, 6.0), (2, 0, 0, 1, 0, 1, 2, 7.0), (2, far, 9, 9, 9, 9, 1, 2.0)}
+    assert keys(images.blob_maxima(hot)) == {(1, 0, 1, 0, 6.0), (2, 0, 0, 0, 7.0), (2, far, 9, 9, 2.0)}
