@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .images import cut
+from .images import components
 
 
 def left_zero(left: DataFrame, matched: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -44,17 +44,8 @@ def convex_overlap(ax: list[Column], ay: list[Column], bx: list[Column], by: lis
     return hit
 
 
-def groups_of(pairs: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of pairs (a, b) over all nodes (id): id, grp, the least id of the component. Minimum labels spread and jump; each round is cut in the shared folder."""
-    both = cut(pairs.select("a", "b").where("a <> b").union(pairs.select("b", "a").where("a <> b")).distinct())
-    label = cut(nodes.select("id", F.col("id").alias("grp")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "grp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("grp").alias("m"))
-        step = label.join(near, "id", "left").select("id", "grp", F.least("grp", F.coalesce("m", "grp")).alias("new"))
-        far = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        nxt = cut(step.join(far, "new", "left").select("id", "grp", F.coalesce("far", "new").alias("new")))
-        moved = nxt.where("new <> grp").limit(1).count()
-        label = nxt.select("id", F.col("new").alias("grp"))
-        if not moved:
-            break
-    return label
+def groups_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Connected components of pairs (a, b) over all nodes (id): id, grp, the least id of the component. Pairs with an end that is no node are left out."""
+    ends = [nodes.select(F.col("id").alias(c)).distinct() for c in "ab"]
+    links = pairs.select("a", "b").where("a <> b").distinct().join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi")
+    return nodes.select("id").join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("least", "id").alias("grp"))

@@ -93,31 +93,55 @@ def lanczos_kernel(shift: float) -> list[tuple[int, float]]:
 EIGHT = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1))
 
 
-def blobs(marked: DataFrame, width: int = 1 << 20, rounds: int = 200) -> DataFrame:
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links: a > b. For every node its larger neighbours (large star), or its smaller ones and itself (small star), linked with its least neighbour."""
+    out = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        out = out.union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = out.join(out.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
+    if large:
+        new = near.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        new = near.select(F.col("v").alias("a"), F.col("m").alias("b")).union(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return new.where("a <> b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, least: the least node of its connected component, for every node of links (columns a and b of any type with an order).
+
+    Alternating large and small stars until the links no longer change. There is no bound on the
+    rounds; their number grows with the logarithm of a component's nodes, whatever the order of
+    its ids. Lineage is cut at every round in the shared folder.
+    """
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = state(now)
+    while before[0]:
+        now = cut(_star(_star(now, True), False))
+        after = state(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("a").alias("node"), F.col("b").alias("least")).union(now.select("b", "b").distinct())
+
+
+def blobs(marked: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Eight-connected components of marked pixels (img, x, y): label is the least y * width + x of the component.
 
-    Labels spread along whole runs first (gaps and islands in each row), then between runs of
-    neighbouring rows by alternating minimum and pointer jumping, so the number of rounds grows
-    with the logarithm of a blob's height. Lineage is cut at every round in the shared folder.
+    Pixels join into whole runs first (gaps and islands in each row), then runs of neighbouring
+    rows into components.
     """
     run = F.col("x") - F.row_number().over(Window.partitionBy("img", "y").orderBy("x"))
     px = marked.select("img", "x", "y").distinct().withColumn("run", run)
     runs = px.groupBy("img", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("rid", F.col("y").cast("long") * width + F.col("x0"))
     runs = cut(runs.select("img", "y", "run", "x0", "x1", "rid"))
     up = runs.select("img", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("rid").alias("uid"))
-    links = cut(runs.join(up, ["img", "y"]).where("u0 <= x1 + 1 AND u1 >= x0 - 1").select("img", F.col("rid").alias("a"), F.col("uid").alias("b")))
-    both = links.union(links.select("img", "b", "a"))
-    label = cut(runs.select("img", "rid", F.col("rid").alias("label")))
-    for _ in range(rounds):
-        near = both.join(label.select("img", F.col("rid").alias("b"), "label"), ["img", "b"]).groupBy("img", F.col("a").alias("rid")).agg(F.min("label").alias("m"))
-        step = label.join(near, ["img", "rid"], "left").select("img", "rid", F.least("label", F.coalesce("m", "label")).alias("new"), "label")
-        jump = step.select("img", F.col("rid").alias("new"), F.col("new").alias("far"))
-        nxt = cut(step.join(jump, ["img", "new"], "left").select("img", "rid", F.coalesce("far", "new").alias("new"), "label"))
-        moved = nxt.where("new <> label").limit(1).count()
-        label = nxt.select("img", "rid", F.col("new").alias("label"))
-        if not moved:
-            break
-    named = runs.join(label, ["img", "rid"]).select("img", "y", "run", "label")
+    links = runs.join(up, ["img", "y"]).where("u0 <= x1 + 1 AND u1 >= x0 - 1").select(F.struct("img", "rid").alias("a"), F.struct("img", F.col("uid").alias("rid")).alias("b"))
+    label = components(links).select("node.img", "node.rid", F.col("least.rid").alias("label"))
+    named = runs.join(label, ["img", "rid"], "left").select("img", "y", "run", F.coalesce("label", "rid").alias("label"))
     return px.join(named, ["img", "y", "run"]).select("img", "x", "y", "label")
 
 

@@ -1,10 +1,12 @@
 """Queries without SQL see whole tables: every source, every image."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelframe.operators import images
+from pixelframe.operators import catalog, images
 from pixelframe.plans import model_queries
 from pixelframe.plans.registry import QUERIES
 from pixelframe.sources.fixtures import fixture, read
@@ -71,3 +73,19 @@ def test_blobs_of_images(spark):
     far = (9 << 20) + 9
     assert keys(images.blob_boxes(hot)) == {(1, 0, 0, 1, 0, 0, 2, 6.0), (2, 0, 0, 1, 0, 1, 2, 7.0), (2, far, 9, 9, 9, 9, 1, 2.0)}
     assert keys(images.blob_maxima(hot)) == {(1, 0, 1, 0, 6.0), (2, 0, 0, 0, 7.0), (2, far, 9, 9, 2.0)}
+
+
+def test_long_chains(spark):
+    """Chains whose labels move one node a round under minimum labels with pointer jumping, however long."""
+    for order in ([0, *range(299, 0, -1)], random.Random(8).sample(range(2000), 2000)):
+        pairs = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+        got = catalog.groups_of(pairs, spark.range(max(order) + 3)).collect()
+        assert sorted((r.id, r.grp) for r in got) == [(i, 0) for i in range(len(order))] + [(i, i) for i in range(len(order), len(order) + 2)]
+
+
+def test_tall_blob(spark):
+    """A U with arms of 450 rows, in two images, and a pixel of its own."""
+    u = [(0, y) for y in range(451)] + [(2, y) for y in range(1, 451)] + [(1, 450)]
+    px = spark.createDataFrame([(i, x, y) for i in (1, 2) for x, y in u] + [(2, 7, 7)], "img int, x int, y int")
+    got = images.blobs(px).groupBy("img", "label").count()
+    assert keys(got) == {(1, 0, len(u)), (2, 0, len(u)), (2, (7 << 20) + 7, 1)}
