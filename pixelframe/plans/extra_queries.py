@@ -219,21 +219,18 @@ def lbfgs_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("multi_image_fit")
 def multi_image_fit(spark: SparkSession, d: str) -> DataFrame:
-    """One position and flux of a source from all its images at once, each with a PSF width and a constant sky of its own: images are stacked inside the group."""
+    """One position and flux of each source from its pixels in all images at once, each with a PSF width (by img % 3) and a constant sky of its own: images are stacked inside the group."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, v, s = (pdf[c].to_numpy(float) for c in ("x", "y", "v", "psf"))
-        img = pdf.img.to_numpy(int)
+        x, y, v, s, w = (pdf[c].to_numpy(float) for c in ("x", "y", "d", "psf", "w"))
+        imgs, img = np.unique(pdf.img.to_numpy(), return_inverse=True)
         model = lambda p: p[0] * np.exp(-0.5 * ((x - p[1]) ** 2 + (y - p[2]) ** 2) / s**2) / (2 * np.pi * s**2) + p[3 + img]
-        top = pdf.v.idxmax()
-        got, _ = sv.levenberg(lambda p: model(p) - v, np.array([100.0, pdf.x[top], pdf.y[top], 0.0, 0.0, 0.0]))
+        sky = np.bincount(img, w * w * v) / np.bincount(img, w * w)
+        got, _ = sv.levenberg(lambda p: (model(p) - v) * w, np.array([pdf.flux.iloc[0], pdf.px.iloc[0], pdf.py.iloc[0], *sky]))
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sky": [round(float(got[3:].sum()), 4)]})
 
-    s = fixture(spark, d, "all_srcs").select("sid", "px", "py", "flux")
-    grid = s.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("img"), (F.floor("px") - 7).alias("x0"), (F.floor("py") - 7).alias("y0"))
-    grid = grid.select("*", F.explode(F.sequence(C("x0"), C("x0") + 14)).alias("x")).select("*", F.explode(F.sequence(C("y0"), C("y0") + 14)).alias("y"))
-    psf = 1.0 + 0.5 * C("img")
-    rows = grid.select("sid", "img", "x", "y", psf.alias("psf"), (C("flux") * rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), psf) + 2.0 * C("img")).alias("v"))
+    met = rd.render_join(fixture(spark, d, "all_pixels"), rd.boxed(fixture(spark, d, "all_srcs"), F.lit(7)))
+    rows = met.where("iv > 0").select("sid", "img", "x", "y", "d", F.sqrt("iv").alias("w"), "flux", "px", "py", (1.0 + 0.5 * (C("img") % 3)).alias("psf"))
     return rows.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sky double")
 
 

@@ -519,18 +519,21 @@ def galaxy_fft(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gauss_newton_fit")
 def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
-    """Position, width and flux of one source in each image by Levenberg-Marquardt on its pixels."""
+    """Position, width and flux of each source in each image, over a constant sky, by Levenberg-Marquardt on its pixels and their inverse errors, from its catalogue entry."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, v = (pdf[c].to_numpy(float) for c in ("x", "y", "u"))
-        model = lambda p: p[0] * np.exp(-0.5 * ((x - p[1]) ** 2 + (y - p[2]) ** 2) / p[3] ** 2) / (2 * np.pi * p[3] ** 2)
-        got, cost = sv.levenberg(lambda p: model(p) - v, np.array([v.sum(), x.mean(), y.mean(), 2.0]))
-        return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sig": [round(abs(got[3]), 4)]})
-
-    s = fixture(spark, d, "all_srcs")
-    grid = s.select("sid", "px", "py", "sig", "flux", F.explode(F.sequence(F.floor("px") - 9, F.floor("px") + 9)).alias("x")).select("*", F.explode(F.sequence(F.floor("py") - 9, F.floor("py") + 9)).alias("y"))
-    u = grid.select("sid", "x", "y", (C("flux") * rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig"))).alias("u"))
-    return u.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sig double")
+        x, y, v, w = (pdf[c].to_numpy(float) for c in ("x", "y", "d", "w"))
+        first = pdf.iloc[0]
+
+        def residual(p: np.ndarray) -> np.ndarray:
+            var = max(p[3] ** 2, 1e-6)
+            return (p[0] * np.exp(-0.5 * ((x - p[1]) ** 2 + (y - p[2]) ** 2) / var) / (2 * np.pi * var) + p[4] - v) * w
+
+        got, cost = sv.levenberg(residual, np.array([first.flux, first.px, first.py, first.sig, np.average(v, weights=w * w)]))
+        return pd.DataFrame({"sid": [first.sid], "img": [first.img], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sig": [round(abs(got[3]), 4)]})
+
+    u = _umod_all(spark, d).where("iv > 0").select("sid", "img", "x", "y", "d", F.sqrt("iv").alias("w"), "flux", "px", "py", "sig")
+    return u.groupBy("sid", "img").applyInPandas(fit, "sid long, img int, flux double, px double, py double, sig double")
 
 
 @query("nonneg_phot")

@@ -1,5 +1,6 @@
 """Queries without SQL see whole tables: every source, every image."""
 
+import math
 import random
 
 import numpy as np
@@ -89,3 +90,21 @@ def test_tall_blob(spark):
     px = spark.createDataFrame([(i, x, y) for i in (1, 2) for x, y in u] + [(2, 7, 7)], "img int, x int, y int")
     got = images.blobs(px).groupBy("img", "label").count()
     assert keys(got) == {(1, 0, len(u)), (2, 0, len(u)), (2, (7 << 20) + 7, 1)}
+
+
+def test_fits_read_pixels(spark, tmp_path):
+    """Pixels that hold a source of another place, flux and width than the catalogue says, in the second field and on a sky of each image's own."""
+    spark.createDataFrame([(203, "n", "b", "t", 4, 900.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    px, py = (203 * 7919) % 400 / 10 + 0.3, (203 * 104729) % 400 / 10 - 0.4
+
+    def fits(name, sig):
+        grid = [(1, 200 + x, y, i, 700 * math.exp(-0.5 * ((x - px) ** 2 + (y - py) ** 2) / sig(i) ** 2) / (2 * math.pi * sig(i) ** 2) + 2.0 * i) for x in range(40) for y in range(40) for i in (1, 2)]
+        spark.createDataFrame(grid, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        return QUERIES[name](spark, str(tmp_path)).collect()
+
+    got = fits("gauss_newton_fit", lambda i: 1.5)
+    assert sorted(r.img for r in got) == [1, 2]
+    for r in got:
+        assert (r.sid, r.flux, r.px, r.py, r.sig) == pytest.approx((203, 700, 80 + px, py, 1.5), abs=2e-3)
+    (r,) = fits("multi_image_fit", lambda i: 1 + 0.5 * (i % 3))
+    assert (r.sid, r.flux, r.px, r.py, r.sky) == pytest.approx((203, 700, 80 + px, py, 6.0), abs=2e-3)
