@@ -139,7 +139,7 @@ def _texts(batch: pa.RecordBatch, i: int) -> Iterator[bytes | None]:
 
 
 def classes(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, n (size of the set) and node (hash of the set; null where it is empty)."""
+    """doc_id, h and len (the text's hash and length), n (size of the set) and node (hash of the set; null where it is empty)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +147,10 @@ def classes(docs: DataFrame, k: int = 3) -> DataFrame:
             for s in all_sets(_texts(batch, 1), k):
                 n.append(len(s))
                 node.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "h", "len", "n", "node"])
 
-    return map_batches(docs, task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.length("text").alias("len"))
+    return map_batches(rows, task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, len int, n long, node long")
 
 
 def subset_postings(docs: DataFrame, light: int, k: int, percent: int) -> DataFrame:
@@ -356,6 +357,11 @@ def _other_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame, k: int,
 
 def join_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return row_components(docs, k, percent, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As join_components, with h and len, which tell rows of one id apart by their texts."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     base = written(classes(docs, k), "classes")
     known = written(base.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "nodes")
@@ -379,7 +385,7 @@ def labelled(base: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     part = known.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("comp"))
     ids = written(part.groupBy("comp").agg(F.min("first").alias("component_id")), "component-ids")
     named = written(part.join(ids, "comp").select("node", "component_id"), "named")
-    return base.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.join(named, "node", "left").select("doc_id", "h", "len", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -391,11 +397,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the least id; near duplicates share 80 % of their five-word shingles.
 
     Empty texts are components of their own. Of rows repeated with id and text one stays; rows
-    without an id stay.
+    without an id stay. Of rows that share an id but not their text, each stays or goes with its
+    own component.
     """
-    parts = written(join_components(docs, k=5, percent=80), "components")
-    others = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    parts = written(row_components(docs, k=5, percent=80), "components")
+    others = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), "h", "len").distinct()
+    gone = (docs["doc_id"] == others["__id"]) & (F.xxhash64(docs["text"]) == others["h"]) & (F.length(docs["text"]) == others["len"])
+    kept = docs.join(others, gone, "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
     repeated = written(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
     if not repeated.limit(1).count():
         return kept
