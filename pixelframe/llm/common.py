@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +25,11 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on one machine; an error elsewhere."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="pixelframe-shared-"))
         path = _OWN[0]
@@ -49,12 +51,64 @@ def clear(spark: SparkSession) -> None:
         remove(spark, _MADE.pop())
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside drop the files of their shuffles as they end, and not when the driver happens to collect garbage. For results that are executed once."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors. The shuffles behind it are dropped as soon as it is written."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing will read again."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
+        if df.written_to in _MADE:
+            _MADE.remove(df.written_to)
+
+
+#: A prefilter has at most so many bitmaps of 4,096 bytes (32 MB together), and eight bits for each key until then.
+BITMAP_BITS, MOST_BITMAPS = 32_768, 8_192
+
+
+def maybe_in(df: DataFrame, keys: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of df that may have an equal row in keys over the columns of that name, and rows that surely have none.
+
+    A hashed bitmap of the keys, broadcast, of a size that follows their number up to a fixed
+    bound. With more keys than the bound serves more rows pass into the first part, which costs
+    time and no result; joins with keys then shuffle that part alone.
+    """
+    of = lambda *c: F.xxhash64(*c)
+    n = keys.count()
+    count = max(1, min(MOST_BITMAPS, -(-8 * n // BITMAP_BITS)))
+    bucket = lambda h: F.pmod(h, F.lit(count)).cast("int")
+    bit = lambda h: F.pmod(F.shiftright(h, 20), F.lit(BITMAP_BITS))
+    maps = keys.select(of(*columns).alias("h")).groupBy(bucket(F.col("h")).alias("__bucket")).agg(F.bitmap_construct_agg(bit(F.col("h"))).alias("__bits"))
+    h = of(*columns)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (bit(h) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = df.join(F.broadcast(maps), bucket(h) == F.col("__bucket"), "left")
+    hit = F.coalesce(F.call_function("shiftright", byte, F.pmod(bit(h), F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return marked.where(hit).select(*df.columns), marked.where(~hit).select(*df.columns)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -101,9 +155,3 @@ def map_batches(df: DataFrame, task: Callable, schema: str) -> DataFrame:
         conf.set(key, str(BATCH_ROWS))
     workers_find_us(df.sparkSession)
     return df.mapInArrow(task, schema)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the files of shuffles that nothing refers to any more; it learns of them from garbage collections, which a driver with little to do puts off."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(links: DataFrame, both_ways: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     now = written(now, "links")
     state = _state(now)
     while state[0]:
-        now = written(_star(_star(now, True), False), "links")
+        before, now = now, written(_star(_star(now, True), False), "links")
+        discard(before)
         new = _state(now)
         if new == state:
             break

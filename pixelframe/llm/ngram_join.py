@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, release_shuffles, table, written
+from .common import discard, map_batches, maybe_in, table, written
 from .components import components
 from .shingles import all_sets, mix
 
@@ -194,12 +194,12 @@ def subset_links(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, least: int, k: int, percent: int) -> DataFrame:
-    """key, node, n of the inverted lists of all sets of at least that size; a task posts a class once."""
+    """key, node of the inverted lists of all sets of at least that size; a task posts a class once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes = [], []
             for s in all_sets(_texts(batch, 0), k):
                 if len(s) < least or (node := signature(s)) in seen:
                     continue
@@ -207,18 +207,18 @@ def postings(docs: DataFrame, least: int, k: int, percent: int) -> DataFrame:
                 for got in list_keys(s, percent):
                     keys.append(got.view(np.int64))
                     nodes.append(np.full(len(got), node, np.int64))
-                    sizes.append(np.full(len(got), len(s), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes, sizes)], names=["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, nodes)], names=["key", "node"])
 
-    return map_batches(docs.select("text"), task, "key long, node long, n int")
+    return map_batches(docs.select("text"), task, "key long, node long")
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """key, node, n, g of the lists with two classes or more, g rows each. Windows are read in order and spill, so a long list needs no memory."""
-    w = Window.partitionBy("key")
-    near = rows.select("key", "node", "n", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("g"))
-    return near.where("lo <> hi").select("key", "node", "n", "g")
+    """key, node, g of the lists with two classes or more, g rows each; what several tasks posted for one class counts once. Windows are read in order and spill, so a long list needs no memory."""
+    w = Window.partitionBy("key").orderBy("node")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = rows.select("key", "node", F.lag("node").over(w).alias("before"), F.first("node").over(whole).alias("lo"), F.last("node").over(whole).alias("hi"), F.count(F.lit(1)).over(whole).alias("g"))
+    return near.where("lo <> hi AND (before IS NULL OR before <> node)").select("key", "node", "g")
 
 
 def _possible(percent: int) -> str:
@@ -250,11 +250,11 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return map_batches(two.select("a", "b", "ta", "tb"), task, "a long, b long")
 
 
-def _first_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with the member it shares most lists with, of those that are the most widely shared in some list."""
-    shared = lists.groupBy("node").agg(F.sum("g").alias("pop"))
+def _first_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Each class with the member it shares most lists with, of those that are the most widely shared in some list. sizes: node, n."""
+    shared = lists.groupBy("node").agg(F.sum("g").alias("pop")).join(sizes, "node")
     w = Window.partitionBy("key")
-    ranked = lists.join(shared, "node").select("key", "node", "n", F.max(F.struct("pop", "node", "n")).over(w).alias("top"))
+    ranked = lists.select("key", "node").join(shared, "node").select("key", "node", "n", F.max(F.struct("pop", "node", "n")).over(w).alias("top"))
     pairs = ranked.where("node <> top.node").groupBy(F.col("node").alias("a"), F.col("top.node").alias("b"), F.col("n").alias("na"), F.col("top.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
     return pairs.where(_possible(percent)).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
@@ -309,18 +309,25 @@ def tile_pairs(i: int, j: int, node: np.ndarray, n: np.ndarray, comp: np.ndarray
     return a, b
 
 
-def _other_pairs(lists: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _other_pairs(lists: DataFrame, sizes: DataFrame, labels: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """All pairs of different components in one list that their sketches leave possible.
 
-    A list of more than TILE rows is cut into tiles that meet pairwise in groups of their own,
-    so no group exceeds two tiles; only pairs that pass leave a group.
+    A list is cut by size into tiles of TILE rows. A row goes to a group for each tile that holds
+    partners of a possible size, so no group exceeds two tiles and tiles of far sizes never meet;
+    only pairs that pass leave a group.
     """
-    lab = lists.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    w = Window.partitionBy("key")
-    marks = lab.select("*", F.min("comp").over(w).alias("lo"), F.max("comp").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("g")).where("lo <> hi")
-    cut = F.ceil(F.col("g") / F.lit(float(TILE))).cast("int")
-    mixed = marks.select("key", "node", "n", "comp", cut.alias("cut")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
+    part = sizes.join(labels, "node", "left").select("node", "n", F.coalesce("component", "node").alias("comp"), F.log(F.col("n").cast("double")).alias("size"))
+    lab = lists.select("key", "node").join(part, "node").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("size", "node")))
+    w, far = "PARTITION BY key ORDER BY size", f"{math.log(100 / percent) + 1e-9!r}D"
+    whole = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    marks = lab.selectExpr(
+        "*", f"min(comp) OVER {whole} AS lo", f"max(comp) OVER {whole} AS hi",
+        f"count(1) OVER ({w} RANGE BETWEEN UNBOUNDED PRECEDING AND {far} PRECEDING) AS below",
+        f"count(1) OVER ({w} RANGE BETWEEN UNBOUNDED PRECEDING AND {far} FOLLOWING) AS upto",
+    ).where("lo <> hi")
+    tile = lambda c: F.floor(c / F.lit(float(TILE))).cast("int")
+    mixed = marks.select("key", "node", "n", "comp", tile(F.col("place") - 1).alias("tile"), tile(F.col("below")).alias("first"), tile(F.col("upto") - 1).alias("last"))
+    meets = F.transform(F.sequence("first", "last"), lambda o: F.struct(F.least("tile", o).alias("i"), F.greatest("tile", o).alias("j")))
     rows = mixed.join(sketches(texts, k), "node").withColumn("m", F.explode_outer(meets)).select("key", "m.i", "m.j", "node", "n", "comp", "tile", "sketch")
     grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n")
 
@@ -368,23 +375,26 @@ def row_components(docs: DataFrame, k: int = 3, percent: int = PERCENT, key: str
     small = {r["n"]: r["c"] for r in known.where(F.col("n") <= MOST_LIGHT * 100 // percent + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     light = boundary(small, percent)
     lists = written(shared_lists(postings(docs, -(-percent * (light + 1) // 100), k, percent)), "lists")
-    release_shuffles(docs.sparkSession)
-    nodes = lists.select("node").distinct()
-    first = known.join(nodes, "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    texts = written(own_texts(docs.join(first, "doc_id").select("node", "text"), k), "texts")
-    links = written(subset_links(subset_postings(docs, light, k, percent), percent).union(verify(_first_pairs(lists, percent), texts, k, percent)), "first-links")
-    release_shuffles(docs.sparkSession)
+    listed = written(known.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("n").cast("int").alias("n"), F.col("first").alias("doc_id")), "listed")
+    likely, _ = maybe_in(docs, listed, "doc_id")
+    texts = written(own_texts(likely.join(listed, "doc_id").select("node", "text"), k), "texts")
+    sizes = listed.select("node", "n")
+    links = written(subset_links(subset_postings(docs, light, k, percent), percent).union(verify(_first_pairs(lists, sizes, percent), texts, k, percent)), "first-links")
     labels = written(components(links), "labels")
-    more = written(verify(_other_pairs(lists, labels, texts, k, percent), texts, k, percent), "other-links")
+    more = written(verify(_other_pairs(lists, sizes, labels, texts, k, percent), texts, k, percent), "other-links")
+    discard(lists, listed, texts)
     whole = components(links.union(more)) if more.limit(1).count() else labels
-    return labelled(base, known, whole)
+    out = labelled(base, known, whole)
+    discard(links, labels, more)
+    return out
 
 
 def labelled(base: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     """Component numbers of classes back to rows: the least doc_id of each component."""
     part = known.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("comp"))
-    ids = written(part.groupBy("comp").agg(F.min("first").alias("component_id")), "component-ids")
+    ids = part.groupBy("comp").agg(F.min("first").alias("component_id"))
     named = written(part.join(ids, "comp").select("node", "component_id"), "named")
+    discard(known)
     return base.join(named, "node", "left").select("doc_id", "h", "len", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -401,10 +411,13 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own component.
     """
     parts = written(row_components(docs, k=5, percent=80), "components")
-    others = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), "h", "len").distinct()
-    gone = (docs["doc_id"] == others["__id"]) & (F.xxhash64(docs["text"]) == others["h"]) & (F.length(docs["text"]) == others["len"])
-    kept = docs.join(others, gone, "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    others = written(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), "h", "len").distinct(), "copies")
+    likely, clean = maybe_in(docs, others.select(F.col("__id").alias("doc_id")), "doc_id")
+    gone = (likely["doc_id"] == others["__id"]) & (F.xxhash64(likely["text"]) == others["h"]) & (F.length(likely["text"]) == others["len"])
+    kept = clean.unionByName(likely.join(others, gone, "left_anti"))
     repeated = written(parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    discard(parts)
     if not repeated.limit(1).count():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
