@@ -87,6 +87,15 @@ def discard(*tables: DataFrame) -> None:
             _MADE.remove(df.written_to)
 
 
+#: Rows of a few numbers, and rows with a text of a few words, that may be broadcast.
+FEW_NUMBERS, FEW_TEXTS = 1_000_000, 100_000
+
+
+def sized(df: DataFrame, limit: int) -> DataFrame:
+    """df, a written table, marked for broadcast if it has at most `limit` rows and for a shuffled join otherwise. The size of a compressed file says little about that."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+
+
 #: A prefilter has at most so many bitmaps of 4,096 bytes (32 MB together), and eight bits for each key until then.
 BITMAP_BITS, MOST_BITMAPS = 32_768, 8_192
 
@@ -134,6 +143,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array of ints, op over all elements before it, from zero. Long arrays go in blocks of the square root of their size, as an array that grows by one element is copied each time."""
+
+    def plain(block: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
+        return F.aggregate(block, F.struct(start.alias("s"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda b: F.slice(v, b * size + 1, size))
+        before = lambda p: plain(F.transform(p, lambda b: F.aggregate(b, zero, op)), zero)
+        return let(parts, lambda p: let(before(p), lambda starts: F.flatten(F.transform(p, lambda b, i: plain(b, F.get(starts, i))))))
+
+    return let(values, lambda v: F.when(F.size(v) <= 64, plain(v, zero)).otherwise(blocks(v)))
+
+
 def spread(df: DataFrame, values: Column, name: str) -> DataFrame:
     """df with a row for each array element. explode() would add a filter on the array's size, which Spark pushes to the scan and so evaluates the whole expression twice and inside itself; the outer form has none."""
     return df.withColumn(name, F.explode_outer(values)).where(F.col(name).isNotNull())

@@ -6,8 +6,8 @@ joined with those of the documents; each hit is then extended to the windows of
 around it, and a window counts only if its words occur in an item. Items of fewer words have
 one window, the item itself; their lengths (at most nine) get K-grams of that length.
 
-Only hits leave a document's row before they are joined, never its words; the fingerprint
-table is broadcast by Spark only where its measured size is under Spark's threshold.
+Only hits leave a document's row before they are joined, never its words. Tables of the
+benchmark are broadcast up to a fixed number of rows and joined by shuffles beyond it.
 
 Defined results: null, empty and wordless texts have no words, no hits and are clean; items
 without words match nothing; repeated documents get equal rows; repeated items count by their
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, spread, table, written
+from .common import FEW_NUMBERS, FEW_TEXTS, ascii_lower, discard, maybe_in, sized, spread, table, written
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -49,11 +49,11 @@ def with_fingerprints(df: DataFrame, w: str = "w") -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """size, window (its words, joined by spaces) and the sorted distinct ids of the items that hold it."""
+    """size, window (its words, joined by spaces) and item, for each window of each item once."""
     w = items.select(F.col(key).cast("string").alias("item"), item_words(F.col(text)).alias("w")).where((F.size("w") > 0) & F.col("item").isNotNull())
     size = F.least(F.size("w"), F.lit(WINDOW))
     each = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
-    return spread(w.select("item", size.alias("size"), "w"), each, "window").groupBy("size", "window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spread(w.select("item", size.alias("size"), "w"), each, "window").select("size", "window", "item").distinct()
 
 
 def _doc_key(text: str) -> list[Column]:
@@ -62,24 +62,24 @@ def _doc_key(text: str) -> list[Column]:
 
 
 def hits(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _h, _n and the positions at which a kept fingerprint of the benchmark stands: (size of the window, position)."""
-    long_items = windows.where(F.col("size") == WINDOW).select(F.split("window", " ").alias("w"))
-    kept = spread(with_fingerprints(long_items).select("prints"), F.col("prints"), "p")
-    prints = written(kept.select(F.shiftright("p", POSITION_BITS).alias("fp")).distinct(), "benchmark-prints")
-    base = docs.select("doc_id", *_doc_key(text), item_words(F.col(text)).alias("w"))
-    found = (
-        spread(with_fingerprints(base).select("doc_id", "_h", "_n", "prints"), F.col("prints"), "p")
-        .select("doc_id", "_h", "_n", F.shiftright("p", POSITION_BITS).alias("fp"), F.col("p").bitwiseAND(F.lit(_LOW)).cast("int").alias("pos"))
-        .join(prints, "fp", "left_semi")
-        .select("doc_id", "_h", "_n", F.lit(WINDOW).alias("size"), "pos")
-    )
-    short = sorted(r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())
+    """doc_id, _h, _n and the positions at which a kept fingerprint of the benchmark stands: (size of the window, position). One pass over the texts for all sizes."""
+    long_items = windows.where(F.col("size") == WINDOW).select("window").distinct().select(F.split("window", " ").alias("w"))
+    kept = spread(with_fingerprints(long_items).select("prints"), F.col("prints"), "p").select(F.lit(WINDOW).alias("size"), F.shiftright("p", POSITION_BITS).alias("fp"))
+    short = sorted(r["size"] for r in windows.where(F.col("size") < WINDOW).select("size").distinct().collect())  # nine sizes at most
     for size in short:
-        wanted = windows.where(F.col("size") == size).select(F.xxhash64(*[F.get(F.split("window", " "), F.lit(j)) for j in range(size)]).alias("fp")).distinct()
-        found = found.unionByName(
-            base.select("doc_id", "_h", "_n", F.posexplode_outer(_grams(size)).alias("pos", "fp")).join(wanted, "fp", "left_semi").select("doc_id", "_h", "_n", F.lit(size).alias("size"), "pos")
-        )
-    return found.groupBy("doc_id", "_h", "_n").agg(F.collect_set(F.struct("size", "pos")).alias("at"))
+        words = F.split("window", " ")
+        kept = kept.union(windows.where(F.col("size") == size).select("size", F.xxhash64(*[F.get(words, F.lit(j)) for j in range(size)]).alias("fp")))
+    prints = written(kept.distinct(), "benchmark-prints")
+    base = docs.select("doc_id", *_doc_key(text), item_words(F.col(text)).alias("w"))
+    marks = [F.transform("prints", lambda p: F.struct(F.lit(WINDOW).alias("size"), p.bitwiseAND(F.lit(_LOW)).cast("int").alias("pos"), F.shiftright(p, POSITION_BITS).alias("fp")))]
+    marks += [_marks(size) for size in short]
+    step = with_fingerprints(base).select("doc_id", "_h", "_n", "prints", *[_grams(size).alias(f"g{size}") for size in short])
+    found = spread(step.select("doc_id", "_h", "_n", F.concat(*marks).alias("marks")), F.col("marks"), "m").select("doc_id", "_h", "_n", "m.size", "m.pos", "m.fp")
+    return found.join(sized(prints, FEW_NUMBERS), ["size", "fp"], "left_semi").groupBy("doc_id", "_h", "_n").agg(F.collect_set(F.struct("size", "pos")).alias("at"))
+
+
+def _marks(size: int) -> Column:
+    return F.transform(f"g{size}", lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("fp")))
 
 
 def _grams(size: int) -> Column:
@@ -99,10 +99,10 @@ def _covered(starts: Column) -> Column:
 
 
 def extended(docs: DataFrame, found: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _h, _n, n_hit and items of each document with a window that truly occurs."""
-    near = docs.select(F.col("doc_id").alias("_id"), *_doc_key(text), F.col(text).alias("_t"))
-    on = found["doc_id"].eqNullSafe(near["_id"]) & (found["_h"] == near["_h"]) & (found["_n"] == near["_n"])
-    w = near.join(found, on).select("doc_id", found["_h"], found["_n"], "at", item_words(F.col("_t")).alias("w"))
+    """doc_id, _h, _n, start, size, window: the windows around the hits that truly occur."""
+    likely, _ = maybe_in(docs.select("doc_id", text), found, "doc_id")
+    near = likely.select(F.col("doc_id").alias("_id"), *_doc_key(text), F.col(text).alias("_t")).withColumnsRenamed({"_h": "_th", "_n": "_tn"})
+    w = near.join(found, F.expr("doc_id <=> _id AND _h = _th AND _n = _tn")).select("doc_id", "_h", "_n", "at", item_words(F.col("_t")).alias("w"))
     n = F.size("w")
 
     def around(x: Column) -> Column:
@@ -113,18 +113,27 @@ def extended(docs: DataFrame, found: DataFrame, windows: DataFrame, text: str =
     starts = F.array_distinct(F.flatten(F.transform("at", around)))
     each = F.transform(starts, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.array_join(F.slice("w", x["start"] + 1, x["size"]), " ").alias("window")))
     flat = spread(w, each, "x").select("doc_id", "_h", "_n", "x.start", "x.size", "x.window")
-    real = flat.join(windows, ["size", "window"])
-    return real.groupBy("doc_id", "_h", "_n").agg(
-        _covered(F.collect_set(F.struct("start", "size"))).alias("n_hit"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+    kinds = written(windows.select("size", "window").distinct(), "benchmark-kinds")
+    return flat.join(sized(kinds, FEW_TEXTS), ["size", "window"], "left_semi")
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _h, _n, n_hit, items of the contaminated documents alone, written to the shared folder."""
+def occurrences(docs: DataFrame, items: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The windows that occur, by document and place, and the items that hold each window; both written."""
     windows = written(benchmark_windows(items), "benchmark-windows")
     found = written(hits(docs, windows, text), "benchmark-hits")
-    return written(extended(docs, found, windows, text), "contaminated")
+    real = written(extended(docs, found, windows, text), "occurrences")
+    discard(found)
+    return real, windows
+
+
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, _h, _n, n_hit, items (sorted ids) of the contaminated documents alone, written to the shared folder. Items meet documents as pairs, once each, before they are gathered."""
+    real, windows = occurrences(docs, items, text)
+    doc = ["doc_id", "_h", "_n"]
+    covered = real.groupBy(*doc).agg(_covered(F.collect_set(F.struct("start", "size"))).alias("n_hit"))
+    pairs = real.select(*doc, "size", "window").distinct().join(sized(windows, FEW_TEXTS), ["size", "window"]).select(*doc, "item").distinct()
+    held = pairs.groupBy(*doc).agg(F.array_sort(F.collect_list("item")).alias("items")).withColumnsRenamed({"doc_id": "_d", "_h": "_dh", "_n": "_dn"})
+    return written(covered.join(held, F.expr("doc_id <=> _d AND _h = _dh AND _n = _dn")).select(*doc, "n_hit", "items"), "contaminated")
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +152,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a single occurring window; the columns of documents stay."""
-    bad = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_bh"), F.col("_n").alias("_bn"))
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", *_doc_key("text"))
-    on = rows["doc_id"].eqNullSafe(bad["_id"]) & (rows["_h"] == bad["_bh"]) & (rows["_n"] == bad["_bn"])
-    return rows.join(bad, on, "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    """Documents without a single occurring window; the columns of documents stay. Null, empty and wordless texts stay, also without an id; repeated rows stay or go alike; an empty table or benchmark is no error."""
+    real, _ = occurrences(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    bad = written(real.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_bh"), F.col("_n").alias("_bn")).distinct(), "contaminated")
+    likely, clean = maybe_in(docs.select("doc_id", "text", "lang", "source", "n_chars"), bad.select(F.col("_id").alias("doc_id")), "doc_id")
+    rows = likely.select("*", *_doc_key("text"))
+    return clean.unionByName(rows.join(bad, F.expr("doc_id <=> _id AND _h = _bh AND _n = _bn"), "left_anti").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 _DUCK_WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

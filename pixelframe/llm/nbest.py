@@ -2,7 +2,9 @@
 
 The lattice of a text has an arc for each piece that matches at a place, and for each
 character outside the vocabulary an arc that stands for its bytes. A segmentation's score is
-the sum of its pieces' scores in the model file. Forward Viterbi scores are exact heuristics:
+the sum of its pieces' log-probabilities. The model file has merge ranks, which don't add up to a
+likelihood, so a piece's probability follows from its rank by Zipf's law: the piece of rank r has
+a share in proportion to 1 / (r + 1). Forward Viterbi scores are exact heuristics:
 a backward A* search from the end of the lattice, ordered by (score so far + Viterbi score of
 the rest), completes segmentations in descending order.
 
@@ -36,6 +38,7 @@ from .common import map_batches, table
 from .shingles import mix
 
 SPACE = "▁"
+_MARK = SPACE.encode()
 N_BEST, LONG, BLOCK_CHARS, REMEMBERED = 4, 64, 1 << 21, 100_000
 UNKNOWN_PENALTY = 10.0
 _BASE = 0x2545F4914F6CDD1D | 1
@@ -67,7 +70,10 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         normal = [i for i in range(size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.ids = {self.text[i]: i for i in normal}
-        self.scores = np.array([sp.get_score(i) for i in range(size)])
+        rank = np.zeros(size)
+        rank[sorted(normal, key=lambda i: (-sp.get_score(i), i))] = np.arange(len(normal))
+        # multiples of a power of two: sums are exact in any order, and ties are ties
+        self.scores = np.round((-np.log(rank + 1) - np.log(np.sum(1 / np.arange(1, len(normal) + 1)))) * 2**20) / 2**20
         self.unknown = float(min(self.scores[i] for i in normal)) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids))
         if any(SPACE in t.lstrip(SPACE) for t in self.ids):
@@ -123,6 +129,10 @@ class Pieces:
         text = out.decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """What the ids stand for, in bytes: pieces spelled out, bytes joined, marks turned into spaces, the one before the text dropped."""
+        return b"".join([self.spelling[i] for i in ids.tolist()]).replace(_MARK, b" ")[1:]
+
     def arcs(self, chunk: str) -> list[list[tuple[int, float, int]]]:
         """For each end: (start, score, id) of the arcs that end there, longer ones first; id -1 stands for a character's bytes."""
         out: list[list[tuple[int, float, int]]] = [[]]
@@ -158,8 +168,8 @@ class Pieces:
                     ids += self.expand(chunk[start]) if i < 0 else [i]
                 out.append((score, ids))
                 continue
-            for start, v, i in arcs[end]:
-                made += 1
+            for start, v, i in reversed(arcs[end]):  # of equal ones the latest goes on first: the one with the longer last piece
+                made -= 1
                 heapq.heappush(heap, (-(score + v + ahead[start]), made, start, score + v, ((start, i), path)))
         return out
 
@@ -318,8 +328,8 @@ class Segmenter:
                 self.known[chunk] = got
         return got
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[float], list[tuple[tuple[int, tuple[int, ...]], ...]]]]:
-        """For each text: ids of the best, scores of the N best, and for each of these the chunks that differ (number in the text, ids there)."""
+    def __call__(self, texts: list[str]) -> Iterator[tuple[list[np.ndarray], list[float]]]:
+        """For each text: the ids of its N best segmentations and their scores, best first."""
         b = Batch(self.p, texts)
         for t in range(len(texts)):
             chunks = b.which[b.bounds[t] : b.bounds[t + 1]]
@@ -334,8 +344,17 @@ class Segmenter:
                 places = sorted(int(x) for x in near if np.isfinite(loss[x]))
             found = [self.chunk_nbest(b.chunk(int(chunks[x]))) for x in places]
             rows = combine(best, [[f[0][0] - s for s, _ in f] for f in found], self.n)
-            changes = [tuple((places[q], tuple(found[q][r][1])) for q, r in enumerate(ranks) if r) for _, ranks in rows]
-            yield b.ids_of(chunks), [s for s, _ in rows], changes
+            ids = b.ids_of(chunks)
+            ends = np.concatenate([[0], np.cumsum(b.count[chunks])])
+            lists = [ids]
+            for _, ranks in rows[1:]:
+                parts, at = [], 0
+                for x, f, r in zip(places, found, ranks, strict=True):
+                    if r:
+                        parts += [ids[at : ends[x]], np.array(f[r][1], dtype=np.int32)]
+                        at = ends[x + 1]
+                lists.append(np.concatenate([*parts, ids[at:]]))
+            yield lists, [s for s, _ in rows]
 
 
 def _runs(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
@@ -350,31 +369,29 @@ def _runs(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
         yield held
 
 
-MADE = ("n_pieces", "n_bytes", "ids_crc32", "n_segmentations", "scores", "decodes", "ids")
-OUT = "n_pieces long, n_bytes long, ids_crc32 long, n_segmentations int, scores array<double>, decodes boolean, ids array<int>"
+MADE = ("n_pieces", "n_bytes", "ids_crc32", "n_segmentations", "scores", "decodes", "ids", "segmentations")
+OUT = "n_pieces long, n_bytes long, ids_crc32 long, n_segmentations int, scores array<double>, decodes boolean, ids array<int>, segmentations array<array<int>>"
 
 
 def segmented(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text") -> DataFrame:
-    """The columns of docs, but for the text and any that are named like a result, and: pieces and byte pieces of the best segmentation, crc32 of its ids (unsigned 32-bit little-endian), the scores of the N best in order, whether the best decodes to the text, and its ids."""
+    """The columns of docs, but for the text and any that are named like a result, and: pieces and byte pieces of the best segmentation, crc32 of its ids (unsigned 32-bit little-endian), the scores of the N best in order, whether all N decode to the text, the ids of the best, and those of all N."""
     keys = [c for c in docs.columns if c != text and c not in MADE]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(model, n)
         is_byte = np.zeros(len(seg.p.text), dtype=bool)
         is_byte[list(seg.p.byte_of)] = True
-        kept = np.array([len(t) for t in seg.p.spelling])
         for batch in batches:
             bodies = [x.as_py() or "" for x in batch.column(len(keys))]
             done = 0
             for part in _runs(bodies):
                 rows = []
-                for body, (ids, scores, _) in zip(part, seg(part), strict=True):
-                    # decoding the ids is exact if their pieces spell the text: lengths first, then the spelling itself
-                    want = marked(body).encode("utf-8", "surrogatepass")
-                    same = int(kept[ids].sum()) == len(want) and _spells(seg.p, ids, want)
-                    rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), len(scores), scores, same, ids))
+                for body, (lists, scores) in zip(part, seg(part), strict=True):
+                    want, ids = body.encode("utf-8", "surrogatepass").replace(_MARK, b" "), lists[0]
+                    same = all(seg.p.decoded(x) == want for x in lists)
+                    rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), len(scores), scores, same, ids, lists))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int32()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
                 made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(done, len(part)) for k in range(len(keys))], *made], names=[*keys, *MADE])
                 done += len(part)
@@ -384,10 +401,6 @@ def segmented(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text")
     return map_batches(narrow, task, f"{head}, {OUT}")
 
 
-def _spells(p: Pieces, ids: np.ndarray, want: bytes) -> bool:
-    return b"".join([p.spelling[i] for i in ids.tolist()]) == want
-
-
 def op3_nbest_astar(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     """The four best segmentations of every whole text of documents."""
     import public_tokenizers
@@ -397,7 +410,7 @@ def op3_nbest_astar(spark: SparkSession, sf_dir: str, model: str | None = None)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and lang with the best ids of each text and its N-best scores."""
+    """doc_id, lang and source with the best ids of each text and its N-best scores; n_chars goes. Null and empty texts have no ids and decode to an empty text; rows stay as they are in number, also repeated ones and those without an id; an empty table gives no rows."""
     import public_tokenizers
 
-    return segmented(docs.select("doc_id", "lang", "source", F.col("text")), public_tokenizers.path("piece_bpe_32k.model"))
+    return segmented(docs.select("doc_id", "lang", "source", F.col("text")), public_tokenizers.path("piece_bpe_32k.model")).drop("segmentations")

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import let, running, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Runs are matched possessively from their first character, so that long runs cost linear time; the matches are those of the plain patterns.
@@ -55,7 +55,7 @@ GAZETTEER = {
     "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
 }
 
-SPAN = "struct<kind:string,start:int,end:int,base:boolean,votes:array<int>>"
+SPAN = "struct<start:int,end:int,kind:string,base:boolean,votes:array<int>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -74,17 +74,10 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _placed(found: Column, gaps: Column) -> Column:
-    """start, m, before and after of each match, from the matches and the texts between them."""
-    rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,m:string,before:string,after:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["before"])
-        row = F.struct(at.alias("start"), x["m"].alias("m"), F.right(x["before"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(x["after"], F.lit(1)).alias("after"))
-        return F.struct((at + F.length(x["m"])).alias("pos"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+def _starts(found: Column, gaps: Column) -> Column:
+    """Where each match begins, from the matches and the texts between them."""
+    before = running(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), lambda a, b: a + b, F.lit(0))
+    return F.transform(before, lambda p, i: p + F.length(F.get(gaps, i)))
 
 
 def _digits(m: Column) -> Column:
@@ -124,17 +117,18 @@ def _votes(kind: str, x: Column) -> Column:
     )
 
 
-def _spans(kind: str, found: Column, gaps: Column, lenient: bool) -> Column:
+def _spans(kind: str, found: Column, gaps: Column, starts: Column, lenient: bool) -> Column:
     """All candidates of one pattern. Base patterns keep their failures as candidates where the shape is near: enough digits for a card or an address of four parts."""
 
     def near(m: Column) -> Column:
         return F.length(_digits(m)) >= 13 if kind == "card" else F.lit(True)
 
-    kept = F.filter(_placed(found, gaps), lambda x: near(x["m"]))
+    # bound by let: Spark moves a column that is read once to where it is read, here into a function of each match
+    rows = let(starts, lambda at: F.transform(found, lambda m, i: F.struct(F.get(at, i).alias("start"), m.alias("m"), F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("after"))))
     return F.transform(
-        kept,
+        F.filter(rows, lambda x: near(x["m"])),
         lambda x: F.struct(
-            F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"),
+            x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind"),
             (F.lit(False) if lenient else _valid(kind, x["m"])).alias("base"), _votes(kind, x).alias("votes"),
         ),
     )
@@ -152,16 +146,23 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     step = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_t"))
     step = step.select("*", *[F.when(need(t), _found(t, p)).otherwise(none).alias(f"_m{i}") for i, ((_, p, _), need) in enumerate(zip(_PATTERNS, _NEEDS, strict=True))])
     step = step.select("*", *[F.when(F.size(f"_m{i}") > 0, F.split(t, p, -1)).otherwise(none).alias(f"_g{i}") for i, (_, p, _) in enumerate(_PATTERNS)])
-    parts = [F.when(F.size(f"_m{i}") > 0, _spans(k, F.col(f"_m{i}"), F.col(f"_g{i}"), lenient)).otherwise(F.array().cast(f"array<{SPAN}>")) for i, (k, _, lenient) in enumerate(_PATTERNS)]
+    step = step.select("*", *[F.when(F.size(f"_m{i}") > 0, _starts(F.col(f"_m{i}"), F.col(f"_g{i}"))).alias(f"_s{i}") for i in range(len(_PATTERNS))])
+    parts = [F.when(F.size(f"_m{i}") > 0, _spans(k, F.col(f"_m{i}"), F.col(f"_g{i}"), F.col(f"_s{i}"), lenient)).otherwise(F.array().cast(f"array<{SPAN}>")) for i, (k, _, lenient) in enumerate(_PATTERNS)]
     step = step.withColumn("_all", F.concat(*parts))
     return step.select("row", _apart(F.col("_all")).alias("spans"))
 
 
 def _apart(spans: Column) -> Column:
-    """Drops candidates beyond the base that overlap a base span; base spans stay."""
-    base = F.filter(spans, lambda s: s["base"])
-    hit = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.when(F.size(base) == F.size(spans), spans).otherwise(F.filter(spans, lambda s: s["base"] | ~hit(s)))
+    """Drops candidates beyond the base that overlap a base span; base spans stay. In order of their starts, a span meets a base span if one before it ends later than it starts, or the next one starts before it ends."""
+    far = F.lit((1 << 31) - 1)
+
+    def kept(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: F.when(x["base"], x["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), F.lit(0))
+        nexts = F.reverse(running(F.reverse(F.transform(s, lambda x: F.when(x["base"], x["start"]).otherwise(far))), lambda a, b: F.least(a, b), far))
+        return let(ends, lambda e: let(nexts, lambda n: F.filter(s, lambda x, i: x["base"] | ((F.get(e, i) <= x["start"]) & (F.get(n, i) >= x["end"])))))
+
+    all_base = F.size(F.filter(spans, lambda s: s["base"])) == F.size(spans)
+    return F.when(all_base, spans).otherwise(let(F.array_sort(spans), kept))
 
 
 @dataclass
@@ -260,21 +261,26 @@ def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Spans of a text from which on it is cut by characters, as finding a place in a string takes time in proportion to it.
+MANY_SPANS = 500
+
+
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans are replaced together under the first one's kind. Null texts stay null."""
+    """docs with every span replaced by its kind in brackets; overlapping spans are replaced together under the first one's kind. Null and empty texts stay as they are, repeated rows are treated alike, other columns pass through, an empty table stays empty."""
     found = detect(docs, model, text)
     spans = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    body = F.col("row")[text]
-    whole = F.coalesce(body, F.lit(""))
-
-    def step(acc: Column, s: Column) -> Column:
-        again = s["start"] < acc["pos"]
-        more = F.concat(F.substring(whole, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(again, acc["out"]).otherwise(F.concat(acc["out"], F.array(more))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(whole, acc["pos"] + 1, F.length(whole))))
-    changed = F.when(F.size("spans") > 0, clean).otherwise(body)
+    body = F.coalesce(F.col("row")[text], F.lit(""))
+    found = found.select("row", spans.alias("_s"), body.alias("_t")).withColumn("_p", running(F.transform("_s", lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0)))
+    found = found.withColumn("_c", F.when(F.size("_s") > MANY_SPANS, F.regexp_extract_all("_t", F.lit("(?s)."), F.lit(0))))
+    chars = F.col("_c")
+
+    def between(a: Column, b: Column) -> Column:
+        return F.when(chars.isNull(), F.substring("_t", a + 1, b - a)).otherwise(F.array_join(F.slice(chars, a + 1, b - a), ""))
+
+    pieces = F.transform("_s", lambda s, i: F.when(s["start"] < F.get("_p", i), F.lit("")).otherwise(F.concat(between(F.get("_p", i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+    last = F.greatest(F.get("_p", F.size("_p") - 1), F.get("_s", F.size("_s") - 1)["end"])
+    clean = F.concat(F.array_join(pieces, ""), F.substring("_t", last + 1, F.length("_t")))
+    changed = F.when(F.size("_s") > 0, clean).otherwise(F.col("row")[text])
     return found.select(*[changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, written
+from .common import discard, map_batches, table, written
 from .shingles import chunks, mix, word_hashes
 
 BUCKETS, DIMS, REACH = 1 << 15, 32, 2
@@ -211,11 +211,32 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def threshold(hashes: DataFrame, limit: int) -> int | None:
+    """The largest h so that at most `limit` rows of hashes (column h, distinct) are <= h; None where all are. Counts of hash prefixes, 4,096 at a time, narrow it down; no more reaches the driver."""
+    inside, shift, taken = hashes, 52, 0
+    while True:
+        counts = sorted((r["p"], r["c"]) for r in inside.groupBy(F.shiftright("h", shift).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
+        for p, c in counts:
+            if taken + c > limit:
+                break
+            taken += c
+        else:
+            return None if inside is hashes else ((p + 1) << shift) - 1
+        if shift == 0:
+            return p - 1
+        inside, shift = inside.where(F.shiftright("h", shift) == p), max(0, shift - 12)
+
+
 def labelled_sample(rows: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `limit` rows outside the held-out fold."""
+    """Features and labels of the `limit` documents with the least hashes of doc_id, outside the held-out fold. Of rows that share an id one counts, that with the greatest features."""
     known = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    got = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("x", "quality").collect()
+    known = written(known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")), "labelled")
+    top = threshold(known.select("h"), limit)
+    chosen = known if top is None else known.where(F.col("h") <= top)
+    got = rows.join(chosen, "doc_id").groupBy("h", "doc_id", "quality").agg(F.max("x").alias("x")).collect()
+    got.sort(key=lambda r: (r["h"], r["doc_id"]))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype="<f4").reshape(len(got), FEATURES).astype(np.float64)
+    discard(known)
     return x, np.array([float(r["quality"]) for r in got])
 
 

@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once for each document; the ledger keeps the measurements and one
-bit for each failed rule. Policies are versioned masks over those bits, so a new policy or
-an ablation never reads a text again.
+bit for each failed rule, and is stored as Parquet. Policies are versioned masks over those
+bits, so a new policy or an ablation reads the stored bits and never a text again.
 
 Defined results: null and empty texts have no words and fail the word count; repeated rows
 give repeated ledger rows; an empty table gives an empty ledger; columns other than the id
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, kept_where, table, words
+from .common import SEPARATORS, kept_where, table, words, written
 
 #: A sorted key holds the upper bits of a window's hash and its position in the lower ones.
 POSITION_BITS = 24
@@ -29,11 +29,12 @@ RULES: dict[int, tuple[str, str]] = {
     4: ("upper_case", "2 * n_upper > word_chars"),
     5: ("exclamations", "4 * n_exclaim > n_words"),
     6: ("long_words", "word_chars > 20 * n_words"),
+    7: ("duplicate_line_chars", "10 * dup_line_chars > 3 * line_chars"),
 }
 BASE_MASK = 0b11
 #: Version -> mask of the rules that reject.
-POLICIES: dict[int, int] = {1: BASE_MASK, 2: 0b1111111}
-CURRENT = 2
+POLICIES: dict[int, int] = {1: BASE_MASK, 2: 0b1111111, 3: 0b11110111}
+CURRENT = 3
 
 
 def _window_key(w: Column, i: Column) -> Column:
@@ -82,6 +83,8 @@ def measurements(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.length(F.array_join("lines", "")).cast("long").alias("line_chars"),
+        (F.length(F.array_join("lines", "")) - F.length(F.array_join(F.array_distinct("lines"), ""))).cast("long").alias("dup_line_chars"),
         F.regexp_count("t", F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
         (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).cast("long").alias("n_exclaim"),
     )
@@ -106,13 +109,24 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return measurements(docs, key, text).withColumn("fail_bits", bits)
 
 
+def stored_ledger(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger written to path (replaced; by default a folder of its own among the shared ones) and read back. Null, empty and repeated rows have a line each; an empty table gives an empty ledger."""
+    rows = ledger(docs, key, text)
+    if path is None:
+        return written(rows, "ledger")
+    rows.write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def verdict(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
-    """Adds kept: no bit of the policy's mask is set."""
-    return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0)
+    """Adds kept: no bit of the policy's mask is set; and decided_by: the one rule that rejects, null where none or several do."""
+    mine = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]))
+    alone = F.when(F.bit_count(mine) == 1, F.expr(f"CASE {' '.join(f'WHEN fail_bits & {POLICIES[policy]} = {1 << r} THEN {r}' for r in RULES)} END"))
+    return rows.withColumn("kept", mine == 0).withColumn("decided_by", alone)
 
 
 def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
-    """For each rule of the policy: documents that fail it, that fail it alone, and that would be kept without it.
+    """For each rule of the policy: documents that fail it, that fail it alone, and that would be kept without it. An empty ledger gives no rows, repeated rows count each.
 
     Bits are counted first (at most 2^rules rows), then each rule is dropped from the mask in turn.
     """
@@ -132,16 +146,19 @@ def ablations(rows: DataFrame, policy: int = CURRENT) -> DataFrame:
 
 
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents under the current policy."""
-    rows = verdict(ledger(table(spark, sf_dir, "documents")))
+    """The stored ledger of all documents under the current policy and the first one, and the ablation of the rule that decides a document: how many documents would be kept without it. The ablation has a row for each rule and is broadcast."""
+    stored = stored_ledger(table(spark, sf_dir, "documents"))
+    without = F.broadcast(ablations(stored).select(F.col("bit").alias("decided_by"), "n_kept_without"))
+    rows = verdict(stored).join(without, "decided_by", "left")
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(BASE_MASK)) != 0).alias("base_failed"), "kept", "fail_bits",
+        (F.col("fail_bits").bitwiseAND(F.lit(POLICIES[1])) == 0).alias("kept_v1"), "decided_by", "n_kept_without",
     )
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps, with the columns of documents. A text is measured where it lies: no join."""
+    """Documents that the current policy keeps, with the columns of documents. A text is measured where it lies: no join. Null, empty and short texts go; repeated rows stay or go alike, rows without an id like others; an empty table stays empty; other columns are dropped."""
     tagged = docs.select(F.struct("doc_id", "text", "lang", "source", "n_chars").alias("d"), "text")
     kept = verdict(ledger(tagged.select("d", "text"), key="d"))
     return kept_where(kept, F.col("kept")).select("doc_id.*")
@@ -154,14 +171,17 @@ w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '{SEPARATORS}'
 g AS (SELECT rid, i, w[i] || chr(1) || w[i+1] || chr(1) || w[i+2] k FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) i FROM w WHERE len(w) >= 3)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) c FROM g) WHERE c > 1),
 c AS (SELECT rid, count(*) n FROM (SELECT DISTINCT rid, i + o p FROM r, (SELECT unnest([0, 1, 2]) o)) GROUP BY rid),
-l AS (SELECT rid, count(*) n_lines, count(DISTINCT x) n_dist FROM (SELECT rid, unnest(string_split(t, chr(10))) x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY rid),
+l AS (SELECT rid, count(*) n_lines, count(DISTINCT x) n_dist, length(string_agg(x, '')) line_chars, length(string_agg(x, '')) - length(array_to_string(list_distinct(list(x)), '')) dup_line_chars FROM (SELECT rid, unnest(string_split(t, chr(10))) x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY rid),
 m AS (
   SELECT w.doc_id, len(w.w)::BIGINT n_words, length(array_to_string(w.w, ''))::BIGINT word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT n_symbols, coalesce(l.n_lines - l.n_dist, 0)::BIGINT n_dup_lines,
-    coalesce(c.n, 0)::BIGINT n_repeat_words, coalesce(l.n_lines, 0) n_lines,
+    coalesce(c.n, 0)::BIGINT n_repeat_words, coalesce(l.n_lines, 0) n_lines, coalesce(l.line_chars, 0) line_chars, coalesce(l.dup_line_chars, 0) dup_line_chars,
     len(regexp_extract_all(t, '[A-Z]')) n_upper, length(t) - length(replace(t, '!', '')) n_exclaim
   FROM w LEFT JOIN c USING (rid) LEFT JOIN l USING (rid)),
-b AS (SELECT *, (CASE WHEN {RULES[0][1]} THEN 1 ELSE 0 END) {" ".join(f"| (CASE WHEN {e} THEN {1 << r} ELSE 0 END)" for r, (_, e) in RULES.items() if r)} fail_bits FROM m)
+b AS (SELECT *, (CASE WHEN {RULES[0][1]} THEN 1 ELSE 0 END) {" ".join(f"| (CASE WHEN {e} THEN {1 << r} ELSE 0 END)" for r, (_, e) in RULES.items() if r)} fail_bits FROM m),
+v AS (SELECT *, fail_bits & {POLICIES[CURRENT]} mine FROM b),
+a AS (SELECT r decided_by, (SELECT count(*) FROM v WHERE mine & ~(1 << r) = 0) n_kept_without FROM (SELECT unnest({list(RULES)}) r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (fail_bits & {BASE_MASK}) <> 0 AS base_failed, (fail_bits & {POLICIES[CURRENT]}) = 0 AS kept, fail_bits::INT AS fail_bits FROM b
+  (fail_bits & {BASE_MASK}) <> 0 AS base_failed, mine = 0 AS kept, fail_bits::INT AS fail_bits,
+  (fail_bits & {POLICIES[1]}) = 0 AS kept_v1, a.decided_by::INT AS decided_by, a.n_kept_without FROM v LEFT JOIN a ON v.mine = 1 << a.decided_by
 """

@@ -5,6 +5,9 @@ for each slot (a table of at most n_slots rows, whatever the corpus size), and a
 versioned map says which shard holds a slot. Rebalancing edits the map, never the hash,
 so only the slots whose entry changes move.
 
+A stored map is found again by its folder: its newest version is read, edited by rebalancing or
+by adding shards where that is called for, and the edited map is stored as the next version.
+
 Defined results: a null text has no bytes and still counts one byte (its size is
 bytes + 1); a null key hashes like any value; repeated rows each get their own place;
 an empty table gives an empty result and a map without loads. Columns of the input
@@ -14,12 +17,13 @@ besides the key and the text are ignored, so clashing names do no harm.
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import new_path, shared_dir, table
 
 N_SLOTS = 8192
 
@@ -124,55 +128,84 @@ def grow(old: SlotMap, slots: list[tuple[int, int, int]], shards: int = 1) -> Sl
     return wide
 
 
+def newest_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest version stored under path, or None. It has n_slots rows, whatever the corpus size."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(top) else []
+    versions = [int(n.removeprefix("map_version=")) for n in names if n.startswith("map_version=")]
+    if not versions:
+        return None
+    got = sorted((r["vslot"], r["shard"], r["n_shards"]) for r in spark.read.parquet(f"{path}/map_version={max(versions)}").select("vslot", "shard", "n_shards").collect())
+    return SlotMap(len(got), got[0][2], [s for _, s, _ in got], max(versions))
+
+
 def store_map(spark: SparkSession, smap: SlotMap, slots: list[tuple[int, int, int]], path: str) -> DataFrame:
-    """Write the map as a new version under path and read it back: version, vslot, shard, bytes, rows, first.
+    """Write the map as a new version under path and read it back: version, n_shards, vslot, shard, bytes, rows.
 
-    `first` is the number of rows that the shard's lower slots hold, so that a row's place in
-    its shard is first + its rank in the slot. The table has n_slots rows, whatever the corpus.
+    The table has n_slots rows, whatever the corpus. A writer that finds its version taken fails; it may read the newest one and edit that.
     """
     load = {s: (b, n) for s, b, n in slots}
-    before, first = [0] * smap.n_shards, []
-    for s in range(smap.n_slots):
-        first.append(before[smap.shard[s]])
-        before[smap.shard[s]] += load.get(s, (0, 0))[1]
 
     def column(values: list[int], kind: str) -> Column:
         return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col("vslot"))
 
     spark.range(smap.n_slots).select(
         F.lit(smap.version).alias("version"),
+        F.lit(smap.n_shards).alias("n_shards"),
         F.col("id").cast("int").alias("vslot"),
     ).select(
         "version",
+        "n_shards",
         "vslot",
         column(smap.shard, "int").alias("shard"),
         column([load.get(s, (0, 0))[0] for s in range(smap.n_slots)], "bigint").alias("bytes"),
         column([load.get(s, (0, 0))[1] for s in range(smap.n_slots)], "bigint").alias("rows"),
-        column(first, "bigint").alias("first"),
     ).coalesce(1).write.parquet(f"{path}/map_version={smap.version}")
     return spark.read.parquet(f"{path}/map_version={smap.version}")
 
 
-def assign(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Shard and gapless place in the shard for each row of measured(). The map has a fixed number of rows, so it is broadcast."""
+def assign(rows: DataFrame, stored: DataFrame, slots: list[tuple[int, int, int]]) -> DataFrame:
+    """Shard and gapless place in the shard for each row of measured(), whose slot loads are given. A place is the number of rows in the shard's lower slots and the row's rank in its slot. The map has a fixed number of rows, so it is broadcast."""
+    load = {s: n for s, _, n in slots}
+    n = F.coalesce(F.get(F.from_json(F.lit(json.dumps([load.get(s, 0) for s in range(max(load, default=0) + 1)])), "array<bigint>"), F.col("vslot")), F.lit(0))
+    lower = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = stored.select("vslot", "shard", n.alias("n")).select("vslot", "shard", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("first"))
     in_slot = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
-        rows.join(F.broadcast(stored.select("vslot", "shard", "first")), "vslot")
+        rows.join(F.broadcast(firsts), "vslot")
         .withColumn("rank", F.row_number().over(in_slot))
         .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"), "vslot")
     )
 
 
+def edited(old: SlotMap | None, slots: list[tuple[int, int, int]], n_shards: int, n_slots: int = N_SLOTS) -> SlotMap:
+    """The map for these loads: the old one where it still serves, the old one rebalanced or with more shards (rows move into those alone), or a new one where there is none or it has other slots or more shards. An empty table leaves an old map as it is."""
+    if old is None or old.n_slots != n_slots or old.n_shards > n_shards:
+        fresh = build_map(slots, n_shards, n_slots)
+        fresh.version = old.version + 1 if old else 1
+        return fresh
+    if old.n_shards < n_shards:
+        return grow(old, slots, n_shards - old.n_shards)
+    even = rebalance(old, slots)
+    return even if even.moved else old
+
+
 def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
-    """Measure, build and store version 1 of the map, and place every row."""
+    """Measure, find the newest map under path, edit and store it where needed, and place every row."""
     spark = docs.sparkSession
+    path = path or new_path(spark, "slotmap")
     rows = measured(docs, n_slots=n_slots)
     slots = slot_loads(rows)
-    stored = store_map(spark, build_map(slots, n_shards, n_slots), slots, path or new_path(spark, "slotmap"))
-    return assign(rows, stored)
+    old = newest_map(spark, path)
+    smap = edited(old, slots, n_shards, n_slots)
+    stored = store_map(spark, smap, slots, path) if smap is not old else spark.read.parquet(f"{path}/map_version={smap.version}")
+    return assign(rows, stored, slots)
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over shards 0 to 7 under the law of near-equal bytes."""
-    placed = shard(table(spark, sf_dir, "documents"), 8)
+    """All documents over shards 0 to 7 under the law of near-equal bytes. Each input folder has a map of its own among the shared folders, which a later run finds and edits."""
+    path = f"{shared_dir(spark)}/op9-slot-map-{zlib.crc32(sf_dir.encode()):08x}"
+    placed = shard(table(spark, sf_dir, "documents"), 8, path=path)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
