@@ -171,12 +171,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def box_medians(pixels: DataFrame, step: int, half: int, w: int, h: int) -> DataFrame:
-    """Medians over overlapping boxes of half-size `half` around a grid of centres every `step` pixels: img, gx, gy, median, n."""
+def box_medians(pixels: DataFrame, step: int, half: int, w: int | None, h: int | None) -> DataFrame:
+    """Medians over overlapping boxes of half-size `half` around a grid of centres every `step` pixels: img, gx, gy, median, n. A size of None has no far edge."""
 
-    def centres(c: str, size: int) -> Column:
+    def centres(c: str, size: int | None) -> Column:
         lo = F.greatest(F.lit(0), F.ceil((F.col(c) - half) / step))
-        hi = F.least(F.lit((size - 1) // step), F.floor((F.col(c) + half) / step))
+        hi = F.floor((F.col(c) + half) / step)
+        if size is not None:
+            hi = F.least(F.lit((size - 1) // step), hi)
         return F.explode(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>")))
 
     rows = pixels.select("img", "d", "y", centres("x", w).alias("gx")).select("img", "d", "gx", centres("y", h).alias("gy"))

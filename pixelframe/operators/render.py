@@ -34,6 +34,13 @@ def render_join(pixels: DataFrame, sources: DataFrame) -> DataFrame:
     return p.join(sources, keys).where(inside).drop("gx", "gy", "bx0", "bx1", "by0", "by1")
 
 
+def spread(pixels: DataFrame) -> DataFrame:
+    """pixels dealt by block over all cores: few bytes, but many exponentials, so sizes in bytes must not decide."""
+    spark = pixels.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pixels.repartition(n, "img", F.floor(F.col("x") / BLOCK), F.floor(F.col("y") / BLOCK))
+
+
 def gauss_unit(dx: Column, dy: Column, sigma: Column) -> Column:
     """Unit-flux round Gaussian."""
     return F.exp(-0.5 * (dx * dx + dy * dy) / (sigma * sigma)) / (2 * math.pi * sigma * sigma)
@@ -42,8 +49,8 @@ def gauss_unit(dx: Column, dy: Column, sigma: Column) -> Column:
 def unit_models(pixels: DataFrame, sources: DataFrame, psf: Column, half: Column, shape: Column | None = None) -> DataFrame:
     """img, sid, x, y, d, iv, u: unit flux of each source under a PSF mixture, convolved with its own profile where one is given."""
     mixture = psf if shape is None else mog.convolve(shape, psf)
-    met = render_join(pixels, boxed(sources.withColumn("_mog", mixture), half))
-    return met.withColumn("u", mog.evaluate(F.col("_mog"), F.col("x") - F.col("px"), F.col("y") - F.col("py"))).drop("_mog")
+    met = render_join(spread(pixels), boxed(sources.withColumn("_mog", mog.prepared(mixture)), half))
+    return met.withColumn("u", mog.evaluate_prepared(F.col("_mog"), F.col("x") - F.col("px"), F.col("y") - F.col("py"))).drop("_mog")
 
 
 def model_image(pixels: DataFrame, umod: DataFrame, sky: Column | float = 0.0) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import solve as sv
 from ..operators import splines
 from ..sources.fixtures import fixture, read, with_fixtures
 from .core import query
-from .model_queries import _DES, _MOD, _U, _design, _model, _umod, _umod_all, _values
+from .model_queries import _DES, _MOD, _U, _design, _model, _umod, _umod, _values
 
 C = F.col
 
@@ -71,16 +71,16 @@ def _exp_at(r2: str) -> str:
     return f"sum(a / (2e0 * pi() * (v * {r2} + 2e0)) * exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * {r2} + 2e0)))"
 
 
-@query("shape_derivs", f"""{with_fixtures('pixels', 'srcs')}, k(a, v) AS (VALUES {_values(mog.profile('exp'))}), b AS (SELECT sid, x, y, px, py, 1e0 + psize % 3 r FROM srcs JOIN pixels ON img = 1 AND abs(x - round_even(px, 0)) <= 8 AND abs(y - round_even(py, 0)) <= 8 WHERE sid % 8 = 1),
+@query("shape_derivs", f"""{with_fixtures('pixels', 'srcs')}, k(a, v) AS (VALUES {_values(mog.profile('exp'))}), b AS (SELECT sid, x, y, px, py, 1e0 + psize % 3 r FROM srcs JOIN pixels ON img = 1 AND abs(x - round_even(px, 0)) <= 8 AND abs(y - round_even(py, 0)) <= 8),
 u AS (SELECT sid, x, y, ({_exp_at('(r + 0.01e0) * (r + 0.01e0)')} - {_exp_at('r * r')}) / 0.01e0 dr FROM b, k GROUP BY sid, x, y) SELECT sid, round(sum(dr), 6) + 0e0 total, round(max(abs(dr)), 6) peak FROM u GROUP BY sid""")
 def shape_derivs(spark: SparkSession, d: str) -> DataFrame:
     """Derivative by radius: one-sided step of the unit model of an exponential galaxy."""
-    s, psf = fixture(spark, d, "srcs").where("sid % 8 = 1").withColumn("r", 1.0 + C("psize") % 3), mog.isotropic([(1.0, 2.0)])
+    s, psf = fixture(spark, d, "srcs").withColumn("r", 1.0 + C("psize") % 3), mog.isotropic([(1.0, 2.0)])
     z = F.lit(0.0)
     shape = lambda r: mog.convolve(mog.affine(mog.isotropic(mog.profile("exp")), r, z, z, r), psf)
-    met = rd.render_join(fixture(spark, d, "pixels").where("img = 1"), rd.boxed(s.withColumns({"m0": shape(C("r")), "m1": shape(C("r") + 0.01)}), F.lit(8)))
+    met = rd.render_join(rd.spread(fixture(spark, d, "pixels").where("img = 1")), rd.boxed(s.withColumns({"m0": mog.prepared(shape(C("r"))), "m1": mog.prepared(shape(C("r") + 0.01))}), F.lit(8)))
     dx, dy = C("x") - C("px"), C("y") - C("py")
-    v = met.withColumn("dr", (mog.evaluate(C("m1"), dx, dy) - mog.evaluate(C("m0"), dx, dy)) / 0.01)
+    v = met.withColumn("dr", (mog.evaluate_prepared(C("m1"), dx, dy) - mog.evaluate_prepared(C("m0"), dx, dy)) / 0.01)
     return v.groupBy("sid").agg((F.round(F.sum("dr"), 6) + 0.0).alias("total"), F.round(F.max(F.abs("dr")), 6).alias("peak"))
 
 
@@ -98,16 +98,16 @@ def all_derivs(spark: SparkSession, d: str) -> DataFrame:
     return sky.unionByName(flux).groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 5).alias("s"))
 
 
-@query("pair_covariance", f"""{_DES}, k AS (SELECT * FROM a WHERE img = 2 AND sid % 20 IN (0, 1)), s AS (SELECT sid // 20 g, x, y, max(CASE WHEN sid % 20 = 0 THEN a ELSE 0e0 END) p, max(CASE WHEN sid % 20 = 1 THEN a ELSE 0e0 END) q FROM k GROUP BY 1, 2, 3),
-n AS (SELECT g, sum(p * p) pp, sum(p * q) pq, sum(q * q) qq FROM s GROUP BY g) SELECT g, round(qq / (pp * qq - pq * pq), 5) v0, round(pp / (pp * qq - pq * pq), 5) v1, round(-pq / (pp * qq - pq * pq), 5) + 0e0 cov FROM n WHERE pp * qq - pq * pq > 1e-6""")
+@query("pair_covariance", f"""{_DES}, s AS (SELECT sid // 2 g, img, x, y, max(CASE WHEN sid % 2 = 0 THEN a ELSE 0e0 END) p, max(CASE WHEN sid % 2 = 1 THEN a ELSE 0e0 END) q FROM a GROUP BY 1, 2, 3, 4),
+n AS (SELECT g, img, sum(p * p) pp, sum(p * q) pq, sum(q * q) qq FROM s GROUP BY g, img) SELECT g, img, round(qq / (pp * qq - pq * pq), 5) v0, round(pp / (pp * qq - pq * pq), 5) v1, round(-pq / (pp * qq - pq * pq), 5) + 0e0 cov FROM n WHERE pp * qq - pq * pq > 1e-6""")
 def pair_covariance(spark: SparkSession, d: str) -> DataFrame:
     """Full covariance of two blended fluxes: the inverse of their normal matrix."""
-    k = _design(spark, d).where("img = 2 AND pid % 20 IN (0, 1)")
-    part = lambda r: F.max(F.when(C("pid") % 20 == r, C("a")).otherwise(0.0))
-    s = k.groupBy(F.floor(C("pid") / 20).alias("g"), "x", "y").agg(part(0).alias("p"), part(1).alias("q"))
-    n = s.groupBy("g").agg(*[F.sum(C(i) * C(j)).alias(i + j) for i, j in ("pp", "pq", "qq")])
+    k = _design(spark, d)
+    part = lambda r: F.max(F.when(C("pid") % 2 == r, C("a")).otherwise(0.0))
+    s = k.groupBy(F.floor(C("pid") / 2).alias("g"), "img", "x", "y").agg(part(0).alias("p"), part(1).alias("q"))
+    n = s.groupBy("g", "img").agg(*[F.sum(C(i) * C(j)).alias(i + j) for i, j in ("pp", "pq", "qq")])
     det = C("pp") * C("qq") - C("pq") * C("pq")
-    return n.where(det > 1e-6).select("g", F.round(C("qq") / det, 5).alias("v0"), F.round(C("pp") / det, 5).alias("v1"), (F.round(-C("pq") / det, 5) + 0.0).alias("cov"))
+    return n.where(det > 1e-6).select("g", "img", F.round(C("qq") / det, 5).alias("v0"), F.round(C("pp") / det, 5).alias("v1"), (F.round(-C("pq") / det, 5) + 0.0).alias("cov"))
 
 
 _DAMPS = [0.0] + [10.0**k for k in range(-3, 4)]
@@ -151,7 +151,7 @@ def varying_psf(spark: SparkSession, d: str) -> DataFrame:
             sig = [float(splines.on_grid(at, at, widths, np.array([x % 80]), np.array([y]))[0, 0]) for x, y in zip(pdf.px, pdf.py, strict=True)]
             yield pd.DataFrame({"sid": pdf.sid, "sigma": np.round(sig, 6)})
 
-    return fixture(spark, d, "all_srcs").select("sid", "px", "py").mapInPandas(task, "sid long, sigma double")
+    return fixture(spark, d, "srcs").select("sid", "px", "py").mapInPandas(task, "sid long, sigma double")
 
 
 @query("sersic_render")
@@ -169,7 +169,7 @@ def sersic_render(spark: SparkSession, d: str) -> DataFrame:
 @query("optimise_loop")
 def optimise_loop(spark: SparkSession, d: str, tol: float = 1e-6, steps: int = 10) -> DataFrame:
     """Fluxes of sources, each taken as isolated, in each image by repeated linear steps with a line search, until the likelihood gains less than tol. Lineage is cut at each step."""
-    u = im.cut(_umod_all(spark, d).where("u > 1e-4").select(F.struct("sid", "img").alias("sid"), "x", "y", "u", "d", "iv"))
+    u = im.cut(_umod(spark, d).where("u > 1e-4").select(F.struct("sid", "img").alias("sid"), "x", "y", "u", "d", "iv"))
     flux = u.groupBy("sid").agg(F.lit(100.0).alias("f"))
     for _ in range(steps):
         r = u.join(flux, "sid").withColumn("c0", (C("d") - C("f") * C("u")) * F.sqrt("iv"))
@@ -185,7 +185,7 @@ def optimise_loop(spark: SparkSession, d: str, tol: float = 1e-6, steps: int = 1
 @query("em_offsets")
 def em_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Offset between two catalogues of a field by EM: matches scatter around it by a Gaussian over a uniform background."""
-    s = fixture(spark, d, "all_srcs")
+    s = fixture(spark, d, "srcs")
     rng = F.pmod(F.xxhash64("sid"), F.lit(1000)) / 1000.0
     pairs = s.select((C("sid") % 4).alias("field"), (0.3 + (rng - 0.5) * F.when(C("psize") % 3 == 0, 6.0).otherwise(0.4)).alias("dx"), (-0.2 + (F.pmod(F.xxhash64("px", "sid"), F.lit(1000)) / 1000.0 - 0.5) * F.when(C("psize") % 3 == 0, 6.0).otherwise(0.4)).alias("dy"))
 
@@ -212,7 +212,7 @@ def lbfgs_fit(spark: SparkSession, d: str) -> DataFrame:
         best, cost = sv.lbfgs(lambda p: float((w * (y - 1000 * p[0] * v - 100 * p[1]) ** 2).sum()) / 1e4, np.array([0.1, 0.1]))
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "flux": [round(1000 * best[0], 1)], "sky": [round(100 * best[1], 2)]})
 
-    u = _umod_all(spark, d)
+    u = _umod(spark, d)
     best = u.groupBy("img").agg(F.max_by("sid", F.struct("flux", -C("sid"))).alias("sid"))
     return u.join(best, ["img", "sid"]).select("img", "u", "d", "iv").groupBy("img").applyInPandas(fit, "img int, flux double, sky double")
 
@@ -229,7 +229,7 @@ def multi_image_fit(spark: SparkSession, d: str) -> DataFrame:
         got, _ = sv.levenberg(lambda p: (model(p) - v) * w, np.array([pdf.flux.iloc[0], pdf.px.iloc[0], pdf.py.iloc[0], *sky]))
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sky": [round(float(got[3:].sum()), 4)]})
 
-    met = rd.render_join(fixture(spark, d, "all_pixels"), rd.boxed(fixture(spark, d, "all_srcs"), F.lit(7)))
+    met = rd.render_join(fixture(spark, d, "pixels"), rd.boxed(fixture(spark, d, "srcs"), F.lit(7)))
     rows = met.where("iv > 0").select("sid", "img", "x", "y", "d", F.sqrt("iv").alias("w"), "flux", "px", "py", (1.0 + 0.5 * (C("img") % 3)).alias("psf"))
     return rows.groupBy("sid").applyInPandas(fit, "sid long, flux double, px double, py double, sky double")
 

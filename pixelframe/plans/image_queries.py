@@ -42,11 +42,11 @@ def integral_image(spark: SparkSession, d: str) -> DataFrame:
     return im.integral(fixture(spark, d, "pixels"))
 
 
-@query("rect_sum", f"""{with_fixtures('pixels', 'srcs')} SELECT s.sid rid, coalesce(sum(d), 0e0) total FROM srcs s LEFT JOIN pixels p ON p.img = 1 + s.sid % 3 AND p.x >= floor(px)::INT AND p.x < least(40, floor(px)::INT + 1 + psize % 9) AND p.y >= floor(py)::INT AND p.y < least(40, floor(py)::INT + 6) GROUP BY s.sid""")
+@query("rect_sum", f"""{with_fixtures('pixels', 'srcs')} SELECT s.sid rid, coalesce(sum(d), 0e0) total FROM srcs s LEFT JOIN pixels p ON p.img = 1 + s.sid % 3 AND p.x >= floor(px)::INT AND p.x < least(80 * floor(px / 80e0)::INT + 40, floor(px)::INT + 1 + psize % 9) AND p.y >= floor(py)::INT AND p.y < least(40, floor(py)::INT + 6) GROUP BY s.sid""")
 def rect_sum(spark: SparkSession, d: str) -> DataFrame:
     """Rectangle sums by four corners of the integral table."""
     rects = fixture(spark, d, "srcs").select(
-        C("sid").alias("rid"), (1 + C("sid") % 3).cast("int").alias("img"), F.floor("px").cast("int").alias("x0"), F.least(F.lit(40), F.floor("px").cast("int") + 1 + C("psize") % 9).alias("x1"),
+        C("sid").alias("rid"), (1 + C("sid") % 3).cast("int").alias("img"), F.floor("px").cast("int").alias("x0"), F.least((80 * F.floor(C("px") / 80.0) + 40).cast("int"), F.floor("px").cast("int") + 1 + C("psize") % 9).alias("x1"),
         F.floor("py").cast("int").alias("y0"), F.least(F.lit(40), F.floor("py").cast("int") + 6).alias("y1"),
     )
     return im.rect_sums(im.integral(fixture(spark, d, "pixels")), rects)
@@ -86,66 +86,66 @@ def patch_overlap(spark: SparkSession, d: str) -> DataFrame:
     return p.join(q, ["x", "y"]).where("img < j").groupBy(C("img").alias("i"), "j").agg(F.sum(C("d") * C("e")).alias("dot"), F.count(F.lit(1)).alias("n")).where("dot > 0")
 
 
-def _conv(kernel: list[tuple[int, float]], img: str, digits: int) -> str:
+def _conv(kernel: list[tuple[int, float]], digits: int) -> str:
     k = ", ".join(f"({o}, {w!r}::DOUBLE)" for o, w in kernel)
-    return f"""{_P}, k(o, w) AS (VALUES {k}), a AS (SELECT img, x - o x, y, sum(d * w) v FROM pixels, k WHERE {img} GROUP BY 1, 2, 3), b AS (SELECT img, x, y - o y, sum(v * w) v FROM a, k GROUP BY 1, 2, 3)
+    return f"""{_P}, k(o, w) AS (VALUES {k}), a AS (SELECT img, x - o x, y, sum(d * w) v FROM pixels, k GROUP BY 1, 2, 3), b AS (SELECT img, x, y - o y, sum(v * w) v FROM a, k GROUP BY 1, 2, 3)
 SELECT img, x, y, round(v, {digits}) + 0e0 v FROM b"""
 
 
-@query("smooth", _conv(im.gaussian_kernel(1.3), "img = 1", 6))
+@query("smooth", _conv(im.gaussian_kernel(1.3), 6))
 def smooth(spark: SparkSession, d: str) -> DataFrame:
     """Separable Gaussian smoothing, zero outside."""
     k = im.gaussian_kernel(1.3)
-    return im.convolve_separable(fixture(spark, d, "pixels").where("img = 1"), k, k).select("img", "x", "y", (F.round("v", 6) + 0.0).alias("v"))
+    return im.convolve_separable(fixture(spark, d, "pixels"), k, k).select("img", "x", "y", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("lanczos_shift", _conv(im.lanczos_kernel(0.3), "img = 2", 6))
+@query("lanczos_shift", _conv(im.lanczos_kernel(0.3), 6))
 def lanczos_shift(spark: SparkSession, d: str) -> DataFrame:
     """Sub-pixel shift by seven weights along x, then y."""
     k = im.lanczos_kernel(0.3)
-    return im.convolve_separable(fixture(spark, d, "pixels").where("img = 2"), k, k).select("img", "x", "y", (F.round("v", 6) + 0.0).alias("v"))
+    return im.convolve_separable(fixture(spark, d, "pixels"), k, k).select("img", "x", "y", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("detection_map", _conv(im.gaussian_kernel(1.5), "img = 3", 6).split("SELECT img, x, y, round(v")[0] + "SELECT img, x, y, round(v * 4e0 * pi() * 1.5e0 * 1.5e0, 4) + 0e0 det FROM b WHERE v * 4e0 * pi() * 1.5e0 * 1.5e0 > 5e0 * 60e0 * 2e0 * sqrt(pi()) * 1.5e0")
+@query("detection_map", _conv(im.gaussian_kernel(1.5), 6).split("SELECT img, x, y, round(v")[0] + "SELECT img, x, y, round(v * 4e0 * pi() * 1.5e0 * 1.5e0, 4) + 0e0 det FROM b WHERE v * 4e0 * pi() * 1.5e0 * 1.5e0 > 5e0 * 30e0 * 2e0 * sqrt(pi()) * 1.5e0")
 def detection_map(spark: SparkSession, d: str) -> DataFrame:
-    """Smoothing over norm squared, and pixels above five times the map's noise (noise of a pixel: 60)."""
+    """Smoothing over norm squared, and pixels above five times the map's noise (noise of a pixel: 30)."""
     import math
 
     k, norm = im.gaussian_kernel(1.5), 1 / (2 * math.sqrt(math.pi) * 1.5)
-    v = im.convolve_separable(fixture(spark, d, "pixels").where("img = 3"), k, k).withColumn("det", C("v") / norm**2)
-    return v.where(C("det") > 5 * 60 / norm).select("img", "x", "y", (F.round("det", 4) + 0.0).alias("det"))
+    v = im.convolve_separable(fixture(spark, d, "pixels"), k, k).withColumn("det", C("v") / norm**2)
+    return v.where(C("det") > 5 * 30 / norm).select("img", "x", "y", (F.round("det", 4) + 0.0).alias("det"))
 
 
-@query("dilate", f"{_P} SELECT DISTINCT img, x + dx x, y + dy y FROM pixels, {_CROSS} WHERE d >= 250e0")
+@query("dilate", f"{_P} SELECT DISTINCT img, x + dx x, y + dy y FROM pixels, {_CROSS} WHERE d >= 75e0")
 def dilate(spark: SparkSession, d: str) -> DataFrame:
-    return im.dilate(fixture(spark, d, "pixels").where("d >= 250e0").select("img", "x", "y"))
+    return im.dilate(fixture(spark, d, "pixels").where("d >= 75e0").select("img", "x", "y"))
 
 
-_BLOB = f"""{_P}, h AS (SELECT x, y, d, y::BIGINT * 1048576 + x l FROM pixels WHERE img = 1 AND d >= 200e0), e AS (SELECT a.l a, b.l b FROM h a JOIN h b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
-r AS (SELECT * FROM (WITH RECURSIVE c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, min(b) label FROM c GROUP BY a)), z AS (SELECT x, y, d, label FROM h JOIN r ON h.l = r.a)"""
+_BLOB = f"""{_P}, h AS (SELECT img, x, y, d, (img::BIGINT << 44) + y::BIGINT * 1048576 + x l FROM pixels WHERE d >= 75e0), e AS (SELECT a.l a, b.l b FROM h a JOIN h b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+r AS (SELECT * FROM (WITH RECURSIVE c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, min(b) & 17592186044415 label FROM c GROUP BY a)), z AS (SELECT img, x, y, d, label FROM h JOIN r ON h.l = r.a)"""
 
 
-@query("blobs", f"{_BLOB} SELECT x, y, label FROM z")
+@query("blobs", f"{_BLOB} SELECT img, x, y, label FROM z")
 def blobs(spark: SparkSession, d: str) -> DataFrame:
     """Eight-connected components of bright pixels."""
-    return im.blobs(fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")).select("x", "y", "label")
+    return im.blobs(fixture(spark, d, "pixels").where("d >= 75e0")).select("img", "x", "y", "label")
 
 
-@query("blob_peaks", f"{_BLOB} SELECT label, min(x) x0, max(x) x1, min(y) y0, max(y) y1, count(*)::BIGINT n, max(d) peak FROM z GROUP BY label")
+@query("blob_peaks", f"{_BLOB} SELECT img, label, min(x) x0, max(x) x1, min(y) y0, max(y) y1, count(*)::BIGINT n, max(d) peak FROM z GROUP BY img, label")
 def blob_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Bounding box, size and peak of each component."""
-    return im.blob_boxes(fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")).drop("img")
+    return im.blob_boxes(fixture(spark, d, "pixels").where("d >= 75e0"))
 
 
-@query("blob_peak_pixels", f"{_BLOB} SELECT label, x, y, d FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d DESC, y, x) k FROM z) WHERE k = 1")
+@query("blob_peak_pixels", f"{_BLOB} SELECT img, label, x, y, d FROM (SELECT *, row_number() OVER (PARTITION BY img, label ORDER BY d DESC, y, x) k FROM z) WHERE k = 1")
 def blob_peak_pixels(spark: SparkSession, d: str) -> DataFrame:
-    return im.blob_maxima(fixture(spark, d, "pixels").where("img = 1 AND d >= 200e0")).drop("img")
+    return im.blob_maxima(fixture(spark, d, "pixels").where("d >= 75e0"))
 
 
 @query("sed_filter", f"""{_P}, b AS (SELECT CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, x, y, sum(d * iv) / sum(iv) m, sum(iv) iv FROM pixels GROUP BY 1, 2, 3),
 s(sed, band, f) AS (VALUES ('flat', 'g', 1e0), ('flat', 'r', 1e0), ('flat', 'z', 1e0), ('red', 'g', 0.25e0), ('red', 'r', 1e0), ('red', 'z', 2.5e0)),
 v AS (SELECT sed, x, y, sum(f * m * iv) / sqrt(sum(f * f * iv)) sn FROM b JOIN s USING (band) GROUP BY 1, 2, 3)
-SELECT sed, x, y, round(sn, 5) sn FROM v WHERE sn > 700e0""")
+SELECT sed, x, y, round(sn, 5) sn FROM v WHERE sn > 150e0""")
 def sed_filter(spark: SparkSession, d: str) -> DataFrame:
     """Bands combined under each spectrum: sum of s m iv over the root of the sum of s^2 iv."""
     band = F.when(C("img") % 3 == 0, "z").when(C("img") % 3 == 1, "g").otherwise("r")
@@ -154,40 +154,45 @@ def sed_filter(spark: SparkSession, d: str) -> DataFrame:
     per = lambda fs: F.when(C("band") == "g", fs["g"]).when(C("band") == "r", fs["r"]).otherwise(fs["z"])
     rows = b.select("x", "y", "m", "iv", F.explode(F.array(*[F.struct(F.lit(n).alias("sed"), per(fs).alias("f")) for n, fs in seds.items()])).alias("s"))
     v = rows.groupBy("s.sed", "x", "y").agg((F.sum(C("s.f") * C("m") * C("iv")) / F.sqrt(F.sum(C("s.f") * C("s.f") * C("iv")))).alias("sn"))
-    return v.where("sn > 700e0").select("sed", "x", "y", F.round("sn", 5).alias("sn"))
+    return v.where("sn > 150e0").select("sed", "x", "y", F.round("sn", 5).alias("sn"))
 
 
-@query("resample_nearest", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, round_even(0.9e0 * i + 0.1e0 * j + 1.3e0, 0)::INT x, round_even(-0.1e0 * i + 0.9e0 * j + 2.2e0, 0)::INT y FROM range(40) a(i), range(40) b(j)) SELECT img, tx, ty, d FROM t JOIN pixels USING (x, y) WHERE img = 1""")
+def _by_field(pixels: DataFrame) -> DataFrame:
+    """pixels with x counted from the edge of their field, and the field."""
+    return pixels.withColumns({"field": F.floor(C("x") / 80), "x": (C("x") % 80).cast("int")})
+
+
+@query("resample_nearest", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, round_even(0.9e0 * i + 0.1e0 * j + 1.3e0, 0)::INT x, round_even(-0.1e0 * i + 0.9e0 * j + 2.2e0, 0)::INT y FROM range(40) a(i), range(40) b(j)) SELECT img, p.x // 80 field, tx, ty, d FROM t JOIN pixels p ON t.x = p.x % 80 AND t.y = p.y""")
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Target pixels through an affine map onto source pixels, nearest one."""
     t = spark.range(1600).select((C("id") % 40).cast("int").alias("tx"), F.floor(C("id") / 40).cast("int").alias("ty"))
     near = lambda e: F.bround(e, 0).cast("int")
     t = t.select("tx", "ty", near(0.9 * C("tx") + 0.1 * C("ty") + 1.3).alias("x"), near(-0.1 * C("tx") + 0.9 * C("ty") + 2.2).alias("y"))
-    return fixture(spark, d, "pixels").where("img = 1").join(t, ["x", "y"]).select("img", "tx", "ty", "d")
+    return _by_field(fixture(spark, d, "pixels")).join(t, ["x", "y"]).select("img", "field", "tx", "ty", "d")
 
 
 _L3 = "CASE WHEN abs({0}) < 1e-12 THEN 1e0 WHEN abs({0}) >= 3 THEN 0e0 ELSE 3e0 * sin(pi() * ({0})) * sin(pi() * ({0}) / 3e0) / (pi() * ({0}) * pi() * ({0})) END"
 
 
-@query("resample_lanczos", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, 0.97e0 * i + 0.05e0 * j + 1.3e0 fx, -0.05e0 * i + 0.97e0 * j + 2.2e0 fy FROM range(5, 30) a(i), range(5, 30) b(j)),
+@query("resample_lanczos", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, 0.97e0 * i + 0.05e0 * j + 1.3e0 fx, -0.05e0 * i + 0.97e0 * j + 2.2e0 fy FROM range(40) a(i), range(40) b(j)),
 o AS (SELECT tx, ty, floor(fx)::INT + dx x, floor(fy)::INT + dy y, {_L3.format('(fx - (floor(fx) + dx))')} wx, {_L3.format('(fy - (floor(fy) + dy))')} wy FROM t, range(-2, 4) c(dx), range(-2, 4) e(dy))
-SELECT tx, ty, round(sum(d * wx * wy) / sum(wx * wy), 5) + 0e0 v FROM o JOIN pixels USING (x, y) WHERE img = 1 GROUP BY tx, ty HAVING abs(sum(wx * wy)) > 0.2e0""")
+SELECT img, p.x // 80 field, tx, ty, round(sum(d * wx * wy) / sum(wx * wy), 5) + 0e0 v FROM o JOIN pixels p ON o.x = p.x % 80 AND o.y = p.y GROUP BY 1, 2, 3, 4 HAVING abs(sum(wx * wy)) > 0.2e0""")
 def resample_lanczos(spark: SparkSession, d: str) -> DataFrame:
     """Target pixels meet their 36 source pixels in one equi-join; weights are normalised over those that exist."""
     from ..functions.geometry import lanczos3
 
-    t = spark.range(625).select((5 + C("id") % 25).cast("int").alias("tx"), (5 + F.floor(C("id") / 25)).cast("int").alias("ty"))
+    t = spark.range(1600).select((C("id") % 40).cast("int").alias("tx"), F.floor(C("id") / 40).cast("int").alias("ty"))
     t = t.select("tx", "ty", (0.97 * C("tx") + 0.05 * C("ty") + 1.3).alias("fx"), (-0.05 * C("tx") + 0.97 * C("ty") + 2.2).alias("fy"))
     o = t.select("*", F.explode(F.sequence(F.lit(-2), F.lit(3))).alias("dx")).select("*", F.explode(F.sequence(F.lit(-2), F.lit(3))).alias("dy"))
     o = o.select("tx", "ty", (F.floor("fx") + C("dx")).cast("int").alias("x"), (F.floor("fy") + C("dy")).cast("int").alias("y"), (lanczos3(C("fx") - (F.floor("fx") + C("dx"))) * lanczos3(C("fy") - (F.floor("fy") + C("dy")))).alias("w"))
-    got = fixture(spark, d, "pixels").where("img = 1").join(o, ["x", "y"]).groupBy("tx", "ty").agg(F.sum(C("d") * C("w")).alias("v"), F.sum("w").alias("w"))
-    return got.where(F.abs("w") > 0.2).select("tx", "ty", (F.round(C("v") / C("w"), 5) + 0.0).alias("v"))
+    got = _by_field(fixture(spark, d, "pixels")).join(o, ["x", "y"]).groupBy("img", "field", "tx", "ty").agg(F.sum(C("d") * C("w")).alias("v"), F.sum("w").alias("w"))
+    return got.where(F.abs("w") > 0.2).select("img", "field", "tx", "ty", (F.round(C("v") / C("w"), 5) + 0.0).alias("v"))
 
 
-@query("sky_grid_medians", f"""{_P}, g AS (SELECT img, gx::BIGINT gx, gy::BIGINT gy, d FROM pixels, range(0, 4) a(gx), range(0, 4) b(gy) WHERE abs(x - gx * 10) <= 8 AND abs(y - gy * 10) <= 8) SELECT img, gx, gy, median(d) median, count(*)::BIGINT n FROM g GROUP BY 1, 2, 3""")
+@query("sky_grid_medians", f"""{_P}, g AS (SELECT img, gx::BIGINT gx, gy::BIGINT gy, d FROM pixels, (SELECT DISTINCT unnest([x // 10, x // 10 + 1]) gx FROM pixels) a, range(0, 4) b(gy) WHERE abs(x - gx * 10) <= 8 AND abs(y - gy * 10) <= 8) SELECT img, gx, gy, median(d) median, count(*)::BIGINT n FROM g GROUP BY 1, 2, 3""")
 def sky_grid_medians(spark: SparkSession, d: str) -> DataFrame:
     """Medians over overlapping boxes: every pixel goes into the few boxes that hold it."""
-    return im.box_medians(fixture(spark, d, "pixels"), 10, 8, 40, 40)
+    return im.box_medians(fixture(spark, d, "pixels"), 10, 8, None, 40)
 
 
 @query("sky_cells", f"{_P} SELECT img, floor(x / 10e0)::BIGINT cx, floor(y / 10e0)::BIGINT cy, median(d) med FROM pixels WHERE iv > 0 GROUP BY 1, 2, 3")
@@ -195,14 +200,14 @@ def sky_cells(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "pixels").where("iv > 0").groupBy("img", F.floor(C("x") / 10.0).alias("cx"), F.floor(C("y") / 10.0).alias("cy")).agg(F.median("d").alias("med"))
 
 
-@query("patch_masked", f"""{_P}, p AS (SELECT img, x, y, d, iv < 2e0 bad FROM pixels WHERE img = 1), n AS (SELECT a.x, a.y, avg(b.d) f FROM p a JOIN p b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.bad AND NOT b.bad GROUP BY 1, 2)
-SELECT p.img, p.x, p.y, round(CASE WHEN bad THEN coalesce(f, 0e0) ELSE d END, 6) d FROM p LEFT JOIN n USING (x, y)""")
+@query("patch_masked", f"""{_P}, p AS (SELECT img, x, y, d, iv < 2e0 bad FROM pixels), n AS (SELECT a.img, a.x, a.y, avg(b.d) f FROM p a JOIN p b ON a.img = b.img AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.bad AND NOT b.bad GROUP BY 1, 2, 3)
+SELECT p.img, p.x, p.y, round(CASE WHEN bad THEN coalesce(f, 0e0) ELSE d END, 6) d FROM p LEFT JOIN n USING (img, x, y)""")
 def patch_masked(spark: SparkSession, d: str) -> DataFrame:
     """Masked pixels filled with the mean of their good neighbours."""
-    p = fixture(spark, d, "pixels").where("img = 1").select("img", "x", "y", "d", (C("iv") < 2).alias("bad"))
+    p = fixture(spark, d, "pixels").select("img", "x", "y", "d", (C("iv") < 2).alias("bad"))
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
-    n = p.where("NOT bad").select("x", "y", "d", o.alias("o")).groupBy((C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y")).agg(F.avg("d").alias("f"))
-    return p.join(n, ["x", "y"], "left").select("img", "x", "y", F.round(F.when(C("bad"), F.coalesce("f", F.lit(0.0))).otherwise(C("d")), 6).alias("d"))
+    n = p.where("NOT bad").select("img", "x", "y", "d", o.alias("o")).groupBy("img", (C("x") + C("o.dx")).alias("x"), (C("y") + C("o.dy")).alias("y")).agg(F.avg("d").alias("f"))
+    return p.join(n, ["img", "x", "y"], "left").select("img", "x", "y", F.round(F.when(C("bad"), F.coalesce("f", F.lit(0.0))).otherwise(C("d")), 6).alias("d"))
 
 
 @query("polygon_mask", f"{_P} SELECT img, count(*)::BIGINT n, sum(d) total FROM pixels WHERE x + y >= 20 AND x + y <= 50 AND x - y <= 15 AND y - x <= 15 GROUP BY img")

@@ -40,11 +40,11 @@ def xmatch_nearest(spark: SparkSession, d: str) -> DataFrame:
     return s.nearest(_match(spark, d).withColumn("dist", F.round("dist", 9))).select("lid", "rid")
 
 
-@query("xmatch_self", f"{_pairs(right='cat1')} SELECT lid, rid, round(dist, 7) dist FROM pairs WHERE lid < rid")
+@query("xmatch_self", f"{_pairs(6.0, right='cat1')} SELECT lid, rid, round(dist, 7) dist FROM pairs WHERE lid < rid")
 def xmatch_self(spark: SparkSession, d: str) -> DataFrame:
     """Symmetric self-match: each pair once, no identities."""
     a = fixture(spark, d, "cat1")
-    return s.sky_pairs(a, a, R).where("lid < rid").withColumn("dist", F.round("dist", 7))
+    return s.sky_pairs(a, a, 6.0).where("lid < rid").withColumn("dist", F.round("dist", 7))
 
 
 @query("xmatch_left_zero", f"{_pairs()}, n AS (SELECT lid, rid FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY round(dist, 9), rid) k FROM pairs) WHERE k = 1) SELECT cat1.id, cat1.ra, coalesce(b.val, 0e0) val, coalesce(b.size, 0)::INT size, rid IS NOT NULL matched FROM cat1 LEFT JOIN n ON n.lid = cat1.id LEFT JOIN cat2 b ON b.id = n.rid")

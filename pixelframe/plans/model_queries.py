@@ -32,12 +32,6 @@ def _umod(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
     return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
 
 
-def _umod_all(spark: SparkSession, d: str) -> DataFrame:
-    """As _umod, for every source of the whole table over all its fields."""
-    met = rd.render_join(fixture(spark, d, "all_pixels"), rd.boxed(fixture(spark, d, "all_srcs"), F.ceil(C("sig") * REACH)))
-    return met.withColumn("u", rd.gauss_unit(C("x") - C("px"), C("y") - C("py"), C("sig")))
-
-
 # --- forced photometry ----------------------------------------------------------------------
 
 
@@ -48,10 +42,10 @@ def forced_phot_isolated(spark: SparkSession, d: str) -> DataFrame:
     return v.where("a > 1e-9").select("sid", "img", (F.round(C("b") / C("a"), 4) + 0.0).alias("flux"), F.round("a", 6).alias("flux_iv"))
 
 
-@query("per_exposure_phot", f"{_U} SELECT sid, img, round(100e0 + sum(u * (d - 100e0 * u) * iv) / sum(u * u * iv), 4) + 0e0 flux FROM u WHERE img % 2 = 1 GROUP BY sid, img HAVING sum(u * u * iv) > 1e-9")
+@query("per_exposure_phot", f"{_U} SELECT sid, img, round(100e0 + sum(u * (d - 100e0 * u) * iv) / sum(u * u * iv), 4) + 0e0 flux FROM u GROUP BY sid, img HAVING sum(u * u * iv) > 1e-9")
 def per_exposure_phot(spark: SparkSession, d: str) -> DataFrame:
     """Each exposure alone, as a step from a flux of 100."""
-    v = _umod(spark, d).where("img % 2 = 1").groupBy("sid", "img").agg(F.sum(C("u") * (C("d") - 100.0 * C("u")) * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    v = _umod(spark, d).groupBy("sid", "img").agg(F.sum(C("u") * (C("d") - 100.0 * C("u")) * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
     return v.where("a > 1e-9").select("sid", "img", (F.round(100.0 + C("b") / C("a"), 4) + 0.0).alias("flux"))
 
 
@@ -185,14 +179,14 @@ def mog_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _render_sql(parts: list[tuple[float, float]], scale: str) -> str:
-    """Profile of radius `scale` under a Gaussian PSF of variance 2, summed over image 1 for sources of one kind."""
-    return f"""{with_fixtures('pixels', 'srcs')}, k(a, v) AS (VALUES {_values(parts)}), b AS (SELECT sid, x, y, px, py, psize FROM srcs JOIN pixels ON img = 1 AND abs(x - round_even(px, 0)) <= 12 AND abs(y - round_even(py, 0)) <= 12 WHERE sid % 4 = 1),
+    """Profile of radius `scale` under a Gaussian PSF of variance 2, summed over the pixels of image 1."""
+    return f"""{with_fixtures('pixels', 'srcs')}, k(a, v) AS (VALUES {_values(parts)}), b AS (SELECT sid, x, y, px, py, psize FROM srcs JOIN pixels ON img = 1 AND abs(x - round_even(px, 0)) <= 12 AND abs(y - round_even(py, 0)) <= 12),
 u AS (SELECT sid, x, y, sum(a / (2e0 * pi() * (v * {scale} + 2e0)) * CASE WHEN ((x - px) * (x - px) + (y - py) * (y - py)) / (v * {scale} + 2e0) < 700e0 THEN exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * {scale} + 2e0)) ELSE 0e0 END) u FROM b, k GROUP BY sid, x, y)
 SELECT sid, round(sum(u), 7) total, round(max(u), 8) peak, count(*)::BIGINT n FROM u GROUP BY sid"""
 
 
 def _rendered(spark: SparkSession, d: str, shape) -> DataFrame:
-    s = fixture(spark, d, "srcs").where("sid % 4 = 1")
+    s = fixture(spark, d, "srcs")
     u = rd.unit_models(fixture(spark, d, "pixels").where("img = 1"), s, mog.isotropic([(1.0, 2.0)]), F.lit(12), shape)
     return u.groupBy("sid").agg(F.round(F.sum("u"), 7).alias("total"), F.round(F.max("u"), 8).alias("peak"), F.count(F.lit(1)).alias("n"))
 
@@ -243,11 +237,11 @@ def psf_normalised(spark: SparkSession, d: str) -> DataFrame:
     return p.select("img", "x", "y", F.round(C("d") / F.sum("d").over(Window.partitionBy("img")), 10).alias("w"))
 
 
-@query("psfex_eval", f"{with_fixtures('pixels', 'srcs')}, b AS (SELECT img - 1 k, x, y, d FROM pixels WHERE img <= 6 AND x < 8 AND y < 8), t AS (SELECT sid, (px - 20e0) / 20e0 u, (py - 20e0) / 20e0 v FROM srcs WHERE sid < 40), c AS (SELECT sid, 0 k, 1e0 t FROM t UNION ALL SELECT sid, 1, u FROM t UNION ALL SELECT sid, 2, u * u FROM t UNION ALL SELECT sid, 3, v FROM t UNION ALL SELECT sid, 4, u * v FROM t UNION ALL SELECT sid, 5, v * v FROM t) SELECT sid, x, y, round(sum(t * d), 7) + 0e0 p FROM c JOIN b USING (k) GROUP BY 1, 2, 3")
+@query("psfex_eval", f"{with_fixtures('pixels', 'srcs')}, b AS (SELECT img - 1 k, x, y, d FROM pixels WHERE img <= 6 AND x < 8 AND y < 8), t AS (SELECT sid, (px % 80e0 - 20e0) / 20e0 u, (py - 20e0) / 20e0 v FROM srcs), c AS (SELECT sid, 0 k, 1e0 t FROM t UNION ALL SELECT sid, 1, u FROM t UNION ALL SELECT sid, 2, u * u FROM t UNION ALL SELECT sid, 3, v FROM t UNION ALL SELECT sid, 4, u * v FROM t UNION ALL SELECT sid, 5, v * v FROM t) SELECT sid, x, y, round(sum(t * d), 7) + 0e0 p FROM c JOIN b USING (k) GROUP BY 1, 2, 3")
 def psfex_eval(spark: SparkSession, d: str) -> DataFrame:
     """Polynomial PSF of degree two: six basis images weighted by powers of the scaled position."""
     basis = fixture(spark, d, "pixels").where("img <= 6 AND x < 8 AND y < 8").select((C("img") - 1).alias("k"), "x", "y", "d")
-    t = fixture(spark, d, "srcs").where("sid < 40").select("sid", ((C("px") - 20.0) / 20.0).alias("u"), ((C("py") - 20.0) / 20.0).alias("v"))
+    t = fixture(spark, d, "srcs").select("sid", ((C("px") % 80.0 - 20.0) / 20.0).alias("u"), ((C("py") - 20.0) / 20.0).alias("v"))
     terms = F.posexplode(F.array(F.lit(1.0), C("u"), C("u") * C("u"), C("v"), C("u") * C("v"), C("v") * C("v"))).alias("k", "t")
     return t.select("sid", terms).join(basis, "k").groupBy("sid", "x", "y").agg((F.round(F.sum(C("t") * C("d")), 7) + 0.0).alias("p"))
 
@@ -279,14 +273,14 @@ def flux_derivs(spark: SparkSession, d: str) -> DataFrame:
     return _umod(spark, d).where("u > 0").groupBy("sid", "img").agg(F.round(F.sum(C("u") * F.sqrt("iv")), 5).alias("s1"), F.round(F.sum(C("u") * C("u") * C("iv")), 6).alias("s2"), F.count(F.lit(1)).alias("n"))
 
 
-@query("position_derivs", f"""{_U}, e AS (SELECT sid, img, x, y, u, lag(CASE WHEN TRUE THEN u END) OVER w ul, lead(u) OVER w ur, lag(x) OVER w xl, lead(x) OVER w xr, flux FROM u WHERE img = 1 WINDOW w AS (PARTITION BY sid, img, y ORDER BY x))
-SELECT sid, x, y, round(flux * ((CASE WHEN xl = x - 1 THEN ul ELSE 0e0 END) - (CASE WHEN xr = x + 1 THEN ur ELSE 0e0 END)) / 2e0, 4) + 0e0 dx FROM e""")
+@query("position_derivs", f"""{_U}, e AS (SELECT sid, img, x, y, u, lag(CASE WHEN TRUE THEN u END) OVER w ul, lead(u) OVER w ur, lag(x) OVER w xl, lead(x) OVER w xr, flux FROM u WINDOW w AS (PARTITION BY sid, img, y ORDER BY x))
+SELECT sid, img, x, y, round(flux * ((CASE WHEN xl = x - 1 THEN ul ELSE 0e0 END) - (CASE WHEN xr = x + 1 THEN ur ELSE 0e0 END)) / 2e0, 4) + 0e0 dx FROM e""")
 def position_derivs(spark: SparkSession, d: str) -> DataFrame:
     """Half central differences of the unit patch along a row, times the counts; pixels beyond the patch count zero."""
     w = Window.partitionBy("sid", "img", "y").orderBy("x")
     left = F.when(F.lag("x").over(w) == C("x") - 1, F.lag("u").over(w)).otherwise(0.0)
     right = F.when(F.lead("x").over(w) == C("x") + 1, F.lead("u").over(w)).otherwise(0.0)
-    return _umod(spark, d).where("img = 1").select("sid", "x", "y", (F.round(C("flux") * (left - right) / 2.0, 4) + 0.0).alias("dx"))
+    return _umod(spark, d).select("sid", "img", "x", "y", (F.round(C("flux") * (left - right) / 2.0, 4) + 0.0).alias("dx"))
 
 
 _DES = f"{_U}, a AS (SELECT sid, img, x, y, u * sqrt(iv) a, d * sqrt(iv) b FROM u WHERE u > 1e-4)"
@@ -315,13 +309,13 @@ def shared_columns(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(C("pid").alias("i")).agg(F.round(F.sum(C("a") * C("a")), 5).alias("aa"), F.round(F.sum(C("a") * C("b")), 4).alias("ab"))
 
 
-@query("overlap_groups", f"""{_U}, e AS (SELECT DISTINCT p.sid a, q.sid b FROM u p JOIN u q ON p.img = q.img AND p.x = q.x AND p.y = q.y WHERE p.img = 1 AND p.u > 2e-2 AND q.u > 2e-2),
+@query("overlap_groups", f"""{_U}, e AS (SELECT DISTINCT p.sid a, q.sid b FROM u p JOIN u q ON p.img = q.img AND p.x = q.x AND p.y = q.y WHERE p.u > 2e-2 AND q.u > 2e-2),
 r AS (SELECT * FROM (WITH RECURSIVE c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, min(b) grp FROM c GROUP BY a)) SELECT sid id, coalesce(grp, sid) grp FROM srcs LEFT JOIN r ON r.a = sid""")
 def overlap_groups(spark: SparkSession, d: str) -> DataFrame:
     """Sources whose footprints share a pixel, chained: the groups that have to be solved together."""
-    u = _umod(spark, d).where("img = 1 AND u > 2e-2").select("sid", "x", "y")
-    first = u.groupBy("x", "y").agg(F.min("sid").alias("b"))  # a star at each pixel links what all its pairs would
-    pairs = u.join(first, ["x", "y"]).where("sid <> b").select(C("sid").alias("a"), "b").distinct()
+    u = _umod(spark, d).where("u > 2e-2").select("sid", "img", "x", "y")
+    first = u.groupBy("img", "x", "y").agg(F.min("sid").alias("b"))  # a star at each pixel links what all its pairs would
+    pairs = u.join(first, ["img", "x", "y"]).where("sid <> b").select(C("sid").alias("a"), "b").distinct()
     return cat.groups_of(pairs, fixture(spark, d, "srcs").select(C("sid").alias("id")))
 
 
@@ -334,25 +328,33 @@ def _unkeyed(key: str) -> list[Column]:
     return [C(key).bitwiseAND(F.lit((1 << 40) - 1)).alias("sid"), F.shiftright(key, 40).cast("int").alias("img")]
 
 
+def _groups(des: DataFrame, rhs: DataFrame) -> DataFrame:
+    """i, grp: columns of a design that share pixels, chained. A star at each pixel links what all its pairs would."""
+    px = des.select("pid", "img", "x", "y")
+    first = px.groupBy("img", "x", "y").agg(F.min("pid").alias("b"))
+    links = px.join(first, ["img", "x", "y"]).where("pid <> b").select(C("pid").alias("a"), "b").distinct()
+    return cat.groups_of(links, rhs.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
+
+
 @query("forced_phot_blended")
 def forced_phot_blended(spark: SparkSession, d: str) -> DataFrame:
     """Fluxes of overlapping sources in each image solved together, group by group; variances ignore blending."""
-    des = _design(spark, d, _umod_all).withColumn("pid", _keyed("pid"))
+    des = _design(spark, d).withColumn("pid", _keyed("pid"))
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
-    groups = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
+    groups = _groups(des, r)
     return sv.solve_groups(m, r, groups).select(*_unkeyed("i"), F.round("value", 4).alias("flux"), F.round("variance", 8).alias("variance"))
 
 
-@query("forced_phot_pairs", f"""{_DES}, k AS (SELECT * FROM a WHERE img = 2 AND sid % 20 IN (0, 1)), s AS (SELECT sid // 20 g, img, x, y, max(CASE WHEN sid % 20 = 0 THEN a ELSE 0e0 END) p, max(CASE WHEN sid % 20 = 1 THEN a ELSE 0e0 END) q, any_value(b) b FROM k GROUP BY 1, 2, 3, 4),
-n AS (SELECT g, sum(p * p) pp, sum(p * q) pq, sum(q * q) qq, sum(p * b) pb, sum(q * b) qb FROM s GROUP BY g) SELECT g, round((pb * qq - qb * pq) / (pp * qq - pq * pq), 4) f0, round((qb * pp - pb * pq) / (pp * qq - pq * pq), 4) f1 FROM n WHERE pp * qq - pq * pq > 1e-6""")
+@query("forced_phot_pairs", f"""{_DES}, s AS (SELECT sid // 2 g, img, x, y, max(CASE WHEN sid % 2 = 0 THEN a ELSE 0e0 END) p, max(CASE WHEN sid % 2 = 1 THEN a ELSE 0e0 END) q, any_value(b) b FROM a GROUP BY 1, 2, 3, 4),
+n AS (SELECT g, img, sum(p * p) pp, sum(p * q) pq, sum(q * q) qq, sum(p * b) pb, sum(q * b) qb FROM s GROUP BY g, img) SELECT g, img, round((pb * qq - qb * pq) / (pp * qq - pq * pq), 4) f0, round((qb * pp - pb * pq) / (pp * qq - pq * pq), 4) f1 FROM n WHERE pp * qq - pq * pq > 1e-6""")
 def forced_phot_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Two sources at a time in closed form: five sums and a 2 x 2 solve."""
-    k = _design(spark, d).where("img = 2 AND pid % 20 IN (0, 1)")
-    part = lambda r: F.max(F.when(C("pid") % 20 == r, C("a")).otherwise(0.0))
-    s = k.groupBy(F.floor(C("pid") / 20).alias("g"), "img", "x", "y").agg(part(0).alias("p"), part(1).alias("q"), F.first("b").alias("b"))
-    n = s.groupBy("g").agg(*[F.sum(C(i) * C(j)).alias(i + j) for i, j in ("pp", "pq", "qq", "pb", "qb")])
+    """Two neighbouring ids at a time, in each image, in closed form: five sums and a 2 x 2 solve."""
+    k = _design(spark, d)
+    part = lambda r: F.max(F.when(C("pid") % 2 == r, C("a")).otherwise(0.0))
+    s = k.groupBy(F.floor(C("pid") / 2).alias("g"), "img", "x", "y").agg(part(0).alias("p"), part(1).alias("q"), F.first("b").alias("b"))
+    n = s.groupBy("g", "img").agg(*[F.sum(C(i) * C(j)).alias(i + j) for i, j in ("pp", "pq", "qq", "pb", "qb")])
     det = C("pp") * C("qq") - C("pq") * C("pq")
-    return n.where(det > 1e-6).select("g", F.round((C("pb") * C("qq") - C("qb") * C("pq")) / det, 4).alias("f0"), F.round((C("qb") * C("pp") - C("pb") * C("pq")) / det, 4).alias("f1"))
+    return n.where(det > 1e-6).select("g", "img", F.round((C("pb") * C("qq") - C("qb") * C("pq")) / det, 4).alias("f0"), F.round((C("qb") * C("pp") - C("pb") * C("pq")) / det, 4).alias("f1"))
 
 
 @query("damped_step", f"{_DES} SELECT sid i, round(sum(a * b) / (sum(a * a) + 0.01e0), 4) value FROM a GROUP BY sid")
@@ -370,10 +372,10 @@ def column_scaling(spark: SparkSession, d: str) -> DataFrame:
     return des.where(F.abs(v) > 1e-2).groupBy(C("pid").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(v * v), 8).alias("unit"), F.round(1.0 / F.max(C("norm") * C("norm")), 6).alias("variance"))
 
 
-@query("line_search", f"{_U}, s AS (SELECT sid, sum((d - u * flux) * iv * (-0.5e0 * flux * u)) p, sum(0.25e0 * flux * u * flux * u * iv) q FROM u WHERE img = 1 GROUP BY sid), a AS (SELECT sid, al, -(al * p + al * al * q / 2e0) gain FROM s, (SELECT unnest([1e0 / 1024, 1e0 / 512, 1e0 / 256, 1e0 / 128, 1e0 / 64, 1e0 / 32, 1e0 / 16, 1e0 / 8, 1e0 / 4, 1e0 / 2, 1e0, sqrt(2e0), 2e0]) al)), w AS (SELECT sid, max(gain) best, max_by(al, gain) al FROM a GROUP BY sid) SELECT sid AS \"key\", CASE WHEN best > 0 THEN round(al, 6) ELSE 0e0 END alpha FROM w WHERE best > 1e-6 OR best < 0")
+@query("line_search", f"{_U}, s AS (SELECT sid, sum((d - u * flux) * iv * (-0.5e0 * flux * u)) p, sum(0.25e0 * flux * u * flux * u * iv) q FROM u GROUP BY sid), a AS (SELECT sid, al, -(al * p + al * al * q / 2e0) gain FROM s, (SELECT unnest([1e0 / 1024, 1e0 / 512, 1e0 / 256, 1e0 / 128, 1e0 / 64, 1e0 / 32, 1e0 / 16, 1e0 / 8, 1e0 / 4, 1e0 / 2, 1e0, sqrt(2e0), 2e0]) al)), w AS (SELECT sid, max(gain) best, max_by(al, gain) al FROM a GROUP BY sid) SELECT sid AS \"key\", CASE WHEN best > 0 THEN round(al, 6) ELSE 0e0 END alpha FROM w WHERE best > 1e-6 OR best < 0")
 def line_search(spark: SparkSession, d: str) -> DataFrame:
     """All steps along a flux change in one pass; the gain is a sum of changes."""
-    u = _umod(spark, d).where("img = 1")
+    u = _umod(spark, d)
     ch = u.select(C("sid").alias("key"), ((C("d") - C("u") * C("flux")) * F.sqrt("iv")).alias("c0"), (-0.5 * C("flux") * C("u") * F.sqrt("iv")).alias("dc"))
     r = sv.line_search(ch)
     return r.where("gain > 1e-6 OR gain <= 0").select("key", F.round("alpha", 6).alias("alpha"))
@@ -406,20 +408,20 @@ def astrometric_fit(spark: SparkSession, d: str) -> DataFrame:
     return s.where((C("n") >= 4) & (det > 1e-3)).select("src", (F.round((C("stt") * C("sp") - C("st") * C("stp")) / det, 4) + 0.0).alias("pos"), (F.round((C("s") * C("stp") - C("st") * C("sp")) / det, 4) + 0.0).alias("pm"))
 
 
-@query("grid_spread", f"{with_fixtures('pixels')}, w AS (SELECT ((x // 4) + 10 * (y // 4))::BIGINT gid, img, x, y, 1e0 / (1 + x % 4 + y % 4) w FROM pixels WHERE iv > 0 AND img = 1) SELECT img, gid, round(sum(w * d) / sum(w), 6) v, round(sum(w * w * 2e0), 6) ww FROM w JOIN pixels USING (img, x, y) GROUP BY img, gid")
+@query("grid_spread", f"{with_fixtures('pixels')}, w AS (SELECT (10 * (x // 4) + (y // 4))::BIGINT gid, img, x, y, 1e0 / (1 + x % 4 + y % 4) w FROM pixels WHERE iv > 0) SELECT img, gid, round(sum(w * d) / sum(w), 6) v, round(sum(w * w * 2e0), 6) ww FROM w JOIN pixels USING (img, x, y) GROUP BY img, gid")
 def grid_spread(spark: SparkSession, d: str) -> DataFrame:
     """A sparse table of weights from model cells to pixels: images of the model are joins and sums over it."""
-    p = fixture(spark, d, "pixels").where("img = 1 AND iv > 0")
-    w = p.select((F.floor(C("x") / 4) + 10 * F.floor(C("y") / 4)).alias("gid"), "img", "x", "y", (1.0 / (1 + C("x") % 4 + C("y") % 4)).alias("w"))
+    p = fixture(spark, d, "pixels").where("iv > 0")
+    w = p.select((10 * F.floor(C("x") / 4) + F.floor(C("y") / 4)).alias("gid"), "img", "x", "y", (1.0 / (1 + C("x") % 4 + C("y") % 4)).alias("w"))
     return w.join(p, ["img", "x", "y"]).groupBy("img", "gid").agg(F.round(F.sum(C("w") * C("d")) / F.sum("w"), 6).alias("v"), F.round(F.sum(C("w") * C("w") * 2.0), 6).alias("ww"))
 
 
-@query("multi_tile_phot", f"""{_U}, t AS (SELECT *, CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, least(3, floor(px / 10e0))::INT * 4 + least(3, floor(py / 10e0))::INT tile FROM u WHERE abs(x - (5e0 + 10e0 * least(3, floor(px / 10e0)))) <= 7e0 AND abs(y - (5e0 + 10e0 * least(3, floor(py / 10e0)))) <= 7e0),
+@query("multi_tile_phot", f"""{_U}, t AS (SELECT *, CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, floor(px / 10e0)::INT * 4 + floor(py / 10e0)::INT tile FROM u WHERE abs(x - (5e0 + 10e0 * floor(px / 10e0))) <= 7e0 AND abs(y - (5e0 + 10e0 * floor(py / 10e0))) <= 7e0),
 f AS (SELECT sid, band, any_value(tile) tile, sum(u * d * iv) / sum(u * u * iv) flux, sum(u * u * iv) iv, count(DISTINCT img) nexp FROM t GROUP BY sid, band HAVING sum(u * u * iv) > 1e-9)
 SELECT sid, band, tile, round(flux, 4) + 0e0 flux, CASE WHEN flux > 0 THEN round(-2.5e0 * (log10(flux) - 9e0), 5) ELSE 'nan'::DOUBLE END mag, nexp::BIGINT nexp FROM f""")
 def multi_tile_phot(spark: SparkSession, d: str) -> DataFrame:
     """All bands and tiles in one job: a source is measured on the tile that owns it, with the tile's margin."""
-    lo = lambda c: F.least(F.lit(3), F.floor(C(c) / 10.0))
+    lo = lambda c: F.floor(C(c) / 10.0)
     band = F.when(C("img") % 3 == 0, "z").when(C("img") % 3 == 1, "g").otherwise("r")
     u = _umod(spark, d).where((F.abs(C("x") - (5.0 + 10.0 * lo("px"))) <= 7) & (F.abs(C("y") - (5.0 + 10.0 * lo("py"))) <= 7))
     f = u.groupBy("sid", band.alias("band")).agg(F.first((lo("px") * 4 + lo("py")).cast("int")).alias("tile"), (F.sum(C("u") * C("d") * C("iv"))).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"), F.count_distinct("img").alias("nexp"))
@@ -427,10 +429,10 @@ def multi_tile_phot(spark: SparkSession, d: str) -> DataFrame:
     return f.where("a > 1e-9").select("sid", "band", "tile", (F.round(flux, 4) + 0.0).alias("flux"), F.when(flux > 0, F.round(-2.5 * (F.log10(F.when(flux > 0, flux)) - 9.0), 5)).otherwise(float("nan")).alias("mag"), "nexp")
 
 
-@query("catalog_export", f"{_U}, f AS (SELECT sid, sum(u * d * iv) / sum(u * u * iv) flux, sum(u * u * iv) iv FROM u GROUP BY sid) SELECT s.sid, s.ptype, round(f.flux, 4) + 0e0 flux, round(f.iv, 5) flux_iv, (s.px >= 0e0 AND s.px < 36e0 AND s.py >= 0e0 AND s.py < 36e0) is_primary FROM srcs s JOIN f USING (sid)")
+@query("catalog_export", f"{_U}, f AS (SELECT sid, sum(u * d * iv) / sum(u * u * iv) flux, sum(u * u * iv) iv FROM u GROUP BY sid) SELECT s.sid, s.ptype, round(f.flux, 4) + 0e0 flux, round(f.iv, 5) flux_iv, (s.px % 80e0 >= 0e0 AND s.px % 80e0 < 36e0 AND s.py >= 0e0 AND s.py < 36e0) is_primary FROM srcs s JOIN f USING (sid)")
 def catalog_export(spark: SparkSession, d: str) -> DataFrame:
     f = _umod(spark, d).groupBy("sid").agg((F.sum(C("u") * C("d") * C("iv")) / F.sum(C("u") * C("u") * C("iv"))).alias("f"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
-    prim = (C("px") >= 0) & (C("px") < 36) & (C("py") >= 0) & (C("py") < 36)
+    prim = (C("px") % 80.0 >= 0) & (C("px") % 80.0 < 36) & (C("py") >= 0) & (C("py") < 36)
     return fixture(spark, d, "srcs").join(f, "sid").select("sid", "ptype", (F.round("f", 4) + 0.0).alias("flux"), F.round("a", 5).alias("flux_iv"), prim.alias("is_primary"))
 
 
@@ -513,7 +515,7 @@ def galaxy_fft(spark: SparkSession, d: str) -> DataFrame:
         direct = sum(a * np.exp(-0.5 * (x**2 + y**2) / (v * r * r + 2)) / (2 * np.pi * (v * r * r + 2)) for a, v in amp)
         return pd.DataFrame({"sid": [pdf.sid.iloc[0]], "total": [round(float(img.sum()), 5)], "worst": [round(float(np.abs(img - direct).max()), 6)]})
 
-    s = fixture(spark, d, "all_srcs").select("sid", (1.0 + C("psize") % 3).alias("r"))
+    s = fixture(spark, d, "srcs").select("sid", (1.0 + C("psize") % 3).alias("r"))
     return s.groupBy("sid").applyInPandas(render, "sid long, total double, worst double")
 
 
@@ -532,16 +534,16 @@ def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
         got, cost = sv.levenberg(residual, np.array([first.flux, first.px, first.py, first.sig, np.average(v, weights=w * w)]))
         return pd.DataFrame({"sid": [first.sid], "img": [first.img], "flux": [round(got[0], 3)], "px": [round(got[1], 4)], "py": [round(got[2], 4)], "sig": [round(abs(got[3]), 4)]})
 
-    u = _umod_all(spark, d).where("iv > 0").select("sid", "img", "x", "y", "d", F.sqrt("iv").alias("w"), "flux", "px", "py", "sig")
+    u = _umod(spark, d).where("iv > 0").select("sid", "img", "x", "y", "d", F.sqrt("iv").alias("w"), "flux", "px", "py", "sig")
     return u.groupBy("sid", "img").applyInPandas(fit, "sid long, img int, flux double, px double, py double, sig double")
 
 
 @query("nonneg_phot")
 def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
     """Non-negative fluxes of overlapping sources in each image by the active set method on each group's normal equations."""
-    des = _umod_all(spark, d).where("u > 1e-3").select(_keyed("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
+    des = _umod(spark, d).where("u > 1e-3").select(_keyed("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
-    grp = cat.groups_of(m.where("i < j").select(C("i").alias("a"), C("j").alias("b")), r.select(C("i").alias("id"))).select(C("id").alias("i"), "grp")
+    grp = _groups(des, r)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         vec, mat = pdf[pdf.j.isna()], pdf[pdf.j.notna()]
@@ -574,7 +576,7 @@ def sky_spline(spark: SparkSession, d: str) -> DataFrame:
 @query("mcmc_flux")
 def mcmc_flux(spark: SparkSession, d: str) -> DataFrame:
     """Ensemble samples of a flux given its linear likelihood; seeded."""
-    v = _umod_all(spark, d).groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
+    v = _umod(spark, d).groupBy("sid").agg(F.sum(C("u") * C("d") * C("iv")).alias("b"), F.sum(C("u") * C("u") * C("iv")).alias("a"))
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = float(pdf.a.iloc[0]), float(pdf.b.iloc[0])

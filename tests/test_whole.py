@@ -21,10 +21,10 @@ def keys(df, *cols):
 
 def test_whole_sources(spark):
     parts = keys(read(spark, SF, "part"), "p_partkey")
-    s = fixture(spark, SF, "all_srcs")
+    s = fixture(spark, SF, "srcs")
     assert keys(s, "sid") == parts and s.select("px", "py").distinct().count() == len(parts)
     assert keys(QUERIES["varying_psf"](spark, SF), "sid") == parts
-    p = fixture(spark, SF, "all_pixels")
+    p = fixture(spark, SF, "pixels")
     line = read(spark, SF, "lineitem")
     assert tuple(p.agg(F.sum("iv"), F.sum("d")).first()) == tuple(line.agg(F.count(F.lit(1)).cast("double"), F.sum("l_quantity")).first())
     assert p.count() == p.select("img", "x", "y").distinct().count()
@@ -43,12 +43,12 @@ def test_whole_ids(spark, name):
 
 def test_whole_samples(spark):
     small = SF.replace("0.01", "0.001")
-    assert keys(QUERIES["mcmc_flux"](spark, small), "sid") == keys(model_queries._umod_all(spark, small), "sid")
+    assert keys(QUERIES["mcmc_flux"](spark, small), "sid") == keys(model_queries._umod(spark, small), "sid")
 
 
 def test_brightest(spark):
     """The source that lbfgs_fit takes in each image, against linear least squares."""
-    u = model_queries._umod_all(spark, SF).where("img IN (1, 5)").toPandas()
+    u = model_queries._umod(spark, SF).where("img IN (1, 5)").toPandas()
     got = {r.img: r for r in QUERIES["lbfgs_fit"](spark, SF).collect()}
     assert set(got) == set(range(1, 8))
     for img, pdf in u.groupby("img"):
@@ -64,7 +64,7 @@ def test_whole_images(spark, name):
     small = SF.replace("0.01", "0.001")
     least = {"forced_phot_blended": "u > 1e-4", "nonneg_phot": "u > 1e-3"}[name]
     got = QUERIES[name](spark, small).select("sid", "img").collect()
-    want = keys(model_queries._umod_all(spark, small).where(least), "sid", "img")
+    want = keys(model_queries._umod(spark, small).where(least), "sid", "img")
     assert len(got) == len(want) and {tuple(r) for r in got} == want and {i for _, i in want} == set(range(1, 8))
 
 
