@@ -286,8 +286,8 @@ def position_derivs(spark: SparkSession, d: str) -> DataFrame:
 _DES = f"{_U}, a AS (SELECT sid, img, x, y, u * sqrt(iv) a, d * sqrt(iv) b FROM u WHERE u > 1e-4)"
 
 
-def _design(spark: SparkSession, d: str, umod=_umod) -> DataFrame:
-    return umod(spark, d).where("u > 1e-4").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), (C("d") * F.sqrt("iv")).alias("b"))
+def _design(spark: SparkSession, d: str) -> DataFrame:
+    return _umod(spark, d).where("u > 1e-4").select(C("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), (C("d") * F.sqrt("iv")).alias("b"))
 
 
 @query("normal_matrix", f"{_DES} SELECT p.sid i, q.sid j, round(sum(p.a * q.a), 6) + 0e0 aa FROM a p JOIN a q ON p.img = q.img AND p.x = q.x AND p.y = q.y AND p.sid <= q.sid GROUP BY 1, 2")
@@ -339,7 +339,7 @@ def _groups(des: DataFrame, rhs: DataFrame) -> DataFrame:
 @query("forced_phot_blended")
 def forced_phot_blended(spark: SparkSession, d: str) -> DataFrame:
     """Fluxes of overlapping sources in each image solved together, group by group; variances ignore blending."""
-    des = _design(spark, d).withColumn("pid", _keyed("pid"))
+    des = im.cut(_design(spark, d).withColumn("pid", _keyed("pid")))  # read six times below
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
     groups = _groups(des, r)
     return sv.solve_groups(m, r, groups).select(*_unkeyed("i"), F.round("value", 4).alias("flux"), F.round("variance", 8).alias("variance"))
@@ -541,7 +541,7 @@ def gauss_newton_fit(spark: SparkSession, d: str) -> DataFrame:
 @query("nonneg_phot")
 def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
     """Non-negative fluxes of overlapping sources in each image by the active set method on each group's normal equations."""
-    des = _umod(spark, d).where("u > 1e-3").select(_keyed("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b"))
+    des = im.cut(_umod(spark, d).where("u > 1e-3").select(_keyed("sid").alias("pid"), "img", "x", "y", (C("u") * F.sqrt("iv")).alias("a"), ((C("d") - 120.0) * F.sqrt("iv")).alias("b")))
     m, r = sv.normal_matrix(des), sv.normal_rhs(des)
     grp = _groups(des, r)
 
@@ -560,8 +560,10 @@ def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sky_spline")
 def sky_spline(spark: SparkSession, d: str) -> DataFrame:
-    """Natural cubic splines through the grid of sky medians, row by row and then down the columns, at every fourth pixel."""
-    grid = im.box_medians(fixture(spark, d, "pixels"), 10, 8, 40, 40)
+    """Natural cubic splines through the grid of sky medians, row by row and then down the columns, at every fourth pixel of each field."""
+    field = F.floor(C("x") / 80).cast("int")
+    px = fixture(spark, d, "pixels").select((C("img") + 8 * field).alias("img"), (C("x") % 80).alias("x"), "y", "d")
+    grid = im.box_medians(px, 10, 8, 40, 40)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         z = pdf.pivot(index="gy", columns="gx", values="median").to_numpy(float)
@@ -570,7 +572,8 @@ def sky_spline(spark: SparkSession, d: str) -> DataFrame:
         gy, gx = np.meshgrid(at, at, indexing="ij")
         return pd.DataFrame({"img": pdf.img.iloc[0], "x": gx.ravel().astype(int), "y": gy.ravel().astype(int), "sky": np.round(full.ravel(), 4)})
 
-    return grid.groupBy("img").applyInPandas(fill, "img int, x int, y int, sky double")
+    sky = grid.groupBy("img").applyInPandas(fill, "img int, x int, y int, sky double")
+    return sky.select((C("img") % 8).alias("img"), F.floor(C("img") / 8).cast("int").alias("field"), "x", "y", "sky")
 
 
 @query("mcmc_flux")
