@@ -105,7 +105,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     """doc_id, start, end, kept_in: every unit to remove and the document that keeps its first occurrence."""
     every = written(units(docs, key, text, min_words, unit), "units")
     ranks = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_in"), F.count(F.lit(1)).alias("n"))
-    many = ranks.where("n > 1").select("h1", "h2", "kept_in")
+    many = written(ranks.where("n > 1").select("h1", "h2", "kept_in"), "repeated_units")  # a table, so that Spark can split the join of a frequent unit
     met = every.join(many, ["h1", "h2"])
     return met.where(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("kept_in"))).select("doc_id", "start", "end", "kept_in")
 
