@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -131,7 +131,19 @@ class Pieces:
 
     def decoded(self, ids: np.ndarray) -> bytes:
         """What the ids stand for, in bytes: pieces spelled out, bytes joined, marks turned into spaces, the one before the text dropped."""
-        return b"".join([self.spelling[i] for i in ids.tolist()]).replace(_MARK, b" ")[1:]
+        return self.spelled(ids).replace(_MARK, b" ")[1:]
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.spelling[i] for i in ids.tolist()])
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether two id lists spell the same bytes: the stretch between the ids that they share at both ends decides."""
+        n = min(len(a), len(b))
+        head = np.flatnonzero(a[:n] != b[:n])
+        i = int(head[0]) if len(head) else n
+        tail = np.flatnonzero(a[len(a) - n + i :][::-1] != b[len(b) - n + i :][::-1])
+        j = int(tail[0]) if len(tail) else n - i
+        return self.spelled(a[i : len(a) - j]) == self.spelled(b[i : len(b) - j])
 
     def arcs(self, chunk: str) -> list[list[tuple[int, float, int]]]:
         """For each end: (start, score, id) of the arcs that end there, longer ones first; id -1 stands for a character's bytes."""
@@ -373,6 +385,15 @@ MADE = ("n_pieces", "n_bytes", "ids_crc32", "n_segmentations", "scores", "decode
 OUT = "n_pieces long, n_bytes long, ids_crc32 long, n_segmentations int, scores array<double>, decodes boolean, ids array<int>, segmentations array<array<int>>"
 
 
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
+def _nested(lists: Sequence[np.ndarray]) -> pa.Array:
+    """Id lists as one array of lists, without a Python object for each id."""
+    return pa.ListArray.from_arrays(_offsets([len(x) for x in lists]), pa.array(np.concatenate(lists).astype(np.int32)))
+
+
 def segmented(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text") -> DataFrame:
     """The columns of docs, but for the text and any that are named like a result, and: pieces and byte pieces of the best segmentation, crc32 of its ids (unsigned 32-bit little-endian), the scores of the N best in order, whether all N decode to the text, the ids of the best, and those of all N."""
     keys = [c for c in docs.columns if c != text and c not in MADE]
@@ -388,11 +409,12 @@ def segmented(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text")
                 rows = []
                 for body, (lists, scores) in zip(part, seg(part), strict=True):
                     want, ids = body.encode("utf-8", "surrogatepass").replace(_MARK, b" "), lists[0]
-                    same = all(seg.p.decoded(x) == want for x in lists)
+                    same = seg.p.decoded(ids) == want and all(seg.p.alike(ids, x) for x in lists[1:])
                     rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), len(scores), scores, same, ids, lists))
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
-                made = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.bool_())
+                made = [pa.array(c, t) for c, t in zip(cols[:6], kinds, strict=True)]
+                made += [_nested(cols[6]), pa.ListArray.from_arrays(_offsets([len(x) for x in cols[7]]), _nested([x for lists in cols[7] for x in lists]))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(done, len(part)) for k in range(len(keys))], *made], names=[*keys, *MADE])
                 done += len(part)
 
