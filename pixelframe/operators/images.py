@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def coadd(pixels: DataFrame, tiny: float = 1e-16) -> DataFrame:
     """Inverse-variance weighted mean, its weight, and the weighted standard deviation, for each x, y."""
@@ -61,9 +63,9 @@ def rect_sums(table: DataFrame, rects: DataFrame) -> DataFrame:
     return got.groupBy("rid").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0.0))).alias("total"))
 
 
-def fold_quadrant(pixels: DataFrame, cx: int, cy: int) -> DataFrame:
-    """Sum of the pixels that a quadrant symmetric about (cx, cy) maps onto each (|x - cx|, |y - cy|)."""
-    return pixels.groupBy("img", F.abs(F.col("x") - cx).alias("x"), F.abs(F.col("y") - cy).alias("y")).agg(F.sum("d").alias("d"))
+def fold_quadrant(pixels: DataFrame, cx: int, cy: int, *keys: str) -> DataFrame:
+    """Sum of the pixels that a quadrant symmetric about (cx, cy) maps onto each (|x - cx|, |y - cy|), for each image or set of keys."""
+    return pixels.groupBy(*(keys or ["img"]), F.abs(F.col("x") - cx).alias("x"), F.abs(F.col("y") - cy).alias("y")).agg(F.sum("d").alias("d"))
 
 
 def convolve_separable(pixels: DataFrame, kx: list[tuple[int, float]], ky: list[tuple[int, float]], value: str = "d") -> DataFrame:
@@ -159,15 +161,10 @@ def blob_maxima(hot: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint() in the shared folder; one of our own where none is set, as in tests."""
+    """df with its lineage cut by checkpoint() in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            import tempfile
-
-            path = tempfile.mkdtemp(prefix="pixelframe-checkpoint-")
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -63,7 +63,7 @@ def solve_groups(matrix: DataFrame, rhs: DataFrame, groups: DataFrame, damp: flo
         b[np.searchsorted(ids, vec.i)] = vec.ab
         diag = np.diag(a).copy()
         scale = np.where(diag > 0, np.sqrt(diag), 1.0)
-        x = np.linalg.lstsq(a / np.outer(scale, scale) + np.eye(len(ids)) * damp**2 / np.outer(scale, scale), b / scale, rcond=None)[0] / scale
+        x = _positive_solve(a / np.outer(scale, scale) + np.eye(len(ids)) * damp**2 / np.outer(scale, scale), b / scale) / scale
         return pd.DataFrame({"i": ids, "value": x, "variance": np.where(diag > 0, 1 / np.where(diag > 0, diag, 1), 0.0)})
 
     kind = rhs.schema["i"].dataType.simpleString()
@@ -108,29 +108,68 @@ def bounded_alpha(value: Column, step: Column, lower: Column, upper: Column, max
     return F.greatest(F.lit(0.0), F.least(by_step, room, F.lit(1.0)))
 
 
-def nonneg_solve(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """min |Ax - b| with x >= 0 on normal equations, by the active set method."""
-    n, x = len(b), np.zeros(len(b))
-    free = np.zeros(n, bool)
-    for _ in range(rounds):
-        w = b - a @ x
-        w[free] = -np.inf
-        if not n or w.max() <= 1e-10:
-            break
+def _positive_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x with Ax = b for a symmetric positive matrix by its Cholesky factor; the shortest least-squares answer where that fails."""
+    try:
+        low = np.linalg.cholesky(a)
+        x = np.linalg.solve(low.T, np.linalg.solve(low, b))
+        if np.isfinite(x).all() and np.abs(a @ x - b).max(initial=0.0) <= 1e-8 * max(1.0, np.abs(b).max(initial=0.0)):
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(a, b, rcond=None)[0]
+
+
+def nonneg_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min |Ax - b| with x >= 0 on normal equations, to the end or an error.
+
+    Principal pivoting in blocks: all unknowns on the wrong side change sides at once while their
+    number falls, one at a time otherwise. Where that doesn't settle, as on nearly singular
+    matrices, the active set method goes on, which frees one unknown a round.
+    """
+    n = len(b)
+    if not n:
+        return np.zeros(0)
+    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    a, b = a / np.outer(scale, scale), b / scale
+    near = 1e-10 * max(1e-300, np.abs(b).max())
+    free, fewest, spare = np.ones(n, bool), n + 1, 3
+    for _ in range(100 + 10 * n):
+        x = np.zeros(n)
+        x[free] = _positive_solve(a[np.ix_(free, free)], b[free])
+        wrong = np.where(free, x < 0, b - a @ x > near)
+        count = int(wrong.sum())
+        if not count:
+            return x / scale
+        if count < fewest:
+            fewest, spare = count, 3
+        elif spare:
+            spare -= 1
+        else:
+            wrong[: np.flatnonzero(wrong)[-1]] = False
+        free ^= wrong
+    return _active_set(a, b, near) / scale
+
+
+def _active_set(a: np.ndarray, b: np.ndarray, near: float) -> np.ndarray:
+    n = len(b)
+    x, free = np.zeros(n), np.zeros(n, bool)
+    for _ in range(100 + 10 * n):
+        w = np.where(free, -np.inf, b - a @ x)
+        if w.max() <= near:
+            return x
         free[int(w.argmax())] = True
-        while True:
+        while free.any():
             z = np.zeros(n)
-            z[free] = np.linalg.lstsq(a[np.ix_(free, free)], b[free], rcond=None)[0]
+            z[free] = _positive_solve(a[np.ix_(free, free)], b[free])
             if z[free].min() > 0:
                 x = z
                 break
             bad = free & (z <= 0)
-            t = min(x[bad] / np.maximum(x[bad] - z[bad], 1e-300))
-            x = x + t * (z - x)
+            x = x + min(x[bad] / np.maximum(x[bad] - z[bad], 1e-300)) * (z - x)
             free &= x > 1e-12
-            if not free.any():
-                break
-    return x
+            x = np.where(free, x, 0.0)
+    raise ArithmeticError(f"no non-negative solution of {n} unknowns after {100 + 10 * n} rounds")
 
 
 def levenberg(residual, x0: np.ndarray, steps: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, float]:

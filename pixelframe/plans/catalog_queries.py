@@ -146,11 +146,12 @@ def ra_wrap_cut(spark: SparkSession, d: str) -> DataFrame:
     return k.agg(F.min_by("ra", "k").alias("ra_lo"), F.max_by("ra", "k").alias("ra_hi"), _n("n"), (F.round(F.degrees(F.atan2(F.first("s"), F.first("c"))), 6) + 0.0).alias("mid"))
 
 
-@query("roi_clip", f"""{with_fixtures('srcs')}, b AS (SELECT sid, greatest(0e0, round_even(px, 0) - 4e0) x0, least(40e0, round_even(px, 0) + 5e0) x1, greatest(0e0, round_even(py, 0) - 4e0) y0, least(40e0, round_even(py, 0) + 5e0) y1 FROM srcs)
-SELECT sid, x0::INT x0, x1::INT x1, y0::INT y0, y1::INT y1, (x0 >= x1 OR y0 >= y1) empty FROM b""")
+@query("roi_clip", f"""{with_fixtures('srcs')}, b AS (SELECT sid, floor(px / 80e0)::BIGINT field, greatest(0e0, round_even(px % 80e0, 0) - 4e0) x0, least(40e0, round_even(px % 80e0, 0) + 5e0) x1, greatest(0e0, round_even(py, 0) - 4e0) y0, least(40e0, round_even(py, 0) + 5e0) y1 FROM srcs)
+SELECT sid, field, x0::INT x0, x1::INT x1, y0::INT y0, y1::INT y1, (x0 >= x1 OR y0 >= y1) empty FROM b""")
 def roi_clip(spark: SparkSession, d: str) -> DataFrame:
-    x0, x1, y0, y1, e = g.clip_roi(C("px"), C("py"), F.lit(4.0), F.lit(40.0), F.lit(40.0))
-    return fixture(spark, d, "srcs").select("sid", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), e.alias("empty"))
+    """Boxes cut at the edges of their field, in its own pixels."""
+    x0, x1, y0, y1, e = g.clip_roi(C("px") % 80.0, C("py"), F.lit(4.0), F.lit(40.0), F.lit(40.0))
+    return fixture(spark, d, "srcs").select("sid", F.floor(C("px") / 80.0).alias("field"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"), e.alias("empty"))
 
 
 _POLY = [(90.0, -30.0), (200.0, -40.0), (240.0, 10.0), (170.0, 45.0), (150.0, 0.0), (100.0, 35.0)]
@@ -165,11 +166,11 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
     return cat.where(g.in_polygon(C("ra"), C("dec"), _POLY)).select("id")
 
 
-@query("in_image_margin", f"""{with_fixtures('srcs')} SELECT sid, (px >= -0.5e0 AND px < 29.5e0 AND py >= -0.5e0 AND py < 29.5e0) inside FROM srcs WHERE px >= -3e0 AND px < 33e0 AND py >= -3e0 AND py < 33e0""")
+@query("in_image_margin", f"""{with_fixtures('srcs')} SELECT sid, field, (px >= -0.5e0 AND px < 29.5e0 AND py >= -0.5e0 AND py < 29.5e0) inside FROM (SELECT sid, floor(px / 80e0)::BIGINT field, px % 80e0 px, py FROM srcs) WHERE px >= -3e0 AND px < 33e0 AND py >= -3e0 AND py < 33e0""")
 def in_image_margin(spark: SparkSession, d: str) -> DataFrame:
-    """Inside an image of 30 x 30 with a margin of three pixels, and strictly inside."""
-    s = fixture(spark, d, "srcs").where("px >= -3e0 AND px < 33e0 AND py >= -3e0 AND py < 33e0")
-    return s.select("sid", ((C("px") >= -0.5) & (C("px") < 29.5) & (C("py") >= -0.5) & (C("py") < 29.5)).alias("inside"))
+    """Inside an image of 30 x 30 pixels, the corner of each field, with a margin of three pixels, and strictly inside."""
+    s = fixture(spark, d, "srcs").select("sid", F.floor(C("px") / 80.0).alias("field"), (C("px") % 80.0).alias("px"), "py").where("px >= -3e0 AND px < 33e0 AND py >= -3e0 AND py < 33e0")
+    return s.select("sid", "field", ((C("px") >= -0.5) & (C("px") < 29.5) & (C("py") >= -0.5) & (C("py") < 29.5)).alias("inside"))
 
 
 @query("classify_sources", """SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'star' WHEN p_size % 11 = 0 THEN 'exp' WHEN p_size % 11 = 10 THEN 'dev' ELSE 'comp' END AS kind, CAST(p_size % 11 AS DOUBLE) / 10e0 AS fracdev FROM part""")
@@ -233,9 +234,9 @@ def brick_primary(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "cat1").select("id", F.floor(C("ra") / 10.0).alias("bx"), F.floor((C("dec") + 60.0) / 10.0).alias("by_"), ((C("ra") >= 10.0 * cand) & (C("ra") < 10.0 * cand + 10.0)).alias("is_primary"))
 
 
-@query("edge_cut", f"{with_fixtures('srcs')} SELECT sid FROM srcs WHERE px > 5e0 AND px < 35e0 AND py > 5e0 AND py < 35e0")
+@query("edge_cut", f"{with_fixtures('srcs')} SELECT sid FROM srcs WHERE px % 80e0 > 5e0 AND px % 80e0 < 35e0 AND py > 5e0 AND py < 35e0")
 def edge_cut(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, d, "srcs").where("px > 5e0 AND px < 35e0 AND py > 5e0 AND py < 35e0").select("sid")
+    return fixture(spark, d, "srcs").where("px % 80e0 > 5e0 AND px % 80e0 < 35e0 AND py > 5e0 AND py < 35e0").select("sid")
 
 
 @query("drop_empty_images", f"{with_fixtures('pixels')}, g AS (SELECT img, count(*) FILTER (d >= 90e0) n FROM pixels GROUP BY img) SELECT img, x, y, d FROM pixels WHERE img IN (SELECT img FROM g WHERE n >= 40) AND d >= 90e0")

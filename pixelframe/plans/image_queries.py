@@ -52,9 +52,10 @@ def rect_sum(spark: SparkSession, d: str) -> DataFrame:
     return im.rect_sums(im.integral(fixture(spark, d, "pixels")), rects)
 
 
-@query("fold_quadrant", f"{_P} SELECT img, abs(x - 20)::INT x, abs(y - 20)::INT y, sum(d) d FROM pixels GROUP BY 1, 2, 3")
+@query("fold_quadrant", f"{_P} SELECT img, (x // 80)::BIGINT field, abs(x % 80 - 20)::INT x, abs(y - 20)::INT y, sum(d) d FROM pixels GROUP BY 1, 2, 3, 4")
 def fold_quadrant(spark: SparkSession, d: str) -> DataFrame:
-    return im.fold_quadrant(fixture(spark, d, "pixels"), 20, 20)
+    """Each field folded about its own centre."""
+    return im.fold_quadrant(_by_field(fixture(spark, d, "pixels")), 20, 20, "img", "field")
 
 
 @query("patch_algebra", f"{with_fixtures('pixels')}, u AS (SELECT x, y, d FROM pixels WHERE img = 1 UNION ALL SELECT x + 3, y + 2, -2e0 * d FROM pixels WHERE img = 2) SELECT x, y, sum(d) d FROM u GROUP BY x, y HAVING sum(d) <> 0")
@@ -72,10 +73,12 @@ def trim_box(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "pixels").where("d > 250e0").groupBy("img").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"))
 
 
-@query("patch_clip", f"{with_fixtures('srcs')}, b AS (SELECT sid, floor(px)::INT - 5 x0, floor(px)::INT + 6 x1 FROM srcs) SELECT sid, greatest(x0, 0) x0, least(x1, 40) x1, greatest(x0, 0) - x0 skip FROM b WHERE x1 > 0 AND x0 < 40")
+@query("patch_clip", f"{with_fixtures('srcs')}, b AS (SELECT sid, floor(px / 80e0)::BIGINT field, floor(px % 80e0)::INT - 5 x0, floor(px % 80e0)::INT + 6 x1 FROM srcs) SELECT sid, field, greatest(x0, 0) x0, least(x1, 40) x1, greatest(x0, 0) - x0 skip FROM b WHERE x1 > 0 AND x0 < 40")
 def patch_clip(spark: SparkSession, d: str) -> DataFrame:
-    b = fixture(spark, d, "srcs").select("sid", (F.floor("px").cast("int") - 5).alias("x0"), (F.floor("px").cast("int") + 6).alias("x1"))
-    return b.where("x1 > 0 AND x0 < 40").select("sid", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.lit(40)).alias("x1"), (F.greatest("x0", F.lit(0)) - C("x0")).alias("skip"))
+    """Boxes of eleven pixels cut at the edges of their field."""
+    x = F.floor(C("px") % 80.0).cast("int")
+    b = fixture(spark, d, "srcs").select("sid", F.floor(C("px") / 80.0).alias("field"), (x - 5).alias("x0"), (x + 6).alias("x1"))
+    return b.where("x1 > 0 AND x0 < 40").select("sid", "field", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.lit(40)).alias("x1"), (F.greatest("x0", F.lit(0)) - C("x0")).alias("skip"))
 
 
 @query("patch_overlap", f"{_P} SELECT a.img i, b.img j, sum(a.d * b.d) dot, count(*)::BIGINT n FROM pixels a JOIN pixels b ON a.x = b.x AND a.y = b.y AND a.img < b.img GROUP BY 1, 2 HAVING sum(a.d * b.d) > 0")
@@ -162,7 +165,7 @@ def _by_field(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"field": F.floor(C("x") / 80), "x": (C("x") % 80).cast("int")})
 
 
-@query("resample_nearest", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, round_even(0.9e0 * i + 0.1e0 * j + 1.3e0, 0)::INT x, round_even(-0.1e0 * i + 0.9e0 * j + 2.2e0, 0)::INT y FROM range(40) a(i), range(40) b(j)) SELECT img, p.x // 80 field, tx, ty, d FROM t JOIN pixels p ON t.x = p.x % 80 AND t.y = p.y""")
+@query("resample_nearest", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, round_even(0.9e0 * i + 0.1e0 * j + 1.3e0, 0)::INT x, round_even(-0.1e0 * i + 0.9e0 * j + 2.2e0, 0)::INT y FROM range(40) a(i), range(40) b(j)) SELECT img, (p.x // 80)::BIGINT field, tx, ty, d FROM t JOIN pixels p ON t.x = p.x % 80 AND t.y = p.y""")
 def resample_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Target pixels through an affine map onto source pixels, nearest one."""
     t = spark.range(1600).select((C("id") % 40).cast("int").alias("tx"), F.floor(C("id") / 40).cast("int").alias("ty"))
@@ -176,7 +179,7 @@ _L3 = "CASE WHEN abs({0}) < 1e-12 THEN 1e0 WHEN abs({0}) >= 3 THEN 0e0 ELSE 3e0
 
 @query("resample_lanczos", f"""{_P}, t AS (SELECT i::INT tx, j::INT ty, 0.97e0 * i + 0.05e0 * j + 1.3e0 fx, -0.05e0 * i + 0.97e0 * j + 2.2e0 fy FROM range(40) a(i), range(40) b(j)),
 o AS (SELECT tx, ty, floor(fx)::INT + dx x, floor(fy)::INT + dy y, {_L3.format('(fx - (floor(fx) + dx))')} wx, {_L3.format('(fy - (floor(fy) + dy))')} wy FROM t, range(-2, 4) c(dx), range(-2, 4) e(dy))
-SELECT img, p.x // 80 field, tx, ty, round(sum(d * wx * wy) / sum(wx * wy), 5) + 0e0 v FROM o JOIN pixels p ON o.x = p.x % 80 AND o.y = p.y GROUP BY 1, 2, 3, 4 HAVING abs(sum(wx * wy)) > 0.2e0""")
+SELECT img, (p.x // 80)::BIGINT field, tx, ty, round(sum(d * wx * wy) / sum(wx * wy), 5) + 0e0 v FROM o JOIN pixels p ON o.x = p.x % 80 AND o.y = p.y GROUP BY 1, 2, 3, 4 HAVING abs(sum(wx * wy)) > 0.2e0""")
 def resample_lanczos(spark: SparkSession, d: str) -> DataFrame:
     """Target pixels meet their 36 source pixels in one equi-join; weights are normalised over those that exist."""
     from ..functions.geometry import lanczos3
@@ -210,8 +213,8 @@ def patch_masked(spark: SparkSession, d: str) -> DataFrame:
     return p.join(n, ["img", "x", "y"], "left").select("img", "x", "y", F.round(F.when(C("bad"), F.coalesce("f", F.lit(0.0))).otherwise(C("d")), 6).alias("d"))
 
 
-@query("polygon_mask", f"{_P} SELECT img, count(*)::BIGINT n, sum(d) total FROM pixels WHERE x + y >= 20 AND x + y <= 50 AND x - y <= 15 AND y - x <= 15 GROUP BY img")
+@query("polygon_mask", f"{_P}, p AS (SELECT img, (x // 80)::BIGINT field, x % 80 x, y, d FROM pixels) SELECT img, field, count(*)::BIGINT n, sum(d) total FROM p WHERE x + y >= 20 AND x + y <= 50 AND x - y <= 15 AND y - x <= 15 GROUP BY img, field")
 def polygon_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels inside a convex polygon given by half planes."""
-    p = fixture(spark, d, "pixels").where("x + y >= 20 AND x + y <= 50 AND x - y <= 15 AND y - x <= 15")
-    return p.groupBy("img").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"))
+    """Pixels of every field inside a convex polygon given by half planes."""
+    p = _by_field(fixture(spark, d, "pixels")).where("x + y >= 20 AND x + y <= 50 AND x - y <= 15 AND y - x <= 15")
+    return p.groupBy("img", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"))

@@ -113,13 +113,14 @@ def nearest_scaled(spark: SparkSession, d: str) -> DataFrame:
 _TILES = "(SELECT i * 4 + j tile, 5e0 + 10e0 * i cx, 5e0 + 10e0 * j cy FROM range(4) a(i), range(4) b(j))"
 
 
-@query("tile_assign", f"""{with_fixtures('srcs')}, k AS (SELECT sid, tile, px - cx dx, py - cy dy, greatest(abs(px - cx), abs(py - cy)) d FROM srcs, {_TILES} WHERE abs(px - cx) <= 7e0 AND abs(py - cy) <= 7e0)
+@query("tile_assign", f"""{with_fixtures('srcs')}, s AS (SELECT sid, floor(px / 80e0)::BIGINT field, px % 80e0 px, py FROM srcs), k AS (SELECT sid, 16 * field + tile tile, px - cx dx, py - cy dy, greatest(abs(px - cx), abs(py - cy)) d FROM s, {_TILES} WHERE abs(px - cx) <= 7e0 AND abs(py - cy) <= 7e0)
 SELECT sid, tile, CASE WHEN row_number() OVER (PARTITION BY sid ORDER BY CASE WHEN d <= 6e0 THEN 0 ELSE 1 END, d, tile) = 1 AND d <= 6e0 THEN 'keep' ELSE 'margin' END "role" FROM k""")
 def tile_assign(spark: SparkSession, d: str) -> DataFrame:
-    """Sixteen overlapping tiles; sources meet the tiles of their grid cell and the cells around it."""
+    """Sixteen overlapping tiles in every field; sources meet the tiles of their grid cell and the cells around it."""
     cell = F.explode(F.array(*[F.struct((F.floor(C("px") / 10) + i).alias("i"), (F.floor(C("py") / 10) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    k = fixture(spark, d, "srcs").select("sid", "px", "py", cell.alias("c")).where("c.i BETWEEN 0 AND 3 AND c.j BETWEEN 0 AND 3")
-    k = k.select("sid", (C("c.i") * 4 + C("c.j")).alias("tile"), (C("px") - (5.0 + 10.0 * C("c.i"))).alias("dx"), (C("py") - (5.0 + 10.0 * C("c.j"))).alias("dy"))
+    s = fixture(spark, d, "srcs").select("sid", F.floor(C("px") / 80.0).alias("field"), (C("px") % 80.0).alias("px"), "py")
+    k = s.select("sid", "field", "px", "py", cell.alias("c")).where("c.i BETWEEN 0 AND 3 AND c.j BETWEEN 0 AND 3")
+    k = k.select("sid", (C("field") * 16 + C("c.i") * 4 + C("c.j")).alias("tile"), (C("px") - (5.0 + 10.0 * C("c.i"))).alias("dx"), (C("py") - (5.0 + 10.0 * C("c.j"))).alias("dy"))
     k = k.where((F.abs("dx") <= 7) & (F.abs("dy") <= 7))
     return c.owned_by_tile(k, C("dx"), C("dy"), F.greatest(F.abs("dx"), F.abs("dy")) <= 6).select("sid", "tile", "role")
 

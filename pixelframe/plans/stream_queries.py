@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..sources import io
 from ..sources.fixtures import fixture, with_fixtures
 from ..streaming import lightcurves as lc
@@ -17,9 +17,8 @@ C = F.col
 
 
 def _folder(spark: SparkSession, tag: str) -> str:
-    """A new folder in the shared place; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pixelframe-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new folder in the shared place."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 _W = "WITH e AS (SELECT event_type, value, ts, max(ts) OVER () - INTERVAL 1 HOUR mark FROM events)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,3 +17,18 @@ def workers_find_us(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
+_OWN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a temporary one if all run on one machine, as in tests, and an error elsewhere."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="pixelframe-"))
+        path = _OWN[0]
+    return path.rstrip("/")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelframe.operators import catalog, images
+from pixelframe.operators import catalog, images, solve
 from pixelframe.plans import model_queries
 from pixelframe.plans.registry import QUERIES
 from pixelframe.sources.fixtures import fixture, read
@@ -108,3 +108,25 @@ def test_fits_read_pixels(spark, tmp_path):
         assert (r.sid, r.flux, r.px, r.py, r.sig) == pytest.approx((203, 700, 80 + px, py, 1.5), abs=2e-3)
     (r,) = fits("multi_image_fit", lambda i: 1 + 0.5 * (i % 3))
     assert (r.sid, r.flux, r.px, r.py, r.sky) == pytest.approx((203, 700, 80 + px, py, 6.0), abs=2e-3)
+
+
+@pytest.mark.parametrize("name", ["tile_assign", "in_image_margin", "edge_cut", "patch_clip", "polygon_mask", "roi_clip", "fold_quadrant"])
+def test_every_field(spark, name):
+    """Ten times as many fields give about ten times as many rows."""
+    small, large = (QUERIES[name](spark, SF.replace("0.01", sf)).count() for sf in ("0.001", "0.01"))
+    assert large > 8 * small > 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 400])
+def test_nonneg_to_the_end(n):
+    """All positive, mixed and repeated columns: no gradient points inwards at zero, none is left where a flux is free."""
+    rng = np.random.default_rng(n)
+    m, true = rng.normal(size=(2 * n, n)), rng.uniform(1, 5, n)
+    assert solve.nonneg_solve(m.T @ m, m.T @ m @ true) == pytest.approx(true)
+    true[::3] *= -1
+    twice = np.concatenate([m, m[:, : n // 4]], axis=1)
+    for a in (m, twice):
+        b = a.T @ (m @ true + rng.normal(size=2 * n))
+        x = solve.nonneg_solve(a.T @ a, b)
+        grad = b - a.T @ a @ x
+        assert x.min(initial=0) >= 0 and grad.max(initial=0) < 1e-5 and np.abs(grad[x > 0]).max(initial=0) < 1e-5
