@@ -9,6 +9,7 @@ from .ngram_join import OP5_SQL, op5_size_aware_join
 from .pii import op1_weak_supervision
 from .quality_model import op7_random_indexing
 from .quality_rules import OP8_SQL, op8_rule_ledger
+from .resampling import op11_tournament_resampling
 from .sharding import op9_virtual_slots
 from .token_files import op6_seekable_tokens
 from .unit_dedup import OP4_SQL, op4_unit_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_winnowing": op10_winnowing,
+    "op11_tournament_resampling": op11_tournament_resampling,
 }
 
 ORACLE_SQL = {
