@@ -10,7 +10,7 @@ The draw is a sort that stops early:
 
 1. each task sorts its eligible documents into runs, stored in the shared folder as blocks of
    1,024 rows;
-2. heads of blocks, taken at regular steps, cut the order into ranges of about equal size;
+2. rows taken from all runs at regular steps cut the order into ranges of about equal size;
    ranges are counted over all blocks, so every range knows the rank of its first row and
    those beyond the draw are never merged;
 3. a range's pieces of blocks reach one task in the order of their heads. A block is opened
@@ -48,8 +48,8 @@ from .wordbytes import Numbers, lots
 
 BUCKETS = 10_000
 MIN_WORDS, DRAW_PERCENT, SEED = 20, 25, 7
-#: Rows of a run, rows of a block, rows of a range at least where there are so many, and heads that the driver sees at most (about).
-RUN_ROWS, BLOCK_ROWS, RANGE_ROWS, HEADS = 1 << 17, 1 << 10, 1 << 20, 1 << 16
+#: Rows of a run, of a block, and of a range at most (about). One row in each SAMPLE_STEP helps to cut ranges; with more than SAMPLED blocks, those of some blocks at regular steps.
+RUN_ROWS, BLOCK_ROWS, RANGE_ROWS, SAMPLE_STEP, SAMPLED = 1 << 17, 1 << 10, 1 << 20, 64, 1 << 13
 #: Distinct words whose hashes a task remembers, and bytes of a word up to which pairs go through tables.
 VOCABULARY, TABLE_BYTES = 1 << 20, 255
 
@@ -199,9 +199,9 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[dict]:
         yield from batch.slice(k, 1).to_pylist()
 
 
-def keys_of(block: dict) -> list[Key]:
+def keys_of(block: dict, step: int = 1) -> list[Key]:
     """A block's places in the order: score downwards, null ids last, id, features, and run and place for rows that agree in all."""
-    return [(-s, i is None, i or 0, n, block["run"], block["seq"] + k) for k, (s, i, n) in enumerate(zip(block["score"], block["doc_id"], block["n_features"], strict=True))]
+    return [(-s, i is None, i or 0, n, block["run"], block["seq"] + step * k) for k, (s, i, n) in enumerate(zip(block["score"], block["doc_id"], block["n_features"], strict=True))]
 
 
 class Tournament:
@@ -314,11 +314,13 @@ def drawn(runs: DataFrame, percent: int = DRAW_PERCENT) -> DataFrame:
     total, blocks = eligible.agg(F.coalesce(F.sum(F.size("score")), F.lit(0)), F.count(F.lit(1))).first()
     wanted = percent * total // 100
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_ROWS))
-    step = max(1, blocks // HEADS)
+    step = max(1, blocks // SAMPLED)
     number = (F.col("seq") / BLOCK_ROWS).cast("long")
-    heads = eligible.where((number + F.shiftright("run", 24)) % step == 0).select("run", "seq", *[F.slice(c, 1, 1).alias(c) for c in LISTS]).collect()
-    heads = sorted(keys_of(r.asDict())[0] for r in heads)
-    splitters = sorted({heads[len(heads) * k // ranges] for k in range(1, ranges)}) if heads else []
+    middle = F.least(F.lit(SAMPLE_STEP // 2), (F.size("score") / 2).cast("int"))
+    seen = [F.filter(c, lambda x, i: i % SAMPLE_STEP == middle).alias(c) for c in LISTS]
+    some = eligible.where((number + F.shiftright("run", 24)) % step == 0).select("run", (F.col("seq") + middle).alias("seq"), *seen).collect()
+    some = sorted(k for r in some for k in keys_of(r.asDict(), SAMPLE_STEP))
+    splitters = sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(splitters) + 1, np.int64)
