@@ -180,3 +180,15 @@ def map_batches(df: DataFrame, task: Callable, schema: str) -> DataFrame:
         conf.set(key, str(BATCH_ROWS))
     workers_find_us(df.sparkSession)
     return df.mapInArrow(task, schema)
+
+
+def written_batches(df: DataFrame, task: Callable, schema: str, tag: str, rows: int) -> DataFrame:
+    """df.mapInArrow(task, schema) in batches of at most that many rows, for rows of some megabytes, written; the session's setting is as before afterwards."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    before = conf.get(key)
+    workers_find_us(df.sparkSession)
+    conf.set(key, str(rows))
+    try:
+        return written(df.mapInArrow(task, schema), tag)
+    finally:
+        conf.set(key, before)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .chat import OP2_SQL, op2_chat_parts
 from .decontaminate import OP10_SQL, op10_winnowing
+from .lexical_search import OP12_SQL, op12_block_max_wand
 from .nbest import op3_nbest_astar
+from .neighbours import op13_collision_counting
 from .ngram_join import OP5_SQL, op5_size_aware_join
 from .pii import op1_weak_supervision
 from .quality_model import op7_random_indexing
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_virtual_slots": op9_virtual_slots,
     "op10_winnowing": op10_winnowing,
     "op11_tournament_resampling": op11_tournament_resampling,
+    "op12_block_max_wand": op12_block_max_wand,
+    "op13_collision_counting": op13_collision_counting,
 }
 
 ORACLE_SQL = {
@@ -34,4 +38,5 @@ ORACLE_SQL = {
     "op5_size_aware_join": OP5_SQL,
     "op8_rule_ledger": OP8_SQL,
     "op10_winnowing": OP10_SQL,
+    "op12_block_max_wand": OP12_SQL,
 }
