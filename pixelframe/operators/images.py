@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import written
 
 
 def coadd(pixels: DataFrame, tiny: float = 1e-16) -> DataFrame:
@@ -161,11 +161,8 @@ def blob_maxima(hot: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint() in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """df with its lineage cut: written once as Parquet into the shared folder and read back (checkpoint() would compute it twice). session.clear() deletes such folders."""
+    return written(df)
 
 
 def box_medians(pixels: DataFrame, step: int, half: int, w: int | None, h: int | None) -> DataFrame:

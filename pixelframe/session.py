@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -32,3 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="pixelframe-"))
         path = _OWN[0]
     return path.rstrip("/")
+
+
+#: Folders made by this driver, for clear().
+_MADE: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read back, which cuts its lineage and survives lost executors."""
+    spark = df.sparkSession
+    _MADE.append(f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}")
+    df.write.parquet(_MADE[-1])
+    return spark.read.schema(df.schema).parquet(_MADE[-1])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate folders made so far. Results still to be read from them are lost, so write those first."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
