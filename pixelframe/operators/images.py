@@ -133,18 +133,21 @@ def components(links: DataFrame) -> DataFrame:
 def blobs(marked: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Eight-connected components of marked pixels (img, x, y): label is the least y * width + x of the component.
 
-    Pixels join into whole runs first (gaps and islands in each row), then runs of neighbouring
-    rows into components.
+    Pixels join into runs first (gaps and islands in pieces of 4,096 pixels of a row, so that a
+    long row is no single task), then runs of neighbouring rows, and those that meet at the end
+    of a piece, into components.
     """
-    run = F.col("x") - F.row_number().over(Window.partitionBy("img", "y").orderBy("x"))
-    px = marked.select("img", "x", "y").distinct().withColumn("run", run)
-    runs = px.groupBy("img", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("rid", F.col("y").cast("long") * width + F.col("x0"))
-    runs = cut(runs.select("img", "y", "run", "x0", "x1", "rid"))
+    run = F.col("x") - F.row_number().over(Window.partitionBy("img", "y", "piece").orderBy("x"))
+    px = marked.select("img", "x", "y").distinct().withColumn("piece", F.floor(F.col("x") / 4096)).withColumn("run", run)
+    runs = px.groupBy("img", "y", "piece", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("rid", F.col("y").cast("long") * width + F.col("x0"))
+    runs = cut(runs.select("img", "y", "piece", "run", "x0", "x1", "rid"))
     up = runs.select("img", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("rid").alias("uid"))
     links = runs.join(up, ["img", "y"]).where("u0 <= x1 + 1 AND u1 >= x0 - 1").select(F.struct("img", "rid").alias("a"), F.struct("img", F.col("uid").alias("rid")).alias("b"))
+    on = runs.select("img", "y", (F.col("x1") + 1).alias("x0"), F.col("rid").alias("uid"))
+    links = links.unionByName(runs.join(on, ["img", "y", "x0"]).select(F.struct("img", "rid").alias("a"), F.struct("img", F.col("uid").alias("rid")).alias("b")))
     label = components(links).select("node.img", "node.rid", F.col("least.rid").alias("label"))
-    named = runs.join(label, ["img", "rid"], "left").select("img", "y", "run", F.coalesce("label", "rid").alias("label"))
-    return px.join(named, ["img", "y", "run"]).select("img", "x", "y", "label")
+    named = runs.join(label, ["img", "rid"], "left").select("img", "y", "piece", "run", F.coalesce("label", "rid").alias("label"))
+    return px.join(named, ["img", "y", "piece", "run"]).select("img", "x", "y", "label")
 
 
 def blob_boxes(hot: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import detection as det
 from ..operators import images as im
 from ..sources.fixtures import fixture, with_fixtures
 from .core import query
@@ -160,6 +161,27 @@ def sed_filter(spark: SparkSession, d: str) -> DataFrame:
     return v.where("sn > 150e0").select("sed", "x", "y", F.round("sn", 5).alias("sn"))
 
 
+SEDS = [("g", {"g": 1.0}), ("r", {"r": 1.0}), ("z", {"z": 1.0}), ("flat", {"g": 1.0, "r": 1.0, "z": 1.0}), ("red", {"g": 0.4, "r": 1.0, "z": 6.25})]
+
+
+def _detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    band = F.when(C("img") % 3 == 0, "z").when(C("img") % 3 == 1, "g").otherwise("r")
+    return det.detections(det.sed_maps(fixture(spark, d, "pixels").withColumn("band", band), SEDS), 130.0)
+
+
+@query("sed_detections")
+def sed_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Peaks of blobs without holes under five spectra, and which of them no earlier spectrum has within 2.5 pixels."""
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in SEDS]), C("sed") + 1)
+    return _detected(spark, d)[0].select(name.alias("sed"), "label", "x", "y", F.round("sn", 5).alias("sn"), "n", "fresh")
+
+
+@query("sed_bitmask")
+def sed_bitmask(spark: SparkSession, d: str) -> DataFrame:
+    """For each pixel of a blob, the spectra under which it was detected and those that peak there, as bits."""
+    return _detected(spark, d)[1]
+
+
 def _by_field(pixels: DataFrame) -> DataFrame:
     """pixels with x counted from the edge of their field, and the field."""
     return pixels.withColumns({"field": F.floor(C("x") / 80), "x": (C("x") % 80).cast("int")})
