@@ -17,30 +17,30 @@ besides the key and the text are ignored, so clashing names do no harm.
 from __future__ import annotations
 
 import json
-import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, shared_dir, table
+from .common import new_path, table
 
 N_SLOTS = 8192
 
 
-def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
+def slot_of(*key: Column, n_slots: int = N_SLOTS) -> Column:
     """The virtual slot of a key; it never changes with the number of shards."""
-    return F.pmod(F.xxhash64(key), F.lit(n_slots).cast("long")).cast("int")
+    return F.pmod(F.xxhash64(*key), F.lit(n_slots).cast("long")).cast("int")
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """key, size (UTF-8 bytes + 1), text_crc32, vslot for each row."""
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS, by_text: bool = False) -> DataFrame:
+    """key, size (UTF-8 bytes + 1), text_crc32, vslot for each row. With by_text a record is its key and text, so that rows of one key spread over slots."""
     body = F.coalesce(F.col(text), F.lit(""))
+    record = [F.col(key), F.crc32(body.cast("binary"))] if by_text else [F.col(key)]
     return docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        slot_of(F.col(key), n_slots).alias("vslot"),
+        slot_of(*record, n_slots=n_slots).alias("vslot"),
     )
 
 
@@ -128,13 +128,19 @@ def grow(old: SlotMap, slots: list[tuple[int, int, int]], shards: int = 1) -> Sl
     return wide
 
 
-def newest_map(spark: SparkSession, path: str) -> SlotMap | None:
-    """The newest version stored under path, or None. It has n_slots rows, whatever the corpus size."""
+def versions_of(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """The versions under path: those written to the end, and all that have a folder, as writers that died leave one behind."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(top) else []
-    versions = [int(n.removeprefix("map_version=")) for n in names if n.startswith("map_version=")]
+    folders = [s.getPath() for s in fs.listStatus(top)] if fs.exists(top) else []
+    begun = {int(f.getName().removeprefix("map_version=")): f for f in folders if f.getName().startswith("map_version=")}
+    return sorted(v for v, f in begun.items() if fs.exists(jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))), sorted(begun)
+
+
+def newest_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest whole version stored under path, or None. It has n_slots rows, whatever the corpus size."""
+    versions, _ = versions_of(spark, path)
     if not versions:
         return None
     got = sorted((r["vslot"], r["shard"], r["n_shards"]) for r in spark.read.parquet(f"{path}/map_version={max(versions)}").select("vslot", "shard", "n_shards").collect())
@@ -144,8 +150,11 @@ def newest_map(spark: SparkSession, path: str) -> SlotMap | None:
 def store_map(spark: SparkSession, smap: SlotMap, slots: list[tuple[int, int, int]], path: str) -> DataFrame:
     """Write the map as a new version under path and read it back: version, n_shards, vslot, shard, bytes, rows.
 
-    The table has n_slots rows, whatever the corpus. A writer that finds its version taken fails; it may read the newest one and edit that.
+    The table has n_slots rows, whatever the corpus. The version is the next number beyond every
+    folder there, so what a writer that died left behind is neither read nor in the way. Of two
+    writers at once the second fails; it may read the newest map and edit that.
     """
+    smap.version = max(smap.version, 1 + max(versions_of(spark, path)[1], default=0))
     load = {s: (b, n) for s, b, n in slots}
 
     def column(values: list[int], kind: str) -> Column:
@@ -192,11 +201,11 @@ def edited(old: SlotMap | None, slots: list[tuple[int, int, int]], n_shards: int
     return even if even.moved else old
 
 
-def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
-    """Measure, find the newest map under path, edit and store it where needed, and place every row."""
+def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str | None = None, by_text: bool = False) -> DataFrame:
+    """Measure, find the newest map under path, edit and store it where needed, and place every row. Without a path the map is new."""
     spark = docs.sparkSession
     path = path or new_path(spark, "slotmap")
-    rows = measured(docs, n_slots=n_slots)
+    rows = measured(docs, n_slots=n_slots, by_text=by_text)
     slots = slot_loads(rows)
     old = newest_map(spark, path)
     smap = edited(old, slots, n_shards, n_slots)
@@ -205,7 +214,6 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, path: str
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents over shards 0 to 7 under the law of near-equal bytes. Each input folder has a map of its own among the shared folders, which a later run finds and edits."""
-    path = f"{shared_dir(spark)}/op9-slot-map-{zlib.crc32(sf_dir.encode()):08x}"
-    placed = shard(table(spark, sf_dir, "documents"), 8, path=path)
+    """All documents over shards 0 to 7 under the law of near-equal bytes, with a new map, so that no earlier run decides. Rows that repeat an id spread by their texts."""
+    placed = shard(table(spark, sf_dir, "documents"), 8, by_text=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")

@@ -628,6 +628,26 @@ def test_stored_map(spark, docs, tmp_path):
     assert even.version == 1
 
 
+def test_half_written_map(spark, docs, tmp_path):
+    """A version whose writer died is neither read nor in the way of the next one."""
+    path = f"file://{tmp_path}/map"
+    sharding.shard(docs, 3, 64, path).count()
+    first = sharding.newest_map(spark, path)
+    (tmp_path / "map" / f"map_version={first.version + 1}").mkdir()
+    assert sharding.newest_map(spark, path) == first
+    assert sharding.shard(docs, 4, 64, path).count() == docs.count()
+    assert sharding.newest_map(spark, path).version == first.version + 2 and sharding.newest_map(spark, path).n_shards == 4
+    assert sharding.shard(docs, 5, 64, path).count() == docs.count() and sharding.newest_map(spark, path).version == first.version + 3
+
+
+def test_bytes_of_one_id(spark):
+    """Many rows of one id don't outweigh a shard where records are placed by id and text."""
+    rows = [(1, f"text {k} " + "x" * (k % 90)) for k in range(3000)] + [(k, "y" * 40) for k in range(300)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4, by_text=True).groupBy("shard").sum("size").collect()
+    sizes = [r[1] for r in got]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) < 0.02 * sum(sizes)
+
+
 def test_sharding_groups(spark):
     """Rows with equal ids and texts, and rows without an id, each have a place of their own."""
     rows = [(1, "same")] * 5 + [(1, "other"), (None, "same"), (None, None), (2, None)]
