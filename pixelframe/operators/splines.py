@@ -48,3 +48,31 @@ def sersic(n: float, parts: int = 10) -> tuple[tuple[float, float], ...]:
     amp = nonneg_solve((a / scale).T @ (a / scale), (a / scale).T @ y) / scale
     amp = amp / amp.sum()
     return tuple((float(x), float(s)) for x, s in zip(amp, v, strict=True) if x > 0)
+
+
+#: Sersic mixtures as cubics of the index: half-light radii, knots of the index, and variances shared by all of them.
+SERSIC_LOW, SERSIC_HIGH, SERSIC_PIECES = 0.5, 6.3, 29
+SERSIC_STEP = (SERSIC_HIGH - SERSIC_LOW) / SERSIC_PIECES
+SERSIC_VARIANCES = tuple(float(v) for v in np.geomspace(1e-3, 12.0, 12))
+
+
+@lru_cache(1)
+def sersic_table() -> np.ndarray:
+    """Coefficients (piece, component, power) of the amplitudes between the knots of the index: natural splines through non-negative fits at the knots, normalised to one."""
+    r, v = np.geomspace(0.01, 8.0, 400), np.array(SERSIC_VARIANCES)
+    basis = np.exp(-0.5 * r[:, None] ** 2 / v) / (2 * np.pi * v)
+    knots, fits = np.linspace(SERSIC_LOW, SERSIC_HIGH, SERSIC_PIECES + 1), []
+    for n in knots:
+        b = 2 * n - 1 / 3 + 4 / (405 * n) + 46 / (25515 * n * n)
+        target = np.exp(-b * (r ** (1 / n) - 1))
+        w = np.sqrt(r * np.gradient(r) / np.maximum(target, 1e-6 * target.max()))
+        a = basis * w[:, None]
+        scale = np.linalg.norm(a, axis=0)
+        amp = nonneg_solve((a / scale).T @ (a / scale), (a / scale).T @ (target * w)) / scale
+        fits.append(amp / amp.sum())
+    h, y = SERSIC_STEP, np.array(fits)
+    second = np.zeros_like(y)
+    inner = np.diag(np.full(SERSIC_PIECES - 1, 4.0)) + np.diag(np.ones(SERSIC_PIECES - 2), 1) + np.diag(np.ones(SERSIC_PIECES - 2), -1)
+    second[1:-1] = np.linalg.solve(inner, 6 * (y[2:] - 2 * y[1:-1] + y[:-2]) / h**2)
+    slope = np.diff(y, axis=0) / h - h * (2 * second[:-1] + second[1:]) / 6
+    return np.stack([y[:-1], slope, second[:-1] / 2, np.diff(second, axis=0) / (6 * h)], axis=2)

@@ -27,12 +27,17 @@ ZEROPOINTS = {"NUV": 20.08, "FUV": 18.82}
 WIDTHS = {"NUV": 6.0, "FUV": 6.0, "W1": 6.1, "W2": 6.4, "W3": 6.5, "W4": 12.0}
 
 
-@query("survey_calibrations", "SELECT band, zp, round(pow(10e0, (zp - 22.5e0) / 2.5e0), 8) scale, round(fwhm / 2.3548200450309493e0, 8) sigma FROM (VALUES ('NUV', 20.08e0, 6e0), ('FUV', 18.82e0, 6e0), ('W1', 22.5e0, 6.1e0), ('W2', 22.5e0, 6.4e0), ('W3', 22.5e0, 6.5e0), ('W4', 22.5e0, 12e0)) t(band, zp, fwhm)")
+_BANDS = ", ".join(f"({k}, '{b}', {ZEROPOINTS.get(b, 22.5)!r}::DOUBLE, {w!r}::DOUBLE)" for k, (b, w) in enumerate(WIDTHS.items()))
+
+
+@query("survey_calibrations", f"{with_fixtures('pixels')}, b(k, band, zp, fwhm) AS (VALUES {_BANDS}) SELECT img, band, zp, round(pow(10e0, (zp - 22.5e0) / 2.5e0), 8) scale, round(fwhm / 2.3548200450309493e0, 8) sigma, count(*)::BIGINT n, round(sum(d / pow(10e0, (zp - 22.5e0) / 2.5e0)), 2) flux FROM pixels JOIN b ON b.k = img % {len(WIDTHS)} GROUP BY ALL")
 def survey_calibrations(spark: SparkSession, d: str) -> DataFrame:
-    """Photometric scale and Gaussian width that each survey's reader attaches to its images."""
-    rows = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(ZEROPOINTS.get(b, 22.5)).alias("zp"), F.lit(w).alias("fwhm")) for b, w in WIDTHS.items()]))
-    t = spark.range(1).select(rows.alias("r")).select("r.*")
-    return t.select("band", "zp", F.round(u.zeropoint_to_scale(C("zp")), 8).alias("scale"), F.round(C("fwhm") / (2 * math.sqrt(2 * math.log(2))), 8).alias("sigma"))
+    """Each image read as one of a survey's bands: photometric scale, Gaussian width, and the calibrated sum of its pixels."""
+    rows = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(ZEROPOINTS.get(b, 22.5)).alias("zp"), F.lit(w).alias("fwhm")) for b, w in WIDTHS.items()])
+    t = fixture(spark, d, "pixels").select("img", "d", F.element_at(rows, C("img") % len(WIDTHS) + 1).alias("r")).select("img", "d", "r.*")
+    scale = u.zeropoint_to_scale(C("zp"))
+    sums = t.groupBy("img", "band", "zp", "fwhm").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(C("d") / scale), 2).alias("flux"))
+    return sums.select("img", "band", "zp", F.round(scale, 8).alias("scale"), F.round(C("fwhm") / (2 * math.sqrt(2 * math.log(2))), 8).alias("sigma"), "n", "flux")
 
 
 @query("warp_to_sky", f"""{with_fixtures('srcs')}, t AS (SELECT sid, 0.02e0 * (px - 20e0) + 1e-5 * px * py l, 0.02e0 * (py - 20e0) - 2e-5 * px * px m FROM srcs), r AS (SELECT sid, radians(l) x, radians(m) y, radians(30e0) d0 FROM t)
@@ -57,14 +62,13 @@ def params_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(C("p_partkey").alias("pid"), F.round(C("p_retailprice") + 2.0 * C("p_size"), 6).alias("added"), (F.round(C("p_retailprice") / 4.0 - C("p_size"), 6) + 0.0).alias("mixed"))
 
 
-@query("mog_gradient", "WITH g AS (SELECT i::INT x, j::INT y, i - 5.3e0 dx, j - 4.6e0 dy FROM range(0, 11) a(i), range(0, 11) b(j)), u AS (SELECT *, exp(-0.5e0 * (dx * dx + dy * dy) / 3e0) / (2e0 * pi() * 3e0) u FROM g) SELECT x, y, round(u, 9) u, round(u * dx / 3e0, 9) + 0e0 gx, round(u * dy / 3e0, 9) + 0e0 gy FROM u WHERE (x + y) % 3 <> 0")
+@query("mog_gradient", f"{_U} SELECT sid, img, round(sum(u * d), 3) + 0e0 seen, round(sum(u * (x - px) / (sig * sig) * d), 3) + 0e0 gx, round(sum(u * (y - py) / (sig * sig) * d), 3) + 0e0 gy FROM u WHERE (x + y) % 3 <> 0 GROUP BY sid, img")
 def mog_gradient(spark: SparkSession, d: str) -> DataFrame:
-    """A Gaussian on a masked grid with its derivatives by position."""
-    p = spark.range(121).select((C("id") % 11).cast("int").alias("x"), F.floor(C("id") / 11).cast("int").alias("y")).where("(x + y) % 3 <> 0")
-    c = mog.component(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(3.0), F.lit(0.0), F.lit(3.0))
-    dx, dy = C("x") - 5.3, C("y") - 4.6
-    v = mog.density(c, dx, dy)
-    return p.select("x", "y", F.round(v, 9).alias("u"), (F.round(v * dx / 3.0, 9) + 0.0).alias("gx"), (F.round(v * dy / 3.0, 9) + 0.0).alias("gy"))
+    """Every source's Gaussian and its derivatives by position on the unmasked pixels of its box, projected on the data."""
+    p = _umod(spark, d).where("(x + y) % 3 <> 0")
+    v = mog.density(mog.component(F.lit(1.0), F.lit(0.0), F.lit(0.0), C("sig") * C("sig"), F.lit(0.0), C("sig") * C("sig")), C("x") - C("px"), C("y") - C("py"))
+    grad = lambda c, at: (F.round(F.sum(v * (C(c) - C(at)) / (C("sig") * C("sig")) * C("d")), 3) + 0.0)
+    return p.groupBy("sid", "img").agg((F.round(F.sum(v * C("d")), 3) + 0.0).alias("seen"), grad("x", "px").alias("gx"), grad("y", "py").alias("gy"))
 
 
 def _exp_at(r2: str) -> str:
@@ -154,16 +158,48 @@ def varying_psf(spark: SparkSession, d: str) -> DataFrame:
     return fixture(spark, d, "srcs").select("sid", "px", "py").mapInPandas(task, "sid long, sigma double")
 
 
-@query("sersic_render")
+_PSF2 = 2.0
+_SERSIC = ", ".join(f"({k}, {j}, {v!r}::DOUBLE, {', '.join(f'{float(x)!r}::DOUBLE' for x in c)})" for k, row in enumerate(splines.sersic_table()) for j, (v, c) in enumerate(zip(splines.SERSIC_VARIANCES, row, strict=True)))
+
+
+def _sersic_sql(n: str) -> str:
+    """Amplitudes of every source's mixture at an index: cubics of the index, no less than zero, adding up to one."""
+    return f"""i AS (SELECT sid, least(greatest({n}, {splines.SERSIC_LOW!r}::DOUBLE), {splines.SERSIC_HIGH!r}::DOUBLE) n FROM srcs), k AS (SELECT sid, n, least({splines.SERSIC_PIECES - 1}, floor((n - {splines.SERSIC_LOW!r}::DOUBLE) / {splines.SERSIC_STEP!r}::DOUBLE))::INT k FROM i),
+w AS (SELECT sid, j, v, greatest(0e0, c0 + (n - ({splines.SERSIC_LOW!r}::DOUBLE + k * {splines.SERSIC_STEP!r}::DOUBLE)) * (c1 + (n - ({splines.SERSIC_LOW!r}::DOUBLE + k * {splines.SERSIC_STEP!r}::DOUBLE)) * (c2 + (n - ({splines.SERSIC_LOW!r}::DOUBLE + k * {splines.SERSIC_STEP!r}::DOUBLE)) * c3))) a FROM k JOIN tab USING (k)),
+a AS (SELECT sid, v, a / sum(a) OVER (PARTITION BY sid) a FROM w)"""
+
+
+_MET = f"{_U}, tab(k, j, v, c0, c1, c2, c3) AS (VALUES {_SERSIC})"
+_AT = f"sum(a / (2e0 * pi() * (v * r * r + {_PSF2!r}::DOUBLE)) * exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * r * r + {_PSF2!r}::DOUBLE)))"
+
+
+def _sersic_at(spark: SparkSession, d: str, *steps: float) -> DataFrame:
+    """sid, img, x, y, d, iv and s0, s1, ...: each source's Sersic profile at its own index plus each step, on the pixels of its box. The table of coefficients has a fixed size."""
+    srcs, parts = fixture(spark, d, "srcs").select("sid", "px", "py", "sig", "psize"), range(len(splines.SERSIC_VARIANCES))
+    table = spark.createDataFrame([(k, [[float(x) for x in c] for c in row]) for k, row in enumerate(splines.sersic_table())], "k int, c array<array<double>>")
+    for m, step in enumerate(steps):
+        n = F.least(F.greatest(0.5 + C("psize") / 10.0 + step, F.lit(splines.SERSIC_LOW)), F.lit(splines.SERSIC_HIGH))
+        s = srcs.withColumn("n", n).withColumn("k", F.least(F.lit(splines.SERSIC_PIECES - 1), F.floor((C("n") - splines.SERSIC_LOW) / splines.SERSIC_STEP)).cast("int")).join(F.broadcast(table), "k")
+        t = C("n") - (splines.SERSIC_LOW + C("k") * splines.SERSIC_STEP)
+        cubic = lambda c: F.greatest(F.lit(0.0), c[0] + C("t") * (c[1] + C("t") * (c[2] + C("t") * c[3])))
+        srcs = s.withColumn("t", t).withColumn("raw", F.transform("c", cubic)).withColumn("sum", F.aggregate("raw", F.lit(0.0), lambda x, y: x + y)).withColumn(f"a{m}", F.transform("raw", lambda x: x / C("sum"))).drop("raw", "sum", "c", "k", "n", "t")
+    met = rd.render_join(fixture(spark, d, "pixels"), rd.boxed(srcs, F.ceil(C("sig") * 5)))
+    r, d2 = 1.0 + C("psize") % 3, (C("x") - C("px")) * (C("x") - C("px")) + (C("y") - C("py")) * (C("y") - C("py"))
+    for m in range(len(steps)):
+        value = F.lit(0.0)
+        for j in parts:  # a fixed number of components, so plain columns
+            var = splines.SERSIC_VARIANCES[j] * r * r + _PSF2
+            value = value + C(f"a{m}")[j] / (2 * math.pi * var) * F.exp(-0.5 * d2 / var)
+        met = met.withColumn(f"s{m}", value)
+    return met
+
+
+@query("sersic_render", f"""{_MET}, {_sersic_sql("0.5e0 + psize / 10e0")}, m AS (SELECT sid, img, x, y, d, iv, {_AT} s FROM (SELECT *, 1e0 + psize % 3 r FROM u) JOIN a USING (sid) GROUP BY ALL)
+SELECT sid, img, round(sum(s), 6) total, round(max(s), 7) peak, round(sum(s * d * iv) / sum(s * s * iv), 3) flux FROM m GROUP BY sid, img""".replace("GROUP BY ALL", "GROUP BY sid, img, x, y, d, iv"))
 def sersic_render(spark: SparkSession, d: str) -> DataFrame:
-    """Sersic galaxies of five indices under a Gaussian PSF: total flux and peak on a grid."""
-    out = None
-    grid = spark.range(101 * 101).select((C("id") % 101 - 50).cast("double").alias("x"), (F.floor(C("id") / 101) - 50).cast("double").alias("y"))
-    for n in (0.8, 1.0, 2.0, 3.0, 4.0):
-        m = mog.convolve(mog.affine(mog.isotropic(list(splines.sersic(n))), F.lit(4.0), F.lit(0.0), F.lit(0.0), F.lit(4.0)), mog.isotropic([(1.0, 2.0)]))
-        one = grid.select(mog.evaluate(m, C("x"), C("y")).alias("v")).agg(F.lit(n).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max("v"), 6).alias("peak"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every source as a Sersic galaxy of its own index under a Gaussian PSF: what its box holds of it, its peak, and its flux in each image."""
+    s = _sersic_at(spark, d, 0.0)
+    return s.groupBy("sid", "img").agg(F.round(F.sum("s0"), 6).alias("total"), F.round(F.max("s0"), 7).alias("peak"), F.round(F.sum(C("s0") * C("d") * C("iv")) / F.sum(C("s0") * C("s0") * C("iv")), 3).alias("flux"))
 
 
 @query("optimise_loop")
@@ -236,12 +272,6 @@ def multi_image_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sersic_derivs")
 def sersic_derivs(spark: SparkSession, d: str) -> DataFrame:
-    """Derivative by Sersic index: one-sided step between the mixtures of two indices, on a grid under a Gaussian PSF."""
-    grid = spark.range(61 * 61).select((C("id") % 61 - 30).cast("double").alias("x"), (F.floor(C("id") / 61) - 30).cast("double").alias("y"))
-    psf, z, r = mog.isotropic([(1.0, 2.0)]), F.lit(0.0), F.lit(3.0)
-    at = lambda n: mog.evaluate(mog.convolve(mog.affine(mog.isotropic(list(splines.sersic(n))), r, z, z, r), psf), C("x"), C("y"))
-    out = None
-    for n in (1.0, 2.5, 4.0):
-        one = grid.select(((at(n + 0.01) - at(n)) / 0.01).alias("v")).agg(F.lit(n).alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.max(F.abs("v")), 5).alias("peak"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Derivative of every source's profile by its Sersic index, a one-sided step, on the pixels of its box in each image."""
+    s = _sersic_at(spark, d, 0.0, 0.01).withColumn("v", (C("s1") - C("s0")) / 0.01)
+    return s.groupBy("sid", "img").agg((F.round(F.sum("v"), 4) + 0.0).alias("total"), F.round(F.max(F.abs("v")), 5).alias("peak"))

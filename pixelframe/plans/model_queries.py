@@ -135,13 +135,17 @@ def _values(parts: list[tuple[float, float]]) -> str:
     return ", ".join(f"({a!r}::DOUBLE, {v!r}::DOUBLE)" for a, v in parts)
 
 
-@query("mog_profiles", f"SELECT 'exp' kind, round(sum(a), 8) total, round(sum(a * v), 6) var2, count(*)::BIGINT n FROM (VALUES {_values(mog.profile('exp'))}) t(a, v) UNION ALL SELECT 'dev', round(sum(a), 8), round(sum(a * v), 6), count(*)::BIGINT FROM (VALUES {_values(mog.profile('dev'))}) t(a, v)")
+def _kinds() -> str:
+    return ", ".join(f"('{k}', {a!r}::DOUBLE, {v!r}::DOUBLE)" for k in ("exp", "dev") for a, v in mog.profile(k))
+
+
+@query("mog_profiles", f"{with_fixtures('srcs')}, k(kind, a, v) AS (VALUES {_kinds()}), t AS (SELECT sid, CASE WHEN psize % 2 = 1 THEN 'exp' ELSE 'dev' END kind, psize / 10e0 r FROM srcs) SELECT sid, kind, round(sum(a), 8) total, round(sum(a * v * r * r), 6) var2, count(*)::BIGINT n FROM t JOIN k USING (kind) GROUP BY sid, kind")
 def mog_profiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = None
-    for kind in ("exp", "dev"):
-        one = spark.range(1).select(F.lit(kind).alias("kind"), F.explode(mog.normalise(mog.isotropic(mog.profile(kind)))).alias("c")).groupBy("kind").agg(F.round(F.sum("c.amp"), 8).alias("total"), F.round(F.sum(C("c.amp") * C("c.vxx")), 6).alias("var2"), F.count(F.lit(1)).alias("n"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """Total, second moment and number of components of every source's profile."""
+    s = fixture(spark, d, "srcs").select("sid", F.when(C("psize") % 2 == 1, "exp").otherwise("dev").alias("kind"), (C("psize") / 10.0).alias("r"))
+    shape = F.when(C("kind") == "exp", mog.normalise(mog.isotropic(mog.profile("exp")))).otherwise(mog.normalise(mog.isotropic(mog.profile("dev"))))
+    rows = s.select("sid", "kind", F.explode(mog.affine(shape, C("r"), F.lit(0.0), F.lit(0.0), C("r"))).alias("c"))
+    return rows.groupBy("sid", "kind").agg(F.round(F.sum("c.amp"), 8).alias("total"), F.round(F.sum(C("c.amp") * C("c.vxx")), 6).alias("var2"), F.count(F.lit(1)).alias("n"))
 
 
 @query("mog_affine", f"{with_fixtures('srcs')}, t AS (SELECT sid, psize / 10e0 a, (psize % 7) / 20e0 b FROM srcs), k(w, v) AS (VALUES {_values(mog.profile('exp'))}) SELECT sid, round(sum(w * (a * a * v + b * b * v)), 6) xx, round(sum(w * (b * a * v + b * v)), 6) + 0e0 xy FROM t, k GROUP BY sid".replace("(b * a * v + b * v)", "(a * 0e0 * v + b * 1e0 * v)"))
@@ -152,23 +156,23 @@ def mog_affine(spark: SparkSession, d: str) -> DataFrame:
     return s.select("sid", F.round(mean("vxx"), 6).alias("xx"), (F.round(mean("vxy"), 6) + 0.0).alias("xy"))
 
 
-@query("mog_convolve", f"WITH p(a, v) AS (VALUES {_values(mog.profile('dev'))}), q(a, v) AS (VALUES (0.7e0, 1.5e0), (0.3e0, 6e0)) SELECT round(sum(p.a * q.a), 8) total, round(sum(p.a * q.a * (p.v * 4e0 + q.v)), 6) var2, count(*)::BIGINT n FROM p, q")
+@query("mog_convolve", f"{with_fixtures('srcs')}, p(a, v) AS (VALUES {_values(mog.profile('dev'))}), q(a, v) AS (VALUES (0.7e0, 0.5e0), (0.3e0, 2e0)) SELECT sid, round(sum(p.a * q.a), 8) total, round(sum(p.a * q.a * (p.v * (psize / 10e0) * (psize / 10e0) + q.v * sig * sig)), 5) var2, count(*)::BIGINT n FROM srcs, p, q GROUP BY sid")
 def mog_convolve(spark: SparkSession, d: str) -> DataFrame:
-    """De Vaucouleurs profile of radius two under a PSF of two Gaussians: all pairs of components."""
-    two = F.lit(2.0)
-    shape = mog.affine(mog.isotropic(mog.profile("dev")), two, F.lit(0.0), F.lit(0.0), two)
-    both = spark.range(1).select(F.explode(mog.convolve(shape, mog.isotropic([(0.7, 1.5), (0.3, 6.0)]))).alias("c"))
-    return both.agg(F.round(F.sum("c.amp"), 8).alias("total"), F.round(F.sum(C("c.amp") * C("c.vxx")), 6).alias("var2"), F.count(F.lit(1)).alias("n"))
+    """Every source's de Vaucouleurs profile under a PSF of two Gaussians: all pairs of components."""
+    r, sig, zero = C("psize") / 10.0, C("sig"), F.lit(0.0)
+    both = mog.convolve(mog.affine(mog.isotropic(mog.profile("dev")), r, zero, zero, r), mog.affine(mog.isotropic([(0.7, 0.5), (0.3, 2.0)]), sig, zero, zero, sig))
+    rows = fixture(spark, d, "srcs").select("sid", F.explode(both).alias("c"))
+    return rows.groupBy("sid").agg(F.round(F.sum("c.amp"), 8).alias("total"), F.round(F.sum(C("c.amp") * C("c.vxx")), 5).alias("var2"), F.count(F.lit(1)).alias("n"))
 
 
 _G = [(0.6, 1.2), (0.4, 4.5)]
 
 
-@query("mog_grid", f"WITH g AS (SELECT i::INT x, j::INT y FROM range(0, 15) a(i), range(0, 15) b(j)), k(a, v) AS (VALUES {_values(_G)}) SELECT x, y, round(sum(a / (2e0 * pi() * v) * exp(-0.5e0 * ((x - 7.3e0) * (x - 7.3e0) + (y - 6.8e0) * (y - 6.8e0)) / v)), 9) u FROM g, k GROUP BY x, y")
+@query("mog_grid", f"{_U}, k(a, v) AS (VALUES {_values(_G)}), m AS (SELECT sid, img, x, y, d, sum(a / (2e0 * pi() * v * sig * sig) * exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * sig * sig))) u FROM u, k GROUP BY ALL) SELECT sid, img, round(sum(u), 6) + 0e0 inside, round(sum(u * d), 3) + 0e0 seen, count(*)::BIGINT n FROM m GROUP BY sid, img")
 def mog_grid(spark: SparkSession, d: str) -> DataFrame:
-    """A mixture on a grid."""
-    grid = spark.range(225).select((C("id") % 15).cast("int").alias("x"), F.floor(C("id") / 15).cast("int").alias("y"), mog.isotropic(_G).alias("m"))
-    return grid.select("x", "y", F.round(mog.evaluate(C("m"), C("x") - 7.3, C("y") - 6.8), 9).alias("u"))
+    """A mixture of two Gaussians, as wide as the source, on the pixels of every source's box in every image."""
+    met = _umod(spark, d).withColumn("m", mog.evaluate(mog.affine(mog.isotropic(_G), C("sig"), F.lit(0.0), F.lit(0.0), C("sig")), C("x") - C("px"), C("y") - C("py")))
+    return met.groupBy("sid", "img").agg((F.round(F.sum("m"), 6) + 0.0).alias("inside"), (F.round(F.sum(C("m") * C("d")), 3) + 0.0).alias("seen"), F.count(F.lit(1)).alias("n"))
 
 
 @query("mog_cutoff", f"WITH g AS (SELECT i::INT x, j::INT y FROM range(0, 41) a(i), range(0, 41) b(j)), k(a, v) AS (VALUES {_values(_G)}), e AS (SELECT x, y, sum(a / (2e0 * pi() * v) * exp(-0.5e0 * ((x - 20e0) * (x - 20e0) + (y - 20e0) * (y - 20e0)) / v)) u FROM g, k GROUP BY x, y) SELECT min(x) x0, max(x) + 1 x1, min(y) y0, max(y) + 1 y1, count(*)::BIGINT n, round(sum(u), 6) total FROM e WHERE u >= 1e-3")
@@ -506,17 +510,21 @@ def params_legal(spark: SparkSession, d: str) -> DataFrame:
 
 @query("em_psf_fit")
 def em_psf_fit(spark: SparkSession, d: str) -> DataFrame:
-    """EM fit of a mixture to a stamp from each image."""
+    """EM fit of two Gaussians to a stamp of 15 x 15 pixels about the brightest inner pixel of each field in each image, over the image's median as sky."""
+    p = fixture(spark, d, "pixels").select("img", F.floor(C("x") / 80).alias("field"), (C("x") % 80).cast("int").alias("x"), "y", "d")
+    inner = p.where((C("x") >= 7) & (C("x") < 33) & (C("y") >= 7) & (C("y") < 33))
+    top = inner.groupBy("img", "field").agg(F.max_by(F.struct("x", "y"), F.struct("d", -C("y"), -C("x"))).alias("c"))
+    sky = p.groupBy("img").agg(F.median("d").alias("sky"))
+    stamp = p.join(top, ["img", "field"]).where((F.abs(C("x") - C("c.x")) <= 7) & (F.abs(C("y") - C("c.y")) <= 7)).join(F.broadcast(sky), "img")  # a row an image
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        stamp = np.zeros((15, 15))
-        stamp[pdf.y - 12, pdf.x - 12] = pdf.u
-        got = sv.em_fit(stamp, 2)
-        return pd.DataFrame({"sid": pdf.sid.iloc[0], "comp": np.arange(2), "amp": np.round(got[:, 0], 4), "vxx": np.round(got[:, 3], 3)})
-
-    stamps = spark.range(1, 6).select(C("id").alias("sid"), F.explode(F.sequence(F.lit(12), F.lit(26))).alias("x")).select("*", F.explode(F.sequence(F.lit(12), F.lit(26))).alias("y"))
-    m = mog.isotropic([(0.7, 1.5), (0.3, 6.0)])
-    return stamps.withColumn("u", mog.evaluate(m, C("x") - 19.0, C("y") - (18.8 + C("sid") / 10.0))).groupBy("sid").applyInPandas(fit, "sid long, comp int, amp double, vxx double")
+        out = np.zeros((15, 15))
+        out[pdf.dy + 7, pdf.dx + 7] = pdf.v
+        got = sv.em_fit(out, 2, alpha=0.1)
+        return pd.DataFrame({"img": pdf.img.iloc[0], "field": pdf.field.iloc[0], "comp": np.arange(2), "amp": np.round(got[:, 0], 4), "mx": np.round(got[:, 1] - 7, 3), "my": np.round(got[:, 2] - 7, 3), "vxx": np.round(got[:, 3], 3), "vyy": np.round(got[:, 5], 3)})
+
+    rows = stamp.select("img", "field", (C("x") - C("c.x")).alias("dx"), (C("y") - C("c.y")).alias("dy"), (C("d") - C("sky")).alias("v"))
+    return rows.groupBy("img", "field").applyInPandas(fit, "img int, field long, comp int, amp double, mx double, my double, vxx double, vyy double")
 
 
 @query("galaxy_fft")
