@@ -1,10 +1,12 @@
-"""Splines and fitted mixtures in numpy, for small dense problems inside grouped functions or on the driver."""
+"""Splines and fitted mixtures: coefficients in numpy, for small dense problems inside grouped functions or on the driver, values as Columns."""
 
 from __future__ import annotations
 
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .solve import nonneg_solve
 
@@ -30,6 +32,36 @@ def on_grid(xs: np.ndarray, ys: np.ndarray, z: np.ndarray, ax: np.ndarray, ay: n
     return np.stack([natural(ys, c, ay) for c in rows.T], axis=1)
 
 
+def cubics(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Natural cubic splines through ys (its first axis runs over xs) as powers of the distance from each piece's left knot: (piece, power, ...)."""
+    n, h = len(xs), np.diff(xs)
+    ys = np.asarray(ys, float)
+    a, r = np.eye(n), np.zeros_like(ys)
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1] / 6, (h[k - 1] + h[k]) / 3, h[k] / 6
+        r[k] = (ys[k + 1] - ys[k]) / h[k] - (ys[k] - ys[k - 1]) / h[k - 1]
+    m = np.linalg.solve(a, r.reshape(n, -1)).reshape(ys.shape)
+    h = h.reshape(-1, *[1] * (ys.ndim - 1))
+    return np.stack([ys[:-1], np.diff(ys, axis=0) / h - h * (2 * m[:-1] + m[1:]) / 6, m[:-1] / 2, np.diff(m, axis=0) / (6 * h)], axis=1)
+
+
+def bicubics(xs: np.ndarray, ys: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The tensor product of natural splines through z[y, x] as a polynomial for each cell: (cell in y, cell in x, power of y, power of x)."""
+    along_x = cubics(xs, np.asarray(z, float).T)  # piece in x, power of x, y
+    return cubics(ys, np.moveaxis(along_x, 2, 0)).transpose(0, 2, 1, 3)
+
+
+def cell(x: Column, start: float, step: float, pieces: int) -> Column:
+    """The piece of an even grid of knots that x lies in; ends go on with the outer pieces."""
+    return F.greatest(F.lit(0), F.least(F.lit(pieces - 1), F.floor((x - start) / step).cast("int")))
+
+
+def bicubic_at(c: Column, t: Column, s: Column) -> Column:
+    """A cell's polynomial, its 16 coefficients in an array by power of y and then of x, at the distances t and s from its lower corner."""
+    rows = [c[4 * q] + t * (c[4 * q + 1] + t * (c[4 * q + 2] + t * c[4 * q + 3])) for q in range(4)]
+    return rows[0] + s * (rows[1] + s * (rows[2] + s * rows[3]))
+
+
 @lru_cache(64)
 def sersic(n: float, parts: int = 10) -> tuple[tuple[float, float], ...]:
     """Gaussian mixture (amplitude, variance) for a Sersic profile of index n inside eight half-light radii.
@@ -70,9 +102,4 @@ def sersic_table() -> np.ndarray:
         scale = np.linalg.norm(a, axis=0)
         amp = nonneg_solve((a / scale).T @ (a / scale), (a / scale).T @ (target * w)) / scale
         fits.append(amp / amp.sum())
-    h, y = SERSIC_STEP, np.array(fits)
-    second = np.zeros_like(y)
-    inner = np.diag(np.full(SERSIC_PIECES - 1, 4.0)) + np.diag(np.ones(SERSIC_PIECES - 2), 1) + np.diag(np.ones(SERSIC_PIECES - 2), -1)
-    second[1:-1] = np.linalg.solve(inner, 6 * (y[2:] - 2 * y[1:-1] + y[:-2]) / h**2)
-    slope = np.diff(y, axis=0) / h - h * (2 * second[:-1] + second[1:]) / 6
-    return np.stack([y[:-1], slope, second[:-1] / 2, np.diff(second, axis=0) / (6 * h)], axis=2)
+    return cubics(knots, np.array(fits)).transpose(0, 2, 1)

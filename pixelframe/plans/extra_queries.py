@@ -144,18 +144,23 @@ def hybrid_psf(spark: SparkSession, d: str) -> DataFrame:
     return got.select("x", "y", F.round(F.coalesce(C("d") / C("total"), m), 9).alias("v"), C("d").isNotNull().alias("pixelised"))
 
 
-@query("varying_psf")
-def varying_psf(spark: SparkSession, d: str) -> DataFrame:
-    """PSF width that varies over the field: a tensor spline through an 11 x 11 grid of widths, at every source."""
+def _widths() -> np.ndarray:
+    """Cell polynomials of a PSF width known on a grid of 11 x 11 points, four pixels apart."""
     at = np.linspace(0, 40, 11)
-    widths = 1.5 + 0.01 * at[None, :] + 0.0005 * (at[:, None] - 20) ** 2
+    return splines.bicubics(at, at, 1.5 + 0.01 * at[None, :] + 0.0005 * (at[:, None] - 20) ** 2)
+
 
-    def task(batches):
-        for pdf in batches:
-            sig = [float(splines.on_grid(at, at, widths, np.array([x % 80]), np.array([y]))[0, 0]) for x, y in zip(pdf.px, pdf.py, strict=True)]
-            yield pd.DataFrame({"sid": pdf.sid, "sigma": np.round(sig, 6)})
+_WIDTHS = ", ".join(f"({x}, {y}, [{', '.join(f'{float(v)!r}::DOUBLE' for v in c.ravel())}])" for y, row in enumerate(_widths()) for x, c in enumerate(row))
+_POLY = " + ".join(f"c[{4 * q + p + 1}]" + " * t" * p + " * s" * q for q in range(4) for p in range(4))
 
-    return fixture(spark, d, "srcs").select("sid", "px", "py").mapInPandas(task, "sid long, sigma double")
+
+@query("varying_psf", f"{with_fixtures('srcs')}, w(cx, cy, c) AS (VALUES {_WIDTHS}), k AS (SELECT sid, px % 80e0 x, py y, least(9, floor((px % 80e0) / 4e0))::INT cx, least(9, floor(py / 4e0))::INT cy FROM srcs), t AS (SELECT sid, c, x - 4e0 * cx t, y - 4e0 * cy s FROM k JOIN w USING (cx, cy)) SELECT sid, round({_POLY}, 6) sigma FROM t")
+def varying_psf(spark: SparkSession, d: str) -> DataFrame:
+    """PSF width that varies over the field: a tensor spline through an 11 x 11 grid of widths, at every source. The hundred cells are broadcast."""
+    cells = spark.createDataFrame([(x, y, [float(v) for v in c.ravel()]) for y, row in enumerate(_widths()) for x, c in enumerate(row)], "cx int, cy int, c array<double>")
+    s = fixture(spark, d, "srcs").select("sid", (C("px") % 80.0).alias("x"), C("py").alias("y"))
+    s = s.withColumns({"cx": splines.cell(C("x"), 0.0, 4.0, 10), "cy": splines.cell(C("y"), 0.0, 4.0, 10)}).join(F.broadcast(cells), ["cx", "cy"])
+    return s.select("sid", F.round(splines.bicubic_at(C("c"), C("x") - 4.0 * C("cx"), C("y") - 4.0 * C("cy")), 6).alias("sigma"))
 
 
 _PSF2 = 2.0

@@ -587,20 +587,27 @@ def nonneg_phot(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sky_spline")
 def sky_spline(spark: SparkSession, d: str) -> DataFrame:
-    """Natural cubic splines through the grid of sky medians, row by row and then down the columns, at every fourth pixel of each field."""
+    """Natural cubic splines through the grid of sky medians of each field in each image, at every pixel: a polynomial for each cell of the grid meets the pixels of the cell."""
     field = F.floor(C("x") / 80).cast("int")
-    px = fixture(spark, d, "pixels").select((C("img") + 8 * field).alias("img"), (C("x") % 80).alias("x"), "y", "d")
-    grid = im.box_medians(px, 10, 8, 40, 40)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.pivot(index="gy", columns="gx", values="median").to_numpy(float)
-        xs, ys, at = np.sort(pdf.gx.unique()) * 10.0, np.sort(pdf.gy.unique()) * 10.0, np.arange(0, 31, 4.0)
-        full = splines.on_grid(xs, ys, z, at, at)
-        gy, gx = np.meshgrid(at, at, indexing="ij")
-        return pd.DataFrame({"img": pdf.img.iloc[0], "x": gx.ravel().astype(int), "y": gy.ravel().astype(int), "sky": np.round(full.ravel(), 4)})
-
-    sky = grid.groupBy("img").applyInPandas(fill, "img int, x int, y int, sky double")
-    return sky.select((C("img") % 8).alias("img"), F.floor(C("img") / 8).cast("int").alias("field"), "x", "y", "sky")
+    px = fixture(spark, d, "pixels").select("img", field.alias("field"), (C("x") % 80).alias("x"), "y", "d")
+    grid = im.box_medians(px.select((C("img") + 8 * C("field")).alias("img"), "x", "y", "d"), 10, 8, 40, 40)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.pivot(index="gy", columns="gx", values="median")
+        z = z.fillna(float(np.nanmedian(z.to_numpy(float))))  # boxes without a pixel inside the grid
+        xs, ys, z = z.columns.to_numpy() * 10.0, z.index.to_numpy() * 10.0, z.to_numpy(float)
+        if len(xs) == 1:
+            xs, z = np.append(xs, xs + 10.0), np.repeat(z, 2, axis=1)
+        if len(ys) == 1:
+            ys, z = np.append(ys, ys + 10.0), np.repeat(z, 2, axis=0)
+        cy, cx = (v.ravel() for v in np.mgrid[:3, :3])
+        kx, ky = (np.clip(np.searchsorted(k, 10.0 * v, side="right") - 1, 0, len(k) - 2) for k, v in ((xs, cx), (ys, cy)))  # the piece that serves a cell
+        return pd.DataFrame({"key": pdf.img.iloc[0], "cx": cx, "cy": cy, "x0": xs[kx], "y0": ys[ky], "c": list(splines.bicubics(xs, ys, z)[ky, kx].reshape(-1, 16))})
+
+    cells = grid.groupBy("img").applyInPandas(fit, "key int, cx int, cy int, x0 double, y0 double, c array<double>").select((C("key") % 8).alias("img"), F.floor(C("key") / 8).cast("int").alias("field"), "cx", "cy", "x0", "y0", "c")
+    at = px.withColumns({"cx": splines.cell(C("x"), 0.0, 10.0, 3), "cy": splines.cell(C("y"), 0.0, 10.0, 3)})
+    sky = splines.bicubic_at(C("c"), C("x") - C("x0"), C("y") - C("y0"))
+    return at.join(cells, ["img", "field", "cx", "cy"]).select("img", "field", "x", "y", F.round(sky, 6).alias("sky"))
 
 
 @query("mcmc_flux")

@@ -241,3 +241,37 @@ def test_multi_image_fit_recovers(spark, tmp_path):
     assert sorted(r.sid for r in got) == list(sids)
     for r in got:
         assert (r.flux, r.px, r.py, r.sky) == pytest.approx(truth[r.sid], rel=1e-3, abs=1e-3)
+
+
+def test_bicubic_cells(spark):
+    """Polynomials of cells are the tensor spline to the last digits, on uneven knots, at knots and beyond the ends."""
+    import numpy as np
+
+    from pixelframe.operators import splines
+
+    rng = np.random.default_rng(2)
+    xs, ys, z = np.array([0.0, 3, 4, 9, 15]), np.array([-2.0, 1, 2, 6]), rng.normal(size=(4, 5))
+    c = splines.bicubics(xs, ys, z)
+    ax, ay = np.array([-1.0, 0, 2.5, 4, 8.9, 15, 17]), np.array([-3.0, -2, 0.5, 2, 5, 7])
+    kx, ky = (np.clip(np.searchsorted(k, a, side="right") - 1, 0, len(k) - 2) for k, a in ((xs, ax), (ys, ay)))
+    got = [[sum(c[j, i, q, p] * (x - xs[i]) ** p * (y - ys[j]) ** q for q in range(4) for p in range(4)) for x, i in zip(ax, kx, strict=True)] for y, j in zip(ay, ky, strict=True)]
+    assert np.allclose(got, splines.on_grid(xs, ys, z, ax, ay), atol=1e-9)
+
+
+def test_sky_every_pixel(spark):
+    """The sky of every pixel of a field, of which only ten rows hold pixels, against the tensor spline through the medians of overlapping boxes."""
+    import numpy as np
+
+    from pixelframe.operators import splines
+    from pixelframe.plans.registry import QUERIES
+    from pixelframe.sources.fixtures import fixture
+
+    sf = "/root/testdata/sf0.001"
+    p, got = fixture(spark, sf, "pixels").toPandas(), QUERIES["sky_spline"](spark, sf).toPandas()
+    assert len(got) == len(p)
+    knots = np.arange(4) * 10.0
+    for img, px in p.groupby("img"):
+        z = np.array([[px.d[(abs(px.x - x) <= 8) & (abs(px.y - y) <= 8)].median() for x in knots] for y in knots[:2]])
+        full = splines.on_grid(knots, knots[:2], z, np.arange(40.0), np.arange(10.0))
+        mine = got[got.img == img]
+        assert np.allclose(mine.sky, full[mine.y, mine.x], atol=1e-6)
