@@ -70,9 +70,8 @@ g AS (SELECT sid, img, any_value(flux) c, sum(u * (d - m) * (d - m) * iv) chi2,
 SELECT sid, round(sum(chi2), 3) prochi2, round(sum(npix_w), 5) pronpix, sum(n)::BIGINT npix, round(sum(num) / greatest(1e0, sum(den)), 4) profracflux, round(sum(pf), 3) proflux, round(sum(npix_w) / greatest(1, count(*)), 5) fracin FROM g GROUP BY sid""")
 def fitstats_source(spark: SparkSession, d: str) -> DataFrame:
     """Profile-weighted statistics: chi-squared, pixels, flux of neighbours, fraction inside. Two aggregates: by source and image, then by source."""
-    u = _umod(spark, d)
-    m = u.groupBy("img", "x", "y").agg(F.sum(C("u") * C("flux")).alias("m"))
-    t = u.where("u > 0 AND iv > 0").join(m, ["img", "x", "y"])
+    model = F.sum(C("u") * C("flux")).over(Window.partitionBy("img", "x", "y"))  # one render join: a pixel's sources meet in its window
+    t = _umod(spark, d).withColumn("m", model).where("u > 0 AND iv > 0")
     p, c = C("u"), C("flux")
     by = t.groupBy("sid", "img").agg(
         F.sum(p * (C("d") - C("m")) * (C("d") - C("m")) * C("iv")).alias("chi2"), F.sum(p).alias("w"), F.count(F.lit(1)).alias("n"),
@@ -435,8 +434,8 @@ def astrometric_fit(spark: SparkSession, d: str) -> DataFrame:
 def grid_spread(spark: SparkSession, d: str) -> DataFrame:
     """A sparse table of weights from model cells to pixels: images of the model are joins and sums over it."""
     p = fixture(spark, d, "pixels").where("iv > 0")
-    w = p.select((10 * F.floor(C("x") / 4) + F.floor(C("y") / 4)).alias("gid"), "img", "x", "y", (1.0 / (1 + C("x") % 4 + C("y") % 4)).alias("w"))
-    return w.join(p, ["img", "x", "y"]).groupBy("img", "gid").agg(F.round(F.sum(C("w") * C("d")) / F.sum("w"), 6).alias("v"), F.round(F.sum(C("w") * C("w") * 2.0), 6).alias("ww"))
+    w = p.select((10 * F.floor(C("x") / 4) + F.floor(C("y") / 4)).alias("gid"), "img", "d", (1.0 / (1 + C("x") % 4 + C("y") % 4)).alias("w"))
+    return w.groupBy("img", "gid").agg(F.round(F.sum(C("w") * C("d")) / F.sum("w"), 6).alias("v"), F.round(F.sum(C("w") * C("w") * 2.0), 6).alias("ww"))
 
 
 @query("multi_tile_phot", f"""{_U}, t AS (SELECT *, CASE img % 3 WHEN 0 THEN 'z' WHEN 1 THEN 'g' ELSE 'r' END band, floor(px / 10e0)::INT * 4 + floor(py / 10e0)::INT tile FROM u WHERE abs(x - (5e0 + 10e0 * floor(px / 10e0))) <= 7e0 AND abs(y - (5e0 + 10e0 * floor(py / 10e0))) <= 7e0),
