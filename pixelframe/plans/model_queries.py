@@ -174,12 +174,12 @@ def mog_grid(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("sid", "img").agg((F.round(F.sum("m"), 6) + 0.0).alias("inside"), (F.round(F.sum(C("m") * C("d")), 3) + 0.0).alias("seen"), F.count(F.lit(1)).alias("n"))
 
 
-@query("mog_cutoff", f"WITH g AS (SELECT i::INT x, j::INT y FROM range(0, 41) a(i), range(0, 41) b(j)), k(a, v) AS (VALUES {_values(_G)}), e AS (SELECT x, y, sum(a / (2e0 * pi() * v) * exp(-0.5e0 * ((x - 20e0) * (x - 20e0) + (y - 20e0) * (y - 20e0)) / v)) u FROM g, k GROUP BY x, y) SELECT min(x) x0, max(x) + 1 x1, min(y) y0, max(y) + 1 y1, count(*)::BIGINT n, round(sum(u), 6) total FROM e WHERE u >= 1e-3")
+@query("mog_cutoff", f"{_U}, k(a, v) AS (VALUES {_values(_G)}), m AS (SELECT sid, img, x, y, sum(a / (2e0 * pi() * v * sig * sig) * exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * sig * sig))) u FROM u, k GROUP BY ALL) SELECT sid, img, min(x) x0, max(x) + 1 x1, min(y) y0, max(y) + 1 y1, count(*)::BIGINT n, round(sum(u), 6) total FROM m WHERE u >= 1e-3 GROUP BY sid, img")
 def mog_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    """Values below a minimum are dropped; the box shrinks to what is left."""
-    grid = spark.range(1681).select((C("id") % 41).cast("int").alias("x"), F.floor(C("id") / 41).cast("int").alias("y"), mog.isotropic(_G).alias("m"))
-    e = grid.select("x", "y", mog.evaluate(C("m"), C("x") - 20.0, C("y") - 20.0).alias("u")).where("u >= 1e-3")
-    return e.agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.count(F.lit(1)).alias("n"), F.round(F.sum("u"), 6).alias("total"))
+    """The part of every source's mixture above a minimum, on the pixels of its box in every image: half-open bounds, pixels, sum."""
+    met = _umod(spark, d).withColumn("m", mog.evaluate(mog.affine(mog.isotropic(_G), C("sig"), F.lit(0.0), F.lit(0.0), C("sig")), C("x") - C("px"), C("y") - C("py"))).where(C("m") >= 1e-3)
+    box = [f(c).alias(n) if n[1] == "0" else (f(c) + 1).alias(n) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))]
+    return met.groupBy("sid", "img").agg(*box, F.count(F.lit(1)).alias("n"), F.round(F.sum("m"), 6).alias("total"))
 
 
 def _render_sql(parts: list[tuple[float, float]], scale: str) -> str:
