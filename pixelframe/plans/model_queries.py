@@ -167,17 +167,24 @@ def mog_convolve(spark: SparkSession, d: str) -> DataFrame:
 _G = [(0.6, 1.2), (0.4, 4.5)]
 
 
+def _two_gaussians() -> Column:
+    """Two components as wide as the source, as plain columns."""
+    var = C("sig") * C("sig")
+    parts = [mog.density(mog.component(F.lit(a), F.lit(0.0), F.lit(0.0), v * var, F.lit(0.0), v * var), C("x") - C("px"), C("y") - C("py")) for a, v in _G]
+    return parts[0] + parts[1]
+
+
 @query("mog_grid", f"{_U}, k(a, v) AS (VALUES {_values(_G)}), m AS (SELECT sid, img, x, y, d, sum(a / (2e0 * pi() * v * sig * sig) * exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * sig * sig))) u FROM u, k GROUP BY ALL) SELECT sid, img, round(sum(u), 6) + 0e0 inside, round(sum(u * d), 3) + 0e0 seen, count(*)::BIGINT n FROM m GROUP BY sid, img")
 def mog_grid(spark: SparkSession, d: str) -> DataFrame:
     """A mixture of two Gaussians, as wide as the source, on the pixels of every source's box in every image."""
-    met = _umod(spark, d).withColumn("m", mog.evaluate(mog.affine(mog.isotropic(_G), C("sig"), F.lit(0.0), F.lit(0.0), C("sig")), C("x") - C("px"), C("y") - C("py")))
+    met = _umod(spark, d).withColumn("m", _two_gaussians())
     return met.groupBy("sid", "img").agg((F.round(F.sum("m"), 6) + 0.0).alias("inside"), (F.round(F.sum(C("m") * C("d")), 3) + 0.0).alias("seen"), F.count(F.lit(1)).alias("n"))
 
 
 @query("mog_cutoff", f"{_U}, k(a, v) AS (VALUES {_values(_G)}), m AS (SELECT sid, img, x, y, sum(a / (2e0 * pi() * v * sig * sig) * exp(-0.5e0 * ((x - px) * (x - px) + (y - py) * (y - py)) / (v * sig * sig))) u FROM u, k GROUP BY ALL) SELECT sid, img, min(x) x0, max(x) + 1 x1, min(y) y0, max(y) + 1 y1, count(*)::BIGINT n, round(sum(u), 6) total FROM m WHERE u >= 1e-3 GROUP BY sid, img")
 def mog_cutoff(spark: SparkSession, d: str) -> DataFrame:
     """The part of every source's mixture above a minimum, on the pixels of its box in every image: half-open bounds, pixels, sum."""
-    met = _umod(spark, d).withColumn("m", mog.evaluate(mog.affine(mog.isotropic(_G), C("sig"), F.lit(0.0), F.lit(0.0), C("sig")), C("x") - C("px"), C("y") - C("py"))).where(C("m") >= 1e-3)
+    met = _umod(spark, d).withColumn("m", _two_gaussians()).where(C("m") >= 1e-3)
     box = [f(c).alias(n) if n[1] == "0" else (f(c) + 1).alias(n) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))]
     return met.groupBy("sid", "img").agg(*box, F.count(F.lit(1)).alias("n"), F.round(F.sum("m"), 6).alias("total"))
 
