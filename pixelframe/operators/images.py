@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +169,38 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df)
 
 
+def filled(pixels: DataFrame, good: Column, wanted: Column | None = None, value: str = "d") -> DataFrame:
+    """img, x, y, the value, and round: pixels that are not good filled from their edges inwards by the mean of their four neighbours.
+
+    A pixel is filled in the first round in which a neighbour has a finite value, so all its known
+    neighbours date from the round before: each round takes the last front to its neighbours, and
+    no round looks at more than the pixels still open. good marks those known at the start (round
+    0); with wanted, other pixels keep their value and a null round. So do pixels that no good one
+    reaches, and there is no bound on the rounds. Every round is one table in the shared folder.
+    Pixels are unique by img, x, y; a null in good or wanted counts as false.
+    """
+    no = F.lit(False)
+    px = pixels.select("img", "x", "y", F.col(value).cast("double").alias("v"), F.coalesce(good, no).alias("_ok"), (F.lit(True) if wanted is None else F.coalesce(wanted, no)).alias("_go"))
+    px = cut(px)
+    front = px.where("_ok").select("img", "x", "y", "v")
+    open_, done, k = px.where("NOT _ok AND _go").select("img", "x", "y"), [px.where("_ok").select("img", "x", "y", "v", F.lit(0).alias("round"))], 0
+    side = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    while True:
+        k += 1
+        live = front.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < math.inf))
+        near = live.select("img", "x", "y", "v", side.alias("o")).groupBy("img", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).agg(F.avg("v").alias("v"))
+        state = cut(open_.join(near, ["img", "x", "y"], "left"))
+        front, open_ = state.where("v IS NOT NULL"), state.where("v IS NULL").select("img", "x", "y")
+        if front.isEmpty():
+            break
+        done.append(front.select("img", "x", "y", "v", F.lit(k).alias("round")))
+        if len(done) == 32:  # plans stay small however deep the mask
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    rest = px.where("NOT _ok AND NOT _go").select("img", "x", "y", "v")
+    rest = rest.unionByName(open_.join(px, ["img", "x", "y"]).select("img", "x", "y", "v"))
+    return reduce(DataFrame.unionByName, [*done, rest.withColumn("round", F.lit(None).cast("int"))]).withColumnRenamed("v", value)
+
+
 def box_medians(pixels: DataFrame, step: int, half: int, w: int | None, h: int | None) -> DataFrame:
     """Medians over overlapping boxes of half-size `half` around a grid of centres every `step` pixels: img, gx, gy, median, n. A size of None has no far edge."""
 

@@ -235,6 +235,15 @@ def patch_masked(spark: SparkSession, d: str) -> DataFrame:
     return p.join(n, ["img", "x", "y"], "left").select("img", "x", "y", F.round(F.when(C("bad"), F.coalesce("f", F.lit(0.0))).otherwise(C("d")), 6).alias("d"))
 
 
+@query("patch_filled", f"""WITH RECURSIVE {_P.removeprefix('WITH ')}, p AS (SELECT img, x, y, d, iv >= 2e0 AND d < 60e0 ok FROM pixels), t(img, x, y, d, k) USING KEY (img, x, y) AS (SELECT img, x, y, d, 0 FROM p WHERE ok
+UNION SELECT p.img, p.x, p.y, avg(t.d), t.k + 1 FROM t JOIN p ON p.img = t.img AND abs(p.x - t.x) + abs(p.y - t.y) = 1 LEFT JOIN recurring.t r ON r.img = p.img AND r.x = p.x AND r.y = p.y WHERE r.img IS NULL GROUP BY p.img, p.x, p.y, t.k)
+SELECT p.img, p.x, p.y, round(coalesce(t.d, p.d), 6) d, t.k::INT AS "round" FROM p LEFT JOIN t USING (img, x, y)""")
+def patch_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of any depth filled from their edges inwards, with the round that filled each pixel; pixels without a way to a good one stay as they are."""
+    got = im.filled(fixture(spark, d, "pixels"), (C("iv") >= 2) & (C("d") < 60))
+    return got.select("img", "x", "y", F.round("d", 6).alias("d"), "round")
+
+
 @query("polygon_mask", f"{_P}, p AS (SELECT img, (x // 80)::BIGINT field, x % 80 x, y, d FROM pixels) SELECT img, field, count(*)::BIGINT n, sum(d) total FROM p WHERE x + y >= 20 AND x + y <= 50 AND x - y <= 15 AND y - x <= 15 GROUP BY img, field")
 def polygon_mask(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of every field inside a convex polygon given by half planes."""

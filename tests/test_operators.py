@@ -275,3 +275,39 @@ def test_sky_every_pixel(spark):
         full = splines.on_grid(knots, knots[:2], z, np.arange(40.0), np.arange(10.0))
         mine = got[got.img == img]
         assert np.allclose(mine.sky, full[mine.y, mine.x], atol=1e-6)
+
+
+def test_filled_brute(spark):
+    """Masks deeper than two pixels, islands that nothing reaches, infinite neighbours, and pixels that nobody asks for, round by round in a dense array."""
+    rng = np.random.default_rng(5)
+    img, ok = rng.normal(size=(24, 30)), rng.random((24, 30)) < 0.5
+    ok[4:15, 6:20] = False
+    img[2, 2], ok[2, 2], img[20, 20], ok[20, 20] = math.inf, True, math.nan, True
+    want, known, when, go = img.copy(), ok.copy(), np.where(ok, 0, -1), np.ones_like(ok)
+    go[18:, 3:9] = False
+    gone = np.zeros_like(ok)
+    gone[5:8, 24:29] = True
+    gone[6, 25:28] = False  # a masked island whose neighbours don't exist
+    ok[6, 25:28] = known[6, 25:28] = False
+    when[6, 25:28] = -1
+    known &= ~gone
+    k = 0
+    while True:
+        k, new = k + 1, []
+        for y, x in zip(*np.nonzero(~known & go & ~gone), strict=True):
+            near = [want[b, a] for b, a in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= b < 24 and 0 <= a < 30 and known[b, a] and np.isfinite(want[b, a])]
+            if near:
+                new.append((y, x, np.mean(near)))
+        for y, x, v in new:
+            want[y, x], known[y, x], when[y, x] = v, True, k
+        if not new:
+            break
+    assert k > 4
+    rows = [(i, x, y, float(img[y, x]), bool(ok[y, x]) or None, bool(go[y, x])) for i in (1, 2) for y in range(24) for x in range(30) if not gone[y, x]]
+    df = spark.createDataFrame(rows, "img int, x int, y int, d double, ok boolean, go boolean")
+    got = images.filled(df, F.col("ok"), F.col("go")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["round"] == (None if when[r.y, r.x] < 0 else when[r.y, r.x])
+        assert r.d == pytest.approx(want[r.y, r.x], nan_ok=True)
+    assert images.filled(df.limit(0), F.col("ok")).count() == 0
