@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..sources import fits_source as fits
 from ..sources import io
 from ..sources.fixtures import fixture, with_fixtures
 from ..streaming import lightcurves as lc
@@ -76,6 +77,16 @@ def text_table(spark: SparkSession, d: str) -> DataFrame:
     return io.read_text_table(spark, path, "id long, ra double, size int", "|")
 
 
+@query("fits_source", f"{with_fixtures('cat2')} SELECT id, ra, dec, size, brand FROM cat2 WHERE dec > -55e0")
+def fits_source(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue written as FITS tables, a file a task, and read back by splits of 64 KiB with five of its columns."""
+    fits.register(spark)
+    path = _folder(spark, "fits")
+    fixture(spark, d, "cat2").write.format("fits").mode("append").save(path)
+    got = spark.read.format("fits").schema("id long, ra double, dec double, size int, brand string").option("split", 1 << 16).load(path)
+    return got.where("dec > -55")
+
+
 @query("ccd_metadata", "SELECT o_orderkey exp_id, 'ccd' || (o_custkey % 62 + 1) extname, o_orderpriority AS filter, round(30e0 + o_custkey % 90, 1) exptime, round(0.8e0 + (o_orderkey % 50) / 100e0, 4) seeing FROM orders")
 def ccd_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Table of image metadata from headers kept as text: typed columns by JSON schema."""

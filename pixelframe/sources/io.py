@@ -220,7 +220,7 @@ def to_fits(columns: dict[str, np.ndarray]) -> bytes:
         n = v.shape[1] if v.ndim == 2 else 1
         raw = np.where(v, ord("T"), ord("F")).astype(np.uint8) if code == "L" else v.astype(_FORMS[code][0])
         fields.append((name, f"{n}{code}"))
-        parts.append(np.ascontiguousarray(raw).view(np.uint8).reshape(rows, -1))
+        parts.append(np.ascontiguousarray(raw).view(np.uint8).reshape(rows, n * raw.dtype.itemsize))
     body = np.concatenate(parts, axis=1).tobytes() if parts else b""
     width = sum(p.shape[1] for p in parts)
     head = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", width), ("NAXIS2", rows), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(fields))]
