@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,54 @@ def running_flux(stream: DataFrame) -> DataFrame:
     return stream.groupBy("src").applyInPandasWithState(update, "src long, flux double, n long", "a double, b double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def visit_fits(stream: DataFrame, idle: float, late: str) -> DataFrame:
+    """src, start, end, n, flux, slope of each visit that has ended: a line through the values of one source, as long as none comes more than `idle` seconds after the one before.
+
+    The state of a source is its open visit: times of its first and last measurement, and the sums
+    of a line's normal equations about the first, whatever their number. A measurement after a
+    longer gap closes a visit, and so does a timer once the watermark has passed its end by
+    `idle`. flux is the mean value; slope, per hour, is null where all times are equal. Rows without
+    a time, value or source are left out. Batches must come in the order of their times, to within
+    `idle`; inside a batch any order will do, and a task holds one source's rows of one batch.
+    """
+
+    def row(key: tuple, s: tuple) -> tuple:
+        first, last, n, t, tt, v, tv = s
+        det = n * tt - t * t
+        return key[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n, v / n, (n * tv - t * v) / det if last > first and det > 0 else None
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, out = (tuple(state.get) if state.exists else None), []
+        if state.hasTimedOut:
+            out, now = [row(key, now)], None
+        else:
+            rows = pd.concat(list(parts))[["us", "value"]].sort_values("us").to_numpy(float)
+            us, v = rows[:, 0], rows[:, 1]
+            cuts = np.flatnonzero(np.diff(us) > idle * 1e6) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(us)], strict=True):
+                if now and us[a] - now[1] > idle * 1e6:
+                    out.append(row(key, now))
+                    now = None
+                first, last, *sums = now or (int(us[a]), int(us[a]), 0, 0.0, 0.0, 0.0, 0.0)
+                h, w = (us[a:b] - first) / 3.6e9, v[a:b]
+                more = (b - a, h.sum(), (h * h).sum(), w.sum(), (h * w).sum())
+                now = (min(first, int(us[a])), max(last, int(us[b - 1])), *(x + y for x, y in zip(sums, more, strict=True)))
+                if now[0] < first:  # sums go over to the new first time
+                    d, (n, t, tt, c, tv) = (first - now[0]) / 3.6e9, now[2:]
+                    now = (*now[:2], n, t + n * d, tt + 2 * d * t + n * d * d, c, tv + d * c)
+        if now:
+            state.update((int(now[0]), int(now[1]), int(now[2]), *map(float, now[3:])))
+            state.setTimeoutTimestamp(max(int(now[1] // 1000 + idle * 1000), state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame(out, columns=["src", "start", "end", "n", "flux", "slope"]).astype({"src": "int64", "n": "int64", "flux": float, "slope": float})
+
+    rows = stream.withWatermark("ts", late).where("src IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL").select("src", "ts", "value", F.unix_micros("ts").alias("us"))
+    state = "first long, last long, n long, t double, tt double, v double, tv double"
+    out = "src long, start timestamp_ntz, end timestamp_ntz, n long, flux double, slope double"
+    return rows.groupBy("src").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into Parquet with a checkpoint in the shared folder, and read the result."""
     spark = stream.sparkSession
