@@ -56,7 +56,7 @@ def stream_running_flux(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_visits", """WITH e AS (SELECT user_id src, ts, value, max(ts) OVER () - INTERVAL 1 HOUR mark FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END b FROM e WINDOW w AS (PARTITION BY src ORDER BY ts)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY src ORDER BY ts ROWS UNBOUNDED PRECEDING) k, max(ts) OVER (PARTITION BY src) final FROM s)
-SELECT src, strftime(min(ts), '%Y-%m-%d %H:%M:%S') "start", count(*)::BIGINT n, round(avg(value), 4) + 0e0 flux, round(CASE WHEN max(ts) > min(ts) THEN regr_slope(value, epoch_us(ts) / 3.6e9 - 470000) END, 4) + 0e0 slope FROM g GROUP BY src, k HAVING max(ts) < any_value(final) OR max(ts) + INTERVAL 12 HOUR < any_value(mark)""")
+SELECT src, strftime(min(ts), '%Y-%m-%d %H:%M:%S') "start", count(*)::BIGINT n, round(avg(value), 7) + 0e0 flux, round(CASE WHEN max(ts) > min(ts) THEN regr_slope(value, epoch_us(ts) / 3.6e9 - 470000) END, 4) + 0e0 slope FROM g GROUP BY src, k HAVING max(ts) < any_value(final) OR max(ts) + INTERVAL 12 HOUR < any_value(mark)""")
 def stream_visits(spark: SparkSession, d: str) -> DataFrame:
     """Lines through the visits of each source. Events arrive in four ranges of time; the stream is stopped after each and goes on from its checkpoint with the next."""
     folder = _folder(spark, "visits")
@@ -67,7 +67,7 @@ def stream_visits(spark: SparkSession, d: str) -> DataFrame:
         part = e if a is None else e.where(C("ts") >= a)
         (part if b is None else part.where(C("ts") < b)).write.mode("append").parquet(f"{folder}/in")
         out = lc.drained(lc.visit_fits(lc.measurements(spark, f"{folder}/in", "*.parquet"), 12 * 3600, "1 hour"), "visits", folder)
-    return out.select("src", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", (F.round("flux", 4) + 0.0).alias("flux"), (F.round("slope", 4) + 0.0).alias("slope"))
+    return out.select("src", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", (F.round("flux", 7) + 0.0).alias("flux"), (F.round("slope", 4) + 0.0).alias("slope"))
 
 
 @query("zone_storage", f"{with_fixtures('cat1')} SELECT id, ra, dec FROM cat1 WHERE dec >= -12.3e0 AND dec < 7.7e0")
