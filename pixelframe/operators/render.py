@@ -31,14 +31,23 @@ def render_join(pixels: DataFrame, sources: DataFrame) -> DataFrame:
     p = pixels.select("*", F.floor(F.col("x") / BLOCK).alias("gx"), F.floor(F.col("y") / BLOCK).alias("gy"))
     keys = ["gx", "gy"] + (["img"] if "img" in sources.columns else [])
     inside = (F.col("x") >= F.col("bx0")) & (F.col("x") < F.col("bx1")) & (F.col("y") >= F.col("by0")) & (F.col("y") < F.col("by1"))
-    return p.join(sources, keys).where(inside).drop("gx", "gy", "bx0", "bx1", "by0", "by1")
+    # a merge: a table of sources grows many times over as it is dealt into blocks, which the planner's estimate doesn't know, so it would be broadcast at any size
+    return p.join(sources.hint("merge"), keys).where(inside).drop("gx", "gy", "bx0", "bx1", "by0", "by1")
 
 
-def spread(pixels: DataFrame) -> DataFrame:
-    """pixels dealt by block over all cores: few bytes, but many exponentials, so sizes in bytes must not decide."""
+def blocks_join(pixels: DataFrame, sources: DataFrame, *made: Column) -> DataFrame:
+    """The rows of render_join with columns `made` from the sources' own, which are worked out once for each source and block after the shuffle: what is wide, as mixtures are, isn't dealt with the sources.
+
+    Blocks are dealt over all cores: few bytes, but many exponentials, so sizes in bytes must not decide.
+    """
     spark = pixels.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return pixels.repartition(n, "img", F.floor(F.col("x") / BLOCK), F.floor(F.col("y") / BLOCK))
+    keys = ["gx", "gy"] + (["img"] if "img" in sources.columns else [])
+    at = pixels.select("img", F.floor(F.col("x") / BLOCK).alias("gx"), F.floor(F.col("y") / BLOCK).alias("gy"), F.struct(*[c for c in pixels.columns if c != "img"]).alias("_px"))
+    packed = at.repartition(n, *keys).groupBy("img", "gx", "gy").agg(F.collect_list("_px").alias("_px"))  # at most BLOCK x BLOCK pixels
+    met = packed.join(sources.hint("merge"), keys).drop("gx", "gy").select("*", *made).withColumn("_px", F.explode("_px")).select("*", "_px.*")
+    inside = (F.col("x") >= F.col("bx0")) & (F.col("x") < F.col("bx1")) & (F.col("y") >= F.col("by0")) & (F.col("y") < F.col("by1"))
+    return met.where(inside).drop("_px", "bx0", "bx1", "by0", "by1")
 
 
 def gauss_unit(dx: Column, dy: Column, sigma: Column) -> Column:
@@ -46,11 +55,10 @@ def gauss_unit(dx: Column, dy: Column, sigma: Column) -> Column:
     return F.exp(-0.5 * (dx * dx + dy * dy) / (sigma * sigma)) / (2 * math.pi * sigma * sigma)
 
 
-def unit_models(pixels: DataFrame, sources: DataFrame, psf: Column, half: Column, shape: Column | None = None) -> DataFrame:
-    """img, sid, x, y, d, iv, u: unit flux of each source under a PSF mixture, convolved with its own profile where one is given."""
-    mixture = psf if shape is None else mog.convolve(shape, psf)
-    met = render_join(spread(pixels), boxed(sources.withColumn("_mog", mog.prepared(mixture)), half))
-    return met.withColumn("u", mog.evaluate_prepared(F.col("_mog"), F.col("x") - F.col("px"), F.col("y") - F.col("py"))).drop("_mog")
+def unit_models(pixels: DataFrame, sources: DataFrame, psf: Column, half: Column, shape: Column | None = None, parts: int | None = None) -> DataFrame:
+    """img, sid, x, y, d, iv, u: unit flux of each source under a PSF mixture, convolved with its own profile where one is given. parts: the most components the result can have, where it is known; that makes plain columns of them."""
+    met = blocks_join(pixels, boxed(sources, half), mog.prepared(psf if shape is None else mog.convolve(shape, psf)).alias("_mog"))
+    return met.withColumn("u", mog.evaluate_prepared(F.col("_mog"), F.col("x") - F.col("px"), F.col("y") - F.col("py"), parts)).drop("_mog")
 
 
 def model_image(pixels: DataFrame, umod: DataFrame, sky: Column | float = 0.0) -> DataFrame:
