@@ -70,14 +70,21 @@ def fold_quadrant(pixels: DataFrame, cx: int, cy: int, *keys: str) -> DataFrame:
 
 
 def convolve_separable(pixels: DataFrame, kx: list[tuple[int, float]], ky: list[tuple[int, float]], value: str = "d") -> DataFrame:
-    """Correlation with weights (offset, weight) along x, then y; what lies outside counts zero. Each pixel is spread to its targets and summed; partial sums form before the shuffle."""
+    """Correlation with weights (offset, weight) along x, then y; what lies outside counts zero. Each pixel is spread to its targets and summed.
+
+    Both axes are summed inside blocks of 64 x 64 source pixels, which one shuffle brings
+    together; only sums leave a block and meet those of its neighbours.
+    """
 
     def one(df: DataFrame, axis: str, kernel: list[tuple[int, float]]) -> DataFrame:
         k = F.explode(F.array(*[F.struct(F.lit(-o).alias("o"), F.lit(w).alias("w")) for o, w in kernel]))
         other = "y" if axis == "x" else "x"
-        return df.select("img", other, F.col(axis), "v", k.alias("k")).groupBy("img", other, (F.col(axis) + F.col("k.o")).alias(axis)).agg(F.sum(F.col("v") * F.col("k.w")).alias("v"))
+        return df.select("img", "bx", "by", other, F.col(axis), "v", k.alias("k")).groupBy("img", "bx", "by", other, (F.col(axis) + F.col("k.o")).alias(axis)).agg(F.sum(F.col("v") * F.col("k.w")).alias("v"))
 
-    return one(one(pixels.select("img", "x", "y", F.col(value).alias("v")), "x", kx), "y", ky)
+    spark = pixels.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # rows grow many times over after the shuffle, so its bytes must not decide
+    at = pixels.select("img", "x", "y", F.col(value).alias("v"), F.floor(F.col("x") / 64).alias("bx"), F.floor(F.col("y") / 64).alias("by")).repartition(n, "img", "bx", "by")
+    return one(one(at, "x", kx), "y", ky).groupBy("img", "x", "y").agg(F.sum("v").alias("v"))
 
 
 def gaussian_kernel(sigma: float, reach: float = 4.0) -> list[tuple[int, float]]:

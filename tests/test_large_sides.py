@@ -31,3 +31,14 @@ RENDERED = (
 @pytest.mark.parametrize("name", RENDERED)
 def test_sources_in_blocks_are_not_broadcast(spark, name):
     assert broadcast_and_dealt(QUERIES[name](spark, SF)) == [], name
+
+
+@pytest.mark.parametrize("name", ["smooth", "lanczos_shift", "detection_map"])
+def test_convolution_shuffles_pixels_once(spark, name):
+    text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(") == 3, name  # the fixture's sum, the blocks, the sums of blocks
+
+
+def test_candidates_spread_bright_pixels_only(spark):
+    text = QUERIES["candidate_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "> 100.0)" in text[text.rindex("Generate explode(") :]
