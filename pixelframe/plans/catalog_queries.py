@@ -580,12 +580,12 @@ def islands(spark: SparkSession, d: str) -> DataFrame:
 @query("candidate_filter", f"""{with_fixtures('pixels')}, m AS (SELECT a.img, a.x, a.y, any_value(a.d) d, max(b.d) nb FROM pixels a JOIN pixels b ON a.img = b.img AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 WHERE a.d >= 75e0 GROUP BY 1, 2, 3)
 SELECT img, x, y, d FROM m WHERE x % 80 >= 3 AND x % 80 < 37 AND y >= 3 AND y < 37 AND nb <= 100e0 AND d >= 80e0""")
 def candidate_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates off the edge whose neighbourhood maximum is not too bright: each pixel is spread to its neighbours, then one maximum."""
+    """Candidates off the edge whose neighbourhood maximum is not too bright: pixels that are too bright are spread to their neighbours, and those drop out."""
     p = fixture(spark, d, "pixels").select("img", "x", "y", "d")
     o = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    near = p.select("img", "x", "y", "d", o.alias("i")).select("img", "y", "d", (C("x") + C("i")).alias("x"), o.alias("j")).groupBy("img", "x", (C("y") + C("j")).alias("y")).agg(F.max("d").alias("nb"))
-    cand = p.where("d >= 80e0 AND x % 80 >= 3 AND x % 80 < 37 AND y >= 3 AND y < 37")
-    return cand.join(near, ["img", "x", "y"]).where("nb <= 100e0").select("img", "x", "y", "d")
+    bright = p.where("d > 100e0").select("img", "x", "y", o.alias("i")).select("img", "y", (C("x") + C("i")).alias("x"), o.alias("j")).select("img", "x", (C("y") + C("j")).alias("y"))
+    cand = p.where("d >= 80e0 AND d <= 100e0 AND x % 80 >= 3 AND x % 80 < 37 AND y >= 3 AND y < 37")
+    return cand.join(bright.hint("merge"), ["img", "x", "y"], "left_anti").select("img", "x", "y", "d")
 
 
 @query("neighbour_differences", f"{with_fixtures('pixels')} SELECT img, x, y, d - lag(d) OVER (PARTITION BY img, y ORDER BY x) dx, lead(d) OVER (PARTITION BY img, y ORDER BY x) - d fx FROM pixels")
