@@ -201,9 +201,11 @@ def footprint(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.geometry import tan_project
 
     a, b = fixture(spark, d, "cat1"), fixture(spark, d, "cat2").where("size < 10")
-    p = s.sky_pairs(a, b, 4.05).join(a.select(C("id").alias("lid"), "ra", "dec"), "lid").join(b.select(C("id").alias("rid"), C("ra").alias("ra0"), C("dec").alias("dec0")), "rid")
-    xi, eta, front = tan_project(C("ra"), C("dec"), C("ra0"), C("dec0"))
-    return p.where(front & (F.abs(xi) <= 2.503) & (F.abs(eta) <= 1.507)).select(C("lid").alias("id")).distinct()
+    at, fields = a.select("ra", "dec").distinct(), b.select("ra", "dec").distinct()  # rows at one position lie in the same fields
+    p = s.sky_pairs(at.withColumn("id", F.struct("ra", "dec")), fields.withColumn("id", F.struct("ra", "dec")), 4.05)
+    xi, eta, front = tan_project(C("lid.ra"), C("lid.dec"), C("rid.ra"), C("rid.dec"))
+    seen = p.where(front & (F.abs(xi) <= 2.503) & (F.abs(eta) <= 1.507)).select("lid.ra", "lid.dec").distinct()
+    return a.join(seen.hint("merge"), ["ra", "dec"], "left_semi").select("id").distinct()
 
 
 @query("three_way_match", f"""{_pairs(2.05)}, n AS (SELECT lid, rid FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY round(dist, 9), rid) k FROM pairs) WHERE k = 1)

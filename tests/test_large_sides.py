@@ -42,3 +42,21 @@ def test_convolution_shuffles_pixels_once(spark, name):
 def test_candidates_spread_bright_pixels_only(spark):
     text = QUERIES["candidate_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "> 100.0)" in text[text.rindex("Generate explode(") :]
+
+
+@pytest.mark.parametrize("name", "nearest_scaled pixel_match xmatch_self xmatch_all greedy_merge footprint box_overlap".split())
+def test_cells_are_not_broadcast(spark, name):
+    assert broadcast_and_dealt(QUERIES[name](spark, SF)) == [], name
+
+
+def test_footprint_meets_positions_once(spark, tmp_path):
+    """Rows at one position are one candidate, however many there are."""
+    import pyspark.sql.functions as F
+
+    rows = spark.range(3000)
+    rows.select((F.col("id") * 3600).alias("c_custkey"), F.lit(1.0).alias("c_acctbal"), F.lit("A").alias("c_mktsegment"), F.lit(1).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows.select((F.col("id") * 3600).alias("p_partkey"), F.lit(1.0).alias("p_retailprice"), F.lit(1).alias("p_size"), F.lit("B").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["footprint"](spark, str(tmp_path))
+    assert got.count() == 3000
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[ra" in text[text.rindex("Generate explode(") :]  # the fields are distinct before they are dealt
