@@ -1,8 +1,8 @@
 """Cross-matches on the sky and in the plane.
 
 Every match is an equi-join on grid cells plus an exact distance test: one side is kept at its
-cell, the other is repeated into the neighbouring cells, so each pair meets once and Spark
-picks the join. On the sky the grid is three-dimensional on unit vectors, which has no poles
+cell, the other is repeated into the neighbouring cells, so each pair meets once. The join is a merge: the planner doesn't know how
+far the repeated side grows and would broadcast it. On the sky the grid is three-dimensional on unit vectors, which has no poles
 and no wrap. Cells are as large as the matching distance, so the work grows with the local
 density and not with the catalogue; crowded cells are ordinary skewed join keys, which
 adaptive execution splits.
@@ -43,7 +43,7 @@ def sky_pairs(left: DataFrame, right: DataFrame, radius: float, lid: str = "id",
     b = b.drop("cx", "cy", "cz").select("*", "cell.*").drop("cell")
     d2 = sum(((F.col(f"l{c}") - F.col(f"r{c}")) * (F.col(f"l{c}") - F.col(f"r{c}")) for c in "xyz"), F.lit(0.0))
     limit = F.lit(chord) if max_radius is None else 2.0 * F.sin(F.radians(F.least(F.col("rmax"), F.lit(radius))) / 2.0)
-    return a.join(b, ["cx", "cy", "cz"]).where(d2 <= limit * limit).select("lid", "rid", F.degrees(2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(d2) / 2.0))).alias("dist"))
+    return a.join(b.hint("merge"), ["cx", "cy", "cz"]).where(d2 <= limit * limit).select("lid", "rid", F.degrees(2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(d2) / 2.0))).alias("dist"))
 
 
 def plane_pairs(left: DataFrame, right: DataFrame, radius: float, lid: str = "id", rid: str = "id") -> DataFrame:
@@ -52,7 +52,7 @@ def plane_pairs(left: DataFrame, right: DataFrame, radius: float, lid: str = "id
     b = right.select(F.col(rid).alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.floor(F.col("x") / radius).alias("cx"), F.floor(F.col("y") / radius).alias("cy"))
     b = b.withColumn("cell", F.explode(_neighbours(["cx", "cy"]))).drop("cx", "cy").select("*", "cell.*").drop("cell")
     d2 = (F.col("lx") - F.col("rx")) * (F.col("lx") - F.col("rx")) + (F.col("ly") - F.col("ry")) * (F.col("ly") - F.col("ry"))
-    return a.join(b, ["cx", "cy"]).where(d2 <= radius * radius).select("lid", "rid", F.sqrt(d2).alias("dist"))
+    return a.join(b.hint("merge"), ["cx", "cy"]).where(d2 <= radius * radius).select("lid", "rid", F.sqrt(d2).alias("dist"))
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -68,12 +68,12 @@ def without_close_pairs(cat: DataFrame, radius: float, key: str = "id") -> DataF
 
 
 def greedy_merge(cats: list[DataFrame], radius: float) -> DataFrame:
-    """Catalogues in order of preference (columns src, id, ra, dec): a row joins if nothing kept so far lies within the radius. One anti join a catalogue."""
+    """Catalogues in order of preference (columns src, id, ra, dec): a row joins if nothing kept so far lies within the radius. One anti join a catalogue; rows at one position join or stay out alike, so positions meet, each once."""
     kept = cats[0]
     for more in cats[1:]:
-        uid = more.withColumn("uid", F.struct("src", "id"))
-        near = sky_pairs(uid, kept.withColumn("uid", F.struct("src", "id")), radius, "uid", "uid").select(F.col("lid").alias("uid")).distinct()
-        kept = kept.unionByName(uid.join(near, "uid", "left_anti").drop("uid"))
+        at, held = (x.select("ra", "dec").distinct().withColumn("id", F.struct("ra", "dec")) for x in (more, kept))
+        near = sky_pairs(at, held, radius).select("lid.ra", "lid.dec").distinct()
+        kept = kept.unionByName(more.join(near.hint("merge"), ["ra", "dec"], "left_anti").select(*more.columns))
     return kept
 
 
@@ -86,7 +86,7 @@ def box_overlaps(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
         out = df.where("x1 > x0 AND y1 > y0").select("*", gx.alias("gx")).select("*", gy.alias("gy"))
         return out.select("gx", "gy", *[F.col(c).alias(f"{p}{c}") for c in ("id", "x0", "x1", "y0", "y1")])
 
-    met = dealt(a, "a").join(dealt(b, "b"), ["gx", "gy"])
+    met = dealt(a, "a").join(dealt(b, "b").hint("merge"), ["gx", "gy"])
     x, y = F.greatest("ax0", "bx0"), F.greatest("ay0", "by0")
     hit = (x < F.least("ax1", "bx1")) & (y < F.least("ay1", "by1"))
     return met.where(hit & (F.floor(x / size) == F.col("gx")) & (F.floor(y / size) == F.col("gy"))).select("aid", "bid")
