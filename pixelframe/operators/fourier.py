@@ -128,7 +128,8 @@ def image_sources(pixels: DataFrame, sources: DataFrame, half: Column) -> DataFr
     blocks = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / BLOCK), F.floor((F.col(a) + F.col(n) - 1) / BLOCK)))
     met = box.select("sid", "x0", "y0", "w", "h", blocks("x0", "w").alias("gx")).select("sid", "gx", blocks("y0", "h").alias("gy"))
     has = pixels.select("img", F.floor(F.col("x") / BLOCK).alias("gx"), F.floor(F.col("y") / BLOCK).alias("gy")).distinct()
-    return box.join(met.join(has, ["gx", "gy"]).select("sid", "img").distinct(), "sid")
+    # merges: the planner doesn't know how far sources grow in blocks and with arrays, and would broadcast them
+    return box.hint("merge").join(met.hint("merge").join(has, ["gx", "gy"]).select("sid", "img").distinct(), "sid")
 
 
 def transform_size() -> Column:
@@ -188,5 +189,5 @@ def unit_models(pixels: DataFrame, blocks: DataFrame) -> DataFrame:
     """sid and u with all columns of pixels (img, x, y, ...), for every pixel inside the box of every source. Only pixels that exist count: masked ones are left out beforehand."""
     p = pixels.withColumns({"gx": F.floor(F.col("x") / BLOCK), "gy": F.floor(F.col("y") / BLOCK)})
     at = F.get("u", ((F.col("y") - BLOCK * F.col("gy")) * BLOCK + F.col("x") - BLOCK * F.col("gx")).cast("int"))
-    met = p.join(blocks, ["img", "gx", "gy"]).withColumn("u", at)
+    met = p.join(blocks.hint("merge"), ["img", "gx", "gy"]).withColumn("u", at)
     return met.where(~F.isnan("u")).drop("gx", "gy")

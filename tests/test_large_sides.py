@@ -33,6 +33,11 @@ def test_sources_in_blocks_are_not_broadcast(spark, name):
     assert broadcast_and_dealt(QUERIES[name](spark, SF)) == [], name
 
 
+@pytest.mark.parametrize("name", ["galaxy_fft", "pixel_psf_phot"])
+def test_blocks_of_images_are_not_broadcast(spark, name):
+    assert broadcast_and_dealt(QUERIES[name](spark, SF)) == [], name
+
+
 @pytest.mark.parametrize("name", ["smooth", "lanczos_shift", "detection_map"])
 def test_convolution_shuffles_pixels_once(spark, name):
     text = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
