@@ -8,7 +8,10 @@ bright source over many blocks is spread over as many keys.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,46 @@ def blocks_join(pixels: DataFrame, sources: DataFrame, *made: Column) -> DataFra
     return met.where(inside).drop("_px", "bx0", "bx1", "by0", "by1")
 
 
+def boxes_in_tasks(pixels: DataFrame, sources: DataFrame, half: Column, task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, side: int = 64) -> DataFrame:
+    """Rows of task(sources, pixels) for the sources that lie in each tile of side x side pixels in each image, and all pixels of their boxes, which other tiles may get as well.
+
+    Pixels meet a tile once, however many of its sources hold them, so a source's box is cut out
+    inside the task (columns bx0 to by1, half-open). Sources without a pixel's block get no call.
+    """
+    spark = pixels.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # fits and renders: bytes must not decide
+    home = [F.floor(F.bround(c, 0) / side).alias(t) for c, t in (("px", "tx"), ("py", "ty"))]
+    box = boxed(sources.select("*", *home), half)
+    need = box.select("tx", "ty", "gx", "gy").distinct()
+    at = pixels.select("*", F.floor(F.col("x") / BLOCK).alias("gx"), F.floor(F.col("y") / BLOCK).alias("gy"))
+    at = at.join(need.hint("merge"), ["gx", "gy"]).drop("gx", "gy").repartition(n, "img", "tx", "ty")
+    has = at.select(F.col("img").alias("s_img"), F.col("tx").alias("s_tx"), F.col("ty").alias("s_ty")).distinct()
+    cx, cy, h = F.bround("px", 0).cast("int"), F.bround("py", 0).cast("int"), half.cast("int")
+    mine = sources.select("*", *[c.alias(f"s_{t}") for c, t in zip(home, ("tx", "ty"), strict=True)], (cx - h).alias("bx0"), (cx + h + 1).alias("bx1"), (cy - h).alias("by0"), (cy + h + 1).alias("by1"))
+    near = mine.hint("merge").join(has, ["s_tx", "s_ty"]).repartition(n, "s_img", "s_tx", "s_ty")
+    both = near.groupBy("s_img", "s_tx", "s_ty").cogroup(at.groupBy("img", "tx", "ty"))
+    return both.applyInPandas(lambda s, p: task(s, p) if len(s) and len(p) else pd.DataFrame(), schema)
+
+
+def pixels_of_boxes(s: pd.DataFrame, p: pd.DataFrame, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of sources with about as many pixels in their boxes: numbers of their rows, an array of row numbers of p, a source a row, and which of them are no filling."""
+    order = np.argsort(p.x.to_numpy(), kind="stable")
+    x, y = p.x.to_numpy()[order], p.y.to_numpy()[order]
+    lo, hi = np.searchsorted(x, s.bx0), np.searchsorted(x, s.bx1)
+    inside = [order[a:b][(y[a:b] >= y0) & (y[a:b] < y1)] for a, b, y0, y1 in zip(lo, hi, s.by0, s.by1, strict=True)]
+    size = np.array([len(i) for i in inside])
+    by_size = np.argsort(size, kind="stable")
+    by_size = by_size[size[by_size] > 0]
+    k = len(by_size)
+    while k:
+        step = max(1, cells // int(size[by_size[k - 1]]))
+        rows = by_size[max(0, k - step) : k]
+        k -= len(rows)
+        at, on = np.zeros((len(rows), size[rows].max()), int), np.arange(size[rows].max())[None] < size[rows][:, None]
+        at[on] = np.concatenate([inside[r] for r in rows])
+        yield rows, at, on
+
+
 def gauss_unit(dx: Column, dy: Column, sigma: Column) -> Column:
     """Unit-flux round Gaussian."""
     return F.exp(-0.5 * (dx * dx + dy * dy) / (sigma * sigma)) / (2 * math.pi * sigma * sigma)

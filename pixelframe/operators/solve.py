@@ -196,6 +196,81 @@ def levenberg(residual, x0: np.ndarray, steps: int = 50, tol: float = 1e-9) -> t
     return x, cost
 
 
+def levenberg_many(residual, stepped, x0: np.ndarray, steps: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """levenberg on many problems at once, each with its own damping, steps and end, by the same derivatives: parameters and costs, a row a problem.
+
+    residual(x, rows) -> (rows, n) of the problems `rows` at parameters x, filling has residuals of
+    zero; stepped(x, rows, h) -> k of these, with one parameter moved by its h (rows, k) in each.
+    """
+    x = np.array(x0, float)
+    n, k = x.shape
+    lam, taken, failed = np.full(n, 1e-3), np.zeros(n, int), np.zeros(n, int)
+    a, g, diag = np.zeros((n, k, k)), np.zeros((n, k)), np.arange(k)
+
+    def linear(rows: np.ndarray, r: np.ndarray) -> None:
+        h = 1e-6 * np.maximum(1.0, np.abs(x[rows]))
+        jac = np.stack([(to - r) / h[:, j : j + 1] for j, to in enumerate(stepped(x[rows], rows, h))], axis=1)
+        a[rows], g[rows] = jac @ jac.transpose(0, 2, 1), (jac @ r[:, :, None])[:, :, 0]
+
+    with np.errstate(all="ignore"):  # steps that lead nowhere are not taken
+        live = np.arange(n)
+        r = residual(x, live)
+        cost = np.einsum("ij,ij->i", r, r)
+        linear(live, r)
+        while len(live):
+            m = a[live]
+            m[:, diag, diag] += lam[live, None] * np.maximum(m[:, diag, diag], 1e-12)
+            to = x[live] - _shortest(m, g[live])
+            r = residual(to, live)
+            new = np.einsum("ij,ij->i", r, r)
+            better = np.isfinite(new) & (new < cost[live])
+            done = better & (cost[live] - new <= tol * np.maximum(1.0, cost[live]))
+            won, lost = live[better], live[~better]
+            x[won], cost[won], lam[won] = to[better], new[better], lam[won] / 3
+            taken[won] += 1
+            failed[won] = 0
+            lam[lost] *= 4
+            failed[lost] += 1
+            on = better & ~done & (taken[live] < steps)
+            if on.any():
+                linear(live[on], r[on])
+            live = live[on | (~better & (failed[live] < 12))]
+    return x, cost
+
+
+def _shortest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The shortest least-squares x of each symmetric Ax = b; NaN where a number is not finite."""
+    ok = np.isfinite(a).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    w, v = np.linalg.eigh(np.where(ok[:, None, None], a, 0.0))
+    size = np.abs(w)
+    on = size > np.finfo(float).eps * a.shape[1] * size.max(axis=1, keepdims=True)
+    x = (v @ (np.where(on, (v.transpose(0, 2, 1) @ b[:, :, None])[:, :, 0] / np.where(on, w, 1.0), 0.0))[:, :, None])[:, :, 0]
+    return np.where(ok[:, None], x, np.nan)
+
+
+def gaussian_fits(x: np.ndarray, y: np.ndarray, v: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Flux, place, width and sky of a round Gaussian in each row of pixels (values v, inverse errors w, 0 for filling) by levenberg_many from `start`."""
+
+    def squares(at: np.ndarray, c: np.ndarray) -> np.ndarray:
+        d = at - c[:, None]
+        return d * d
+
+    def residual(p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        var = np.maximum(p[:, 3:4] ** 2, 1e-6)
+        return (p[:, :1] * np.exp(-0.5 * (squares(x[k], p[:, 1]) + squares(y[k], p[:, 2])) / var) / (2 * np.pi * var) + p[:, 4:] - v[k]) * w[k]
+
+    def stepped(p: np.ndarray, k: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+        xk, yk, vk, wk, q = x[k], y[k], v[k], w[k], p + h
+        var, wide = (np.maximum(s[:, 3:4] ** 2, 1e-6) for s in (p, q))
+        dx, dy, flux, sky = squares(xk, p[:, 1]), squares(yk, p[:, 2]), p[:, :1], p[:, 4:]
+        d2 = dx + dy
+        e = np.exp(-0.5 * d2 / var)
+        ends = [q[:, :1] * e / (2 * np.pi * var) + sky, *(flux * np.exp(-0.5 * s / t) / (2 * np.pi * t) + sky for s, t in ((squares(xk, q[:, 1]) + dy, var), (dx + squares(yk, q[:, 2]), var), (d2, wide)))]
+        return [(m - vk) * wk for m in (*ends, flux * e / (2 * np.pi * var) + q[:, 4:])]
+
+    return levenberg_many(residual, stepped, start)[0]
+
+
 def lbfgs(f, x0: np.ndarray, steps: int = 100, memory: int = 8) -> tuple[np.ndarray, float]:
     """Limited-memory quasi-Newton with numeric gradients and backtracking."""
 

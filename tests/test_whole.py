@@ -130,3 +130,24 @@ def test_nonneg_to_the_end(n):
         x = solve.nonneg_solve(a.T @ a, b)
         grad = b - a.T @ a @ x
         assert x.min(initial=0) >= 0 and grad.max(initial=0) < 1e-5 and np.abs(grad[x > 0]).max(initial=0) < 1e-5
+
+
+def test_fits_of_a_chunk(monkeypatch):
+    """Many fits at once end where one at a time ends, whatever stands beside them, and no fit runs by itself any more."""
+    rng = np.random.default_rng(5)
+    y, x = (np.tile(v.ravel().astype(float), (9, 1)) for v in np.mgrid[:11, :11])
+    true = np.column_stack([rng.uniform(400, 900, 9), rng.uniform(4, 6, (9, 2)), rng.uniform(1, 2, 9), rng.uniform(0, 9, 9)])
+    f = lambda p, k: p[0] * np.exp(-0.5 * ((x[k] - p[1]) ** 2 + (y[k] - p[2]) ** 2) / p[3] ** 2) / (2 * np.pi * p[3] ** 2) + p[4]
+    v = np.stack([f(t, k) for k, t in enumerate(true)]) + rng.normal(size=x.shape)
+    w = np.where(rng.random(x.shape) < 0.8, 1.0, 0.0)
+    start = true * [0.7, 1.1, 0.9, 1.2, 1.0]
+    got = solve.gaussian_fits(x, y, v, w, start)
+    for k in range(9):
+        one, _ = solve.levenberg(lambda p: (f(p, k) - v[k]) * w[k], start[k])  # noqa: B023
+        assert got[k] == pytest.approx(one, rel=1e-6, abs=1e-6)
+
+
+def test_fits_do_not_shuffle_pixels_of_sources(spark):
+    """Pixels meet a tile once; no row for each pixel of each source is shuffled."""
+    text = QUERIES["gauss_newton_fit"](spark, SF.replace("0.01", "0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in text and "FlatMapGroupsInPandas" not in text
