@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
-from .images import blobs, components, cut
+from .images import blobs, components, cut, interval_pairs
 
 C = F.col
 CHUNK = 4096
@@ -48,7 +48,7 @@ def holes(mask: DataFrame) -> DataFrame:
         out = open_ if out is None else out.union(open_)
     node = F.struct("img", "y", "g0")
     below = g.select("img", (C("y") + 1).alias("y"), C("g0").alias("h0"), C("g1").alias("h1"))
-    links = g.join(below, ["img", "y"]).where("h0 <= g1 AND h1 >= g0").select(node.alias("a"), F.struct("img", (C("y") - 1).alias("y"), C("h0").alias("g0")).alias("b"))
+    links = interval_pairs(g, below, ["img", "y"], ("g0", "g1"), ("h0", "h1")).select(node.alias("a"), F.struct("img", (C("y") - 1).alias("y"), C("h0").alias("g0")).alias("b"))
     part = g.select("*", node.alias("node")).join(components(links), "node", "left").withColumn("part", F.coalesce("least", "node"))
     part = cut(part.select("img", "y", "g0", "g1", "part"))
     leaking = part.join(out.distinct(), ["img", "y", "g0"], "left_semi").select("part").distinct()

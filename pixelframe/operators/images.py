@@ -138,6 +138,14 @@ def components(links: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("least")).union(now.select("b", "b").distinct())
 
 
+def interval_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], size: int = 64) -> DataFrame:
+    """Rows of left and right with equal keys whose intervals (both ends inside) share a number, once each. Intervals are dealt into pieces of `size`, so that a row of many disjoint ones costs no more than its length."""
+    dealt = lambda df, ends: df.select("*", F.explode(F.sequence(F.floor(F.col(ends[0]) / size), F.floor(F.col(ends[1]) / size))).alias("_cell"))
+    met = dealt(left, a).join(dealt(right, b).hint("merge"), [*keys, "_cell"])
+    first = F.greatest(a[0], b[0])
+    return met.where((first <= F.least(a[1], b[1])) & (F.floor(first / size) == F.col("_cell"))).drop("_cell")
+
+
 def blobs(marked: DataFrame, width: int = 1 << 20) -> DataFrame:
     """Eight-connected components of marked pixels (img, x, y): label is the least y * width + x of the component.
 
@@ -150,7 +158,8 @@ def blobs(marked: DataFrame, width: int = 1 << 20) -> DataFrame:
     runs = px.groupBy("img", "y", "piece", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("rid", F.col("y").cast("long") * width + F.col("x0"))
     runs = cut(runs.select("img", "y", "piece", "run", "x0", "x1", "rid"))
     up = runs.select("img", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("rid").alias("uid"))
-    links = runs.join(up, ["img", "y"]).where("u0 <= x1 + 1 AND u1 >= x0 - 1").select(F.struct("img", "rid").alias("a"), F.struct("img", F.col("uid").alias("rid")).alias("b"))
+    wide = runs.select("img", "y", "rid", (F.col("x0") - 1).alias("x0"), (F.col("x1") + 1).alias("x1"))
+    links = interval_pairs(wide, up, ["img", "y"], ("x0", "x1"), ("u0", "u1")).select(F.struct("img", "rid").alias("a"), F.struct("img", F.col("uid").alias("rid")).alias("b"))
     on = runs.select("img", "y", (F.col("x1") + 1).alias("x0"), F.col("rid").alias("uid"))
     links = links.unionByName(runs.join(on, ["img", "y", "x0"]).select(F.struct("img", "rid").alias("a"), F.struct("img", F.col("uid").alias("rid")).alias("b")))
     label = components(links).select("node.img", "node.rid", F.col("least.rid").alias("label"))

@@ -99,3 +99,38 @@ def test_detections_query(spark):
     assert max(r.n for r in got) > 3
     bits = {(r.x, r.y): (r.detmask, r.peakmask) for r in QUERIES["sed_bitmask"](spark, sf).where(F.col("x") >= 0).collect()}
     assert bits == {(int(x), int(y)): (int(detmask[y, x]), int(peakmask[y, x])) for y, x in np.argwhere(detmask > 0)}
+
+
+def test_rows_of_many_runs(spark, monkeypatch):
+    """Runs and gaps of neighbouring rows meet inside pieces of a row: work grows with its length, not with the square of its runs."""
+    from pyspark.sql import functions as F
+
+    from pixelframe.operators import detection, images
+
+    plans, of = [], images.components
+
+    def spy(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return of(links)
+
+    monkeypatch.setattr(images, "components", spy)
+    monkeypatch.setattr(detection, "components", spy)
+    mask = spark.range(300).select(F.lit(1).alias("img"), (F.col("id") * 3).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y"))
+    labels = images.blobs(mask).groupBy("label").count().collect()
+    assert sorted(r.label for r in labels) == [3 * k for k in range(300)] and {r["count"] for r in labels} == {4}
+    assert detection.holes(mask).count() == 0
+    assert len(plans) == 2 and all("_cell" in p for p in plans)
+
+
+def test_interval_pairs(spark):
+    """Each pair once, whichever pieces the intervals span."""
+    import random
+
+    from pixelframe.operators.images import interval_pairs
+
+    rng = random.Random(4)
+    one = [(k, k % 2, a, a + rng.choice([0, 3, 70, 400])) for k in range(60) for a in [rng.randint(-200, 600)]]
+    two = [(k, k % 2, a, a + rng.choice([0, 5, 64, 300])) for k in range(60) for a in [rng.randint(-200, 600)]]
+    got = interval_pairs(spark.createDataFrame(one, "i long, y int, a0 int, a1 int"), spark.createDataFrame(two, "j long, y int, b0 int, b1 int"), ["y"], ("a0", "a1"), ("b0", "b1")).collect()
+    want = sorted((p[0], q[0]) for p in one for q in two if p[1] == q[1] and p[2] <= q[3] and q[2] <= p[3])
+    assert sorted((r.i, r.j) for r in got) == want
