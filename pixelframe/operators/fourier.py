@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .render import BLOCK
+from .render import BLOCK, boxes_in_tasks, pixels_of_boxes
 from .solve import em_fit
 
 #: Cells of one chunk of transforms.
@@ -191,3 +191,49 @@ def unit_models(pixels: DataFrame, blocks: DataFrame) -> DataFrame:
     at = F.get("u", ((F.col("y") - BLOCK * F.col("gy")) * BLOCK + F.col("x") - BLOCK * F.col("gx")).cast("int"))
     met = p.join(blocks.hint("merge"), ["img", "gx", "gy"]).withColumn("u", at)
     return met.where(~F.isnan("u")).drop("gx", "gy")
+
+
+def pixel_sums(pixels: DataFrame, sources: DataFrame, half: Column, psf: DataFrame, shape: str | None = None) -> DataFrame:
+    """sid, img, total, b, a: sums of u, u d iv and u u iv over the pixels (img, x, y, d, iv) in the box of each source in each image, u being its unit-flux image as in unit_blocks.
+
+    Sources are rendered in the task that holds their pixels, so no image of a source is shuffled.
+    sources: sid, px, py and the mixture named by shape, none for point sources.
+    """
+
+    def task(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        head, s = s[s["head"]], s[~s["head"]].reset_index(drop=True)
+        if not len(head) or not len(s):
+            return pd.DataFrame()
+        one = head.iloc[0]
+        side, px, py = int(one.side), s.px.to_numpy(float), s.py.to_numpy(float)
+        boxes = np.column_stack([s.bx0, s.by0, s.bx1 - s.bx0, s.by1 - s.by0]).astype(np.int64)
+        x0, y0, w, h = boxes.T
+        far = np.max([w / 2, h / 2, 1 + px - x0, 1 + x0 + w - px, 1 + py - y0, 1 + y0 + h - py, np.full(len(s), side / 2)], axis=0)
+        size = np.array([1 << int(2 * np.ceil(f) - 1).bit_length() for f in far])
+        mix = np.zeros((len(s), max([1, *map(len, s["s_amp"])]) if shape else 1, 4))
+        if shape:
+            for j, c in enumerate(("amp", "vxx", "vxy", "vyy")):
+                for i, v in enumerate(s[f"s_{c}"]):
+                    mix[i, : len(v), j] = v
+        else:
+            mix[:, 0, 0] = 1.0
+        x, y, d, iv = (p[c].to_numpy() for c in ("x", "y", "d", "iv"))
+        psfs, out = {}, []
+        for rows, at, on in pixels_of_boxes(s, p):
+            for n in np.unique(size[rows]):
+                if n not in psfs:
+                    turned, centre = transform(np.asarray(one.stamp).reshape(side, side), int(n))
+                    psfs[n] = {**{c: one[c] for c in ("amp", "mx", "my", "vxx", "vxy", "vyy")}, "transform": turned, "centre": centre}
+                mine = np.flatnonzero(size[rows] == n)
+                step = max(1, AREA // int(n) ** 2)
+                for part in (mine[k : k + step] for k in range(0, len(mine), step)):
+                    r = rows[part]
+                    for i, k, img in zip(part, r, patches(psfs[n], int(n), px[r], py[r], boxes[r], mix[r]), strict=True):
+                        q = at[i][on[i]]
+                        u = img[y[q] - y0[k], x[q] - x0[k]]
+                        out.append((s.sid[k], one.s_img, u.sum(), (u * d[q] * iv[q]).sum(), (u * u * iv[q]).sum()))
+        return pd.DataFrame(out, columns=["sid", "img", "total", "b", "a"])
+
+    mixed = sources.select("sid", "px", "py", *([F.col(shape).getField(c).alias(f"s_{c}") for c in ("amp", "vxx", "vxy", "vyy")] if shape else [])).dropna(subset=["sid", "px", "py"])
+    px = pixels.select("img", "x", "y", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("d", "iv")])  # nulls add nothing
+    return boxes_in_tasks(px, mixed, half, task, "sid long, img int, total double, b double, a double", of_images=psf)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import mixtures as mog
 
@@ -53,11 +54,13 @@ def blocks_join(pixels: DataFrame, sources: DataFrame, *made: Column) -> DataFra
     return met.where(inside).drop("_px", "bx0", "bx1", "by0", "by1")
 
 
-def boxes_in_tasks(pixels: DataFrame, sources: DataFrame, half: Column, task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, side: int = 64) -> DataFrame:
+def boxes_in_tasks(pixels: DataFrame, sources: DataFrame, half: Column, task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, side: int = 64, of_images: DataFrame | None = None) -> DataFrame:
     """Rows of task(sources, pixels) for the sources that lie in each tile of side x side pixels in each image, and all pixels of their boxes, which other tiles may get as well.
 
     Pixels meet a tile once, however many of its sources hold them, so a source's box is cut out
     inside the task (columns bx0 to by1, half-open). Sources without a pixel's block get no call.
+    of_images: a row an image (img, ...), which comes once a tile, as the row of sources whose
+    column head is true; images without one get no call.
     """
     spark = pixels.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # fits and renders: bytes must not decide
@@ -69,7 +72,12 @@ def boxes_in_tasks(pixels: DataFrame, sources: DataFrame, half: Column, task: Ca
     has = at.select(F.col("img").alias("s_img"), F.col("tx").alias("s_tx"), F.col("ty").alias("s_ty")).distinct()
     cx, cy, h = F.bround("px", 0).cast("int"), F.bround("py", 0).cast("int"), half.cast("int")
     mine = sources.select("*", *[c.alias(f"s_{t}") for c, t in zip(home, ("tx", "ty"), strict=True)], (cx - h).alias("bx0"), (cx + h + 1).alias("bx1"), (cy - h).alias("by0"), (cy + h + 1).alias("by1"))
-    near = mine.hint("merge").join(has, ["s_tx", "s_ty"]).repartition(n, "s_img", "s_tx", "s_ty")
+    near = mine.hint("merge").join(has, ["s_tx", "s_ty"])
+    if of_images is not None:
+        head = has.join(F.broadcast(of_images.withColumnRenamed("img", "s_img")), "s_img")  # a row an image
+        zero = [F.lit(0).cast(f.dataType).alias(f.name) for f in near.schema if f.name not in head.columns and isinstance(f.dataType, NumericType)]
+        near = near.withColumn("head", F.lit(False)).unionByName(head.select("*", *zero, F.lit(True).alias("head")), allowMissingColumns=True)
+    near = near.repartition(n, "s_img", "s_tx", "s_ty")
     both = near.groupBy("s_img", "s_tx", "s_ty").cogroup(at.groupBy("img", "tx", "ty"))
     return both.applyInPandas(lambda s, p: task(s, p) if len(s) and len(p) else pd.DataFrame(), schema)
 

@@ -141,3 +141,12 @@ def test_odd_rows(spark):
     assert {(r.x, r.y) for r in got} == {(x, y) for x in range(1, 8) for y in range(2, 7)}
     assert sum(r.u for r in got) == pytest.approx(2) and all(r.u == pytest.approx(float((r.x, r.y) == (4, 4)), abs=1e-12) for r in got)
     assert fo.unit_blocks(s.limit(0), psf).count() == 0 and fo.psf_table(stamps.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["pixel_psf_phot", "galaxy_fft"])
+def test_no_image_of_a_source_is_shuffled(spark, name):
+    """Sources are rendered where their pixels are: no rows with blocks of values leave a task."""
+    from pixelframe.plans.registry import QUERIES
+
+    text = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in text and "MapInArrow" not in text
