@@ -45,6 +45,28 @@ def running_flux(stream: DataFrame) -> DataFrame:
     return stream.groupBy("src").applyInPandasWithState(update, "src long, flux double, n long", "a double, b double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Sources whose open visits are one state: a call of Python costs some milliseconds, whatever its rows.
+BLOCK = 64
+_VISIT = ["src", "first", "last", "n", "t", "tt", "v", "tv"]
+
+
+def _visits(rows: pd.DataFrame, idle: float) -> pd.DataFrame:
+    """One row for each run of a source's measurements without a longer gap, in order: its times and the sums of a line's normal equations about the first."""
+    rows = rows[["src", "us", "value"]].sort_values(["src", "us"])
+    src, us, v = rows.src.to_numpy("int64"), rows.us.to_numpy("int64"), rows.value.to_numpy(float)
+    at = np.flatnonzero(np.concatenate([[True], (src[1:] != src[:-1]) | (us[1:] - us[:-1] > idle * 1e6)]))
+    n = np.diff(np.append(at, len(us)))
+    h = (us - np.repeat(us[at], n)) / 3.6e9
+    sums = [np.add.reduceat(x, at) for x in (h, h * h, v, h * v)]
+    return pd.DataFrame(dict(zip(_VISIT, (src[at], us[at], us[at + n - 1], n, *sums), strict=True)))
+
+
+def _about(s: pd.DataFrame, first: pd.Series) -> pd.DataFrame:
+    """The same visits with their sums about earlier first times."""
+    d = (s["first"] - first) / 3.6e9
+    return s.assign(first=first, t=s.t + s.n * d, tt=s.tt + 2 * d * s.t + s.n * d * d, tv=s.tv + d * s.v)
+
+
 def visit_fits(stream: DataFrame, idle: float, late: str) -> DataFrame:
     """src, start, end, n, flux, slope of each visit that has ended: a line through the values of one source, as long as none comes more than `idle` seconds after the one before.
 
@@ -53,45 +75,58 @@ def visit_fits(stream: DataFrame, idle: float, late: str) -> DataFrame:
     longer gap closes a visit, and so does a timer once the watermark has passed its end by
     `idle`. flux is the mean value; slope, per hour, is null where all times are equal. Rows without
     a time, value or source are left out. Batches must come in the order of their times, to within
-    `idle`; inside a batch any order will do, and a task holds one source's rows of one batch.
+    `idle`; inside a batch any order will do. BLOCK sources with neighbouring numbers share a state
+    and its timer, set for the first of their visits to end; a task holds their rows of one batch.
     """
 
-    def row(key: tuple, s: tuple) -> tuple:
-        first, last, n, t, tt, v, tv = s
-        det = n * tt - t * t
-        return key[0], pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n, v / n, (n * tv - t * v) / det if last > first and det > 0 else None
+    def ended(s: pd.DataFrame) -> pd.DataFrame:
+        det = s.n * s.tt - s.t * s.t
+        slope = ((s.n * s.tv - s.t * s.v) / det.where(det > 0)).where(s["last"] > s["first"])
+        first, last = (pd.to_datetime(s[c].astype("int64"), unit="us") for c in ("first", "last"))
+        return pd.DataFrame({"src": s.src.astype("int64"), "start": first, "end": last, "n": s.n.astype("int64"), "flux": s.v / s.n, "slope": slope})
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = (tuple(state.get) if state.exists else None), []
-        if state.hasTimedOut:
-            out, now = [row(key, now)], None
-        else:
-            rows = pd.concat(list(parts))[["us", "value"]].sort_values("us").to_numpy(float)
-            us, v = rows[:, 0], rows[:, 1]
-            cuts = np.flatnonzero(np.diff(us) > idle * 1e6) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(us)], strict=True):
-                if now and us[a] - now[1] > idle * 1e6:
-                    out.append(row(key, now))
-                    now = None
-                first, last, *sums = now or (int(us[a]), int(us[a]), 0, 0.0, 0.0, 0.0, 0.0)
-                h, w = (us[a:b] - first) / 3.6e9, v[a:b]
-                more = (b - a, h.sum(), (h * h).sum(), w.sum(), (h * w).sum())
-                now = (min(first, int(us[a])), max(last, int(us[b - 1])), *(x + y for x, y in zip(sums, more, strict=True)))
-                if now[0] < first:  # sums go over to the new first time
-                    d, (n, t, tt, c, tv) = (first - now[0]) / 3.6e9, now[2:]
-                    now = (*now[:2], n, t + n * d, tt + 2 * d * t + n * d * d, c, tv + d * c)
-        if now:
-            state.update((int(now[0]), int(now[1]), int(now[2]), *map(float, now[3:])))
-            state.setTimeoutTimestamp(max(int(now[1] // 1000 + idle * 1000), state.getCurrentWatermarkMs() + 1))
+        open_ = pd.DataFrame(dict(zip(_VISIT, map(np.array, state.get), strict=True))) if state.exists else None
+        mark, out = state.getCurrentWatermarkMs(), []
+        rows = None if state.hasTimedOut else pd.concat(list(parts))
+        if open_ is not None:
+            over = open_["last"] // 1000 + int(idle * 1000) < mark
+            if rows is not None:
+                over &= ~open_.src.isin(rows.src)
+            out.append(open_[over])
+            open_ = open_[~over]
+        if rows is not None:
+            made = _visits(rows, idle)
+            if open_ is not None and len(open_):
+                head = made.drop_duplicates("src").reset_index().set_index("src", drop=False)  # each source's first visit of the batch
+                had = open_.set_index("src", drop=False)
+                both = had.index.intersection(head.index)
+                on = both[(head.loc[both, "first"] - had.loc[both, "last"] <= idle * 1e6).to_numpy()]
+                if len(on):  # the open visit goes on
+                    first = np.minimum(had.loc[on, "first"], head.loc[on, "first"])
+                    x, y = _about(had.loc[on], first), _about(head.loc[on, _VISIT], first)
+                    sums = ["n", "t", "tt", "v", "tv"]
+                    x[sums] += y[sums]
+                    x["last"] = np.maximum(x["last"], y["last"])
+                    made.loc[head.loc[on, "index"], _VISIT] = x[_VISIT].to_numpy()
+                out.append(had.loc[both.difference(on)])
+                open_ = had.drop(both)
+            last = ~made.src.duplicated(keep="last")
+            out.append(made[~last])
+            open_ = made[last] if open_ is None or not len(open_) else pd.concat([open_, made[last]])
+        if len(open_):
+            state.update(tuple([(int if c in _VISIT[:4] else float)(x) for x in open_[c]] for c in _VISIT))
+            state.setTimeoutTimestamp(max(int(open_["last"].min()) // 1000 + int(idle * 1000), mark + 1))
         else:
             state.remove()
+        out = [ended(s) for s in out if len(s)]
         if out:
-            yield pd.DataFrame(out, columns=["src", "start", "end", "n", "flux", "slope"]).astype({"src": "int64", "n": "int64", "flux": float, "slope": float})
+            yield pd.concat(out)
 
-    rows = stream.withWatermark("ts", late).where("src IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL").select("src", "ts", "value", F.unix_micros("ts").alias("us"))
-    state = "first long, last long, n long, t double, tt double, v double, tv double"
+    rows = stream.withWatermark("ts", late).where("src IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL").select("src", "ts", "value", F.unix_micros("ts").alias("us"), F.floor(F.col("src") / BLOCK).alias("block"))
+    state = "src array<long>, first array<long>, last array<long>, n array<long>, t array<double>, tt array<double>, v array<double>, tv array<double>"
     out = "src long, start timestamp_ntz, end timestamp_ntz, n long, flux double, slope double"
-    return rows.groupBy("src").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("block").applyInPandasWithState(update, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:

@@ -42,3 +42,13 @@ def test_batches(spark, tmp_path):
     for got in (many, one):
         for g, w in zip(got, sorted(want, key=lambda r: r[:2]), strict=True):
             assert g[:4] == w[:4] and g[4] == pytest.approx(w[4]) and g[5] == (None if w[5] is None else pytest.approx(w[5], abs=1e-6))
+
+
+def test_sources_share_a_state(spark, tmp_path):
+    """Neighbouring sources are one group and one state; visits of the same block end by gaps, by timers, and not at all."""
+    folder = f"file://{tmp_path}/block"
+    rows = [(s, h, float(s)) for s in range(100) for h in (0.0, 1.0)] + [(s, 100.0, 0.0) for s in range(50)] + [(3, 98.0, 1.0)]
+    got = drain(spark, folder, [rows[:200], rows[200:]])
+    assert [r[0] for r in got] == list(range(100))
+    assert all(r[2:5] == (BASE + dt.timedelta(hours=1), 2, float(r[0])) for r in got)
+    assert spark.read.format("statestore").load(f"{folder}/visits-mark").count() == 1  # 64 sources a block; all of the second one's visits have ended
