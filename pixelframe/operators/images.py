@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import written
 
@@ -39,27 +44,116 @@ def coadd_reject(pixels: DataFrame, limit: float = 5.0) -> DataFrame:
     return coadd(pixels.join(bad, ["img", "x", "y"], "left_anti"))
 
 
+SIDE = 64
+
+
+def _before(sums: DataFrame, keys: list[str], along: str, last: str) -> DataFrame:
+    """keys, along, v: the sum of what lies in lower pieces, for each piece up to number `last` (a column) that has any."""
+    w = Window.partitionBy(*keys).orderBy(along)
+    run = sums.select(*keys, last, F.col(along).alias("_at"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("v"), F.coalesce(F.lead(along).over(w), F.col(last)).alias("_to"))
+    return run.where(F.col("_to") > F.col("_at")).select(*keys, F.explode(F.sequence(F.col("_at") + 1, F.col("_to"))).alias(along), "v")
+
+
+def _integral_blocks(pixels: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels dealt into blocks of SIDE x SIDE, and each image's bounding grid.
+
+    A block (img, bx, by, cells) has its pixels at 1 to SIDE along both axes, and at 0 what lies
+    before it: in a row sums over the blocks to its left, in a column sums over those below, at
+    (0, 0) the sum of all that are both. Its own two running sums then give the integral. Running
+    sums over an image go over its blocks, not its pixels.
+    """
+    at = lambda c: F.floor(F.col(c) / SIDE).alias(f"b{c}")
+    px = cut(pixels.select("img", "x", "y", at("x"), at("y"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))  # read four times
+    last = [F.floor(F.col(f"{c}1") / SIDE).alias(f"last_{c}") for c in "xy"]
+    box = px.groupBy("img").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).select("*", *last)
+    ends = F.broadcast(box.select("img", "last_x", "last_y"))  # a row an image
+    rows = px.groupBy("img", "y", "bx").agg(F.sum("v").alias("v")).join(ends, "img")
+    cols = px.groupBy("img", "x", "by").agg(F.sum("v").alias("v")).join(ends, "img")
+    left = _before(rows, ["img", "y"], "bx", "last_x").select("*", at("y"))
+    below = _before(cols, ["img", "x"], "by", "last_y").select("*", at("x"))
+    corner = _before(left.groupBy("img", "bx", "by").agg(F.sum("v").alias("v")).join(ends, "img"), ["img", "bx"], "by", "last_y")
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), "v").alias("cell")
+    ix, iy, zero = (F.col(c) - SIDE * F.floor(F.col(c) / SIDE) + 1 if c in ("x", "y") else F.lit(0) for c in ("x", "y", ""))
+    cells = px.select("img", "bx", "by", cell(ix, iy)).union(left.select("img", "bx", "by", cell(zero, iy))).union(below.select("img", "bx", "by", cell(ix, zero))).union(corner.select("img", "bx", "by", cell(zero, zero)))
+    spark = pixels.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # rows grow many times over after the shuffle, so its bytes must not decide
+    return cells.repartition(n, "img", "bx", "by").groupBy("img", "bx", "by").agg(F.collect_list("cell").alias("cells")), box
+
+
+def _summed(cells: pa.ListArray) -> Iterator[tuple[int, np.ndarray]]:
+    """Number and integral (by x, then y) of each block; a block without a list is zero."""
+    at, all_ = cells.offsets.to_numpy(), cells.values
+    x, y, v = (all_.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "v"))
+    for k, some in enumerate(cells.is_valid().to_pylist()):
+        out = np.zeros((SIDE + 1, SIDE + 1))
+        if some:
+            i = slice(at[k], at[k + 1])
+            out[x[i], y[i]] = v[i]
+        yield k, out.cumsum(axis=0).cumsum(axis=1)[1:, 1:]
+
+
 def integral(pixels: DataFrame, value: str = "d") -> DataFrame:
     """Sums over all pixels up to and including x, y, at every pixel of each image's bounding grid.
 
-    Two running sums: along x in a row, then along y in a column; missing pixels count zero.
+    Two running sums, along x and along y, in blocks that know what lies before them; missing
+    pixels count zero. Pixels are unique by img, x, y.
     """
-    box = pixels.groupBy("img").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    grid = box.select("img", F.explode(F.sequence("x0", "x1")).alias("x"), "y0", "y1").select("img", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
-    full = grid.join(pixels.select("img", "x", "y", F.col(value).alias("v")), ["img", "x", "y"], "left").fillna(0.0, ["v"])
-    row = F.sum("v").over(Window.partitionBy("img", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    col = F.sum("r").over(Window.partitionBy("img", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    return full.withColumn("r", row).select("img", "x", "y", col.alias("s"))
+    blocks, box = _integral_blocks(pixels, value)
+    pieces = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / SIDE), F.col(f"last_{c}"))).alias(f"b{c}")
+    every = box.select("*", pieces("x")).select("*", pieces("y"))
+    out = T.StructType([*(pixels.schema[c] for c in ("img", "x", "y")), T.StructField("s", T.DoubleType())])
+    kinds = to_arrow_schema(out)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lo = {c: np.maximum(b.column(f"{c}0").to_numpy(), SIDE * b.column(f"b{c}").to_numpy()) for c in "xy"}
+            hi = {c: np.minimum(b.column(f"{c}1").to_numpy() + 1, SIDE * (b.column(f"b{c}").to_numpy() + 1)) for c in "xy"}
+            for k, s in _summed(b.column("cells")):
+                x, y = (np.arange(lo[c][k], hi[c][k]) for c in "xy")
+                part = s[np.ix_(x % SIDE, y % SIDE)].ravel()
+                made = [pa.repeat(b.column("img")[k], len(part)), *(pa.array(c) for c in (np.repeat(x, len(y)), np.tile(y, len(x)), part))]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, kinds, strict=True)], schema=kinds)
+
+    # bounds of the grid by img, cells of the blocks that have any
+    met = every.hint("merge").join(blocks, ["img", "bx", "by"], "left").select("img", "bx", "by", "x0", "x1", "y0", "y1", "cells")
+    return met.mapInArrow(task, out)
+
+
+def rect_sums_in(pixels: DataFrame, rects: DataFrame, value: str = "d") -> DataFrame:
+    """The rows of rect_sums(integral(pixels), rects): corners meet the block that they lie in, so the table of integrals is never written out."""
+    blocks, box = _integral_blocks(pixels, value)
+    at = _corners(rects, F.broadcast(box.select("img", F.col("x1").alias("fx"), F.col("y1").alias("fy"), "x0", "y0")))  # a row an image
+    cell = lambda c: F.floor(F.col(c) / SIDE)
+    at = at.where("x >= x0 AND y >= y0").select("img", cell("x").alias("bx"), cell("y").alias("by"), F.struct("rid", (F.col("x") - SIDE * cell("x")).alias("x"), (F.col("y") - SIDE * cell("y")).alias("y"), "sign").alias("at"))
+    asked = at.groupBy("img", "bx", "by").agg(F.collect_list("at").alias("at"))
+    out = T.StructType([rects.schema["rid"], T.StructField("s", T.DoubleType())])
+    kinds = to_arrow_schema(out)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, ask = b.column("at").offsets.to_numpy(), b.column("at").values
+            x, y, sign = (ask.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "sign"))
+            for k, s in _summed(b.column("cells")):
+                i = slice(at[k], at[k + 1])
+                rid = ask.field("rid").slice(at[k], at[k + 1] - at[k])
+                yield pa.RecordBatch.from_arrays([rid.cast(kinds[0].type), pa.array(s[x[i], y[i]] * sign[i])], schema=kinds)
+
+    got = blocks.hint("merge").join(asked.hint("merge"), ["img", "bx", "by"]).select("at", "cells").mapInArrow(task, out)
+    return got.unionByName(rects.select("rid", F.lit(0.0).alias("s"))).groupBy("rid").agg(F.sum("s").alias("total"))
+
+
+def _corners(rects: DataFrame, far: DataFrame) -> DataFrame:
+    """Signed corners of half-open rectangles, beyond an image's far edges (fx, fy) moved to the edge."""
+    corner = F.explode(
+        F.array(*[F.struct((F.col(a) - 1).alias("x"), (F.col(b) - 1).alias("y"), F.lit(s).alias("sign")) for a, b, s in (("x1", "y1", 1.0), ("x0", "y1", -1.0), ("x1", "y0", -1.0), ("x0", "y0", 1.0))])
+    )
+    at = rects.select("rid", "img", corner.alias("c")).select("rid", "img", "c.x", "c.y", "c.sign").join(far, "img", "left")
+    return at.select(*[F.least(c, f"f{c}").alias(c) if c in ("x", "y") else c for c in at.columns if c not in ("fx", "fy")])
 
 
 def rect_sums(table: DataFrame, rects: DataFrame) -> DataFrame:
     """Sum inside half-open rectangles (rid, img, x0, x1, y0, y1) by four corner lookups in an integral table; corners beyond its far edges are taken at the edge, before its near ones they count zero."""
-    corner = F.explode(
-        F.array(*[F.struct((F.col(a) - 1).alias("x"), (F.col(b) - 1).alias("y"), F.lit(s).alias("sign")) for a, b, s in (("x1", "y1", 1.0), ("x0", "y1", -1.0), ("x1", "y0", -1.0), ("x0", "y0", 1.0))])
-    )
-    at = rects.select("rid", "img", corner.alias("c")).select("rid", "img", "c.x", "c.y", "c.sign")
-    far = table.groupBy("img").agg(F.max("x").alias("fx"), F.max("y").alias("fy"))
-    at = at.join(far, "img", "left").select("rid", "img", F.least("x", "fx").alias("x"), F.least("y", "fy").alias("y"), "sign")
+    at = _corners(rects, table.groupBy("img").agg(F.max("x").alias("fx"), F.max("y").alias("fy")))
     got = at.join(table, ["img", "x", "y"], "left")
     return got.groupBy("rid").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0.0))).alias("total"))
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -311,3 +312,28 @@ def test_filled_brute(spark):
         assert r["round"] == (None if when[r.y, r.x] < 0 else when[r.y, r.x])
         assert r.d == pytest.approx(want[r.y, r.x], nan_ok=True)
     assert images.filled(df.limit(0), F.col("ok")).count() == 0
+
+
+@pytest.mark.parametrize("size", [(150, 7), (9, 200), (130, 140)])
+def test_integral_over_blocks(spark, size):
+    """Grids of several blocks either way, beginning below zero, with holes and nulls, against a dense array; no running sum goes over the pixels of a row."""
+    w, h = size
+    rng = np.random.default_rng(w)
+    img, there = rng.integers(0, 9, (2, w, h)).astype(float), rng.random((2, w, h)) < 0.3
+    there[:, 0, 0] = there[:, -1, -1] = True
+    img[~there] = 0
+    img[0, 0, 0] = 0
+    rows = [(i, x - 70, y - 5, None if (i, x, y) == (0, 0, 0) else float(img[i, x, y])) for i, x, y in zip(*(a.tolist() for a in np.nonzero(there)), strict=True)]
+    df = spark.createDataFrame(rows, "img int, x int, y int, d double")
+    made = images.integral(df)
+    assert not re.search(r"windowspecdefinition\([^)]*, [xy]#\d+ ASC", made._jdf.queryExecution().optimizedPlan().toString())
+    want = img.cumsum(axis=1).cumsum(axis=2)
+    got = made.collect()
+    assert len(got) == 2 * w * h and all(r.s == want[r.img, r.x + 70, r.y + 5] for r in got)
+    rects = [(k, int(k % 3), int(a) - 75, int(a + b) - 75, int(c) - 8, int(c + e) - 8) for k, (a, b, c, e) in enumerate(zip(rng.integers(0, w, 40), rng.integers(1, 90, 40), rng.integers(0, h, 40), rng.integers(1, 90, 40), strict=True))]
+    asked = spark.createDataFrame(rects, "rid int, img int, x0 int, x1 int, y0 int, y1 int")
+    full = np.pad(img, ((0, 1), (5, 300), (3, 300)))
+    full[2] = 0
+    total = {r.rid: r.total for r in images.rect_sums_in(df, asked).collect()}
+    assert total == {k: full[i, a + 75 : b + 75, c + 8 : e + 8].sum() for k, i, a, b, c, e in rects}
+    assert total == {r.rid: r.total for r in images.rect_sums(made, asked).collect()}
