@@ -358,3 +358,33 @@ def em_fit(stamp: np.ndarray, k: int, rounds: int = 100, alpha: float = 0.0, far
         amp = weight
         flat = float((p * (flat / len(p)) / np.maximum(total, 1e-300)).sum()) if sky else 0.0
     return np.column_stack([amp, mu, var[:, 0, 0], var[:, 0, 1], var[:, 1, 1]])
+
+
+def em_fits(stamps: np.ndarray, k: int, rounds: int = 100, alpha: float = 0.0, far: float = 100.0, chunk: int = 64) -> np.ndarray:
+    """em_fit without a sky for each of many stamps (n, h, w): (n, k, 6). All stamps of a chunk take a round together, as products with the powers of the places up to the second."""
+    n, h, w = stamps.shape
+    if n > chunk:
+        return np.concatenate([em_fits(stamps[i : i + chunk], k, rounds, alpha, far) for i in range(0, n, chunk)])
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    y, x = (a.ravel() for a in np.mgrid[:h, :w] - np.array([cy, cx])[:, None, None])
+    powers = np.stack([np.ones(h * w), x, y, x * x, x * y, y * y])
+    p = np.maximum(stamps, 0).reshape(n, -1)
+    p = p / np.maximum(p.sum(axis=1), 1e-300)[:, None]
+    s = p @ powers.T
+    base = np.maximum(0.5, (s[:, 3] + s[:, 5] - (2 - s[:, 0]) * (s[:, 1] ** 2 + s[:, 2] ** 2)) / 2)
+    wide = base[:, None] * 4.0 ** (np.arange(k) - (k - 1) / 2)
+    mx, my = (np.repeat(s[:, c, None] + (s[:, :1] - 1) * z, k, axis=1) for c, z in ((1, cx), (2, cy)))  # no weight: at place 0
+    vxx, vxy, vyy, amp = wide, np.zeros((n, k)), wide, np.full((n, k), 1.0 / k)
+    for _ in range(rounds):
+        det = vxx * vyy - vxy * vxy
+        if (det <= 0).any():
+            raise ValueError("a component's variance has no positive determinant")
+        a, b, c = vyy / det, -vxy / det, vxx / det
+        form = np.stack([a * mx * mx + 2 * b * mx * my + c * my * my, -2 * (a * mx + b * my), -2 * (b * mx + c * my), a, 2 * b, c], axis=2)
+        d2 = form @ powers
+        dens = np.where(d2 < far, (amp / (2 * np.pi * np.sqrt(det)))[:, :, None] * np.exp(-0.5 * np.minimum(d2, far)), 0.0)
+        s = (dens * (p / np.maximum(dens.sum(axis=1), 1e-300))[:, None]) @ powers.T
+        amp = s[:, :, 0]
+        mx, my = ((s[:, :, c] + amp * z) / np.maximum(amp, 1e-300) - z for c, z in ((1, cx), (2, cy)))
+        vxx, vxy, vyy = ((s[:, :, i] - amp * u * v + alpha * (i != 4)) / (amp + alpha) for i, u, v in ((3, mx, mx), (4, mx, my), (5, my, my)))
+    return np.stack([amp, mx + cx, my + cy, vxx, vxy, vyy], axis=2)

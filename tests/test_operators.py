@@ -337,3 +337,15 @@ def test_integral_over_blocks(spark, size):
     total = {r.rid: r.total for r in images.rect_sums_in(df, asked).collect()}
     assert total == {k: full[i, a + 75 : b + 75, c + 8 : e + 8].sum() for k, i, a, b, c, e in rects}
     assert total == {r.rid: r.total for r in images.rect_sums(made, asked).collect()}
+
+
+def test_many_stamps_at_once():
+    """Stamps fitted together, over more than one chunk, give each one's own fit."""
+    rng = np.random.default_rng(11)
+    stamps = np.maximum(rng.normal(0, 3, (70, 15, 15)), -1) + 40 * rng.random((70, 15, 15)) ** 6
+    stamps[5] = 0
+    stamps[6] = 0
+    stamps[6, 3, 9] = 2.0
+    got = solve.em_fits(stamps, 2, alpha=0.1)
+    for one, many in zip(stamps, got, strict=True):
+        assert many == pytest.approx(solve.em_fit(one, 2, alpha=0.1), abs=1e-6)
