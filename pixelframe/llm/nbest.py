@@ -10,8 +10,8 @@ the rest), completes segmentations in descending order.
 
 No piece reaches over the beginning of a word (a mark for space after another character), so
 the lattice falls into chunks and a text's N best are combinations of its chunks' N best.
-For each batch the distinct chunks are found by hash and their Viterbi tables filled together
-in numpy, forwards and backwards; the two tables also give the loss of each chunk's second
+For each batch the distinct chunks are found by hash and the Viterbi tables of those that no earlier
+one held (up to a bound) are filled together in numpy, forwards and backwards; the two tables also give the loss of each chunk's second
 best. At most N - 1 chunks of a text, those with the least losses, can differ from their best
 among its N best; only these are searched with A*. Chunks of more than LONG characters take
 the same steps one by one.
@@ -28,6 +28,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from .shingles import mix
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-N_BEST, LONG, BLOCK_CHARS, REMEMBERED = 4, 64, 1 << 21, 100_000
+N_BEST, LONG, BLOCK_CHARS, REMEMBERED, KEPT = 4, 64, 1 << 21, 100_000, 500_000
 UNKNOWN_PENALTY = 10.0
 _BASE = 0x2545F4914F6CDD1D | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -84,7 +85,13 @@ class Pieces:
         self._index()
 
     def _index(self) -> None:
-        keys = np.array([self.hash(t) for t in self.ids], dtype=np.uint64)
+        raw, sizes = np.zeros(len(self.ids), np.uint64), np.array([len(t) for t in self.ids])
+        chars = _char(np.frombuffer("".join(self.ids).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        first = np.cumsum(sizes) - sizes
+        for k in range(self.longest):
+            on = sizes > k
+            raw[on] = _mul(raw[on], np.uint64(_BASE)) + chars[first[on] + k]
+        keys = mix(raw)
         ids = np.array(list(self.ids.values()), dtype=np.int32)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], ids[order]
@@ -199,11 +206,42 @@ def combine(best: float, choices: list[list[float]], n: int) -> list[tuple[float
     return [(best - a, r) for a, r in rows]
 
 
+class Solved:
+    """Chunks that earlier runs of texts solved, by hash: best score, loss, and the stretch of flat that holds the ids. Forgets all when it holds too many."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.best, self.loss = np.zeros(0), np.zeros(0)
+        self.count, self.offset, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each chunk, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.row[at], -1)
+
+    def add(self, keys: np.ndarray, best: np.ndarray, loss: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
+        """New chunks, ids in their order."""
+        self.offset = np.concatenate([self.offset, len(self.flat) + np.cumsum(count) - count])
+        self.flat = np.concatenate([self.flat, flat])
+        self.best, self.loss, self.count = (np.concatenate(x) for x in ((self.best, best), (self.loss, loss), (self.count, count)))
+        row = np.concatenate([self.row, len(self.row) + np.arange(len(keys))])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.row = keys[order], row[order]
+
+
 class Batch:
-    """Distinct chunks of a run of texts: best ids and score, and the loss of the second best (inf where there is none)."""
+    """Distinct chunks of a run of texts: best ids and score, and the loss of the second best (inf where there is none). Chunks in `solved` aren't solved again, and new ones go there."""
 
-    def __init__(self, pieces: Pieces, texts: list[str]):
-        self.p = pieces
+    def __init__(self, pieces: Pieces, texts: list[str], solved: Solved | None = None):
+        self.p, self.solved = pieces, solved or Solved()
+        if len(self.solved.keys) > KEPT or len(self.solved.flat) > 8 * KEPT:
+            self.solved.forget()
         parts = [np.frombuffer(marked(t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
         self.codes = np.concatenate([np.zeros(0, np.uint32), *parts])
         sizes = np.array([len(x) for x in parts], dtype=np.int64)
@@ -226,7 +264,7 @@ class Batch:
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_char(self.codes) * inverse[1:])])
             self.raw = lambda i, j: (total[j] - total[i]) * power[j]
             h = mix(self.raw(self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
-        _, index, self.which = np.unique(h, return_index=True, return_inverse=True)
+        self.keys, index, self.which = np.unique(h, return_index=True, return_inverse=True)
         self.at, self.length = self.starts[index], (self.ends - self.starts)[index]
 
     def chunk(self, u: int) -> str:
@@ -236,9 +274,9 @@ class Batch:
     def _solve(self) -> None:
         m = len(self.at)
         self.best, self.loss = np.zeros(m), np.full(m, np.inf)
-        self.count = np.zeros(m, dtype=np.int64)
+        new = np.flatnonzero(self.solved.rows(self.keys) < 0)
         ids: list[tuple[np.ndarray, np.ndarray]] = []
-        order = np.argsort(self.length, kind="stable")
+        order = new[np.argsort(self.length[new], kind="stable")]
         edges = np.searchsorted(self.length[order], np.arange(1, LONG + 2))
         for size in range(1, LONG + 1):
             group = order[edges[size - 1] : edges[size]]
@@ -249,9 +287,9 @@ class Batch:
         owner = np.concatenate([np.zeros(0, np.int64), *[o for o, _ in ids]])
         flat = np.concatenate([np.zeros(0, np.int32), *[f for _, f in ids]])
         sort = np.argsort(owner, kind="stable")
-        self.flat = flat[sort]
-        self.count = np.bincount(owner, minlength=m).astype(np.int64)
-        self.offset = np.concatenate([[0], np.cumsum(self.count)])
+        self.solved.add(self.keys[new], self.best[new], self.loss[new], np.bincount(owner, minlength=m).astype(np.int64)[new], flat[sort])
+        at = self.solved.rows(self.keys)
+        self.best, self.loss, self.count, self.offset, self.flat = self.solved.best[at], self.solved.loss[at], self.solved.count[at], self.solved.offset[at], self.solved.flat
 
     def _group(self, us: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Viterbi both ways for chunks of one length; owners and ids of their best pieces in order."""
@@ -331,6 +369,7 @@ class Segmenter:
     def __init__(self, path: str, n: int = N_BEST):
         self.p, self.n = Pieces(path), n
         self.known: dict[str, list[tuple[float, list[int]]]] = {}
+        self.solved = Solved()
 
     def chunk_nbest(self, chunk: str) -> list[tuple[float, list[int]]]:
         got = self.known.get(chunk)
@@ -342,7 +381,7 @@ class Segmenter:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[list[np.ndarray], list[float]]]:
         """For each text: the ids of its N best segmentations and their scores, best first."""
-        b = Batch(self.p, texts)
+        b = Batch(self.p, texts, self.solved)
         for t in range(len(texts)):
             chunks = b.which[b.bounds[t] : b.bounds[t + 1]]
             best = float(b.best[chunks].sum())
@@ -369,6 +408,12 @@ class Segmenter:
             yield lists, [s for s, _ in rows]
 
 
+@lru_cache(1)
+def segmenter(path: str, n: int) -> Segmenter:
+    """One for all tasks of a worker: its tables and what it remembers depend on the model alone."""
+    return Segmenter(path, n)
+
+
 def _runs(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -399,7 +444,7 @@ def segmented(docs: DataFrame, model: str, n: int = N_BEST, text: str = "text")
     keys = [c for c in docs.columns if c != text and c not in MADE]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(model, n)
+        seg = segmenter(model, n)
         is_byte = np.zeros(len(seg.p.text), dtype=bool)
         is_byte[list(seg.p.byte_of)] = True
         for batch in batches:

@@ -768,3 +768,23 @@ def test_stages_odd(spark, docs, none):
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect())
     assert {0, 1, 2, 3, 4, 5, 9, 10, 11, 12} <= set(ids) and not {6, 7} & set(ids) and ids.count(5) == 1
+
+
+def test_chunks_are_solved_once(monkeypatch):
+    """Later runs of texts solve only chunks that no earlier one held, and give what a fresh start gives, also when a full memory is dropped."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    runs = [["the old mill by the river", "", "x" * 200], ["the old river mill \U0001f600", "by the by", "x" * 200], ["the mill", "naïve café", "x" * 199]]
+    plain = lambda got: [([x.tolist() for x in lists], scores) for lists, scores in got]
+    fresh = [plain(nbest.Segmenter(path, 4)(r)) for r in runs]
+    sizes, solve = [], nbest.Batch._group
+    monkeypatch.setattr(nbest.Batch, "_group", lambda self, us, size: sizes.append(len(us)) or solve(self, us, size))
+    seg = nbest.Segmenter(path, 4)
+    assert [plain(seg(r)) for r in runs] == fresh
+    assert len(seg.solved.keys) == len(set(seg.solved.keys.tolist()))
+    before = sum(sizes)
+    assert [plain(seg(r)) for r in runs] == fresh and sum(sizes) == before
+    monkeypatch.setattr(nbest, "KEPT", 2)
+    assert [plain(seg(r)) for r in runs] == fresh and sum(sizes) > before
+    assert nbest.segmenter(path, 4) is nbest.segmenter(path, 4)
