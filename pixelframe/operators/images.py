@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -279,36 +280,133 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df)
 
 
+FILL = 128
+
+
+def _windows(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 17) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by keys, in tables of whole windows of about `least` rows, with the number of each row's window."""
+
+    def tied() -> tuple[pa.Table, np.ndarray]:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        new = np.zeros(len(t), bool)
+        for key in keys:
+            code = t.column(key).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return t, new.cumsum()
+
+    kept, n = [], 0
+    for b in batches:
+        kept, n = [*kept, b], n + len(b)
+        if n >= least:
+            t, w = tied()
+            end = int(np.searchsorted(w, w[-1]))  # the last window may go on
+            if end:
+                yield t.slice(0, end), w[:end]
+            kept, n = t.slice(end).to_batches(), len(t) - end
+    if n:
+        yield tied()
+
+
+def _fill(w: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, at: np.ndarray, free: np.ndarray, own: np.ndarray, size: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Open cells (free) of windows of size x size (w, x, y) filled from those that have a value v from round `at` on (-1: never). Open cells have none in round `sure`.
+
+    Cells outside a window aren't seen: one round after `sure` open cells at its edge are in
+    doubt, in each later one the open cells beside them. What is filled before doubt comes to it
+    is final and stops it; so is what stays open without doubt. Returns values, rounds, whether
+    a cell is in doubt, and whether one beside it may be so for its own block: it is in doubt
+    here, not seen, or was open and is not one of this block's own.
+    """
+    key = (w * (size + 2) + x + 1) * (size + 2) + y + 1
+    order, n, never = np.argsort(key), len(key), np.iinfo(np.int64).max
+    key, beside = key[order], np.empty((4, n), np.int64)
+    for k, step in enumerate((size + 2, -size - 2, 1, -1)):
+        i = np.minimum(np.searchsorted(key, key + step), n - 1)
+        beside[k, order] = np.where(key[i] == key + step, order[i], n)  # n: no such cell
+    edge = (x == 0) | (x == size - 1) | (y == 0) | (y == size - 1)
+    live = (at >= 0) & np.isfinite(v)
+    late = np.flatnonzero(live & (at > sure))
+    front, dim, k, last = np.flatnonzero(live & (at == sure)), np.flatnonzero(edge & free), sure, at[late].max(initial=sure)
+    v, at = np.append(np.where(live, v, np.nan), np.nan), np.append(np.where(at >= 0, at, never), never)
+    free, doubt, others = np.append(free, False), np.zeros(n + 1, bool), np.append(free & ~own, False)
+    while front.size or dim.size or k < last:
+        k += 1
+        doubt[dim], free[dim] = True, False
+        to = np.unique(beside[:, front])
+        to = to[free[to]]
+        near = beside[:, to]
+        ok = np.isfinite(v[near]) & (at[near] < k)
+        with np.errstate(over="ignore"):
+            v[to] = np.where(ok, v[near], 0.0).sum(axis=0) / ok.sum(axis=0)
+        at[to], free[to] = k, False
+        front = np.concatenate([to[np.isfinite(v[to])], late[at[late] == k]])
+        dim = np.unique(beside[:, dim])
+        dim = dim[free[dim]]
+    return v[:n], np.where(at[:n] == never, -1, at[:n]), doubt[:n], edge | (doubt | others)[beside].any(axis=0)
+
+
+def _fill_blocks(cells: DataFrame, sure: int, halo: int, side: int) -> DataFrame:
+    """What blocks of side x side can tell of their cells (img, x, y, v, round, open): open ones are filled, closed for good (no longer open, without a round), or still open.
+
+    Cells within `halo` of a block are seen there, so that whatever is filled up to round
+    sure + halo is filled here. near marks what the next call needs: open cells, and those beside
+    them that have a value from that round on or a later one.
+    """
+    spark, size = cells.sparkSession, side + 2 * halo
+    piece = lambda c, by: F.floor((F.col(c) + by) / side)
+    at = cells
+    for c in "xy":
+        at = at.select("*", (F.explode(F.sequence(piece(c, -halo), piece(c, halo))) if halo else piece(c, 0)).alias(f"b{c}"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # the work is Python's, so bytes must not decide
+    out = T.StructType([*cells.schema, T.StructField("near", T.BooleanType())])
+    kinds = to_arrow_schema(out)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, w in _windows(batches, ["bx", "by", "img"]):
+            x, y, v, free = (t.column(c).to_numpy() for c in ("lx", "ly", "v", "open"))
+            own = (x >= halo) & (x < side + halo) & (y >= halo) & (y < side + halo)
+            v, at, doubt, beside = _fill(w, x, y, v, t.column("round").fill_null(-1).to_numpy().astype(np.int64), free, own, size, sure)
+            made = {
+                "v": pc.if_else(pa.array(free & (at >= 0)), pa.array(v), t.column("v")),
+                "round": pa.array(at, mask=at < 0),
+                "open": pa.array(doubt),
+                "near": pa.array(doubt | (beside & np.isfinite(v) & (at >= sure + halo))),
+            }
+            told = pa.table([made[c] if c in made else t.column(c) for c in kinds.names], names=kinds.names)
+            yield from told.filter(pa.array(own)).cast(kinds).combine_chunks().to_batches()
+
+    at = at.repartition(n, "bx", "by", "img").sortWithinPartitions("bx", "by", "img")
+    return at.select("*", *[F.coalesce(F.col(c) - side * F.col(f"b{c}") + halo, F.lit(0)).cast("int").alias(f"l{c}") for c in "xy"]).mapInArrow(task, out)
+
+
 def filled(pixels: DataFrame, good: Column, wanted: Column | None = None, value: str = "d") -> DataFrame:
     """img, x, y, the value, and round: pixels that are not good filled from their edges inwards by the mean of their four neighbours.
 
     A pixel is filled in the first round in which a neighbour has a finite value, so all its known
-    neighbours date from the round before: each round takes the last front to its neighbours, and
-    no round looks at more than the pixels still open. good marks those known at the start (round
-    0); with wanted, other pixels keep their value and a null round. So do pixels that no good one
-    reaches, and there is no bound on the rounds. Every round is one table in the shared folder.
+    neighbours date from the round before. good marks those known at the start (round 0); with
+    wanted, other pixels keep their value and a null round. So do pixels that no good one reaches
+    and those without a place (a null in img, x or y), and there is no bound on the rounds.
     Pixels are unique by img, x, y; a null in good or wanted counts as false.
+
+    Blocks of FILL x FILL pixels take all their rounds in one task. What depends on other blocks
+    is left to calls that see half a block further, and these get only such pixels and the fronts
+    beside them: one table in the shared folder a call, and FILL / 2 rounds or more in each.
     """
-    no = F.lit(False)
-    px = pixels.select("img", "x", "y", F.col(value).cast("double").alias("v"), F.coalesce(good, no).alias("_ok"), (F.lit(True) if wanted is None else F.coalesce(wanted, no)).alias("_go"))
-    px = cut(px)
-    front = px.where("_ok").select("img", "x", "y", "v")
-    open_, done, k = px.where("NOT _ok AND _go").select("img", "x", "y"), [px.where("_ok").select("img", "x", "y", "v", F.lit(0).alias("round"))], 0
-    side = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    no, placed = F.lit(False), F.col("img").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
+    px = pixels.select("img", "x", "y", F.col(value).cast("double").alias("v"), (F.coalesce(good, no) & placed).alias("_ok"), ((F.lit(True) if wanted is None else F.coalesce(wanted, no)) & placed).alias("_go"))
+    now = px.select("img", "x", "y", "v", F.when(F.col("_ok"), F.lit(0)).alias("round"), (~F.col("_ok") & F.col("_go")).alias("open"), F.lit(True).alias("asked"))
+    done, sure, halo = [], 0, 0
+    row = ["img", "x", "y", "v", "round"]
     while True:
-        k += 1
-        live = front.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < math.inf))
-        near = live.select("img", "x", "y", "v", side.alias("o")).groupBy("img", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).agg(F.avg("v").alias("v"))
-        state = cut(open_.join(near, ["img", "x", "y"], "left"))
-        front, open_ = state.where("v IS NOT NULL"), state.where("v IS NULL").select("img", "x", "y")
-        if front.isEmpty():
+        state = cut(_fill_blocks(now, sure, halo, FILL))
+        sure += halo
+        now = state.where("near").select(*row, "open", F.col("open").alias("asked"))
+        if now.where("open").isEmpty() or now.where("NOT open").isEmpty():  # nobody asks, or nobody has an answer
             break
-        done.append(front.select("img", "x", "y", "v", F.lit(k).alias("round")))
+        done.append(state.where("asked AND NOT open").select(*row))
         if len(done) == 32:  # plans stay small however deep the mask
             done = [cut(reduce(DataFrame.unionByName, done))]
-    rest = px.where("NOT _ok AND NOT _go").select("img", "x", "y", "v")
-    rest = rest.unionByName(open_.join(px, ["img", "x", "y"]).select("img", "x", "y", "v"))
-    return reduce(DataFrame.unionByName, [*done, rest.withColumn("round", F.lit(None).cast("int"))]).withColumnRenamed("v", value)
+        halo = FILL // 2
+    return reduce(DataFrame.unionByName, [*done, state.where("asked").select(*row)]).withColumnRenamed("v", value)
 
 
 def box_medians(pixels: DataFrame, step: int, half: int, w: int | None, h: int | None) -> DataFrame:

@@ -314,6 +314,49 @@ def test_filled_brute(spark):
     assert images.filled(df.limit(0), F.col("ok")).count() == 0
 
 
+@pytest.mark.parametrize("side", [6, 128])
+def test_fills_over_blocks(spark, monkeypatch, side):
+    """Sparse and dense masks over many blocks, below zero too, with winding ways from block to block and closed ones, against rounds over a dense array."""
+    monkeypatch.setattr(images, "FILL", side)
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for name, share, seed in (("thin", 0.62, 0.004), ("dense", 0.9, 0.003), ("full", 1.0, 0.0), ("none", 0.8, 0.0)):
+        there, ok = rng.random((30, 34)) < share, rng.random((30, 34)) < seed
+        v = rng.integers(0, 50, (30, 34)).astype(float)
+        ok[0, 0] = there[0, 0] = name != "none"
+        when, now, k = np.where(ok & there, 0, -1), v.copy(), 0
+        while (when == k).any():
+            k, seen = k + 1, np.pad((when >= 0) & there, 1)
+            vals = np.where(seen, np.pad(now, 1), 0.0)
+            beside = lambda a: a[:-2, 1:-1] + a[2:, 1:-1] + a[1:-1, :-2] + a[1:-1, 2:]
+            new = there & (when < 0) & (beside(seen.astype(int)) > 0)
+            now[new], when[new] = beside(vals)[new] / beside(seen.astype(int))[new], k
+        assert k > 20 or name == "none"
+        for y, x in np.argwhere(there):
+            rows.append((name, int(x) - 9, int(y) - 7, float(v[y, x]), bool(ok[y, x])))
+            want[name, int(x) - 9, int(y) - 7] = now[y, x], int(when[y, x]) if when[y, x] >= 0 else None
+    got = images.filled(spark.createDataFrame(rows, "img string, x int, y long, d double, ok boolean"), F.col("ok")).collect()
+    assert len(got) == len(rows)
+    assert {(r.img, r.x, r.y): (pytest.approx(r.d), r["round"]) for r in got} == want
+
+
+def test_fills_write_a_table_for_many_rounds(spark):
+    """Before, each round was a table, and each looked at all pixels that nothing reaches."""
+    from pixelframe import session
+
+    rows = [(1, x, 0, 1.0, x == 0) for x in range(300)]
+    since = session.tables_made()
+    got = images.filled(spark.createDataFrame(rows, "img int, x int, y int, d double, ok boolean"), F.col("ok")).collect()
+    assert sorted((r.x, r["round"]) for r in got) == [(x, x) for x in range(300)]
+    assert session.tables_made() - since <= 6
+
+
+def test_fills_keep_pixels_without_a_place(spark):
+    """They keep their value and have no round, as in SQL; before, those that were not good were lost."""
+    rows = [(1, 0, 0, 1.0, True), (1, 1, 0, 9.0, False), (None, 0, 0, 2.0, True), (None, 1, 0, 3.0, False), (1, None, 0, 4.0, False), (1, None, 1, 5.0, True), (1, 0, None, None, False)]
+    got = images.filled(spark.createDataFrame(rows, "img int, x int, y int, d double, ok boolean"), F.col("ok")).collect()
+    assert {tuple(r) for r in got} == {(1, 0, 0, 1.0, 0), (1, 1, 0, 1.0, 1), *((*r[:4], None) for r in rows[2:])}
+
+
 @pytest.mark.parametrize("size", [(150, 7), (9, 200), (130, 140)])
 def test_integral_over_blocks(spark, size):
     """Grids of several blocks either way, beginning below zero, with holes and nulls, against a dense array; no running sum goes over the pixels of a row."""
