@@ -101,6 +101,60 @@ def pixels_of_boxes(s: pd.DataFrame, p: pd.DataFrame, cells: int = 1 << 17) -> I
         yield rows, at, on
 
 
+#: Pixels x sources of one dense array in a task.
+CELLS = 1 << 19
+
+
+def in_tiles(pixels: DataFrame, sources: DataFrame, half: Column, task: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, side: int = 64, margin: int = 0, home: bool = False) -> DataFrame:
+    """Rows of task(sources, pixels) for each tile of side x side pixels that has both: its pixels in all images and all sources whose boxes reach into it (columns bx0 to by1, half-open).
+
+    Sources are rendered where their pixels are, so only what task returns leaves it. A source gets
+    a call for each tile that its box touches, and its sums are to be added up. With margin, pixels
+    that near to the tile come as well; the column own tells the tile's from them. With home, a
+    source gets one call, in the tile of its centre, which has its box if no half is above margin.
+    """
+    spark = pixels.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # renders: bytes must not decide
+    tile = lambda a, b: F.floor(a / side) if a is b else F.explode(F.sequence(F.floor(a / side), F.floor(b / side)))
+    x, y = F.col("x"), F.col("y")
+    at = pixels.where("x IS NOT NULL AND y IS NOT NULL").select("*", *([] if not margin else [(F.lit(True)).alias("own")]))
+    for c, t in ((x, "tx"), (y, "ty")):
+        at = at.withColumn(t, tile(c - margin, c + margin) if margin else tile(c, c))
+    if margin:
+        at = at.withColumn("own", (F.floor(x / side) == F.col("tx")) & (F.floor(y / side) == F.col("ty")))
+    cx, cy, h = F.bround("px", 0).cast("int"), F.bround("py", 0).cast("int"), half.cast("int")
+    near = sources.where(cx.isNotNull() & cy.isNotNull() & h.isNotNull()).select("*", *[c.alias(k) for c, k in ((cx - h, "bx0"), (cx + h + 1, "bx1"), (cy - h, "by0"), (cy + h + 1, "by1"))])
+    near = near.withColumn("s_tx", tile(cx, cx) if home else tile(F.col("bx0"), F.col("bx1") - 1)).withColumn("s_ty", tile(cy, cy) if home else tile(F.col("by0"), F.col("by1") - 1))
+    both = near.repartition(n, "s_tx", "s_ty").groupBy("s_tx", "s_ty").cogroup(at.repartition(n, "tx", "ty").groupBy("tx", "ty"))
+    return both.applyInPandas(lambda s, p: task(s, p) if len(s) and len(p) else pd.DataFrame(), schema)
+
+
+def by_images(p: pd.DataFrame, sources: int) -> Iterator[tuple[float, dict[str, np.ndarray]]]:
+    """Each image with the columns of its pixels, not more at a time than CELLS has room for with so many sources."""
+    img = p.img.to_numpy()
+    order = np.argsort(img, kind="stable")
+    columns, step = {c: p[c].to_numpy()[order] for c in p.columns}, max(1, CELLS // max(1, sources))
+    ends = [0, *(np.flatnonzero(img[order][1:] != img[order][:-1]) + 1), len(p)]
+    for a, b in zip(ends, ends[1:], strict=False):
+        for k in range(a, b, step):
+            yield img[order[a]], {c: v[k : min(b, k + step)] for c, v in columns.items()}
+
+
+def factors(at: np.ndarray, centre: np.ndarray, var: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """exp(-(at - centre)^2 / 2 var) of each source (a column) at the places `at` of one axis, none outside its box: a round Gaussian is the product of one factor in x and one in y."""
+    at = at[:, None]
+    return np.where((at >= lo) & (at < hi), np.exp(-0.5 * (at - centre) ** 2 / var), 0.0)
+
+
+def gaussians(s: pd.DataFrame, x: np.ndarray, y: np.ndarray, parts: tuple[tuple[float, float], ...] = ((1.0, 1.0),)) -> np.ndarray:
+    """(pixels, sources): unit flux of round sources (px, py, sig) at the pixels inside their boxes; parts are amplitudes and variances in units of sig squared."""
+    x0, y0, var, out = int(x.min()), int(y.min()), s.sig.to_numpy(float) ** 2, 0.0
+    for a, v in parts:
+        fx, fy = (factors(np.arange(o, int(k.max()) + 1), s[c].to_numpy(float), v * var, s[lo].to_numpy(), s[hi].to_numpy()) for o, k, c, lo, hi in ((x0, x, "px", "bx0", "bx1"), (y0, y, "py", "by0", "by1")))
+        out = out + (fx * (a / (2 * math.pi * v * var)))[x - x0] * fy[y - y0]
+    return out
+
+
 def gauss_unit(dx: Column, dy: Column, sigma: Column) -> Column:
     """Unit-flux round Gaussian."""
     return F.exp(-0.5 * (dx * dx + dy * dy) / (sigma * sigma)) / (2 * math.pi * sigma * sigma)
