@@ -196,11 +196,12 @@ def levenberg(residual, x0: np.ndarray, steps: int = 50, tol: float = 1e-9) -> t
     return x, cost
 
 
-def levenberg_many(residual, stepped, x0: np.ndarray, steps: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """levenberg on many problems at once, each with its own damping, steps and end, by the same derivatives: parameters and costs, a row a problem.
+def levenberg_many(residual, slopes, x0: np.ndarray, steps: int = 50, tol: float = 1e-9) -> np.ndarray:
+    """levenberg on many problems at once, each with its own damping, steps and end, with exact derivatives: parameters, a row a problem.
 
     residual(x, rows) -> (rows, n) of the problems `rows` at parameters x, filling has residuals of
-    zero; stepped(x, rows, h) -> k of these, with one parameter moved by its h (rows, k) in each.
+    zero; slopes(x, rows) -> its derivatives (rows, parameters, n), of rows in the last residual at
+    the same parameters.
     """
     x = np.array(x0, float)
     n, k = x.shape
@@ -208,8 +209,7 @@ def levenberg_many(residual, stepped, x0: np.ndarray, steps: int = 50, tol: floa
     a, g, diag = np.zeros((n, k, k)), np.zeros((n, k)), np.arange(k)
 
     def linear(rows: np.ndarray, r: np.ndarray) -> None:
-        h = 1e-6 * np.maximum(1.0, np.abs(x[rows]))
-        jac = np.stack([(to - r) / h[:, j : j + 1] for j, to in enumerate(stepped(x[rows], rows, h))], axis=1)
+        jac = slopes(x[rows], rows)
         a[rows], g[rows] = jac @ jac.transpose(0, 2, 1), (jac @ r[:, :, None])[:, :, 0]
 
     with np.errstate(all="ignore"):  # steps that lead nowhere are not taken
@@ -220,7 +220,7 @@ def levenberg_many(residual, stepped, x0: np.ndarray, steps: int = 50, tol: floa
         while len(live):
             m = a[live]
             m[:, diag, diag] += lam[live, None] * np.maximum(m[:, diag, diag], 1e-12)
-            to = x[live] - _shortest(m, g[live])
+            to = x[live] - _damped(m, g[live])
             r = residual(to, live)
             new = np.einsum("ij,ij->i", r, r)
             better = np.isfinite(new) & (new < cost[live])
@@ -235,7 +235,26 @@ def levenberg_many(residual, stepped, x0: np.ndarray, steps: int = 50, tol: floa
             if on.any():
                 linear(live[on], r[on])
             live = live[on | (~better & (failed[live] < 12))]
-    return x, cost
+    return x
+
+
+def _damped(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of each Ax = b with a positive symmetric A, by elimination on all of them together; the shortest answer where that loses its digits."""
+    size = np.sqrt(np.where(a.diagonal(axis1=1, axis2=2) > 0, a.diagonal(axis1=1, axis2=2), 1.0))
+    s, y, x = a / (size[:, :, None] * size[:, None, :]), b / size, np.zeros_like(b)
+    ok, k = np.ones(len(b), bool), b.shape[1]
+    for j in range(k):
+        ok &= s[:, j, j] > 1e-12
+        f = s[:, j + 1 :, j] / s[:, j, j, None]
+        s[:, j + 1 :, j + 1 :] -= f[:, :, None] * s[:, None, j, j + 1 :]
+        y[:, j + 1 :] -= f * y[:, j, None]
+    for j in range(k - 1, -1, -1):
+        x[:, j] = (y[:, j] - np.einsum("ij,ij->i", s[:, j, j + 1 :], x[:, j + 1 :])) / s[:, j, j]
+    x /= size
+    bad = ~(ok & np.isfinite(x).all(axis=1))
+    if bad.any():
+        x[bad] = _shortest(a[bad], b[bad])
+    return x
 
 
 def _shortest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,24 +270,66 @@ def _shortest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def gaussian_fits(x: np.ndarray, y: np.ndarray, v: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Flux, place, width and sky of a round Gaussian in each row of pixels (values v, inverse errors w, 0 for filling) by levenberg_many from `start`."""
 
-    def squares(at: np.ndarray, c: np.ndarray) -> np.ndarray:
-        d = at - c[:, None]
-        return d * d
+    held: list[tuple[np.ndarray, ...]] = []  # of the last residual, whose problems slopes are taken of
+
+    def residual(p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        every = len(k) == len(x)
+        xk, yk, vk, wk = (c if every else c[k] for c in (x, y, v, w))
+        by = 1.0 / np.maximum(p[:, 3:4] ** 2, 1e-6)
+        dx, dy = xk - p[:, 1:2], yk - p[:, 2:3]
+        d2, u = dx * dx, dy * dy
+        d2 += u
+        d2 *= by
+        np.multiply(d2, -0.5, out=u)
+        np.exp(u, out=u)
+        u *= by / (2 * np.pi)
+        held[:] = [(k, wk, by, dx, dy, d2, u)]
+        out = u * p[:, :1]
+        out += p[:, 4:]
+        out -= vk
+        out *= wk
+        return out
+
+    def slopes(p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        at, *rest = held[0]
+        if len(k) < len(at):
+            rows = np.searchsorted(at, k)  # both ascend
+            rest = [c[rows] for c in rest]
+        wk, by, dx, dy, d2, u = rest
+        out = np.empty((len(k), 5, x.shape[1]))
+        np.multiply(u, wk, out=out[:, 0])
+        f = out[:, 0] * (p[:, :1] * by)
+        np.multiply(f, dx, out=out[:, 1])
+        np.multiply(f, dy, out=out[:, 2])
+        np.subtract(d2, 2.0, out=out[:, 3])
+        out[:, 3] *= f
+        out[:, 3] *= np.where(p[:, 3:4] ** 2 > 1e-6, p[:, 3:4], 0.0)
+        out[:, 4] = wk
+        return out
+
+    return levenberg_many(residual, slopes, start)
+
+
+def image_fits(x: np.ndarray, y: np.ndarray, v: np.ndarray, w: np.ndarray, var: np.ndarray, img: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Flux and place of a round Gaussian of variance var in each row of pixels, and a sky for each image img (from 0), by levenberg_many from flux and place; an image without pixels has a sky of zero."""
+    mine = (img[:, None] == np.arange(img.max(initial=0) + 1)[:, None]) * w[:, None]
+    weight = np.einsum("rkn,rkn->rk", mine, mine)
+    sky = np.einsum("rkn,rn->rk", mine, w * v) / np.where(weight > 0, weight, 1.0)
+
+    def unit(p: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+        dx, dy = x[k] - p[:, 1:2], y[k] - p[:, 2:3]
+        return dx, dy, np.exp(-0.5 * (dx * dx + dy * dy) / var[k]) / (2 * np.pi * var[k])
 
     def residual(p: np.ndarray, k: np.ndarray) -> np.ndarray:
-        var = np.maximum(p[:, 3:4] ** 2, 1e-6)
-        return (p[:, :1] * np.exp(-0.5 * (squares(x[k], p[:, 1]) + squares(y[k], p[:, 2])) / var) / (2 * np.pi * var) + p[:, 4:] - v[k]) * w[k]
-
-    def stepped(p: np.ndarray, k: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-        xk, yk, vk, wk, q = x[k], y[k], v[k], w[k], p + h
-        var, wide = (np.maximum(s[:, 3:4] ** 2, 1e-6) for s in (p, q))
-        dx, dy, flux, sky = squares(xk, p[:, 1]), squares(yk, p[:, 2]), p[:, :1], p[:, 4:]
-        d2 = dx + dy
-        e = np.exp(-0.5 * d2 / var)
-        ends = [q[:, :1] * e / (2 * np.pi * var) + sky, *(flux * np.exp(-0.5 * s / t) / (2 * np.pi * t) + sky for s, t in ((squares(xk, q[:, 1]) + dy, var), (dx + squares(yk, q[:, 2]), var), (d2, wide)))]
-        return [(m - vk) * wk for m in (*ends, flux * e / (2 * np.pi * var) + q[:, 4:])]
-
-    return levenberg_many(residual, stepped, start)[0]
+        return (p[:, :1] * unit(p, k)[-1] + np.take_along_axis(p[:, 3:], img[k], 1) - v[k]) * w[k]
+
+    def slopes(p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        dx, dy, u = unit(p, k)
+        u *= w[k]
+        f = p[:, :1] / var[k] * u
+        return np.concatenate([np.stack([u, f * dx, f * dy], axis=1), mine[k]], axis=1)
+
+    return levenberg_many(residual, slopes, np.column_stack([start, sky]))
 
 
 def lbfgs(f, x0: np.ndarray, steps: int = 100, memory: int = 8) -> tuple[np.ndarray, float]:

@@ -58,3 +58,13 @@ def test_nonneg_of_long_chains(spark, monkeypatch):
     monkeypatch.setattr(ph, "BLOCK_UNKNOWNS", 2)
     got = rows()
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-3)
+
+
+@pytest.mark.parametrize("far", [0.0, 80.0 * 6000])
+def test_fits_of_far_fields(far):
+    """Derivatives don't depend on how far along x a field stands: a fit there ends where it ends in the first field."""
+    y, x = (v.ravel().astype(float)[None] for v in np.mgrid[:21, :21])
+    true = np.array([[700.0, 9.7, 10.4, 2.0, 5.0]])
+    v = true[:, :1] * np.exp(-0.5 * ((x - 9.7) ** 2 + (y - 10.4) ** 2) / 4) / (8 * math.pi) + 5
+    got = solve.gaussian_fits(x + far, y, v, np.ones_like(v), np.array([[900.0, 10.5 + far, 10.0, 3.0, 7.0]]))
+    assert got - [[0, far, 0, 0, 0]] == pytest.approx(true, abs=1e-5)
