@@ -394,6 +394,26 @@ def em_fit(stamp: np.ndarray, k: int, rounds: int = 100, alpha: float = 0.0, far
     h, w = stamp.shape
     y, x = np.mgrid[:h, :w]
     p = np.maximum(stamp, 0).ravel() / max(1e-300, np.maximum(stamp, 0).sum())
+def stretch_moves(logp, start: np.ndarray, steps: int, seed: int = 1, a: float = 2.0) -> np.ndarray:
+    """stretch_move of one parameter for many problems (rows of start) at once: each takes the draws that it would take alone with this seed. logp maps (problems, walkers) to the same shape; the chain is (steps, problems, walkers)."""
+    rng = np.random.default_rng(seed)
+    x, n = start.copy(), start.shape[1]
+    lp = logp(x)
+    chain = np.empty((steps, *x.shape))
+    for k in range(steps):
+        for mine, other in ((slice(0, n // 2), slice(n // 2, n)), (slice(n // 2, n), slice(0, n // 2))):
+            m, rest = x[:, mine], x[:, other]
+            z = ((a - 1) * rng.random(m.shape[1]) + 1) ** 2 / a
+            partner = rest[:, rng.integers(0, rest.shape[1], m.shape[1])]
+            to = partner + z * (m - partner)
+            lt = logp(to)
+            take = np.log(rng.random(m.shape[1])) < lt - lp[:, mine]
+            x[:, mine] = np.where(take, to, m)
+            lp[:, mine] = np.where(take, lt, lp[:, mine])
+        chain[k] = x
+    return chain
+
+
     pos = np.stack([x.ravel(), y.ravel()], axis=1).astype(float)
     mu = np.repeat((p[:, None] * pos).sum(axis=0)[None], k, axis=0)
     base = max(0.5, float((p * ((pos - mu[0]) ** 2).sum(axis=1)).sum() / 2))

@@ -19,7 +19,7 @@ def plan(spark, name):
     return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [*SUMS])
+@pytest.mark.parametrize("name", [*SUMS, "mcmc_flux"])
 def test_no_rendered_pixel_leaves_its_task(spark, name):
     text = plan(spark, name)
     assert "FlatMapCoGroupsInPandas" in text and "Join" not in text and "Window" not in text
@@ -60,6 +60,15 @@ def test_nonneg_of_long_chains(spark, monkeypatch):
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-3)
 
 
+def test_samples_together_are_those_alone():
+    a, best = np.array([[0.5], [2.0], [9.0]]), np.array([[3.0], [-1.0], [700.0]])
+    start = best + a**-0.5 * np.random.default_rng(1).normal(size=(3, 10))
+    chain = solve.stretch_moves(lambda p: -0.5 * a * (p - best) ** 2, start, 60, seed=3)
+    for k in range(3):
+        alone, _ = solve.stretch_move(lambda p, k=k: -0.5 * a[k, 0] * (p[0] - best[k, 0]) ** 2, start[k][:, None], 60, seed=3)
+        assert chain[:, k].ravel() == pytest.approx(alone[:, 0], abs=1e-12)
+
+
 @pytest.mark.parametrize("far", [0.0, 80.0 * 6000])
 def test_fits_of_far_fields(far):
     """Derivatives don't depend on how far along x a field stands: a fit there ends where it ends in the first field."""
