@@ -36,7 +36,7 @@ def odd(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", [n for n in [*SUMS, "psfex_eval"] if n != "position_derivs"])
+@pytest.mark.parametrize("name", [n for n in [*SUMS, "psfex_eval", "resample_lanczos"] if n != "position_derivs"])
 def test_odd_tables(spark, odd, name):
     con = duckdb.connect()
     for t in ("part", "lineitem"):
@@ -46,6 +46,11 @@ def test_odd_tables(spark, odd, name):
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_resampling_shuffles_pixels_only(spark):
+    text = plan(spark, "resample_lanczos")
+    assert "Join" not in text and text.count("Exchange hashpartitioning(") + text.count("REPARTITION_BY_NUM") <= 3
+
+
 def test_stamps_are_broadcast_not_sources(spark):
     text = plan(spark, "psfex_eval")
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
