@@ -88,7 +88,12 @@ def line_search(changes: DataFrame, start: float = 0.0, alphas: tuple[float, ...
     falls more than one below the best so far.
     """
     sums = changes.groupBy("key").agg(F.sum(F.col("c0") * F.col("dc")).alias("p"), F.sum(F.col("dc") * F.col("dc")).alias("q"))
-    gain = lambda a: -(a * F.col("p") + a * a * F.col("q") / 2.0)
+    return sums.select("key", best_step(F.col("p"), F.col("q"), start, alphas).alias("r")).select("key", "r.alpha", F.col("r.best").alias("gain"))
+
+
+def best_step(p: Column, q: Column, start: float = 0.0, alphas: tuple[float, ...] = ALPHAS) -> Column:
+    """The search of line_search on its sums p and q, as a struct with alpha and best."""
+    gain = lambda a: -(a * p + a * a * q / 2.0)
     steps = F.array(*[F.struct(F.lit(a).alias("alpha"), gain(F.lit(a)).alias("gain")) for a in alphas])
     first = F.struct(F.lit(0.0).alias("alpha"), F.lit(float(start)).alias("best"), F.lit(False).alias("done"))
 
@@ -97,7 +102,7 @@ def line_search(changes: DataFrame, start: float = 0.0, alphas: tuple[float, ...
         better = ~stop & (s["gain"] > acc["best"])
         return F.struct(F.when(better, s["alpha"]).otherwise(acc["alpha"]).alias("alpha"), F.when(better, s["gain"]).otherwise(acc["best"]).alias("best"), stop.alias("done"))
 
-    return sums.select("key", F.aggregate(steps, first, step).alias("r")).select("key", "r.alpha", F.col("r.best").alias("gain"))
+    return F.aggregate(steps, first, step)
 
 
 def bounded_alpha(value: Column, step: Column, lower: Column, upper: Column, max_step: Column) -> Column:

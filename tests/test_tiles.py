@@ -76,6 +76,26 @@ def test_nonneg_of_long_chains(spark, monkeypatch):
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-3)
 
 
+def test_optimise_loop_reads_pixels_once(spark, monkeypatch):
+    calls = []
+    tiles = rd.in_tiles
+    monkeypatch.setattr(rd, "in_tiles", lambda *a, **k: calls.append(1) or tiles(*a, **k))
+    monkeypatch.setattr(rd, "render_join", None)
+    got = {(r.sid, r.img): r for r in QUERIES["optimise_loop"](spark, SF).collect()}
+    want = {(r.sid, r.img): r.flux for r in _isolated(spark)}
+    assert calls == [1] and set(got) == set(want) and all(r.converged for r in got.values())
+    assert [got[k].flux for k in sorted(want)] == pytest.approx([want[k] for k in sorted(want)], abs=2e-3)
+
+
+def _isolated(spark):
+    """Linear fluxes over the pixels of u above 1e-4, by SQL."""
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    sql = ORACLE_SQL["forced_phot_isolated"].replace("FROM u GROUP BY", "FROM u WHERE u > 1e-4 GROUP BY")
+    return con.sql(sql).df().itertuples()
+
+
 def test_samples_together_are_those_alone():
     a, best = np.array([[0.5], [2.0], [9.0]]), np.array([[3.0], [-1.0], [700.0]])
     start = best + a**-0.5 * np.random.default_rng(1).normal(size=(3, 10))
